@@ -29,6 +29,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.decontamination import contamination, digest
+
+    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.toxicity import toxicity
 
