@@ -102,8 +102,9 @@ class Rolling:
 
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
-        self.up = np.multiply.accumulate(np.concatenate([[1], np.full(n, _BASE, U64)]).astype(U64))
-        down = np.multiply.accumulate(np.concatenate([[1], np.full(n, _BASE_INV, U64)]).astype(U64))
+        one = np.ones(1, U64)  # a plain 1 would turn the powers into floats
+        self.up = np.multiply.accumulate(np.concatenate([one, np.full(n, _BASE, U64)]))
+        down = np.multiply.accumulate(np.concatenate([one, np.full(n, _BASE_INV, U64)]))
         self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * down[:n], dtype=U64)])
 
     def runs(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
