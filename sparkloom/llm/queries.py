@@ -45,6 +45,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.ngram_jaccard import ngram_jaccard
+
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.toxicity import toxicity
 
