@@ -321,9 +321,10 @@ def ngram_jaccard(
     rooted = whole.unionByName(across).join(classes, "cls")
     named_root = rooted.groupBy("root").agg(F.min("rep").alias("least"))
     answer = rooted.join(named_root, "root").select("cls", "least")
-    per_class = classes.join(links, "cls", "left").join(answer, "cls", "left").select(
+    # saved, so the join below gets its rows by an exchange of its own, whose large partitions can be split
+    per_class = saved(classes.join(links, "cls", "left").join(answer, "cls", "left").select(
         "cls", F.coalesce(F.least("least", "rep"), "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
+    ))
     return own.withColumn("__cls", F.when(F.col("doc_id").isNotNull(), F.col("cls"))).join(per_class.withColumnRenamed("cls", "__cls"), "__cls", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )

@@ -22,6 +22,36 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.lm_scoring import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.mixing import mix
+
+    drawn = mix(table(spark, sf_dir, "documents"), max_repeats=2.0)
+    return drawn.select("doc_id", "source", "mix_epoch", "mix_block", "mix_key", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"))
+
+
+#: Without an entropy target and a budget the bisected exponent has a closed form.
+MIXING_SQL = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n FROM documents),
+t AS (SELECT source, sum(n)::DOUBLE AS n FROM d GROUP BY source),
+a AS (SELECT CASE WHEN max(n) <= 2 * min(n) THEN 0.0 ELSE 1 - ln(2.0) / ln(max(n) / min(n)) END AS a FROM t WHERE n > 0),
+w AS (SELECT source, n, pow(n, a) / sum(pow(n, a)) OVER () AS w FROM t, a WHERE n > 0),
+q AS (SELECT source, n::BIGINT AS n, w, floor(w * max(n / w) OVER () + 1e-6)::BIGINT AS quota FROM w),
+e AS (
+  SELECT d.doc_id, d.source, d.n, q.w, q.quota, q.n AS whole, CAST(unnest(range(0, q.quota // q.n + 1)) AS INTEGER) AS epoch
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT *, md5('17:' || epoch || ':' || doc_id) AS mix_key FROM e),
+s AS (SELECT *, sum(n) OVER (PARTITION BY source, epoch ORDER BY mix_key) AS upto FROM k)
+SELECT doc_id, source, epoch AS mix_epoch, mix_key[1:2] AS mix_block, mix_key, n AS mix_tokens, round(w, 6) AS mix_weight
+FROM s WHERE epoch < quota // whole OR upto <= quota - (quota // whole) * whole
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": MIXING_SQL}
