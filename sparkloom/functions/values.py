@@ -153,11 +153,11 @@ def py_str(v: Value) -> Column:
     return F.coalesce(text, F.lit("None"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _py_float(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else repr(float(v)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _py_nested(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else _repr(json.loads(v).get("v")))
