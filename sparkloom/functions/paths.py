@@ -521,12 +521,15 @@ def _merge(*vs: Value) -> Value:
         return V.struct({n: v.field(n) for v in vs for n in v.type.names})
     out = _need(vs[0], T.MapType)
     for v in vs[1:]:
-        own = _need(v, T.MapType).col
-        old = F.map_filter(out.col, lambda k, _, own=own: ~F.map_contains_key(own, k))
-        out = Value(F.map_concat(old, own), out.type)
+        out = _map_merge(out, _need(v, T.MapType))
     return out
 
 
+def _map_merge(a: Value, b: Value) -> Value:
+    """Entries of both maps, b's where both have one; joining maps that share a key is an error in Spark."""
+    return Value(F.map_concat(F.map_filter(a.col, lambda k, _: ~F.map_contains_key(b.col, k)), b.col), a.type)
+
+
 def _not_null(*vs: Value) -> Value:
     kind: T.DataType = T.NullType()
     for v in vs:

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,14 +174,19 @@ class LLMProcessor:
         prompted = df.withColumn("__prompt", templates.render(var.prompt, variables(df)).col)
         out = T.StructType([*df.schema.fields, T.StructField("__text", T.StringType())])
         made = prompted.mapInPandas(_stage(self.config.backend, self.config.options(), params, self.batch_size, out), out)
-        text = F.coalesce(F.col("__text"), F.lit("{}" if var.is_json else ""))
-        if not var.is_json:
-            return with_variable(made, var.name, Value(text, kind)).drop("__text")
-        parsed = F.from_json(text, kind, {"mode": "FAILFAST"})
-        # FAILFAST lets missing keys pass; an empty object is the one answer that may lack them
-        absent = F.exists(F.array(*map(F.lit, var.output_schema)), lambda k: ~F.array_contains(F.json_object_keys(text), k))
-        checked = F.when((F.json_object_keys(text) != F.array().cast("array<string>")) & absent, F.raise_error(F.concat(F.lit(f"variable {var.name}: keys are missing in "), text)).cast(kind)).otherwise(parsed)
-        return with_variable(made, var.name, Value(checked, kind)).drop("__text")
+        value = parsed(F.col("__text"), var) if var.is_json else Value(F.coalesce("__text", F.lit("")), kind)
+        return with_variable(made, var.name, value).drop("__text")
+
+
+def parsed(text: Column, var: LLMVar) -> Value:
+    """A backend's JSON as a struct. Malformed text and missing keys are errors; no text is an empty object."""
+    kind = var.struct_type()
+    text = F.coalesce(F.when(text != "", text), F.lit("{}"))
+    keys = F.json_object_keys(text)
+    # FAILFAST lets missing keys pass; an empty object is the one answer that may lack them
+    absent = F.exists(F.array(*map(F.lit, var.output_schema)), lambda k: ~F.array_contains(keys, k))
+    error = F.raise_error(F.concat(F.lit(f"variable {var.name}: keys are missing in "), text)).cast(kind)
+    return Value(F.when((F.size(keys) > 0) & absent, error).otherwise(F.from_json(text, kind, {"mode": "FAILFAST"})), kind)
 
 
 def _stage(backend: str, options: dict, params: dict, batch_size: int, schema: T.StructType):

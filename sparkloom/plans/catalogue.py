@@ -1,19 +1,239 @@
-"""Every registered query and the SQL that checks it."""
+"""Every registered query of the engine's own operators, and the SQL that checks it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.paths import compile_path
+from sparkloom.functions.values import Value
+from sparkloom.operators import shards
+from sparkloom.plans.config import from_dict
+from sparkloom.plans.rewrite import project, rewrite
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: DuckDB's side of :func:`conversations`.
+_CONVERSATIONS = "(SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS c FROM conversations GROUP BY conv_id)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested rows to try paths on: each conversation with its turns in order."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("c"))
+    return turns
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _root(df: DataFrame) -> Value:
+    return Value(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema)
+
+
+def _path(name: str, path: str, sql: str) -> None:
+    """A query that evaluates one path over all conversations; ``sql`` is the same over ``c``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = conversations(spark, sf_dir)
+        v = compile_path(path, _root(df))
+        return df.select("conv_id", v.col.alias("v"))
+
+    query(name, f"SELECT conv_id, {sql} AS v FROM {_CONVERSATIONS}")(run)
+
+
+def _glued(xs: str, glue: str = "chr(10)") -> str:
+    return f"coalesce(array_to_string({xs}, {glue}), '')"
+
+
+_TEXTS = "list_filter(list_transform(c, lambda x: x.text), lambda t: t IS NOT NULL)"
+_path("path_index", "c[0].text", "c[1].text")
+_path("path_negative_index", "c[-1].role", "c[-1].role")
+_path("path_out_of_range", "c[3].text", "c[4].text")
+_path("path_projection_join", "join('\n', c[*].text)", _glued(_TEXTS))
+_path("path_filter_length", "length(c[?role == 'user'])", "len(list_filter(c, lambda x: x.role = 'user'))::BIGINT")
+_path("path_filter_and", "length(c[?role == 'user' && turn > `0`])", "len(list_filter(c, lambda x: x.role = 'user' AND x.turn > 0))::BIGINT")
+_path("path_filter_or_not", "length(c[?role == 'system' || !(role == 'user')])", "len(list_filter(c, lambda x: x.role = 'system' OR x.role <> 'user'))::BIGINT")
+_path("path_slice", "join(',', c[1:3].role)", _glued("list_transform(c[2:3], lambda x: x.role)", "','"))
+_path("path_slice_reversed", "join(',', c[::-1].role)", _glued("list_reverse(list_transform(c, lambda x: x.role))", "','"))
+_path("path_max_by", "max_by(c, &turn).text", "list_reverse(c)[1].text")
+_path("path_min_by", "min_by(c, &turn).text", "c[1].text")
+_path("path_sort_by", "join(',', sort_by(c, &role)[*].role)", _glued("list_sort(list_transform(c, lambda x: x.role))", "','"))
+_path("path_max_min", "max(c[*].turn)", "list_max(list_transform(c, lambda x: x.turn))")
+_path("path_sum", "sum(c[*].turn)", "list_sum(list_transform(c, lambda x: x.turn))::BIGINT")
+_path("path_avg", "avg(c[*].turn)", "list_sum(list_transform(c, lambda x: x.turn))::DOUBLE / len(c)")
+_path("path_contains", "contains(c[0].text, 'the')", "contains(c[1].text, 'the')")
+_path("path_starts_with", "starts_with(c[0].role, 'us')", "starts_with(c[1].role, 'us')")
+_path("path_or", "c[5].role || c[0].role", "coalesce(nullif(c[6].role, ''), c[1].role)")
+_path("path_not_null", "not_null(c[7].role, c[1].role)", "coalesce(c[8].role, c[2].role)")
+_path("path_pipe_flatten", "c[*].[role, text][] | [1]", "list_filter(flatten(list_transform(c, lambda x: [x.role, x.text])), lambda t: t IS NOT NULL)[2]")
+_path("path_multiselect_hash", "{a: c[0].role, b: c[-1].role}.b", "c[-1].role")
+_path("path_map_length", "length(map(&role, c))", "len(c)::BIGINT")
+_path("path_reverse_text", "reverse(c[0].role)", "reverse(c[1].role)")
+_path("path_type", "type(c)", "'array'")
+_path("path_to_number", "to_number('7.5')", "7.5::DOUBLE")
+_path("path_compare", "length(c[0].text) >= length(c[1].text)", "length(c[1].text) >= length(c[2].text)")
+
+
+def rewritten(source: str, outputs: dict[str, Any], inputs: dict[str, str], derive: list[dict] = (), processors: list[dict] = (), remove: bool = True) -> Query:
+    """A query that runs the whole rewriting plan over one table (or the nested conversations)."""
+    raw = {
+        "processors": list(processors),
+        "processing_params": {"inputs": [{"name": n, "key": k} for n, k in inputs.items()], "outputs": list(derive), "output_schema": outputs, "remove_columns": remove},
+    }
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = conversations(spark, sf_dir) if source == "nested" else table(spark, sf_dir, source)
+        return rewrite(df, from_dict(raw))
+
+    return run
+
+
+_DOC = {"doc_id": "doc_id", "text": "text", "lang": "lang", "source": "source", "n": "n_chars"}
+query("template_text", "SELECT doc_id, 'Rewrite (' || lang || '): ' || text AS prompt FROM documents")(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "prompt": "Rewrite ({{ lang }}): {{ text }}"}, _DOC)
+)
+query("template_if", "SELECT doc_id, CASE WHEN n_chars > 2000 THEN 'long' WHEN n_chars > 500 THEN 'middle ' || lang ELSE 'short' END AS size FROM documents")(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "size": "{% if n > 2000 %}long{% elif n > 500 %}middle {{ lang }}{% else %}short{% endif %}"}, _DOC)
+)
+query(
+    "template_for",
+    f"SELECT conv_id, array_to_string(list_transform(c, lambda x, i: i::VARCHAR || '. ' || upper(x.role) || CASE WHEN i = len(c) THEN '' ELSE '; ' END), '') AS turns FROM {_CONVERSATIONS}",
+)(rewritten("nested", {"conv_id": "{{ conv_id }}", "turns": "{% for m in c %}{{ loop.index }}. {{ m.role | upper }}{% if not loop.last %}; {% endif %}{% endfor %}"}, {"conv_id": "conv_id", "c": "c"}))
+query("template_bool", "SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 'True' ELSE 'False' END || ' ' || CASE WHEN lang = 'en' THEN 'True' ELSE 'False' END AS flags FROM documents")(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "flags": "{{ n is even }} {{ lang == 'en' }}"}, _DOC)
+)
+query(
+    "template_filters",
+    "SELECT doc_id, upper(lang) || '/' || replace(source, 'src', 'S') || '/' || length(text)::VARCHAR || '/' || reverse(lang) || '/' || (CASE WHEN contains(text, 'the') THEN 'yes' ELSE 'no' END) AS v FROM documents",
+)(rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{{ lang|upper }}/{{ source|replace('src', 'S') }}/{{ text|length }}/{{ lang|reverse }}/{{ 'yes' if 'the' in text else 'no' }}"}, _DOC))
+query("template_arithmetic", "SELECT doc_id, (n_chars // 7)::VARCHAR || ' ' || (n_chars % 7)::VARCHAR || ' ' || (n_chars * 2 + 1)::VARCHAR AS v FROM documents")(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{{ n // 7 }} {{ n % 7 }} {{ n * 2 + 1 }}"}, _DOC)
+)
+query(
+    "template_list_filters",
+    f"SELECT conv_id, array_to_string(list_sort(list_transform(c, lambda x: x.role)), ',') || '|' || len(list_filter(c, lambda x: x.role = 'user'))::VARCHAR || '|' || c[1].role || '|' || c[-1].role AS v FROM {_CONVERSATIONS}",
+)(
+    rewritten(
+        "nested",
+        {"conv_id": "{{ conv_id }}", "v": "{{ c|map(attribute='role')|sort|join(',') }}|{{ c|selectattr('role', 'eq', 'user')|list|length }}|{{ (c|first).role }}|{{ (c|last).role }}"},
+        {"conv_id": "conv_id", "c": "c"},
+    )
+)
+query("template_set_with", "SELECT doc_id, lang || '-' || source || '!' || lang AS v FROM documents")(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{% set k = lang ~ '-' ~ source %}{{ k }}{% with z = lang %}!{{ z }}{% endwith %}{# no output #}"}, _DOC)
+)
+
+
+@query("output_struct_json", "SELECT doc_id, to_json([{'role': 'user', 'content': lang}, {'role': 'assistant', 'content': source}])::VARCHAR AS conversations FROM documents")
+def output_struct_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents")
+    names = {n: _root(df).field(n) for n in df.columns}
+    made = project([{"role": "user", "content": "{{ lang }}"}, {"role": "assistant", "content": "{{ source }}"}], names)
+    return df.select("doc_id", F.to_json(made.col).alias("conversations"))
+
+
+query("keep_and_override", "SELECT doc_id, lang, source, n_chars, 'T: ' || text AS text, 'x' AS extra FROM documents")(
+    rewritten("documents", {"text": "T: {{ text }}", "extra": "x"}, {"text": "text"}, remove=False)
+)
+query("drop_columns", "SELECT text AS body FROM documents")(rewritten("documents", {"body": "{{ text }}"}, {"text": "text"}))
+query("literal_leaf", "SELECT doc_id, 5::BIGINT AS five, true AS yes, 2.5::DOUBLE AS half, NULL::VARCHAR AS nothing FROM documents")(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "five": 5, "yes": True, "half": 2.5, "nothing": None}, _DOC)
+)
+query("undefined_renders_empty", "SELECT doc_id, '[' || ']' || lang AS v FROM documents")(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "[{{ no_such_name }}]{{ lang }}"}, _DOC)
+)
+
+
+@query("json_struct_parse", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
+def json_struct_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events")
+    return df.select("event_id", F.from_json("props", "k long", {"mode": "FAILFAST"}).getField("k").alias("k"))
+
+
+@query("json_variant_parse", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
+def json_variant_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events")
+    return df.select("event_id", F.variant_get(F.parse_json("props"), "$.k", "long").alias("k"))
+
+
+_STUB = [{"type": "llm", "backend": "stub"}]
+query("generate_plain_stub", "SELECT doc_id, md5('Say: ' || text) AS answer FROM documents")(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "answer": "{{ a }}"}, _DOC, [{"name": "a", "type": "llm", "prompt": "Say: {{ text }}"}], _STUB)
+)
+query(
+    "generate_json_stub",
+    "SELECT doc_id, 'question:' || md5('Ask: ' || text) AS question, 'A: answer:' || md5('Ask: ' || text) AS answer FROM documents",
+)(
+    rewritten(
+        "documents", {"doc_id": "{{ doc_id }}", "question": "{{ a.question }}", "answer": "A: {{ a.answer }}"}, _DOC,
+        [{"name": "a", "type": "llm", "output_type": "JSON", "output_schema": ["question", "answer"], "prompt": "Ask: {{ text }}"}], _STUB,
+    )
+)
+query("chained_outputs", "SELECT doc_id, md5(md5(text)) AS v FROM documents")(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{{ b }}"}, _DOC, [{"name": "a", "type": "llm", "prompt": "{{ text }}"}, {"name": "b", "type": "llm", "prompt": "{{ a }}"}], _STUB)
+)
+query("expression_outputs", "SELECT doc_id, upper(lang) || ':' || source AS v FROM documents")(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{{ b }}"}, _DOC, [{"name": "a", "type": "expr", "template": "{{ lang|upper }}"}, {"name": "b", "type": "expr", "template": "{{ a }}:{{ source }}"}])
+)
+
+
+@query("shard_contiguous", "SELECT doc_id, (ntile(7) OVER (ORDER BY doc_id) - 1)::INTEGER AS shard FROM documents")
+def shard_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.with_shard(table(spark, sf_dir, "documents").select("doc_id"), 7, order="doc_id").select("doc_id", F.col(shards.SHARD).alias("shard"))
+
+
+@query("shard_strided", "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 7)::INTEGER AS shard FROM documents")
+def shard_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.with_shard(table(spark, sf_dir, "documents").select("doc_id"), 7, "strided", "doc_id").select("doc_id", F.col(shards.SHARD).alias("shard"))
+
+
+@query("merge_by_name", "SELECT doc_id, lang, NULL::VARCHAR AS source FROM documents UNION ALL BY NAME SELECT source, doc_id, NULL::VARCHAR AS lang FROM documents")
+def merge_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents")
+    return shards.concat([df.select("doc_id", "lang"), df.select("source", "doc_id")])
+
+
+@query("shard_merge_identity", "SELECT * FROM documents")
+def shard_merge_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents")
+    return shards.concat([shards.shard(df, 3, i) for i in range(3)])
+
+
+@query("split_counts", "SELECT lang AS split, count(*) AS n FROM documents GROUP BY lang")
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("split")).agg(F.count(F.lit(1)).alias("n"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.concat(F.lit("Rewrite: "), "text").alias("prompt"))
+    """Documents as two-message conversations, with one generated variable."""
+    return rewritten(
+        "documents",
+        {"doc_id": "{{ doc_id }}", "user": "{{ qa.question }}", "assistant": "{{ qa.answer }}", "prompt": "Rewrite ({{ lang }}): {{ text }}"},
+        _DOC,
+        [{"name": "qa", "type": "llm", "output_type": "JSON", "output_schema": ["question", "answer"], "prompt": "One question on:\n{{ text }}"}],
+        _STUB,
+    )(spark, sf_dir)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
