@@ -260,7 +260,10 @@ def _verify(words: int, percent: int):
             part = table.slice(int(a), int(b - a))
             sets = Sets(part["text"], words)
             cls, own, copies = part["cls"].to_numpy(), part["own"].to_numpy(), part["copies"].to_numpy()
-            right_text = sets.key == cls  # one id may have several texts
+            # one id may have several rows: of those with the class's own set, one stands for it
+            right_text = np.zeros(len(cls), bool)
+            same = np.flatnonzero(sets.key == cls)
+            right_text[same[np.unique(cls[same], return_index=True)[1]]] = True
             one = i[a] == j[a]
             left = np.flatnonzero(right_text & ((own == i[a]) | one))
             right = left if one else np.flatnonzero(right_text & (own == j[a]))
