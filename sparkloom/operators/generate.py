@@ -1,10 +1,10 @@
 """Derived variables: processors by type name, and text generation behind pluggable backends.
 
-A generator stage is one ``mapInPandas`` over the prompts: batches of
-``batch_size`` prompts go to the backend, and it must give one text for each. Only
-the columns a later stage needs reach it. What it made should be written once
-(a sink or a checkpoint) before it is used more than once, for a second action
-would generate again.
+A generator stage is one Arrow-batched function over the prompts, and only they
+travel to Python: batches of ``batch_size`` prompts go to the backend, and it must
+give one text for each. What it made should be written once (a sink or a
+checkpoint) before it is used more than once, for a second action would generate
+again.
 """
 
 from __future__ import annotations
@@ -171,9 +171,9 @@ class LLMProcessor:
         kind: T.DataType = T.StringType()
         if var.is_json:
             kind, params["json_schema"] = var.struct_type(), var.json_schema()
-        prompted = df.withColumn("__prompt", templates.render(var.prompt, variables(df)).col)
-        out = T.StructType([*df.schema.fields, T.StructField("__text", T.StringType())])
-        made = prompted.mapInPandas(_stage(self.config.backend, self.config.options(), params, self.batch_size, out), out)
+        # not deterministic, so no later projection may evaluate it twice
+        ask = F.pandas_udf(stage(self.config.backend, self.config.options(), params, self.batch_size), T.StringType()).asNondeterministic()
+        made = df.withColumn("__text", ask(templates.render(var.prompt, variables(df)).col))
         value = parsed(F.col("__text"), var) if var.is_json else Value(F.coalesce("__text", F.lit("")), kind)
         return with_variable(made, var.name, value).drop("__text")
 
@@ -189,19 +189,21 @@ def parsed(text: Column, var: LLMVar) -> Value:
     return Value(F.when((F.size(keys) > 0) & absent, error).otherwise(F.from_json(text, kind, {"mode": "FAILFAST"})), kind)
 
 
-def _stage(backend: str, options: dict, params: dict, batch_size: int, schema: T.StructType):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine = None  # started by the first batch of a worker's task
-        for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size].copy()
+def stage(backend: str, options: dict, params: dict, batch_size: int) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        engine = None  # started by the first batch of a task
+        for batch in prompts:
+            texts: list[str | None] = []
+            for at in range(0, len(batch), batch_size):
+                part = batch.iloc[at : at + batch_size].tolist()
                 engine = engine or BACKENDS[backend](**options)
-                texts = engine.generate(part.pop("__prompt").tolist(), dict(params))
-                if len(texts) != len(part):
-                    raise RuntimeError(f"{len(texts)} texts for {len(part)} prompts")
-                part["__text"] = texts
-                yield part[schema.names]
+                got = engine.generate(part, dict(params))
+                if len(got) != len(part):
+                    raise RuntimeError(f"{len(got)} texts for {len(part)} prompts")
+                texts += got
+            yield pd.Series(texts, dtype=object)
 
+    run.__annotations__ = {"prompts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return run
 
 

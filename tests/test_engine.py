@@ -210,9 +210,16 @@ def test_json_is_checked(spark, text, ok):
             got.collect()
 
 
+def test_each_row_is_generated_once(spark, tmp_path):
+    """Both fields are read, and the second variable reads the first, yet each prompt is asked for once."""
+    one = {"name": "a", "type": "llm", "prompt": "{{ text }}", "output_type": "JSON", "output_schema": ["q", "r"]}
+    two = {"name": "b", "type": "llm", "prompt": "{{ a.q }}{{ a.r }}"}
+    plan = rewrite(spark.createDataFrame([("x",)], "text string"), config([one, two], {"q": "{{ a.q }}", "r": "{{ a.r }}{{ a.q }}", "b": "{{ b }}{{ b }}"}))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+
+
 def test_count_mismatch_is_an_error():
     import pandas as pd
-    from pyspark.sql import types as T
 
     class Short:
         def generate(self, prompts, params):
@@ -220,9 +227,8 @@ def test_count_mismatch_is_an_error():
 
     generate.BACKENDS["short"] = Short
     try:
-        stage = generate._stage("short", {}, {}, 2, T.StructType([T.StructField("__text", T.StringType())]))
         with pytest.raises(RuntimeError, match="0 texts for 2"):
-            list(stage(iter([pd.DataFrame({"__prompt": ["a", "b", "c"]})])))
+            list(generate.stage("short", {}, {}, 2)(iter([pd.Series(["a", "b", "c"])])))
     finally:
         generate.BACKENDS.pop("short")
 
