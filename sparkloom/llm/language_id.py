@@ -17,6 +17,7 @@ input are ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 _BITS = np.int64(21)
+_PIECE = 1 << 20
+_NO_LETTER = re.compile(r"[\W\d_]")
 
 
 @functools.cache
@@ -39,8 +42,30 @@ def _letters() -> np.ndarray:
     return out
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in pieces of bounded size, cut beside a character that is no letter.
+
+    No n-gram has letters of both sides of such a cut, so the pieces' counts add up to the text's.
+    """
+    at = 0
+    while len(text) - at > _PIECE:
+        cut = _NO_LETTER.search(text, at + _PIECE, at + 2 * _PIECE)
+        end = cut.start() if cut else min(at + 2 * _PIECE, len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a text as sorted 63-bit codes, and their counts."""
+    if len(text) <= _PIECE:
+        return _grams(text)
+    parts = [_grams(p) for p in _pieces(text)]
+    codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return codes, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(codes)).astype(np.int64)
+
+
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     points = np.concatenate([[0], np.where(_letters()[points], points, 0), [0]])
     points = points[~((points == 0) & np.concatenate([[False], points[:-1] == 0]))]  # one mark between words

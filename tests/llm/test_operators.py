@@ -41,6 +41,15 @@ def test_language_id(spark):
     assert all(0 <= x["score"] <= 1 for x in got.values())
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = "The öld  man's 12 dogs_and cats, Ünd so weiter! " * 40 + "x" * 300 + " end²of it"
+    whole = language_id.grams(text)
+    monkeypatch.setattr(language_id, "_PIECE", 170)
+    pieces = language_id.grams(text)
+    assert len(list(language_id._pieces(text))) > 8 and "".join(language_id._pieces(text)) == text
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+
+
 def test_language_id_without_anything_to_learn(docs, none):
     assert {x["lang_pred"] for x in language_id.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language_id.language_id(none).count() == 0
