@@ -121,7 +121,16 @@ def frequent(docs: DataFrame, text_col: str, words: int, blocks: int, sample: in
 
     source = docs.select(F.col(text_col).alias("text"))
     counted = source.mapInArrow(send, "block int, hashes binary, n binary").groupBy("block").applyInArrow(count, "hash long, n long")
-    top = counted.orderBy(F.desc("n"), "hash").limit(most).select("hash").toArrow()
+    counted = saved(counted)
+    # from the highest counts down, as many whole counts as fit; the driver gets a histogram, then ``most`` at most
+    cut, room = None, most
+    for r in sorted(counted.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r["n"]):
+        if r["rows"] > room:
+            break
+        cut, room = r["n"], room - r["rows"]
+    if cut is None:
+        return np.empty(0, np.uint64)
+    top = counted.filter(F.col("n") >= cut).select("hash").toArrow()
     return np.sort(top["hash"].to_numpy().view(np.uint64))
 
 
@@ -159,7 +168,7 @@ def prefixes(docs: DataFrame, text_col: str, words: int, percent: int, blocks: i
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "block int, hashes binary, owners binary, classes binary, n binary")
 
 
-def _product(percent: int, dense: int, room: int = 2_000_000):
+def _product(percent: int, dense: int, room: int = 500_000):
     """One block of columns: partial overlaps of pairs of classes, and stars (``shared`` 0) of dense columns."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -286,7 +295,7 @@ def _verify(words: int, percent: int):
 
 def ngram_jaccard(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
-    sample: int = 8, least: int = 3, most: int = 500_000, dense: int = 64, rows: int = 512, slice_bytes: int = 6 << 20,
+    sample: int = 8, least: int = 3, most: int = 500_000, dense: int = 64, rows: int = 512, slice_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, n_links``.
 
@@ -294,7 +303,7 @@ def ngram_jaccard(
     change the cost only; ``rows`` is the size of a row block in the exact product.
     """
     total = X.text_bytes(docs, text_col)
-    blocks = X.sized(docs, total, 5 * slice_bytes)
+    blocks = X.sized(docs, total, 3 * slice_bytes)
     own = saved(members(docs, id_col, text_col, words))
     classes = own.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     last = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, words, blocks, sample, least, most))  # 8 bytes each, ``most`` at most
