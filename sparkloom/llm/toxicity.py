@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _text
+from sparkloom.llm._graph import saved
 from sparkloom.llm.language_id import held_out
 
 TELLING = (1, 3, 8)
@@ -102,35 +103,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _estimate(pairs: pd.DataFrame, discount: float, least: int, least_pair: int) -> Model:
-    """pairs: ``toxic, before, word, n``: after how many different words a bigram stood, by class."""
+def _cut(n: np.ndarray, discount: float, least: int) -> np.ndarray:
+    return np.where(n < least, 0, np.maximum(n - discount, 0))
+
+
+def _estimate(words: pd.DataFrame, pairs: pd.DataFrame, sums: dict[int, int], vocabulary: int, discount: float, least: int) -> Model:
+    """words: ``word, n0, n1``: after how many different words each stood, by class; frequent ones only.
+    pairs: ``toxic, before, word, n, whole``: the same for bigrams, and for all bigrams of the word before.
+
+    A word that is rare in both classes has the same odds as one never seen, so it needs no entry.
+    """
     model = Model()
-    before, word = pairs["before"].to_numpy().view(np.uint64), pairs["word"].to_numpy().view(np.uint64)
-    toxic, n = pairs["toxic"].to_numpy(), pairs["n"].to_numpy().astype(float)
-    model.words, at = np.unique(np.concatenate([word, before]), return_inverse=True)
-    w, b = at[: len(word)], at[len(word) :]
-    size = len(model.words)
-    cut = lambda x: np.where(x < least, 0, np.maximum(x - discount, 0))
-    after = [np.bincount(w[toxic == c], minlength=size).astype(float) for c in (0, 1)]  # continuation counts
-    both = after[0] + after[1]
-    total = both.sum() + 0.5 * (size + 1)
-    model.lower, model.left, unseen = np.empty((size, 2)), np.ones((size, 2)), np.empty(2)
-    keys, first, where = np.unique(_pair(before, word), return_index=True, return_inverse=True)
-    upper = np.zeros((len(keys), 2))
+    names = words["word"].to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    n = words[["n0", "n1"]].to_numpy().astype(float)[order]
+    before = np.unique(pairs["before"].to_numpy().view(np.uint64))
+    model.words = np.union1d(names, before)
+    total = sum(sums.values()) + 0.5 * (vocabulary + 1)
+    counts = np.zeros((len(model.words), 2))
+    counts[np.searchsorted(model.words, names[order])] = n
+    shared = (counts.sum(axis=1) + 0.5) / total
+    model.lower, unseen = np.empty((len(model.words), 2)), np.empty(2)
     for c in (0, 1):
-        kept = cut(after[c]) / max(after[c].sum(), 1)
+        kept = _cut(counts[:, c], discount, least) / max(sums.get(c, 0), 1)
         rest = 1 - kept.sum()
-        model.lower[:, c] = kept + rest * (both + 0.5) / total
-        unseen[c] = rest * 0.5 / total
-        own = toxic == c
-        whole = np.bincount(b[own], weights=n[own], minlength=size)
-        upper[where[own], c] = np.where(n[own] < least_pair, 0, cut(n[own])) / np.maximum(whole[b[own]], 1)
-    # one backoff weight a word for both classes: what is left of the larger share
-    spent = [np.bincount(b[first], weights=upper[:, c], minlength=size) for c in (0, 1)]
-    model.left[:] = np.clip(1 - np.maximum(*spent), 1e-3, 1)[:, None]
+        model.lower[:, c], unseen[c] = kept + rest * shared, rest * 0.5 / total
     model.unseen = unseen
-    kept = upper.any(axis=1)
-    model.pairs, model.upper = keys[kept], upper[kept]
+    b, w = pairs["before"].to_numpy().view(np.uint64), pairs["word"].to_numpy().view(np.uint64)
+    model.pairs, where = np.unique(_pair(b, w), return_inverse=True)
+    model.upper = np.zeros((len(model.pairs), 2))
+    share = _cut(pairs["n"].to_numpy().astype(float), discount, least) / np.maximum(pairs["whole"].to_numpy(), 1)
+    model.upper[where, pairs["toxic"].to_numpy()] = share
+    # one backoff weight a word for both classes: what is left of the larger share
+    at = np.searchsorted(model.words, b)
+    spent = [np.bincount(at[own], weights=share[own], minlength=len(model.words)) for own in (pairs["toxic"].to_numpy() == 0, pairs["toxic"].to_numpy() == 1)]
+    model.left = np.repeat(np.clip(1 - np.maximum(*spent), 1e-3, 1)[:, None], 2, axis=1)
     return model
 
 
@@ -180,13 +187,18 @@ def train(
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["toxic", "third", "before", "word"])
 
     # a bigram counts once for every word it follows, so copies of one text count once
-    pairs = (
+    pairs = saved(
         sample.filter(~F.col("curve")).select("toxic", "text").mapInArrow(count, "toxic int, third long, before long, word long")
         .distinct().groupBy("toxic", "before", "word").agg(F.count(F.lit(1)).alias("n"))
     )
-    # words met often enough after different words, or bigrams met often enough, are all that can leave the shared counts
-    table = pairs.toArrow().to_pandas()
-    model = _estimate(table, discount, least, least_pair)
+    of = lambda c: F.count(F.when(F.col("toxic") == c, 1))
+    words = pairs.groupBy("word").agg(of(0).alias("n0"), of(1).alias("n1"))
+    size = words.agg(F.count(F.lit(1)), F.sum("n0"), F.sum("n1")).first()
+    # only what can leave the shared counts reaches the driver
+    often = words.filter((F.col("n0") >= least) | (F.col("n1") >= least)).toArrow().to_pandas()
+    whole = pairs.groupBy("toxic", "before").agg(F.sum("n").alias("whole"))
+    bigrams = pairs.filter(F.col("n") >= max(least, least_pair)).join(whole, ["toxic", "before"]).toArrow().to_pandas()
+    model = _estimate(often, bigrams, {0: size[1] or 0, 1: size[2] or 0}, size[0], discount, least)
     model.base = base
     rows = sample.filter("curve").select("toxic", "text").toArrow()
     y = rows["toxic"].to_numpy()
