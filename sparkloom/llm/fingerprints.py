@@ -9,7 +9,8 @@ text only large ones hold a term at all. The likeness of two fingerprints is
 the share of equal hashes among the subsets of one size that hold a term of
 either text.
 
-Subsets only hold one in ``SHARE`` terms, so all others are left out from the start.
+The subsets of the densest level cut the whole lexicon into parts, so a text with any
+term of the lexicon has a hash that isn't empty.
 The lexicon's size has a proven bound: each of its terms is in at least
 ``low`` of all documents, so there are at most (distinct terms of a mean
 document) / ``low`` terms, whatever the number of documents. It is broadcast
@@ -22,8 +23,8 @@ is handed a copy of the first document of the range after it, so no global sort
 or single task is needed. The texts are shuffled once.
 
 Defined cases: a null text is empty; a text without terms of the lexicon has
-only empty hashes, and two such fingerprints are alike to 1 if they are
-equal; rows with equal ids follow each other; a null id comes last; a table of
+only empty hashes, and two such texts are alike to 1 if they have the same
+distinct words, and else to 0; rows with equal ids follow each other; a null id comes last; a table of
 one row is its own next document; an empty table gives an empty result.
 Other columns are ignored, whatever their names.
 """
@@ -33,11 +34,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Of the lexicon, one term in so many is in any subset at all; which ones is told by the low bits of the hash.
-SHARE = 4
-#: Levels of subsets: how many, and into how many random parts that share is cut for them (powers of two).
+#: Levels of subsets: how many, and into how many random parts the lexicon is cut for them (powers of two).
 #: A subset is one of the first parts; which part a term is in depends on bits of its hash, others on each level.
-LEVELS = ((4, 4), (12, 16), (14, 64), (14, 256))
+#: The first level has all its parts, so every term is in a subset.
+LEVELS = ((16, 16), (12, 64), (14, 256), (14, 1024))
 #: A level tells two texts apart if so many of its subsets hold a term of either.
 TELLING = 4
 #: The hash of an array without elements (its seed).
@@ -45,13 +45,13 @@ _EMPTY = 42
 
 
 def terms(text: Column) -> Column:
-    """64-bit hashes of the distinct words of a text that any subset can hold."""
+    """64-bit hashes of the distinct words of a text, sorted."""
     words = F.array_remove(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
-    return F.array_distinct(F.filter(F.transform(words, lambda w: F.xxhash64(w)), lambda t: t.bitwiseAND(F.lit(SHARE - 1)) == 0))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def lexicon(docs: DataFrame, low: float, high: float, text_col: str = "text") -> DataFrame:
-    """``term``: the hash of each term of a subset that is in at least ``low`` and at most ``high`` of all texts, and in two or more."""
+    """``term``: the hash of each term that is in at least ``low`` and at most ``high`` of all texts, and in two or more."""
     n = docs.count()
     least, most = max(2, low * n), max(2, high * n)
     words = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
@@ -107,13 +107,14 @@ def _hashed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 
     Each level's terms are a column of their own, so they are picked once and not once a subset.
     """
-    shift, picked, cells = SHARE.bit_length() - 1, {}, {c: [] for c in columns}
+    shift, picked, cells = 0, {}, {c: [] for c in columns}
     for i, (many, parts) in enumerate(LEVELS):
         part = _part_of(shift, parts)
         shift += parts.bit_length() - 1
         for c in columns:
-            name = f"__{c}{i}"
-            picked[name] = _filtered(c, part, many)
+            name = f"__{c}{i}" if many < parts else c
+            if many < parts:
+                picked[name] = _filtered(c, part, many)
             cells[c].append(_each(name, part, many))
     return rows.withColumns(picked).withColumns({new: F.concat(*cells[c]) for c, new in columns.items()})
 
@@ -131,9 +132,11 @@ def _digits(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.when(h == _EMPTY, "-").otherwise(F.lpad(F.hex(h.bitwiseAND(0xFFFFFFFF)), 8, "0"))), ".")
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, same_words: Column) -> Column:
     """The share of equal hashes among the subsets of which either text has a term, on one level.
 
+    Without any such subset it is told by ``same_words``: whether both texts have the same distinct words.
+
     That is the sparsest level with ``TELLING`` such subsets, or else the densest: where a subset
     holds many terms of a text, any edit changes its hash.
     """
@@ -145,14 +148,14 @@ def likeness(a: Column, b: Column) -> Column:
         levels.append((told, same))
         at += many
     told, same = levels[0]
-    out = F.when(a == b, 1.0).when(told == 0, 0.0).otherwise(same / told)
+    out = F.when(told == 0, same_words.cast("double")).when(a == b, 1.0).otherwise(same / told)
     for told, same in levels[1:]:
         out = F.when((told >= TELLING) & (a != b), same / told).otherwise(out)
     return out.cast("double")
 
 
 def _by_table(rows: DataFrame, words: DataFrame, size: int, columns: list[str]) -> DataFrame:
-    """Keep the lexicon's terms of array columns, sorted: each term is looked up in its bin of one table.
+    """Keep the lexicon's terms of array columns of sorted terms: each term is looked up in its bin of one table.
 
     The table is two constant arrays, the terms by bin and where each bin starts, so no row is exploded.
     """
@@ -174,7 +177,7 @@ def _by_table(rows: DataFrame, words: DataFrame, size: int, columns: list[str])
         one = F.get(every, first) == t
         return F.when(end == first, False).when(one, True).when(end == first + 1, False).otherwise(F.array_contains(F.slice(every, first + 1, end - first), t))
 
-    return rows.withColumns({c: F.array_sort(F.filter(c, known)) for c in columns})
+    return rows.withColumns({c: F.filter(c, known) for c in columns})
 
 
 def _by_join(rows: DataFrame, words: DataFrame, columns: list[str]) -> DataFrame:
@@ -205,12 +208,17 @@ def fingerprints(
     rows = rows.withColumn("__edited", edited(F.col("__text"), F.col("__next")))
     own, other = (terms(F.col(c)).alias(name) for c, name in (("__text", "own"), ("__edited", "other")))
     keys = ["__part", "__guest", "__id", "__row"]
+    kept = [*keys, "n_chars", "edited_sha256"]
     base = rows.select(*keys, F.length("__text").cast("long").alias("n_chars"), F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), own, other)
+    # one hash of all words of each text, of the lexicon or not
+    base = base.select(*kept, F.xxhash64("own").alias("a_words"), F.xxhash64("other").alias("b_words"), "own", "other")
     packed = _by_table(base, words, size, ["own", "other"]) if size <= table_terms else _by_join(base, words, ["own", "other"])
-    hashed = _hashed(packed, {"own": "a", "other": "b"}).select(*keys, "n_chars", "edited_sha256", "a", "b")
+    hashed = _hashed(packed, {"own": "a", "other": "b"}).select(*kept, "a_words", "b_words", "a", "b")
     order = Window.partitionBy("__part").orderBy("__row")
-    hashed = hashed.withColumn("next", F.coalesce(F.lead("a").over(order), F.col("a"))).filter("__guest = 0")
+    ahead = {new: F.coalesce(F.lead(c).over(order), F.col(c)) for c, new in (("a", "next"), ("a_words", "next_words"))}
+    hashed = hashed.withColumns(ahead).filter("__guest = 0")
     return hashed.select(
         F.col("__id").alias("doc_id"), "n_chars", "edited_sha256", _digits(F.col("a")).alias("fingerprint"), _digits(F.col("b")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next")).alias("near_next"),
+        likeness(F.col("a"), F.col("b"), F.col("a_words") == F.col("b_words")).alias("near_edited"),
+        likeness(F.col("a"), F.col("next"), F.col("a_words") == F.col("next_words")).alias("near_next"),
     )

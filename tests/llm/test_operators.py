@@ -350,6 +350,25 @@ def test_fingerprints_odd(odd, none, docs):
     assert fingerprints.fingerprints(docs.filter("doc_id = 3")).count() == 1
 
 
+def test_fingerprints_reach_the_whole_lexicon(spark):
+    texts = [f"word{i // 2}" for i in range(120)]  # each word is in two texts, so in the lexicon
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (200_000, 0):
+        got = by_id(fingerprints.fingerprints(made, low=0, high=1, table_terms=size), "fingerprint", "near_next")
+        assert all(set(f) - set("-.") for f, _ in got.values())
+        # the next text has the next smaller id; after 0 comes 119
+        assert [got[i][1] for i in range(120)] == [float(i % 2) for i in range(120)]
+
+
+def test_fingerprints_of_short_texts_without_lexicon_terms(spark):
+    texts = ["b a", "a b!", "one two", "three", "four", "", None, "?!", "five five", "five"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (200_000, 0):
+        got = by_id(fingerprints.fingerprints(made, low=0.5, high=0.5, table_terms=size), "fingerprint", "near_next")
+        assert all(not set(f) - set("-.") for f, _ in got.values())
+        assert [got[i][1] for i in range(10)] == [0, 1, 0, 0, 0, 0, 1, 1, 0, 1]
+
+
 def test_fingerprints_run_no_python(docs):
     plan = fingerprints.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
