@@ -133,21 +133,26 @@ def match(texts, items: Items, width: int) -> list[tuple[int, list[tuple[int, in
     edges = np.zeros(len(shard.ranks) + 1, np.int64)
     found: list[np.ndarray] = []
     longest = np.zeros(n, np.int64)
+    deepest = np.zeros(len(shard.order), np.int64)  # by place in the array
     row_of = np.repeat(np.arange(n + 1), np.append(np.diff(shard.offsets), 1))[: len(shard.ranks)]
     for depth, suffix, low, high in shard.search(items):
         whole = (depth == width) | ((depth < width) & (size[item_of[suffix]] == depth))
         if depth > width:  # the array is sorted to ``width`` words; longer matches are followed one by one
             break
+        # a difference array: ranges overlap, and a frequent word has many places
+        bounds = np.bincount(low, minlength=len(deepest) + 1) - np.bincount(high, minlength=len(deepest) + 1)
+        deepest[np.cumsum(bounds)[:-1] > 0] = depth
         places, which = _flat_ranges(low[whole], high[whole])
         if len(places):
             starts = shard.order[places]
             np.add.at(edges, starts, 1)
             np.add.at(edges, starts + depth, -1)
             rows = row_of[starts]
-            np.maximum.at(longest, rows, depth)
             found.append(np.unique(rows * len(items.names) + item_of[suffix[whole][which]]))
             if depth == width:
                 _extend(shard, items, suffix[whole][which], starts, rows, depth, longest)
+    some = np.flatnonzero(deepest)
+    np.maximum.at(longest, row_of[shard.order[some]], deepest[some])
     hit = np.cumsum(edges)[:-1] > 0
     pairs = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
     of_row = np.split(pairs % max(len(items.names), 1), np.searchsorted(pairs // max(len(items.names), 1), np.arange(1, n)))

@@ -237,6 +237,15 @@ def test_longest_match(spark):
     assert got["longest"] == 37 and [tuple(s) for s in got["spans"]] == [(1, 38)]
 
 
+def test_longest_match_below_a_window(spark):
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(["x", *words[3:12], "y", *words[5:7]]), " ".join(["x", words[29], "w0"]), "none of it", None, " ".join(words[2:13]), " ".join(words[21:30])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(words)), (10, "w5 w6 w5 w6 " * 6)], "item_id long, text string")
+    for block in (8 << 20, 60):
+        assert by_id(decontamination.contamination(docs, bench, block_bytes=block), "longest") == {0: (9,), 1: (1,), 2: (0,), 3: (0,), 4: (11,), 5: (9,)}
+
+
 def test_contamination_odd(spark, odd, none):
     bench = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(40)))], "item_id long, text string")
     assert decontamination.digest(decontamination.contamination(odd, bench)).filter("contaminated").count() == 4
