@@ -32,10 +32,14 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what no profile can name; learns from the languages that ``documents`` gives."""
+    """Rejects what no profile can name: texts without a letter or without an n-gram of any profile.
+
+    Learns from the languages that ``documents`` gives.
+    """
     profiles = languages.train(docs)
-    found = docs.withColumn("__lang", languages.predict(F.col("text"), profiles)["lang_pred"])
-    return found.filter(F.col("__lang") != languages.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.withColumn("__lang", languages.predict(F.col("text"), profiles))
+    # a score of 0: no n-gram of the text is in any profile
+    return found.filter((F.col("__lang.lang_pred") != languages.UNKNOWN) & (F.col("__lang.score") > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,12 @@ def test_language_id_rejects_only_texts_without_letters(stages):
     assert dict(pairs(after)) == {i: t for i, t in pairs(before) if t and any(c.isalpha() for c in t)}
 
 
+def test_language_id_rejects_texts_that_share_nothing_with_a_profile(spark):
+    rows = [(i, "the old man and the sea", "en") for i in range(9)] + [(20, "старик и море", None), (21, "老人与海", None), (22, "the sea", None), (23, "老人 the", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == {*range(9), 22, 23}
+
+
 def test_near_duplicates(stages):
     before, after = stages["near_duplicates"]
     found = brute.components(pairs(before))
