@@ -1,12 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by a hash join of 13-word windows, in place of relative Lempel-Ziv parsing.
 
-The reference is all documents with a smaller id, indexed in blocks: each block
-holds a range of the hashes of all 13-word windows, with the smallest id each
-one starts in. Every document is parsed greedily against every block that can
-hold a window of it: a factor runs on as long as the next window is found too.
-Factors have at least 13 words, which is what makes them duplicate spans. A
-window that straddles the end of one factor and the start of the next is looked
-up like any other, so no passage is lost where factors meet.
+The hashes of all 13-word windows are dealt to blocks, each a range of hashes,
+with the smallest id each window starts in. A window is found if that id is
+smaller than its document's. No reference text is indexed and no longest match
+is followed: a factor is a run of windows of one document that are all found,
+so it has at least 13 words. Its windows may be found in different documents, and
+then the whole factor need not be verbatim in any of them. Which words are
+removed depends on the found windows only, not on the factors.
 
 Windows are compared by 64-bit hashes of their words. Two different windows
 share one with a chance of n^2 / 2^65: about one in a thousand for the whole of
@@ -108,7 +108,7 @@ def _look_up(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def factors(found: np.ndarray, starts: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors of the windows that were found: row, first word, word after the last.
+    """Runs of the windows that were found: row, first word, word after the last.
 
     A factor grows by a word for each next window of its row that is found as well.
     """
@@ -155,7 +155,7 @@ def substring_dedup(
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_removed, factors, kept``, and the column ``keep`` as it was.
 
-    ``factors`` are word ranges that also start in a document with a smaller id; they may overlap.
+    ``factors`` are word ranges of which every ``width`` words are in some document with a smaller id; they may overlap.
     ``kept`` is the other words joined by one space.
     """
     total = X.text_bytes(docs, text_col)
