@@ -911,6 +911,28 @@ def _items(v: Value, scope: Scope) -> Value:
     return V.array([V.struct({"0": V.literal(n), "1": v.field(n)}) for n in v.type.names])
 
 
+def _filled(parts: Column, v: Value, scope: Scope, fill: Node | None, gaps) -> Value:
+    """Arrays of elements of ``v``, each with as many fillers as it has gaps."""
+    kind = T.ArrayType(v.type)
+    if fill is None or (fill.kind == "literal" and fill.value is None):
+        return Value(parts, kind)
+    other = V.as_type(evaluate(fill, scope), v.type.elementType)
+    return Value(F.transform(parts, lambda p, i: F.concat(p, F.array_repeat(other, gaps(p, i)))), kind)
+
+
+def _batch(v: Value, scope: Scope, linecount: Node, fill_with: Node | None = None) -> Value:
+    v, n = _array(v, scope), int(_constant(linecount, 1, scope))
+    starts = F.filter(F.transform(v.col, lambda x, i: i), lambda i: i % n == 0)
+    return _filled(F.transform(starts, lambda i: F.slice(v.col, i + 1, F.lit(n))), v, scope, fill_with, lambda p, i: F.lit(n) - F.size(p))
+
+
+def _slice(v: Value, scope: Scope, slices: Node, fill_with: Node | None = None) -> Value:
+    v, n = _array(v, scope), int(_constant(slices, 1, scope))
+    each, more = F.floor(F.size(v.col) / n).cast("int"), F.size(v.col) % n
+    part = lambda i: F.slice(v.col, i * each + F.least(i, more) + 1, each + (i < more).cast("int"))
+    return _filled(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), part), v, scope, fill_with, lambda p, i: (i >= more).cast("int"))
+
+
 def _replaced(v: Value, scope: Scope, old: Node, new: Node) -> Value:
     return Value(F.replace(text_of(v, scope), evaluate(old, scope).col, evaluate(new, scope).col), T.StringType())
 
@@ -941,4 +963,5 @@ FILTERS = {
     "abs": lambda v, s: Value(F.abs(v.col), v.type), "round": _round, "int": _number(T.LongType()), "float": _number(T.DoubleType()),
     "list": _array, "sort": _ordered, "unique": _unique, "min": _extreme(False), "max": _extreme(True), "sum": _sum, "format": _format, "truncate": _truncate,
     "select": _picked(True, False), "reject": _picked(False, False), "selectattr": _picked(True, True), "rejectattr": _picked(False, True), "items": _items,
+    "batch": _batch, "slice": _slice,
 }

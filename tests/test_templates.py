@@ -45,6 +45,17 @@ def test_texts(df, names):
     assert not wrong
 
 
+def test_batch_and_slice(df, names):
+    cases = {
+        "{{ names|batch(2) }} ": "[['b', 'A'], ['b']] ", "{{ names|batch(2, 'z') }} ": "[['b', 'A'], ['b', 'z']] ", "{{ []|list|length }}{{ range(0)|batch(2)|list|length }}": "00",
+        "{{ names|slice(2) }} ": "[['b', 'A'], ['b']] ", "{{ range(7)|slice(3) }} ": "[[0, 1, 2], [3, 4], [5, 6]] ", "{{ range(7)|slice(3, 9) }} ": "[[0, 1, 2], [3, 4, 9], [5, 6, 9]] ",
+        "{{ range(2)|slice(3) }} ": "[[0], [1], []] ",
+    }
+    got = df.select(*[render(t, names).col.alias(f"c{i}") for i, t in enumerate(cases)]).first()
+    wrong = {t: (g, w) for (t, w), g in zip(cases.items(), got, strict=True) if g != w}
+    assert not wrong
+
+
 def test_single_variable_keeps_its_type(df, names):
     assert single_variable("{{ c }}\n") == "c" and single_variable(" {{ c }}") is None and single_variable("{{ c|list }}") is None
     assert compile_template("{{ c }}", names).type == df.schema["c"].dataType
