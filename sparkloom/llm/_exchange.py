@@ -60,5 +60,6 @@ def sized(docs: DataFrame, total: int, each: int) -> int:
     return max(least, -(-total // each), 1)
 
 
-def slice_of(id_column: Column, slices: int) -> Column:
-    return F.pmod(F.xxhash64(id_column), F.lit(slices)).cast("int")
+def slice_of(slices: int, *columns: Column) -> Column:
+    """By id and text, so that rows without an id, or with one and the same, don't meet in one slice."""
+    return F.pmod(F.xxhash64(*columns), F.lit(slices)).cast("int")

@@ -172,7 +172,7 @@ def lm_scores(
     slices = blocks = X.sized(docs, size, slice_bytes)
     bits = min(64, max(40, size.bit_length() + 17))
     own = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    by_slice = own.withColumn("__slice", X.slice_of(F.col("__id"), slices)).groupBy("__slice")
+    by_slice = own.withColumn("__slice", X.slice_of(slices, F.col("__id"))).groupBy("__slice")
     sent_type, back_type = "order int, block int, slice int, hashes binary, counts binary", "__slice int, order int, block int, counts binary"
 
     def first(key: tuple, table: pa.Table) -> pa.Table:

@@ -21,6 +21,11 @@ def by_id(frame, *columns):
     return {r["doc_id"]: tuple(r[c] for c in columns) for r in frame.collect()}
 
 
+def same_rows(got, want):
+    """Equal rows, values and all, in any order."""
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 # 1 language id
 
 
@@ -312,22 +317,77 @@ def test_toxicity_without_two_classes(docs, none, spark):
 # 9 substring dedup
 
 
+def check_factors(found, texts, width=13):
+    """Each factor stands in its source word by word, and together they cover what was removed."""
+    words = {i: brute.SPACED.findall(t or "") for i, t in texts}
+    for r in found.collect():
+        own = words[r["doc_id"]]
+        for f in r["factors"]:
+            n = f["end"] - f["start"]
+            assert n >= width and f["source"] < r["doc_id"] and own[f["start"] : f["end"]] == words[f["source"]][f["source_start"] : f["source_start"] + n]
+        assert len({k for f in r["factors"] for k in range(f["start"], f["end"])}) == r["n_removed"]
+
+
 @pytest.mark.parametrize("size", [6 << 20, 800])
 def test_substring_dedup(docs, rows, size):
     want = brute.substring_dedup([(r[0], r[1]) for r in rows])
     assert any(v[1] for v in want.values())
     found = substring_dedup.substring_dedup(docs, slice_bytes=size)
     assert by_id(found, "n_words", "n_removed", "kept") == want
-    for r in found.collect():
-        assert len({k for f in r["factors"] for k in range(f["start"], f["end"])}) == r["n_removed"] and all(f["end"] - f["start"] >= 13 for f in r["factors"])
-
-
-def test_substring_dedup_odd(odd, none):
+    check_factors(found, [(r[0], r[1]) for r in rows])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_substring_dedup_of_few_words(spark, seed):
+    """Windows in many contexts: anchors with many segments, sources that change inside a passage, repeats inside a text."""
+    r = random.Random(seed)
+    passages = [[r.choice("abc") for _ in range(r.randint(10, 30))] for _ in range(12)]
+    texts = []
+    for i in range(80):
+        w = []
+        for _ in range(r.randint(0, 5)):
+            p = r.choice(passages)
+            at = r.randint(0, len(p) // 2)
+            w += p[at : r.randint(at, len(p))] + [r.choice("abcdefgh") for _ in range(r.randint(0, 3))]
+        texts.append((i, " ".join(w)))
+    made = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = substring_dedup.substring_dedup(made, slice_bytes=600)
+    assert by_id(found, "n_words", "n_removed", "kept") == brute.substring_dedup(texts)
+    check_factors(found, texts)
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(150_000)]
+    texts = [(5, " ".join(words)), (3, " ".join(words[70_000:70_040])), (9, " ".join(words[149_980:])), (4, "")]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert by_id(found, "n_words", "n_removed") == {5: (150_000, 40), 3: (40, 0), 9: (20, 20), 4: (0, 0)}
+    check_factors(found, texts)
+
+
+def test_substring_dedup_exchanges_in_proportion(spark):
+    """Slices grow with the corpus, and so do rows: no part with their square."""
+    r = random.Random(2)
+    shared = [f"p{i}" for i in range(60)]
+    texts = [" ".join([f"w{r.randrange(3000)}" for _ in range(80)] + (shared if i % 3 == 0 else [])) for i in range(1600)]
+    counts = []
+    for n in (400, 800, 1600):
+        made = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        by_slice = made.select(F.col("doc_id").alias("id"), "text").withColumn("slice", (F.col("id") % (n // 20)).cast("int")).groupBy("slice")
+        counts.append(substring_dedup.segments(by_slice, 13).count())
+    assert counts[1] <= 2.1 * counts[0] and counts[2] <= 2.1 * counts[1]
+
+
+def test_substring_dedup_odd(odd, none, spark):
     got = [(r["doc_id"], r["n_removed"]) for r in substring_dedup.substring_dedup(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, 0), (1, 0), (None, 40), (2, 0), (3, 40)], key=str)
     left = substring_dedup.without_repeats(odd)
     assert left.columns == odd.columns and sorted((str(r["doc_id"]), r["text"]) for r in left.collect() if r["doc_id"] in (2, 3)) == [("2", None), ("3", "more")]
+    same_rows(left.filter("doc_id = 1"), odd.filter("doc_id = 1"))
     assert substring_dedup.substring_dedup(none).count() == 0
+    many = spark.createDataFrame([(None, " ".join(f"w{i}" for i in range(20)))] * 300 + [(i, None) for i in range(5)], "doc_id long, text string")
+    assert substring_dedup.substring_dedup(many).agg({"n_removed": "max"}).first()[0] == 0
+    with pytest.raises(TypeError, match="whole numbers"):
+        substring_dedup.substring_dedup(none.withColumn("doc_id", F.lit("a")))
 
 
 # 10 fingerprints
