@@ -220,7 +220,8 @@ def substring_dedup(
     asked = entries.filter("many and source = id").select("slice", "hash")
     windows = by_slice.cogroup(asked.groupBy("slice")).applyInArrow(_send_windows(width), "slice int, hash long, id long, place int, most long")
     # equal segments inside a slice are known there; a window may also be found in another segment of its own slice
-    answers = entries.filter("source < id"), _looked_up(windows, "hash").filter("source < most")
+    # (the test of "many" keeps both uses of the entries alike, so that Spark exchanges them once)
+    answers = entries.filter("source < id and many is not null"), _looked_up(windows, "hash").filter("source < most")
     back = answers[0].unionByName(answers[1], allowMissingColumns=True).select("slice", "hash", "source", F.col("source_place").alias("place"))
     found = by_slice.cogroup(back.groupBy("slice")).applyInArrow(_cut(width, passed, to_arrow_schema(out)), out)
     return found.withColumnRenamed("row", keep) if keep else found
