@@ -1,22 +1,37 @@
-"""Toxicity by class-conditional Kneser-Ney word models.
+"""Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary texts, are smoothed down to
-continuation counts of their class and from there to continuation counts both
-classes share, so an expression that is rare in the labelled rows says nothing
-about either class. A text is judged by its length-normalised log-likelihoods
-under the two models: their difference per word, over the whole text and over
-its 1, 3 and 8 most telling words (a long text may hold one toxic passage). A
-logistic curve, fitted on labelled rows kept out of the counts, turns these
-differences into a score.
+Two interpolated models, one of toxic and one of ordinary texts, give a probability
+to every word. Counts are of documents, so neither copies nor a line repeated inside a text
+count twice. A word backs off by its spelling, to its first eight, six and four letters,
+and from there to counts that both classes share:
+
+    p(w) = max(c(w) - d, 0) / N + left * q8(w)
+    qk(w) = max(t(stem) - d', 0) / T * s(w | stem) + left_k * q(k-2)(w)
+    q2(w) = s(w)
+
+t(stem) is the Kneser-Ney continuation count: how many different words of the class go on
+from the stem (so endings never seen still speak for the class that has many of them);
+s is the shared distribution. Each class has its own counts and its own backoff weights.
+Counts below ``least`` (words) and ``least_stem`` are discounted whole, so a rare
+expression has the odds of the shared counts. Both columns sum to 1 over the words seen
+and, for each stem, one place for all its other words.
+
+A text is judged by the difference of its log-likelihoods per word under the two
+models: over all of its words, and over its 1, 3, 8 and 20 most telling ones, since
+a few toxic words in a long text hardly move the mean. A logistic curve, fitted on labelled
+rows kept out of the counts, turns these differences into a score.
 
 Training reads a bounded sample: about ``max_train_docs`` labelled rows of each
-class, by a hash of the id. Scoring reads every whole text.
+class, by a hash of the id. Scoring reads every whole text. What reaches the driver are the
+words and stems of the sample that pass ``least`` and ``least_stem``, and five numbers
+for each row the curve is fitted on; no texts.
 
-Defined cases: null and empty texts have differences of 0 and get the score of
-that; without labels of both classes the score is the share of toxic labels (0
+Defined cases: null and empty texts, and texts without words, have differences of 0 and get
+the score of that; without labels of both classes the score is the share of toxic labels (0
 if there are none); labels that are null or contradict each other for one id
-are not learned from; repeated rows are scored each; null ids are kept. Other
-columns are ignored, whatever their names.
+are not learned from; equal labelled texts are learned from once a class; repeated rows are
+scored each; null ids are kept; very long texts are scored whole. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +42,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,64 +50,66 @@ from sparkloom.llm import _text
 from sparkloom.llm._graph import saved
 from sparkloom.llm.language_id import held_out
 
-TELLING = (1, 3, 8)
-#: The word before the first one of a text.
-_START = np.uint64(0x5BD1E9955BD1E995)
+TELLING = (1, 3, 8, 20)
+STEMS = (8, 6, 4)
 _SHARE = 1 << 30
 
 
-def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _text.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+def _hashed(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.empty(0, np.uint64)
 
 
-def _before(word: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The hash before each word of its text."""
-    before = np.concatenate([np.full(1, _START), word[:-1]]) if len(word) else word
-    before[offsets[:-1][np.diff(offsets) > 0]] = _START
-    return before
+@dataclass
+class Table:
+    """For each expression (by hash, sorted) and class, its discounted share over its shared probability."""
 
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    ratio: np.ndarray = field(default_factory=lambda: np.empty((0, 2)))
+    left: np.ndarray = field(default_factory=lambda: np.ones(2))  # the weight of what is backed off to
 
-def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts, the hash before each, and the offsets of the texts."""
-    flat, offsets = _text.words(texts, _text.LOWER_ALNUM)
-    word = _text.word_hashes(flat)
-    return word, _before(word, offsets), offsets
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros((len(keys), 2))
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[i] == keys)[:, None], self.ratio[i], 0)
 
 
 @dataclass
 class Model:
-    """Interpolated probabilities: rows are sorted by hash, columns are ordinary and toxic."""
-
-    words: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    lower: np.ndarray = field(default_factory=lambda: np.empty((0, 2)))  # of the word, without context
-    left: np.ndarray = field(default_factory=lambda: np.empty((0, 2)))  # backoff weight after the word
-    unseen: np.ndarray = field(default_factory=lambda: np.ones(2))
-    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    upper: np.ndarray = field(default_factory=lambda: np.empty((0, 2)))  # discounted share of the bigram
+    """Columns are ordinary and toxic. Probabilities are kept over the shared one, which both columns divide by."""
+
+    words: Table = field(default_factory=Table)
+    stems: list[Table] = field(default_factory=list)
     curve: np.ndarray | None = None  # logistic weights, the constant last
     base: float = 0.0
 
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, at: np.ndarray, default: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.broadcast_to(default, (len(at), 2))
-        i = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
-        return np.where((keys[i] == at)[:, None], values[i], default)
-
-    def differences(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log p(word | before, toxic) - log p(word | before, ordinary)."""
-        p = self._find(self.words, self.lower, word, self.unseen) * self._find(self.words, self.left, before, np.ones(2))
-        p = p + self._find(self.pairs, self.upper, _pair(before, word), np.zeros(2))
-        return np.log(p[:, 1]) - np.log(p[:, 0])
+    def ratios(self, words: pa.Array) -> np.ndarray:
+        """p(w) / s(w) for each word, by class."""
+        p, weight = self.words.find(_hashed(words)), self.words.left
+        length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        for n, table in zip(STEMS, self.stems, strict=False):
+            long = length > n
+            if long.any():
+                p[long] += weight * table.find(_hashed(pc.utf8_slice_codeunits(words.filter(pa.array(long)), 0, n)))
+            weight = weight * table.left
+        return p + weight
+
+    def differences(self, flat: pa.Array) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary); each spelling is looked up once."""
+        if not len(flat):
+            return np.empty(0)
+        coded = flat.dictionary_encode()
+        r = np.log(self.ratios(coded.dictionary.cast(pa.string())))
+        return (r[:, 1] - r[:, 0])[coded.indices.to_numpy()]
 
     def features(self, texts) -> np.ndarray:
-        word, before, offsets = _tokens(texts)
-        own = self.differences(word, before)
+        flat, offsets = _text.words(texts, _text.LOWER_ALNUM)
+        own = self.differences(flat)
         out = np.zeros((len(offsets) - 1, 1 + len(TELLING)))
+        most = max(TELLING)
         for i in range(len(out)):
             x = own[offsets[i] : offsets[i + 1]]
             if len(x):
-                most = max(TELLING)
                 best = np.sort(np.partition(x, len(x) - most)[-most:] if len(x) > most else x)[::-1]
                 out[i] = [x.mean(), *(best[:k].sum() / k for k in TELLING)]
         return out
@@ -103,44 +121,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _cut(n: np.ndarray, discount: float, least: int) -> np.ndarray:
-    return np.where(n < least, 0, np.maximum(n - discount, 0))
-
-
-def _estimate(words: pd.DataFrame, pairs: pd.DataFrame, sums: dict[int, int], vocabulary: int, discount: float, least: int) -> Model:
-    """words: ``word, n0, n1``: after how many different words each stood, by class; frequent ones only.
-    pairs: ``toxic, before, word, n, whole``: the same for bigrams, and for all bigrams of the word before.
-
-    A word that is rare in both classes has the same odds as one never seen, so it needs no entry.
-    """
-    model = Model()
-    names = words["word"].to_numpy().view(np.uint64)
-    order = np.argsort(names)
-    n = words[["n0", "n1"]].to_numpy().astype(float)[order]
-    before = np.unique(pairs["before"].to_numpy().view(np.uint64))
-    model.words = np.union1d(names, before)
-    total = sum(sums.values()) + 0.5 * (vocabulary + 1)
-    counts = np.zeros((len(model.words), 2))
-    counts[np.searchsorted(model.words, names[order])] = n
-    shared = (counts.sum(axis=1) + 0.5) / total
-    model.lower, unseen = np.empty((len(model.words), 2)), np.empty(2)
-    for c in (0, 1):
-        kept = _cut(counts[:, c], discount, least) / max(sums.get(c, 0), 1)
-        rest = 1 - kept.sum()
-        model.lower[:, c], unseen[c] = kept + rest * shared, rest * 0.5 / total
-    model.unseen = unseen
-    b, w = pairs["before"].to_numpy().view(np.uint64), pairs["word"].to_numpy().view(np.uint64)
-    model.pairs, where = np.unique(_pair(b, w), return_inverse=True)
-    model.upper = np.zeros((len(model.pairs), 2))
-    share = _cut(pairs["n"].to_numpy().astype(float), discount, least) / np.maximum(pairs["whole"].to_numpy(), 1)
-    model.upper[where, pairs["toxic"].to_numpy()] = share
-    # one backoff weight a word for both classes: what is left of the larger share
-    at = np.searchsorted(model.words, b)
-    spent = [np.bincount(at[own], weights=share[own], minlength=len(model.words)) for own in (pairs["toxic"].to_numpy() == 0, pairs["toxic"].to_numpy() == 1)]
-    model.left = np.repeat(np.clip(1 - np.maximum(*spent), 1e-3, 1)[:, None], 2, axis=1)
-    return model
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
@@ -152,15 +132,44 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
+def _table(rows: DataFrame, discount: float, least: int, total: float) -> Table:
+    """From rows of ``name, n0, n1, mass``: counts by class, and the shared mass of which ``total`` is the whole.
+
+    Only names with ``least`` in either class reach the driver.
+    """
+    sums = rows.agg(F.sum("n0"), F.sum("n1")).first()
+    often = rows.filter((F.col("n0") >= least) | (F.col("n1") >= least)).toArrow().to_pandas()
+    n, table = often[["n0", "n1"]].to_numpy().astype(float), Table()
+    share = np.where(n < least, 0, np.maximum(n - discount, 0)) / np.maximum([sums[0] or 0, sums[1] or 0], 1)
+    keys = _hashed(pa.array(often["name"], pa.string()))
+    order = np.argsort(keys)
+    table.keys, table.ratio = keys[order], (share / (often["mass"].to_numpy()[:, None] / total))[order]
+    table.left = 1 - share.sum(axis=0)
+    return table
+
+
+def estimate(words: DataFrame, discount: float, least: int, stem_discount: float, least_stem: int) -> Model:
+    """Both models from ``name, n0, n1``: in how many texts of each class a word stands."""
+    size, stem = F.length("name"), lambda n: F.substring("name", 1, n)
+    words = words.withColumn("mass", F.col("n0") + F.col("n1") + 0.5)
+    by_stem, places = [], 0
+    for i, n in enumerate(STEMS):
+        # every stem has a place for words that were not seen: its own, and those of the longer stems below it
+        below = sum((F.countDistinct(F.when(size > k, stem(k))) for k in STEMS[:i]), F.lit(0))
+        rows = words.filter(size > n).groupBy(stem(n).alias("s")).agg(
+            F.count(F.when(F.col("n0") > 0, 1)).alias("n0"), F.count(F.when(F.col("n1") > 0, 1)).alias("n1"), (F.sum("mass") + 0.5 * (below + 1)).alias("mass")
+        ).withColumnRenamed("s", "name")
+        by_stem.append(saved(rows))
+        places += by_stem[-1].count()
+    total = (words.agg(F.sum("mass")).first()[0] or 0) + 0.5 * (places + 1)
+    return Model(_table(words, discount, least, total), [_table(rows, stem_discount, least_stem, total) for rows in by_stem])
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, max_train_docs: int = 5000, discount: float = 1.5, least: int = 3, least_pair: int = 15,
+    docs: DataFrame, labels: DataFrame, max_train_docs: int = 5000, discount: float = 1.5, least: int = 3, stem_discount: float = 2.0, least_stem: int = 4,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Model:
-    """Fit both models and the curve. What reaches the driver is bounded by the sample.
-
-    Words need ``least`` different words before them, and bigrams ``least_pair``, to have
-    counts of their own in a class; below that only the shared counts speak.
-    """
+    """Fit both models and the curve. What reaches the driver is bounded by the sample."""
     told = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
         .filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("id")))
@@ -172,40 +181,43 @@ def train(
     if len(there) < 2:
         return Model(base=base)
     share = {c: _SHARE if n <= max_train_docs else int(_SHARE * max_train_docs / n) for c, n in there.items()}
-    told = told.filter(
-        F.pmod(F.xxhash64("id", F.lit(8)), F.lit(_SHARE)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
-    )
+    told = told.filter(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(_SHARE)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(told, "id")
-    sample = sample.withColumn("curve", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(4)) == 0)
+    # equal texts are on the same side of the cut
+    sample = sample.select("toxic", "text").distinct().withColumn("curve", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(4)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word, before, offsets = _tokens(batch.column("text"))
-            toxic = np.repeat(batch.column("toxic").to_numpy(), np.diff(offsets)).astype(np.int32)
-            third = _before(before, offsets)
-            columns = [toxic, third.view(np.int64), before.view(np.int64), word.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["toxic", "third", "before", "word"])
-
-    # a bigram counts once for every word it follows, so copies of one text count once
-    pairs = saved(
-        sample.filter(~F.col("curve")).select("toxic", "text").mapInArrow(count, "toxic int, third long, before long, word long")
-        .distinct().groupBy("toxic", "before", "word").agg(F.count(F.lit(1)).alias("n"))
+        for part in _text.text_slices(batches, "text"):
+            flat, offsets = _text.words(part["text"], _text.LOWER_ALNUM)
+            coded = flat.dictionary_encode()
+            names = coded.dictionary.cast(pa.string())
+            doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+            pairs = np.unique(doc * max(len(names), 1) + coded.indices.to_numpy())  # each word once a text
+            toxic = part["toxic"].to_numpy()[pairs // max(len(names), 1)].astype(bool)
+            at = pairs % max(len(names), 1)
+            n = [np.bincount(at[own], minlength=len(names)) for own in (~toxic, toxic)]
+            yield pa.RecordBatch.from_arrays([names, pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())], ["name", "n0", "n1"])
+
+    words = saved(
+        sample.filter(~F.col("curve")).select("toxic", "text").mapInArrow(count, "name string, n0 long, n1 long")
+        .groupBy("name").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     )
-    of = lambda c: F.count(F.when(F.col("toxic") == c, 1))
-    words = pairs.groupBy("word").agg(of(0).alias("n0"), of(1).alias("n1"))
-    size = words.agg(F.count(F.lit(1)), F.sum("n0"), F.sum("n1")).first()
-    # only what can leave the shared counts reaches the driver
-    often = words.filter((F.col("n0") >= least) | (F.col("n1") >= least)).toArrow().to_pandas()
-    whole = pairs.groupBy("toxic", "before").agg(F.sum("n").alias("whole"))
-    bigrams = pairs.filter(F.col("n") >= max(least, least_pair)).join(whole, ["toxic", "before"]).toArrow().to_pandas()
-    model = _estimate(often, bigrams, {0: size[1] or 0, 1: size[2] or 0}, size[0], discount, least)
+    model = estimate(words, discount, least, stem_discount, least_stem)
     model.base = base
-    rows = sample.filter("curve").select("toxic", "text").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"f{i}" for i in range(1 + len(TELLING))]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _text.text_slices(batches, "text"):
+            x = shared.value.features(part["text"])
+            yield pa.RecordBatch.from_arrays([part["toxic"].combine_chunks(), *(pa.array(x[:, i]) for i in range(len(names)))], ["toxic", *names])
+
+    rows = sample.filter("curve").select("toxic", "text").mapInArrow(measure, ", ".join(["toxic int", *(f"{n} double" for n in names)])).toArrow().to_pandas()
     y = rows["toxic"].to_numpy()
     if 0 < y.sum() < len(y):
         counted = {c: max((y == c).sum(), 1) for c in (0, 1)}
         weight = np.where(y == 1, base / counted[1], (1 - base) / counted[0]) * len(y)
-        model.curve = _logistic(model.features(rows["text"]), y, weight)
+        model.curve = _logistic(rows[names].to_numpy(), y, weight)
     return model
 
 

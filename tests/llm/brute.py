@@ -100,3 +100,44 @@ def lm(docs, order=3, backoff=0.4):
             score += math.log(value)
         out[i] = (len(w), score, top)
     return out
+
+
+def toxicity_model(texts, discount, least, stem_discount, least_stem, stems=(8, 6, 4)):
+    """texts: (text, class). Gives p(word, class) and s(word); the word None under a stem is its place for other words."""
+    counts = [Counter(), Counter()]
+    for text, c in set(texts):
+        counts[c].update(set(ALNUM.findall(lower(text))))
+    seen = set(counts[0]) | set(counts[1])
+    mass = {w: counts[0][w] + counts[1][w] + 0.5 for w in seen}
+    nodes = {(n, w[:n]) for w in seen for n in stems if len(w) > n}
+    leaves = [(w, m) for w, m in mass.items()] + [((n, s), 0.5) for n, s in nodes] + [((0, ""), 0.5)]
+    total = sum(m for _, m in leaves)
+    own = lambda leaf, n: (leaf[:n] if len(leaf) > n else None) if isinstance(leaf, str) else (leaf[1][:n] if leaf[0] >= n else None)
+    under = {node: sum(m for leaf, m in leaves if own(leaf, node[0]) == node[1]) for node in nodes}
+
+    def leaf_of(word):
+        if word in seen:
+            return word
+        return next(((n, word[:n]) for n in stems if len(word) > n and (n, word[:n]) in nodes), (0, ""))
+
+    def p(leaf, c):
+        words = counts[c]
+        kept = {w: k - discount for w, k in words.items() if k >= least}
+        out, left = kept.get(leaf, 0) / sum(words.values()), 1 - sum(kept.values()) / sum(words.values())
+        s = dict(leaves)[leaf] / total
+        for n in stems:
+            types = Counter(w[:n] for w in words if len(w) > n)
+            whole = max(sum(types.values()), 1)
+            kept = {k: v - stem_discount for k, v in types.items() if v >= least_stem}
+            stem = own(leaf, n)
+            if stem in kept:
+                out += left * kept[stem] / whole * s / (under[n, stem] / total)
+            left *= 1 - sum(kept.values()) / whole
+        return out + left * s
+
+    return p, leaf_of, [leaf for leaf, _ in leaves]
+
+
+def toxicity_features(text, p, leaf_of, telling=(1, 3, 8, 20)):
+    x = sorted((math.log(p(leaf_of(w), 1) / p(leaf_of(w), 0)) for w in ALNUM.findall(lower(text))), reverse=True)
+    return [sum(x) / len(x), *(sum(x[:k]) / k for k in telling)] if x else [0.0] * (1 + len(telling))

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from sparkloom.llm.lm_scoring import lm_scores
 
 tokenizers = pytest.importorskip("public_tokenizers")
 BPE = tokenizers.path("byte_bpe_50k.json")
+TABLES = os.environ.get("TEST_LARGE_DIR", "/root/testdata/sf0.1")
 
 
 def by_id(frame, *columns):
@@ -286,6 +289,31 @@ def test_components_of_a_long_path(spark):
 # 8 toxicity
 
 
+def test_toxicity_models_are_distributions(spark):
+    """Both columns, word by word, against plain counting; each sums to 1 over words and places for other words."""
+    r = random.Random(6)
+    stems = ["abcdefghi", "abcdxy", "qrst", "bomente", "zz"]
+    word = lambda: r.choice(stems) + "".join(r.choices("abc", k=r.randint(0, 3)))
+    texts = [(" ".join(word() for _ in range(r.randint(0, 9))).title(), int(r.random() < 0.4)) for _ in range(60)]
+    texts += texts[:5]
+    rows = [(i, t) for i, (t, _) in enumerate(texts)]
+    own = [(t, c) for t, c in set(texts)]
+    counted = {}
+    for t, c in own:
+        for w in set(brute.ALNUM.findall(brute.lower(t))):
+            counted.setdefault(w, [0, 0])[c] += 1
+    words = spark.createDataFrame([(w, *n) for w, n in counted.items()], "name string, n0 long, n1 long")
+    model = toxicity.estimate(words, 0.75, 2, 1.0, 2)
+    p, leaf_of, leaves = brute.toxicity_model(texts, 0.75, 2, 1.0, 2)
+    for c in (0, 1):
+        assert math.isclose(sum(p(leaf, c) for leaf in leaves), 1)
+    ask = [w for w in counted] + ["abcdefghiqq", "abcdxyqqqq", "qrstu", "never", "bomentezz", "zz"]
+    got = model.differences(pa.array(ask))
+    assert all(math.isclose(x, math.log(p(leaf_of(w), 1) / p(leaf_of(w), 0)), abs_tol=1e-9) for x, w in zip(got, ask, strict=True))
+    for (_, t), f in zip(rows, model.features(pa.array([t for _, t in rows])), strict=True):
+        assert all(math.isclose(x, y, abs_tol=1e-9) for x, y in zip(f, brute.toxicity_features(t, p, leaf_of), strict=True))
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(1, 5))) for _ in range(900)]
@@ -298,16 +326,27 @@ def test_toxicity(spark):
         rows.append((i, " ".join(w)))
         labels.append((i, toxic))
     labels += [(0, 1 - labels[0][1]), (1, None), (None, 1)]
-    rows += [(5000, None), (5001, ""), (None, "vile foul nasty")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(5000, None), (5001, ""), (None, "vile foul nasty"), (5002, "?! \n"), (5003, "quiet " * 200_000 + "vile foul nasty " * 4)]
+    docs = spark.createDataFrame([(*x, "s", 1.0, "n") for x in rows], "doc_id long, text string, score string, toxic double, name string")
     told = spark.createDataFrame(labels, "doc_id long, toxic int")
     got = {x["doc_id"]: x for x in toxicity.toxicity(docs, told).collect()}
     held = [i for i in range(1500) if got[i]["held_out"]]
     assert sum(got[i]["predicted"] == labels[i][1] for i in held) >= 0.97 * len(held)
-    assert got[None]["predicted"] == 1 and got[5000]["score"] == got[5001]["score"] and got[5000]["predicted"] == 0
+    assert got[None]["predicted"] == 1 and got[5000]["score"] == got[5001]["score"] == got[5002]["score"] and got[5000]["predicted"] == 0
+    assert got[5003]["predicted"] == 1
     assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.7) for x in got.values())
 
 
+def test_toxicity_of_the_test_tables(spark):
+    """Recall and precision on held-out labels."""
+    if not os.path.isdir(TABLES):
+        pytest.skip("no test tables")
+    labels = spark.read.parquet(f"{TABLES}/labels.parquet").select("doc_id", "toxic")
+    found = toxicity.toxicity(spark.read.parquet(f"{TABLES}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.88 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.95 * (n[1, 1] + n.get((0, 1), 0))
+
+
 def test_toxicity_without_two_classes(docs, none, spark):
     told = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int")
     assert {x["score"] for x in toxicity.toxicity(docs, told).collect()} == {0.0}
