@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.operators.checkpoints import saved
 from sparkloom.sources import Dataset
 
 POSITION, SHARD = "__position", "__shard"
@@ -22,45 +24,111 @@ def check_range(num_shards: int, shard_id: int) -> None:
         raise ValueError(f"shard_id must be from 0 to {num_shards - 1}, not {shard_id}")
 
 
-def _numbered(df: DataFrame, order: str | None) -> tuple[DataFrame, int]:
-    """Rows with their position: that of the scan, or by a column.
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, or it with more underscores in front if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _numbered(df: DataFrame, order: str | None, position: str) -> tuple[DataFrame, int]:
+    """Rows with their position, in the order of the scan or of a column, and how many there are.
 
     Counts by partition are all that reaches the driver; no row goes through one task.
     """
-    if order:
-        df = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    # the id holds the partition in its high bits and the row's place in it in the low 33
-    marked = df.withColumn("__id", F.monotonically_increasing_id())
-    part, place = F.shiftright("__id", 33).cast("int"), F.col("__id").bitwiseAND((1 << 33) - 1)
-    counts = dict(marked.groupBy(part.alias("p")).count().collect())
+    return _by_column(df, order, position) if order else _by_scan(df, position)
+
+
+def _starts(counts: dict[int, int]) -> tuple[list[int], int]:
     starts, total = [], 0
     for p in range(max(counts, default=-1) + 1):
         starts.append(total)
         total += counts.get(p, 0)
-    start = F.get(F.lit(starts).cast("array<bigint>"), part) if starts else F.lit(0).cast("long")
-    return marked.withColumn(POSITION, start + place).drop("__id"), total
+    return starts or [0], total
+
 
+def _by_scan(df: DataFrame, position: str) -> tuple[DataFrame, int]:
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = saved(df)  # a shuffle may deal its rows otherwise when it runs again, or runs for fewer columns
+    # the id holds the partition in its high bits and the row's place in it in the low 33
+    number = _free(df, "__number")
+    marked = df.withColumn(number, F.monotonically_increasing_id())
+    part, place = F.shiftright(number, 33).cast("int"), F.col(number).bitwiseAND((1 << 33) - 1)
+    starts, total = _starts(dict(marked.groupBy(part.alias("p")).count().collect()))
+    return marked.withColumn(position, F.get(F.lit(starts).cast("array<bigint>"), part) + place).drop(number), total
+
+
+def _tie(df: DataFrame) -> Column:
+    """A hash of the whole row: rows that share one are equal, and so may change places."""
+    plain = [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    other = [f.name for f in df.schema.fields if f.name not in plain]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain], *[F.to_json(F.struct(F.col(f"`{c}`"))) for c in other])
 
-def with_shard(df: DataFrame, num_shards: int, layout: str = "contiguous", order: str | None = None) -> DataFrame:
+
+def _by_column(df: DataFrame, order: str, position: str) -> tuple[DataFrame, int]:
+    """Positions in the order of a column, ties by a hash of the row: the same in every job, however rows are dealt.
+
+    Bounds sampled from the key cut it into ranges; they are constants of the plan. Each range is counted
+    and numbered by itself, and a value that many rows share is cut by the hash as well.
+    """
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    key, part = _free(df, "__key"), _free(df, "__part")
+    keyed = df.withColumn(key, F.struct(F.col(f"`{order}`").alias("v"), _tie(df).alias("h")))
+    bounds = _bounds(keyed.select(F.col(key).alias("k")), ranges)
+    keyed = keyed.withColumn(part, _range_of(F.col(key), bounds))
+    starts, total = _starts(dict(keyed.groupBy(F.col(part).alias("p")).count().collect()))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1
+    return keyed.withColumn(position, F.get(F.lit(starts).cast("array<bigint>"), F.col(part)) + place).drop(key, part), total
+
+
+def _bounds(keys: DataFrame, ranges: int, each: int = 40) -> list:
+    """Up to ``ranges`` - 1 keys that cut a sample of some ``each`` keys a range into equal parts."""
+    n = keys.count()
+    if not n or ranges < 2:
+        return []
+    sample = keys.sample(min(1.0, each * ranges / n), seed=5).select("k.v", "k.h").orderBy("v", "h").collect()
+    return [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
+
+
+def _range_of(key: Column, bounds: list) -> Column:
+    """How many bounds are not above the key: first by group of bounds, then inside the group."""
+    if not bounds:
+        return F.lit(0)
+    wide = math.isqrt(len(bounds)) + 1
+    groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    made = lambda b: F.struct(F.lit(b["v"]).alias("v"), F.lit(b["h"]).alias("h"))
+    heads, inside = F.array(*[made(g[0]) for g in groups]), F.array(*[F.array(*[made(b) for b in g]) for g in groups])
+    below = lambda array: F.size(F.filter(array, lambda b: b <= key))
+    group = below(heads)
+    return F.when(group == 0, 0).otherwise((group - 1) * wide + below(F.get(inside, group - 1))).cast("int")
+
+
+def with_shard(
+    df: DataFrame, num_shards: int, layout: str = "contiguous", order: str | None = None, position_col: str = POSITION, shard_col: str = SHARD
+) -> DataFrame:
     """Adds the row's position and shard. Contiguous shards differ by one row at most, larger ones first."""
     check_range(num_shards, 0)
-    numbered, n = _numbered(df, order)
-    pos = F.col(POSITION)
+    if clash := {position_col, shard_col} & set(df.columns):
+        raise ValueError(f"the table has columns {sorted(clash)}; name others")
+    numbered, n = _numbered(df, order, position_col)
+    pos = F.col(position_col)
     if layout == "strided":
-        return numbered.withColumn(SHARD, F.pmod(pos, F.lit(num_shards)).cast("int"))
+        return numbered.withColumn(shard_col, F.pmod(pos, F.lit(num_shards)).cast("int"))
     if layout != "contiguous":
         raise ValueError(f"unknown layout {layout!r}")
     each, more = divmod(n, num_shards)
     head = (each + 1) * more  # rows in the larger shards
     shard = F.when(pos < head, F.floor(pos / (each + 1))).otherwise(F.floor((pos - head) / max(each, 1)) + more)
-    return numbered.withColumn(SHARD, shard.cast("int"))
+    return numbered.withColumn(shard_col, shard.cast("int"))
 
 
 def shard(df: DataFrame, num_shards: int, shard_id: int, layout: str = "contiguous", order: str | None = None) -> DataFrame:
     check_range(num_shards, shard_id)
     if num_shards == 1:
         return df
-    return with_shard(df, num_shards, layout, order).filter(F.col(SHARD) == shard_id).drop(SHARD, POSITION)
+    position, number = _free(df, POSITION), _free(df, SHARD)
+    return with_shard(df, num_shards, layout, order, position, number).filter(F.col(number) == shard_id).drop(position, number)
 
 
 def each_split(data: Dataset, f: Callable[[DataFrame], DataFrame]) -> Dataset:

@@ -193,14 +193,14 @@ query("expression_outputs", "SELECT doc_id, upper(lang) || ':' || source AS v FR
 )
 
 
-@query("shard_contiguous", "SELECT doc_id, (ntile(7) OVER (ORDER BY doc_id) - 1)::INTEGER AS shard FROM documents")
+@query("shard_contiguous", "SELECT *, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS __position, (ntile(7) OVER (ORDER BY doc_id) - 1)::INTEGER AS __shard FROM documents")
 def shard_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.with_shard(table(spark, sf_dir, "documents").select("doc_id"), 7, order="doc_id").select("doc_id", F.col(shards.SHARD).alias("shard"))
+    return shards.with_shard(table(spark, sf_dir, "documents"), 7, order="doc_id")
 
 
-@query("shard_strided", "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 7)::INTEGER AS shard FROM documents")
+@query("shard_strided", "SELECT *, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS __position, ((row_number() OVER (ORDER BY doc_id) - 1) % 7)::INTEGER AS __shard FROM documents")
 def shard_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.with_shard(table(spark, sf_dir, "documents").select("doc_id"), 7, "strided", "doc_id").select("doc_id", F.col(shards.SHARD).alias("shard"))
+    return shards.with_shard(table(spark, sf_dir, "documents"), 7, "strided", "doc_id")
 
 
 @query("merge_by_name", "SELECT doc_id, lang, NULL::VARCHAR AS source FROM documents UNION ALL BY NAME SELECT source, doc_id, NULL::VARCHAR AS lang FROM documents")
@@ -212,7 +212,7 @@ def merge_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shard_merge_identity", "SELECT * FROM documents")
 def shard_merge_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents")
-    return shards.concat([shards.shard(df, 3, i) for i in range(3)])
+    return shards.concat([shards.shard(df, 3, i, order="doc_id") for i in range(3)])
 
 
 @query("split_counts", "SELECT lang AS split, count(*) AS n FROM documents GROUP BY lang")

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pyarrow as pa
 import pytest
@@ -139,6 +140,38 @@ def test_shards_partition_the_rows(spark, n, k, parts, layout):
     assert got == want
 
 
+@pytest.mark.parametrize("layout", ["contiguous", "strided"])
+def test_ordered_shards_of_wide_rows_lose_nothing(spark, layout):
+    """Shards are made by separate jobs; shuffles may be coalesced otherwise in each."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        wide = [F.lit(f"{k}" * 500).alias(f"c{k}") for k in range(5)]
+        df = spark.range(7000).select((F.col("id") * 7919 % 7000).alias("id"), F.lit("mine").alias("__id"), F.lit(1).alias("__shard"), F.lit(2).alias("__position"), *wide)
+        parts = [shards.shard(df, 3, i, layout, "id") for i in range(3)]
+        ids = [sorted(r["id"] for r in p.select("id").collect()) for p in parts]
+        want = [list(range(i, 7000, 3)) for i in range(3)] if layout == "strided" else [list(range(2334)), list(range(2334, 4667)), list(range(4667, 7000))]
+        assert ids == want
+        whole = shards.concat(parts)
+        assert whole.columns == df.columns and whole.exceptAll(df).isEmpty() and whole.count() == 7000
+        with pytest.raises(ValueError, match="name others"):
+            shards.with_shard(df, 3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_shards_by_a_column_with_ties_nulls_and_repeats(spark):
+    r = random.Random(1)
+    rows = [(r.choice([None, "a", "b", "a", "c"]), r.randint(0, 3), {"k": r.randint(0, 2)}) for _ in range(500)] + [("a", 7, None)] * 200
+    df = spark.createDataFrame(rows, "s string, n int, m map<string,int>").repartition(5)
+    got = shards.with_shard(df, 4, order="s", position_col="at", shard_col="part").collect()
+    assert sorted(x["at"] for x in got) == list(range(700))
+    assert [x["s"] or "" for x in sorted(got, key=lambda x: x["at"])] == sorted(s or "" for s, *_ in rows)
+    for by in (None, "s"):  # after a shuffle too, each row is in one shard
+        made = df.groupBy("s", "n").count()
+        assert sorted(map(tuple, shards.concat([shards.shard(made, 3, i, order=by) for i in range(3)]).collect()), key=repr) == sorted(map(tuple, made.collect()), key=repr)
+
+
 def test_shard_merge_is_identity(spark, tmp_path):
     df = spark.range(0, 50, 1, 3).withColumn("s", F.col("id").cast("string"))
     for i in range(7):
