@@ -10,8 +10,10 @@ bound. So only these prefixes enter the product:
    part of the incidence with its transpose and gives partial overlaps of pairs,
    pairs of incompatible size excluded. Partial overlaps are summed, and pairs below the
    bound are discarded.
-2. A column that more than ``dense`` classes share is not squared. It ties its
-   classes into one group by a star, so its cost is linear.
+2. A column that more than ``dense`` classes share is not squared. A class with k such
+   columns in its prefix can share k of the l there, so its pairs need l - k others. Only
+   classes with k >= l can link by dense columns alone: each such column ties them
+   into one group by a star, so its cost is linear.
 3. The surviving pairs and stars fall into groups that no link can leave. Each
    group's whole sets are multiplied again, densely, in row blocks of bounded
    size; this is exact, and gives links and, by union-find, what they connect.
@@ -22,11 +24,16 @@ The order is the same for all and so changes the cost only, never the result;
 the sample and the limit on the list of frequent n-grams are therefore safe.
 Sets are held as 64-bit hashes of n-grams, and classes as 64-bit sums of them.
 
+Shuffles: a row of some 25 bytes for each n-gram of a prefix (three tenths of all), the
+partial overlaps, and the texts of the groups. All are plain rows, in proportion to the
+corpus, but for step 3: a group of G different texts costs G^2 / ``rows``
+copies of a text.
+
 Defined cases: null and empty texts have an empty set and link with nothing (each is a
 component of its own); fewer words than n make one n-gram; equal sets always
-link; repeated rows are one row each in the result, and copies of each other;
-rows with a null id are answered but linked with nothing. Other columns are
-ignored, whatever their names.
+link; very long texts are compared whole; repeated rows are one row each in the result, and
+copies of each other; rows with a null id are answered but linked with nothing; ids of other
+than whole-number types are refused. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _exchange as X
-from sparkloom.llm import _text
+from sparkloom.llm import _rows, _text
 from sparkloom.llm._graph import components, saved
 
 WORDS, PERCENT = 5, 80
@@ -84,19 +91,18 @@ def _depth(n):
     return np.maximum(n // 10, 1)
 
 
-def members(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``doc_id, n_shingles, cls`` of every row; ``cls`` is null for empty sets."""
+def members(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, n_shingles, cls`` of every row of ``id, text``; ``cls`` is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.text_slices(batches, "text"):
             sets = Sets(part["text"], words)
-            yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), pa.array(sets.n, pa.int64()), pa.array(sets.key, mask=sets.n == 0)], ["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array(sets.n, pa.int64()), pa.array(sets.key, mask=sets.n == 0)], ["doc_id", "n_shingles", "cls"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select("id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
 
 
-def frequent(docs: DataFrame, text_col: str, words: int, blocks: int, sample: int, least: int, most: int) -> np.ndarray:
+def frequent(docs: DataFrame, text_col: str, words: int, sample: int, least: int, most: int) -> np.ndarray:
     """Up to ``most`` n-grams of at least ``least`` classes of a sample of one in ``sample`` classes, sorted."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,21 +113,10 @@ def frequent(docs: DataFrame, text_col: str, words: int, blocks: int, sample: in
             taken[first] = True
             taken &= sets.key % sample == 0
             got, n = np.unique(sets.hashes[taken[sets.rows]], return_counts=True)
-            bounds = X.cut(got, blocks)
-            rows = [(i, X.pack_sorted(got[a:b]), X.planes(n[a:b])) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "hashes", "n"])
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        hashes = np.concatenate([X.unpack_sorted(r["hashes"]) for r in rows])
-        found, at = np.unique(hashes, return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([X.unplanes(r["n"]) for r in rows])).astype(np.int64)
-        kept = n >= least
-        return pa.table({"hash": found[kept].view(np.int64), "n": n[kept]})
-
-    source = docs.select(F.col(text_col).alias("text"))
-    counted = source.mapInArrow(send, "block int, hashes binary, n binary").groupBy("block").applyInArrow(count, "hash long, n long")
-    counted = saved(counted)
+            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n, pa.int64())], ["hash", "n"])
+
+    source = docs.select(F.col(f"`{text_col}`").alias("text"))
+    counted = saved(source.mapInArrow(send, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
     # from the highest counts down, as many whole counts as fit; the driver gets a histogram, then ``most`` at most
     cut, room = None, most
     for r in sorted(counted.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r["n"]):
@@ -134,80 +129,100 @@ def frequent(docs: DataFrame, text_col: str, words: int, blocks: int, sample: in
     return np.sort(top["hash"].to_numpy().view(np.uint64))
 
 
-_POSTED = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("classes", pa.binary()), ("n", pa.binary())])
-_TIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
-_FLIP = np.uint64(1 << 63)
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
+_DENSE = pa.schema([("cls", pa.int64()), ("hash", pa.int64()), ("n", pa.int64())])
 
 
 def prefixes(docs: DataFrame, text_col: str, words: int, percent: int, blocks: int, last) -> DataFrame:
-    """The prefix incidence, by block of columns."""
+    """The prefix incidence: ``block, hash, cls, n``, each class once for each slice that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = last.value
+        late, edges = last.value, X.block_edges(blocks)
         for part in _text.text_slices(batches, "text"):
             sets = Sets(part["text"], words)
-            classes, first = np.unique(sets.key[sets.n > 0], return_index=True)
-            first = np.flatnonzero(sets.n > 0)[first]
-            owner = np.full(len(sets.n), -1)
-            owner[first] = np.arange(len(first))
-            hot = np.isin(sets.hashes, late, assume_unique=False).astype(np.int64) if len(late) else np.zeros(len(sets.hashes), np.int64)
+            some = np.flatnonzero(sets.n > 0)
+            _, first = np.unique(sets.key[some], return_index=True)
+            chosen = np.zeros(len(sets.n), bool)
+            chosen[some[first]] = True
+            hot = np.isin(sets.hashes, late).astype(np.int64) if len(late) else np.zeros(len(sets.hashes), np.int64)
             order = np.argsort(_small_ints(sets.rows * 2 + hot), kind="stable")
             rows = sets.rows[order]
             place = np.arange(len(rows)) - sets.offsets[rows]
             n = sets.n[rows]
-            kept = (owner[rows] >= 0) & (place < n - _need(n, percent) + _depth(n))
-            hashes, who = sets.hashes[order][kept], owner[rows[kept]]
-            order = np.argsort(hashes, kind="stable")
-            hashes, who = hashes[order], who[order]
-            bounds = X.cut(hashes, blocks)
-            if len(hashes):
-                head = X.pack_sorted(classes.view(np.uint64) ^ _FLIP), X.planes(sets.n[first])
-                rows = [(i, X.pack_sorted(hashes[a:b]), X.planes(who[a:b]), *head) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-                yield pa.RecordBatch.from_pylist([dict(zip(_POSTED.names, r, strict=True)) for r in rows], schema=_POSTED)
+            kept = chosen[rows] & (place < n - _need(n, percent) + _depth(n))
+            hashes, rows = sets.hashes[order][kept], rows[kept]
+            block = np.searchsorted(edges, hashes, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(hashes.view(np.int64)), pa.array(sets.key[rows]), pa.array(sets.n[rows].astype(np.int32))], ["block", "hash", "cls", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "block int, hashes binary, owners binary, classes binary, n binary")
+    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "block int, hash long, cls long, n int")
 
 
-def _product(percent: int, dense: int, room: int = 500_000):
-    """One block of columns: partial overlaps of pairs of classes, and stars (``shared`` 0) of dense columns."""
+class Incidence:
+    """One block of columns: the classes of each column, by column; ``starts`` and ``length`` of the columns."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        hashes, owner, names, sizes = [], [], [], []
-        for r in table.to_pylist():
-            classes = (X.unpack_sorted(r["classes"]) ^ _FLIP).view(np.int64)
-            hashes.append(X.unpack_sorted(r["hashes"]))
-            owner.append(classes[X.unplanes(r["owners"]).astype(np.int64)])
-            names.append(classes)
-            sizes.append(X.unplanes(r["n"]).astype(np.int64))
-        classes, first = np.unique(np.concatenate(names), return_index=True)
-        n = np.concatenate(sizes)[first]
-        who = np.searchsorted(classes, np.concatenate(owner))
-        column = np.concatenate(hashes)
+    def __init__(self, table: pa.Table):
+        cls, column = table["cls"].to_numpy(), table["hash"].to_numpy()
+        self.classes, first, who = np.unique(cls, return_index=True, return_inverse=True)
+        self.n = table["n"].to_numpy()[first].astype(np.int64)
         order = np.lexsort((who, column))
         column, who = column[order], who[order]
         new = np.concatenate([[True], (column[1:] != column[:-1]) | (who[1:] != who[:-1])])  # copies in several slices
-        column, who = column[new], who[new]
-        starts = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
-        length = np.diff(np.append(starts, len(column)))
+        self.column, self.who = column[new], who[new]
+        self.starts = np.flatnonzero(np.concatenate([[True], self.column[1:] != self.column[:-1]]))
+        self.length = np.diff(np.append(self.starts, len(self.column)))
+
+
+def _product(percent: int, dense: int, room: int = 500_000):
+    """Partial overlaps of the pairs of classes of one block of columns."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x = Incidence(table)
         pairs, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for m in np.unique(length[(length > 1) & (length <= dense)]).tolist():
-            own, (i, j) = starts[length == m], np.triu_indices(m, 1)
+        for m in np.unique(x.length[(x.length > 1) & (x.length <= dense)]).tolist():
+            own, (i, j) = x.starts[x.length == m], np.triu_indices(m, 1)
             step = max(1, room // len(i))
             for at in range(0, len(own), step):
-                block = who[own[at : at + step, None] + np.arange(m)]
+                block = x.who[own[at : at + step, None] + np.arange(m)]
                 a, b = block[:, i].ravel(), block[:, j].ravel()
-                fits = percent * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b])
-                pairs, counts = _added(pairs, counts, a[fits] * len(classes) + b[fits])
-        a, b = pairs // len(classes), pairs % len(classes)
-        stars = [(who[s], who[s + 1 : s + m]) for s, m in zip(starts[length > dense].tolist(), length[length > dense].tolist(), strict=True)]
-        if stars:
-            tied = np.unique(np.concatenate([np.int64(s) * len(classes) + rest for s, rest in stars]))
-            a, b, counts = np.append(a, tied // len(classes)), np.append(b, tied % len(classes)), np.append(counts, np.zeros(len(tied), np.int64))
-        return pa.Table.from_arrays([pa.array(classes[a]), pa.array(classes[b]), pa.array(counts), pa.array(n[a]), pa.array(n[b])], schema=_TIED)
+                fits = percent * np.maximum(x.n[a], x.n[b]) <= 100 * np.minimum(x.n[a], x.n[b])
+                pairs, counts = _added(pairs, counts, a[fits] * len(x.classes) + b[fits])
+        a, b = pairs // len(x.classes), pairs % len(x.classes)
+        return pa.Table.from_arrays([pa.array(x.classes[a]), pa.array(x.classes[b]), pa.array(counts), pa.array(x.n[a]), pa.array(x.n[b])], schema=_PAIRS)
 
     return run
 
 
+def _dense(dense: int):
+    """The entries of the dense columns of one block."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x = Incidence(table)
+        on = np.repeat(x.length > dense, x.length)
+        return pa.Table.from_arrays([pa.array(x.classes[x.who[on]]), pa.array(x.column[on]), pa.array(x.n[x.who[on]])], schema=_DENSE)
+
+    return run
+
+
+def candidates(posted: DataFrame, percent: int, dense: int) -> DataFrame:
+    """``u, v``: pairs of classes that reach the bound, and stars of those that dense columns alone might link."""
+    by_block = posted.groupBy("block")
+    depth = lambda n: F.greatest(F.floor(n / 10), F.lit(1))
+    heavy = by_block.applyInArrow(_dense(dense), "cls long, hash long, n long")
+    heavy = saved(heavy)
+    many = saved(heavy.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")))
+    k = lambda side: many.select(F.col("cls").alias(side), F.col("k").alias(f"k{side}"))
+    overlaps = by_block.applyInArrow(_product(percent, dense), "a long, b long, shared long, na long, nb long")
+    overlaps = overlaps.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.least(F.first("na"), F.first("nb")).alias("n"))
+    bound = depth(F.col("n")) - F.coalesce(F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))), F.lit(0))
+    pairs = overlaps.join(k("a"), "a", "left").join(k("b"), "b", "left").filter(F.col("shared") >= bound).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # the smallest partner of a class of n n-grams has percent n / 100 of them
+    able = many.filter(F.col("k") >= depth(F.floor(F.col("n") * percent / 100))).select("cls")
+    tied = heavy.join(able, "cls").select("cls", "hash")
+    hubs = tied.groupBy("hash").agg(F.min("cls").alias("hub"))
+    stars = tied.join(hubs, "hash").filter("hub <> cls").select(F.col("hub").alias("u"), F.col("cls").alias("v")).distinct()
+    return pairs.unionByName(stars)
+
+
 def _added(pairs: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     got, n = np.unique(more, return_counts=True)
     if not len(pairs):
@@ -304,17 +319,12 @@ def ngram_jaccard(
     """
     total = X.text_bytes(docs, text_col)
     blocks = X.sized(docs, total, 3 * slice_bytes)
-    own = saved(members(docs, id_col, text_col, words))
+    docs = docs.select(_rows.whole_ids(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    own = saved(members(docs, words))
     classes = own.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    last = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, words, blocks, sample, least, most))  # 8 bytes each, ``most`` at most
-    named = docs.filter(F.col(id_col).isNotNull())
-    posted = prefixes(named, text_col, words, percent, blocks, last)
-    partial = posted.groupBy("block").applyInArrow(_product(percent, dense), "a long, b long, shared long, na long, nb long")
-    bound = F.greatest(F.floor(F.least("na", "nb") / 10), F.lit(1))
-    tied = (
-        partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("shared").alias("star"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        .filter((F.col("star") == 0) | (F.col("shared") >= bound)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    )
+    last = docs.sparkSession.sparkContext.broadcast(frequent(docs, "text", words, sample, least, most))  # 8 bytes each, ``most`` at most
+    posted = prefixes(docs.filter("id is not null"), "text", words, percent, blocks, last)
+    tied = candidates(posted, percent, dense)
     group = components(tied).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     size = group.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     parts = F.when(F.col("size") <= 2 * rows, 1).otherwise(F.ceil(F.col("size") / rows)).cast("int")
@@ -323,7 +333,7 @@ def ngram_jaccard(
     placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
     tasks = X.sized(docs, total, slice_bytes)
     placed = placed.withColumn("task", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(tasks)).cast("int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col("id").alias("rep"), "text")
     ready = texts.join(placed, "rep").select("task", "comp", "i", "j", "own", "parts", "cls", "copies", "text")
     found = saved(ready.groupBy("task").applyInArrow(_verify(words, percent), "cls long, root long, links long, parts int"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
@@ -337,9 +347,8 @@ def ngram_jaccard(
     per_class = saved(classes.join(links, "cls", "left").join(answer, "cls", "left").select(
         "cls", F.coalesce(F.least("least", "rep"), "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     ))
-    return own.withColumn("__cls", F.when(F.col("doc_id").isNotNull(), F.col("cls"))).join(per_class.withColumnRenamed("cls", "__cls"), "__cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
-    )
+    answered = own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(per_class, "cls", "left")
+    return answered.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -348,7 +357,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id stay.
     """
     found = ngram_jaccard(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).withColumn("__id", F.col(id_col).cast("long"))
-    one = named.join(kept, F.col("__id") == F.col("__kept"), "left_semi").dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    rows = _rows.packed(docs.filter(F.col(f"`{id_col}`").isNotNull()), doc_id=id_col)
+    one = rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _rows.unpacked(one, docs).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
