@@ -182,9 +182,10 @@ def train(
         return Model(base=base)
     share = {c: _SHARE if n <= max_train_docs else int(_SHARE * max_train_docs / n) for c, n in there.items()}
     told = told.filter(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(_SHARE)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(told, "id")
+    # the ids are about ``max_train_docs`` a class, so they can go to every executor and the texts stay where they are
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(told), "id")
     # equal texts are on the same side of the cut
-    sample = sample.select("toxic", "text").distinct().withColumn("curve", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(4)) == 0)
+    sample = saved(sample.select("toxic", "text").distinct().withColumn("curve", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(4)) == 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.text_slices(batches, "text"):
