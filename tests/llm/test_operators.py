@@ -144,24 +144,41 @@ def test_token_counts(spark, docs, rows):
     r = random.Random(5)
     pool = ["<|endoftext|>", " ", "  ", "\n", "'s", "'LL", "\u2003", "é", "日本", "😀", "12", "²", "_", "-", "\x1c", "\x85", "a", "\x00", "ǅ", "x<|endo", "\r\n", "ɐ", "The", "zzzq"]
     texts = ["".join(r.choices(pool, k=r.randint(0, 14))) for _ in range(3000)] + [x[1] for x in rows] + ["word " * 3000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = spark.createDataFrame([(i, x, -1, "x") for i, x in enumerate(texts)], "doc_id long, text string, n_tokens long, n_bytes string")
     got = by_id(token_counts.token_counts(df, BPE), "n_bytes", "n_tokens", "over_limit")
     for i, x in enumerate(texts):
         n = len(t.encode(x or "", add_special_tokens=False).ids)
         assert got[i] == (len((x or "").encode()), n, n > 1024), repr(x)
 
 
-def test_piece_classes_match_unicode():
-    import regex
+def test_token_counts_of_every_script():
+    """Any code points at all, in the library's own version of Unicode."""
+    from tokenizers import Tokenizer
+
+    t, counter, r = Tokenizer.from_file(BPE), token_counts.Counter(token_counts.prove(BPE)), random.Random(8)
+    areas = [(0x20, 0x7F), (0x80, 0x250), (0x250, 0x590), (0x590, 0x900), (0x900, 0x1100), (0x1100, 0x2000), (0x2000, 0x3000), (0x3000, 0xA000), (0xA000, 0xD800), (0xE000, 0x10000), (0x10000, 0x20000), (0x20000, 0x110000)]
+    for _ in range(4000):
+        text = "".join(r.choice([" ", "'s", "\n", "a", "1"]) if r.random() < 0.3 else chr(r.randrange(*r.choice(areas))) for _ in range(r.randint(1, 12)))
+        assert counter.count(text) == len(t.encode(text, add_special_tokens=False).ids), repr(text)
 
-    for name, own in ((r"\p{L}", token_counts._LETTER), (r"\p{N}", token_counts._NUMBER)):
-        import re
 
-        assert [c for c in map(chr, range(0x250)) if regex.match(name, c)] == [c for c in map(chr, range(0x250)) if re.match(f"[{own}]", c)]
+def test_the_shortcut_is_taken_for_every_script():
+    """A second text of the same words merges nothing, and words of the vocabulary never do."""
+    counter = token_counts.Counter(token_counts.prove(BPE))
+    assert counter.count("the man said that “the man” was here — and … there") and counter.counts.merges <= 2
+    for text in ("“quoted” – it’s the man’s", "старик и море, старик и море", "老人与海 老人与海", "😀 the 😀 man", "café naïve"):
+        counter.count(text)
+        before = counter.counts.merges
+        counter.count(text)
+        assert counter.counts.merges == before
+    small = token_counts.Counter(token_counts.prove(BPE), room=500)
+    for i in range(200):
+        small.count(f"zq{i}xv")
+    assert small.counts.room >= 0 and len(small.counts) < len(counter.counts) + 10
 
 
 def test_whole_tokens_are_proven():
-    counter = token_counts.Counter(BPE)
+    counter = token_counts.Counter(token_counts.prove(BPE))
     assert len(counter.counts) > 49_000 and all(counter.tokenizer.encode(p).ids.__len__() == 1 for p in random.Random(2).sample(sorted(counter.counts), 300) if not p.startswith("<|"))
 
 
