@@ -18,12 +18,13 @@ is small enough for a running sum. So no source, however large, is sorted or
 summed in one task.
 
 Only per-source and per-digit sums reach the driver: at most ``most_sources`` sources
-(checked) times the digits.
+(checked) times the digits. What is worked out for each source goes back as a small
+table, one row a source, that is joined to the rows.
 
 Defined cases: a null source is a source of its own; null and empty texts have 0
 tokens and come with every epoch that is taken whole, and with the last one if it
 is cut after them; rows are told apart by their id, so rows that repeat an id are
-taken together; an empty table gives an empty mix. The input's columns are
+taken together; very long texts count all their words; an empty table gives an empty mix. The input's columns are
 returned as they are, with ``mix_epoch``, ``mix_block``, ``mix_key``,
 ``mix_tokens`` and ``mix_weight`` behind them (in place of columns of these names).
 """
@@ -35,6 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm import _rows
 from sparkloom.llm._graph import saved
 
 ADDED = ("mix_epoch", "mix_block", "mix_key", "mix_tokens", "mix_weight")
@@ -89,6 +91,17 @@ def _key(epoch: Column, id_column: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(id_column.cast("string"), F.lit("?"))).cast("binary"))
 
 
+def _table(rows: DataFrame, values: dict, names: str) -> DataFrame:
+    """``s`` and the values of each source. One row a source, and their number was checked, so every executor can have it."""
+    kind = rows.schema["s"].dataType.simpleString()
+    return F.broadcast(rows.sparkSession.createDataFrame([(s, *v) for s, v in values.items()], f"s {kind}, {names}"))
+
+
+def _with(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of the table's sources with their values; a null source is one like others."""
+    return rows.join(table.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
+
+
 def _cuts(rows: DataFrame, left: dict, small: int) -> dict:
     """For each source with a rest, ``(taken prefix, tokens before it)``: keys below the prefix are taken whole.
 
@@ -101,12 +114,8 @@ def _cuts(rows: DataFrame, left: dict, small: int) -> dict:
     depth = 0
     while open_ and depth < 16:
         depth += _STEP
-        now = [(prefix[s], s) for s in open_]
-        inside = None
-        for p, s in now:
-            this = F.col("s").eqNullSafe(F.lit(s)) & F.col("key").startswith(p)
-            inside = this if inside is None else inside | this
-        sums = rows.filter(inside).groupBy("s", F.substring("key", 1, depth).alias("digits")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+        inside = _with(rows, _table(rows, {s: (prefix[s],) for s in open_}, "prefix string")).filter(F.col("key").startswith(F.col("prefix")))
+        sums = inside.groupBy("s", F.substring("key", 1, depth).alias("digits")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
         by: dict = {}
         for r in sums:
             by.setdefault(r["s"], []).append((r["digits"], r["n"], r["rows"]))
@@ -129,8 +138,9 @@ def mix(
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", most_sources: int = 10_000, small: int = 2_000,
 ) -> DataFrame:
     """One row for each time a row of ``docs`` is drawn."""
-    measured = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).withColumn("mix_tokens", tokens(F.col(text_col)))
-    light = saved(measured.select(F.col(source_col).alias("s"), F.col(id_col).alias("id"), F.col("mix_tokens").alias("n")))
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
+    measured = _rows.packed(own, id=id_col, s=source_col, text=text_col).withColumn("n", tokens(F.col("text"))).drop("text")
+    light = saved(measured.select("s", "id", "n"))
     totals = light.groupBy("s").agg(F.sum("n").alias("n")).limit(most_sources + 1).collect()
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
@@ -140,36 +150,14 @@ def mix(
     full = {s: quota[s] // n if n else int(budget is None) for s, n in sizes.items()}
     rest = {s: quota[s] - full[s] * n for s, n in sizes.items() if n}
     rest = {s: n for s, n in rest.items() if n > 0}
-    source = F.col(source_col)
-
-    def of(values: dict, other) -> Column:
-        out = F.lit(other)
-        for s, v in values.items():
-            out = F.when(source.eqNullSafe(F.lit(s)), F.lit(v)).otherwise(out)
-        return out
-
-    weighted = measured.withColumn("mix_weight", of(shares, 0.0))
-    epochs = weighted.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), of(full, 0) - 1))).filter(of(full, 0) > 0) if any(full.values()) else weighted.withColumn("mix_epoch", F.lit(0)).filter(F.lit(False))
-    taken = epochs.filter(F.col("mix_epoch") >= 0).withColumn("mix_key", _key(F.col("mix_epoch"), F.col(id_col), seed))
-    if rest:
-        last = weighted.filter(_any(source, rest)).withColumn("mix_epoch", of(full, 0)).withColumn("mix_key", _key(F.col("mix_epoch"), F.col(id_col), seed))
-        epoch = F.lit(0)
-        for s, v in full.items():
-            epoch = F.when(F.col("s").eqNullSafe(F.lit(s)), F.lit(v)).otherwise(epoch)
-        cuts = _cuts(light.select("s", _key(epoch, F.col("id"), seed).alias("key"), "n"), rest, small)
-        prefix = of({s: c[0] for s, c in cuts.items()}, "")
-        left = of({s: rest[s] - c[1] for s, c in cuts.items()}, 0)
-        whole_part = last.filter(F.col("mix_key") < prefix)
-        edge = last.filter(F.col("mix_key").startswith(prefix) & (F.length(prefix) > 0))
-        order = Window.partitionBy(source_col).orderBy("mix_key").rangeBetween(Window.unboundedPreceding, 0)
-        edge = edge.withColumn("__sum", F.sum("mix_tokens").over(order)).filter(F.col("__sum") <= left).drop("__sum")
-        taken = taken.unionByName(whole_part).unionByName(edge)
-    names = [c for c in docs.columns if c not in ADDED]
-    return taken.withColumn("mix_block", F.substring("mix_key", 1, BLOCK_DIGITS)).select(*[F.col(f"`{c}`") for c in names], *ADDED)
-
-
-def _any(source: Column, values: dict) -> Column:
-    out = F.lit(False)
-    for s in values:
-        out = out | source.eqNullSafe(F.lit(s))
-    return out
+    keyed = lambda df: df.withColumn("key", _key(F.col("epoch"), F.col("id"), seed))
+    cuts = _cuts(keyed(_with(light, _table(light, {s: (full[s],) for s in rest}, "epoch int"))), rest, small)
+    values = {s: (shares[s], full[s], *((cuts[s][0], rest[s] - cuts[s][1]) if s in cuts else ("", 0))) for s in sizes}
+    known = _with(measured, _table(measured, values, "weight double, full int, prefix string, left long"))
+    whole_epochs = keyed(known.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1))))
+    last = keyed(known.filter("prefix <> ''").withColumn("epoch", F.col("full")))
+    order = Window.partitionBy("s").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
+    edge = last.filter(F.col("key").startswith(F.col("prefix"))).withColumn("upto", F.sum("n").over(order)).filter("upto <= left").drop("upto")
+    taken = whole_epochs.unionByName(last.filter("key < prefix")).unionByName(edge)
+    added = (F.col("epoch"), F.substring("key", 1, BLOCK_DIGITS), F.col("key"), F.col("n"), F.col("weight"))
+    return _rows.unpacked(taken, own, tuple(c.alias(name) for c, name in zip(added, ADDED, strict=True)))

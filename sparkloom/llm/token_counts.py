@@ -55,6 +55,7 @@ def whole_tokens(model, vocabulary: dict[str, int]) -> dict[str, int]:
     return out
 
 
+HIGH = 0x250
 #: All characters but the planes that hold none (4 to 13) and those for private use, which are symbols.
 _ASKED = [chr(i) for i in (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000))]
 
@@ -81,6 +82,15 @@ def _ranges(chars: set[str]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
+def _pattern(letters: set[str], numbers: set[str], spaces: set[str]) -> str:
+    """The alternatives of byte-level BPE's pre-tokenisation."""
+    letter, number, space = _ranges(letters), _ranges(numbers), _ranges(spaces)
+    return (
+        rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+"
+        rf"|[{space}]+(?![^{space}])|[{space}]+"
+    )
+
+
 @dataclass
 class Proof:
     """What is proven about a tokenizer file. ``fits`` is false where texts must go through the library whole."""
@@ -89,6 +99,7 @@ class Proof:
     fits: bool
     whole: dict[str, int] = field(default_factory=dict)
     pieces: str = ""
+    low: str = ""  # the same for texts without characters from ``HIGH`` on; small classes are faster
     special: str = ""
 
 
@@ -112,15 +123,11 @@ def prove(path: str) -> Proof:
     for sign in "a1!":
         classes.append(_joins(tokenizer.pre_tokenizer, sign, left))
         left = [c for c in left if c not in classes[-1]]
-    letter, number, space = _ranges(classes[0]), _ranges(classes[1]), _ranges(set(left))
-    # The alternatives of byte-level BPE's pre-tokenisation.
-    pieces = (
-        rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+"
-        rf"|[{space}]+(?![^{space}])|[{space}]+"
-    )
+    sets = [classes[0], classes[1], set(left)]
+    pieces, low = _pattern(*sets), _pattern(*({c for c in s if ord(c) < HIGH} for s in sets))
     # the library takes the leftmost, and of those the longest, special string
     strings = sorted((a["content"] for a in added), key=len, reverse=True)
-    return Proof(path, True, whole_tokens(tokenizer.model, model["vocab"]), pieces, "|".join(map(re.escape, strings)))
+    return Proof(path, True, whole_tokens(tokenizer.model, model["vocab"]), pieces, low, "|".join(map(re.escape, strings)))
 
 
 class PieceCounts(dict):
@@ -149,7 +156,8 @@ class Counter:
         self.tokenizer, self.fits = Tokenizer.from_file(proof.path), proof.fits
         if self.fits:
             self.counts = PieceCounts(self.tokenizer.model, proof.whole, room)
-            self.pieces = re.compile(proof.pieces)
+            self.pieces, self.low = re.compile(proof.pieces), re.compile(proof.low)
+            self.high = re.compile(f"[{chr(HIGH)}-{chr(sys.maxunicode)}]")
             self.special = re.compile(proof.special) if proof.special else None
 
     def count(self, text: str | None) -> int:
@@ -163,7 +171,8 @@ class Counter:
         return len(parts) - 1 + sum(map(self._plain, parts))
 
     def _plain(self, text: str) -> int:
-        return sum(map(self.counts.__getitem__, self.pieces.findall(text)))
+        pattern = self.pieces if self.high.search(text) else self.low
+        return sum(map(self.counts.__getitem__, pattern.findall(text)))
 
 
 _counters: dict[str, Counter] = {}

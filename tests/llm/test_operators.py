@@ -5,6 +5,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,25 @@ def test_mixing_meets_an_entropy():
     assert mixing.solve(size, 1000, None, 1.0)[0] <= 1e-9 and mixing.solve({}, None, 2.0, None)[2] == 0
 
 
+def test_mixing_of_many_sources(spark):
+    """As many as are allowed by default: no part of the plan grows with them."""
+    rows = [(i, f"s{i % 9_999}" if i % 10_000 else None, " ".join(["w"] * (1 + i * 7919 % 23))) for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    drawn = mixing.mix(docs, max_repeats=2.0)
+    got = {r["source"]: r for r in drawn.groupBy("source").agg(F.sum("mix_tokens").alias("n"), F.first("mix_weight").alias("w")).collect()}
+    size = {}
+    for _, s, t in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    _, shares, total = mixing.solve(size, None, 2.0, None)
+    assert set(got) == set(size) and None in got
+    assert all(math.isclose(got[s]["w"], shares[s]) and shares[s] * total - 24 < got[s]["n"] <= shares[s] * total + 1e-3 for s in size)
+
+
+def test_mixing_keeps_the_values_of_all_columns(odd):
+    got = mixing.mix(odd, max_repeats=1.0)
+    same_rows(got.select(*odd.columns), odd)
+
+
 def test_mixing_odd(odd, none):
     got = mixing.mix(odd)
     assert got.columns[: len(odd.columns)] == odd.columns and got.count() >= 5
@@ -289,6 +309,41 @@ def test_ngram_jaccard(docs, rows, options):
     assert by_id(ngram_jaccard.ngram_jaccard(docs, **options), "n_shingles", "component_id", "n_links") == want
 
 
+def test_one_of_each_keeps_the_values_of_all_columns(odd):
+    same_rows(ngram_jaccard.one_of_each(odd), odd.dropDuplicates())
+
+
+def test_ngram_jaccard_of_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words[:60_000], "x", *words[60_000:]])), (3, " ".join(words[:80_000])), (4, "w1 w2")]
+    got = by_id(ngram_jaccard.ngram_jaccard(spark.createDataFrame(texts, "doc_id long, text string")), "n_shingles", "component_id")
+    assert got == {1: (119_996, 1), 2: (119_997, 1), 3: (79_996, 3), 4: (1, 4)}
+
+
+def test_ngram_jaccard_ties_no_texts_by_shared_passages(spark):
+    """Common passages make dense columns; below a tenth of a set they tie nothing together."""
+    r = random.Random(3)
+    passage = [f"p{i}" for i in range(12)]
+    texts = [(i, " ".join([f"u{i}-{k}" for k in range(100)] + passage)) for i in range(40)] + [(100 + i, f"{i} " + " ".join(passage * 3)) for i in range(9)]
+    made = spark.createDataFrame(texts, "doc_id long, text string")
+    blocks, last = 4, spark.sparkContext.broadcast(np.empty(0, np.uint64))
+    posted = ngram_jaccard.prefixes(made, "text", 5, 80, blocks, last)
+    tied = ngram_jaccard.candidates(posted, 80, 3)
+    nodes = {x for t in tied.collect() for x in (t["u"], t["v"])}
+    assert len(nodes) == 9
+    assert by_id(ngram_jaccard.ngram_jaccard(made, dense=3), "n_shingles", "component_id", "n_links") == brute.components(texts)
+
+
+def test_ngram_jaccard_exchanges_in_proportion(spark):
+    r = random.Random(2)
+    texts = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(100))) for i in range(1200)]
+    counts = []
+    for n in (300, 600, 1200):
+        last = spark.sparkContext.broadcast(np.empty(0, np.uint64))
+        counts.append(ngram_jaccard.prefixes(spark.createDataFrame(texts[:n], "doc_id long, text string"), "text", 5, 80, n // 10, last).count())
+    assert counts[1] <= 2.05 * counts[0] and counts[2] <= 2.05 * counts[1]
+
+
 def test_ngram_jaccard_odd(odd, none):
     got = ngram_jaccard.ngram_jaccard(odd).collect()
     assert sorted(str(r["component_id"]) for r in got) == ["1", "1", "1", "2", "None"]
