@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.operators.checkpoints import saved
+from sparkloom.operators.ranges import bounds, range_of
 from sparkloom.sources import Dataset
 
 POSITION, SHARD = "__position", "__shard"
@@ -75,35 +75,12 @@ def _by_column(df: DataFrame, order: str, position: str) -> tuple[DataFrame, int
     ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     key, part = _free(df, "__key"), _free(df, "__part")
     keyed = df.withColumn(key, F.struct(F.col(f"`{order}`").alias("v"), _tie(df).alias("h")))
-    bounds = _bounds(keyed.select(F.col(key).alias("k")), ranges)
-    keyed = keyed.withColumn(part, _range_of(F.col(key), bounds))
+    keyed = keyed.withColumn(part, range_of(F.col(key), bounds(keyed.select(f"{key}.v", f"{key}.h"), ranges)))
     starts, total = _starts(dict(keyed.groupBy(F.col(part).alias("p")).count().collect()))
     place = F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1
     return keyed.withColumn(position, F.get(F.lit(starts).cast("array<bigint>"), F.col(part)) + place).drop(key, part), total
 
 
-def _bounds(keys: DataFrame, ranges: int, each: int = 40) -> list:
-    """Up to ``ranges`` - 1 keys that cut a sample of some ``each`` keys a range into equal parts."""
-    n = keys.count()
-    if not n or ranges < 2:
-        return []
-    sample = keys.sample(min(1.0, each * ranges / n), seed=5).select("k.v", "k.h").orderBy("v", "h").collect()
-    return [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
-
-
-def _range_of(key: Column, bounds: list) -> Column:
-    """How many bounds are not above the key: first by group of bounds, then inside the group."""
-    if not bounds:
-        return F.lit(0)
-    wide = math.isqrt(len(bounds)) + 1
-    groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
-    made = lambda b: F.struct(F.lit(b["v"]).alias("v"), F.lit(b["h"]).alias("h"))
-    heads, inside = F.array(*[made(g[0]) for g in groups]), F.array(*[F.array(*[made(b) for b in g]) for g in groups])
-    below = lambda array: F.size(F.filter(array, lambda b: b <= key))
-    group = below(heads)
-    return F.when(group == 0, 0).otherwise((group - 1) * wide + below(F.get(inside, group - 1))).cast("int")
-
-
 def with_shard(
     df: DataFrame, num_shards: int, layout: str = "contiguous", order: str | None = None, position_col: str = POSITION, shard_col: str = SHARD
 ) -> DataFrame:
