@@ -18,15 +18,17 @@ only if its counted size is below ``table_terms``; beyond that the same join
 shuffles.
 
 Order: "the next document" is the one with the next smaller id, and after the
-last one comes the first. Documents are dealt to ranges of ids, and each range
-is handed a copy of the first document of the range after it, so no global sort
-or single task is needed. The texts are shuffled once.
+last one comes the first. Documents are dealt to ranges of ids, about ``range_bytes`` of
+text each, and each range is handed a copy of the first document of the range after it, so
+no global sort or single task is needed. The texts are shuffled once.
 
 Defined cases: a null text is empty; a text without terms of the lexicon has
 only empty hashes, and two such texts are alike to 1 if they have the same
-distinct words, and else to 0; rows with equal ids follow each other; a null id comes last; a table of
-one row is its own next document; an empty table gives an empty result.
-Other columns are ignored, whatever their names.
+distinct words, and else to 0; very long texts are one row of one range, never cut; rows with
+equal ids follow each other by a hash of the text, and so do rows with a null id, which come
+last (so either may be cut into ranges; only rows equal in both stay together); a table of
+one row is its own next document; an empty table gives an empty result; ids of other than
+whole-number types are refused. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,12 +36,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm import _exchange as X
+from sparkloom.llm import _rows
+from sparkloom.llm._graph import saved
+from sparkloom.operators.ranges import bounds, range_of
+
 #: Levels of subsets: how many, and into how many random parts the lexicon is cut for them (powers of two).
 #: A subset is one of the first parts; which part a term is in depends on bits of its hash, others on each level.
 #: The first level has all its parts, so every term is in a subset.
 LEVELS = ((16, 16), (12, 64), (14, 256), (14, 1024))
 #: A level tells two texts apart if so many of its subsets hold a term of either.
 TELLING = 4
+#: Over how many keys a term is spread where the lexicon is joined by a shuffle.
+SALT = 32
 #: The hash of an array without elements (its seed).
 _EMPTY = 42
 
@@ -58,37 +67,26 @@ def lexicon(docs: DataFrame, low: float, high: float, text_col: str = "text") ->
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(least, most)).select("term")
 
 
-def _ranges(docs: DataFrame, count: int) -> list[int]:
-    """Ids that cut the documents into ``count`` parts of about the same size; the driver gets ``count`` numbers."""
-    got = docs.agg(F.percentile_approx("__id", [i / count for i in range(1, count)], 10_000).alias("q")).first()["q"] if count > 1 else None
-    return sorted(set(got or []))
-
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, range_bytes: int = 32 << 20) -> DataFrame:
+    """``key, id, text`` by ``part``, a range of keys, and, as ``guest``, a copy of the first document of the next range.
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
-    """``id, text, n_chars, edited`` and, as ``guest``, copies of the first document of the next range; by ``part``."""
+    Keys ascend where ids descend. The driver gets a sample of keys, and the first key of each range.
+    """
     spark = docs.sparkSession
-    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    cuts = _ranges(own, ranges)
-    # part 0 has the largest ids; nulls are in the last one
-    part = F.lit(len(cuts)) - F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("__id"))) if cuts else F.lit(0)
-    part = F.when(F.col("__id").isNull(), len(cuts)).otherwise(part).cast("int")
-    firsts = {r["part"]: r["id"] for r in own.groupBy(part.alias("part")).agg(F.max("__id").alias("id")).collect()}
+    text, id_ = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), _rows.whole_ids(docs, id_col)
+    key = F.struct(id_.isNull().alias("k0"), F.bitwise_not(id_).alias("k1"), F.xxhash64(text).alias("k2"))
+    own = docs.select(id_.alias("id"), text.alias("text"), key.alias("key"))
+    ranges = ranges or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-X.text_bytes(docs, text_col) // range_bytes))
+    dealt = own.withColumn("part", range_of(F.col("key"), bounds(own.select("key.*"), ranges))).withColumn("guest", F.lit(0))
+    firsts = {r["part"]: r["key"] for r in dealt.groupBy("part").agg(F.min("key").alias("key")).collect()}
     here = sorted(firsts)
-    after = {p: here[(i + 1) % len(here)] for i, p in enumerate(here)}  # the part before p's next
-    before: dict[int, list[int]] = {}
-    for p, q in after.items():
-        before.setdefault(q, []).append(p)
-    dealt = own.select("__id", "__text", part.alias("__part"), F.lit(0).alias("__guest"))
     if not here:
         return dealt
-    # at most one guest for each range: its id is the largest of the range it comes from
-    hosts = spark.createDataFrame([(firsts[q], q, p) for q, ps in before.items() for p in ps], "__first long, __from int, __to int")
-    guests = (
-        dealt.join(F.broadcast(hosts), (F.col("__part") == F.col("__from")) & F.col("__id").eqNullSafe(F.col("__first")))
-        .select("__id", "__text", F.col("__to").alias("__part"), F.lit(1).alias("__guest"))
-    )
-    return dealt.unionByName(guests)
+    # at most one guest for each range, though its key may be that of several equal rows
+    hosts = [(*firsts[q], q, p) for p, q in zip(here, [*here[1:], here[0]], strict=True)]
+    hosts = spark.createDataFrame(hosts, "k0 boolean, k1 long, k2 long, part int, host int").select(F.struct("k0", "k1", "k2").alias("key"), "part", "host")
+    guests = dealt.join(F.broadcast(hosts), ["part", "key"]).groupBy("host").agg(F.first("key").alias("key"), F.first("id").alias("id"), F.first("text").alias("text"))
+    return dealt.unionByName(guests.select("id", "text", "key", F.col("host").alias("part"), F.lit(1).alias("guest")))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -181,11 +179,16 @@ def _by_table(rows: DataFrame, words: DataFrame, size: int, columns: list[str])
 
 
 def _by_join(rows: DataFrame, words: DataFrame, columns: list[str]) -> DataFrame:
-    """The same for a lexicon too large for one table: terms are exploded and joined by a shuffle."""
+    """The same for a lexicon too large for one table: terms are exploded and joined by a shuffle.
+
+    A term stands in up to ``high`` of all texts, so both sides are salted: a term is spread over ``SALT`` keys.
+    """
+    words = words.select("term", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"), F.lit(True).alias("known"))
     tagged = F.flatten(F.array(*[_tagged(c, i) for i, c in enumerate(columns)]))
     exploded = rows.select(*[k for k in rows.columns if k not in columns], F.explode_outer(tagged).alias("x"))
     rest = [c for c in exploded.columns if c != "x"]
-    known = exploded.select(*rest, "x.term", "x.of").join(words.withColumn("known", F.lit(True)), "term", "left")
+    salt = F.pmod(F.xxhash64("part", "number"), F.lit(SALT)).cast("int").alias("salt")
+    known = exploded.select(*rest, "x.term", "x.of", salt).join(words, ["term", "salt"], "left")
     picks = [F.sort_array(F.collect_list(F.when(F.col("known") & (F.col("of") == i), F.col("term")))).alias(c) for i, c in enumerate(columns)]
     return known.groupBy(*rest).agg(*picks)
 
@@ -198,27 +201,27 @@ def fingerprints(
     docs: DataFrame, low: float = 0.001, high: float = 0.2, id_col: str = "doc_id", text_col: str = "text", table_terms: int = 200_000
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
-    words = lexicon(docs, low, high, text_col).persist()
+    words = saved(lexicon(docs, low, high, text_col))
     size = words.count()
-    order = Window.partitionBy("__part").orderBy(F.asc("__guest"), F.desc_nulls_last("__id"), F.asc("__text"))
+    order = Window.partitionBy("part").orderBy(F.asc("guest"), F.asc("key"), F.asc("text"))
     rows = with_next(docs, id_col, text_col)
-    following = F.coalesce(F.lead("__text").over(order), F.col("__text"))
+    following = F.coalesce(F.lead("text").over(order), F.col("text"))
     # the row number tells rows with equal ids apart
-    rows = rows.withColumn("__next", following).withColumn("__row", F.row_number().over(order))
-    rows = rows.withColumn("__edited", edited(F.col("__text"), F.col("__next")))
-    own, other = (terms(F.col(c)).alias(name) for c, name in (("__text", "own"), ("__edited", "other")))
-    keys = ["__part", "__guest", "__id", "__row"]
+    rows = rows.withColumn("next", following).withColumn("number", F.row_number().over(order))
+    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next")))
+    own, other = (terms(F.col(c)).alias(name) for c, name in (("text", "own"), ("edited", "other")))
+    keys = ["part", "guest", "id", "number"]
     kept = [*keys, "n_chars", "edited_sha256"]
-    base = rows.select(*keys, F.length("__text").cast("long").alias("n_chars"), F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), own, other)
+    base = rows.select(*keys, F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), own, other)
     # one hash of all words of each text, of the lexicon or not
     base = base.select(*kept, F.xxhash64("own").alias("a_words"), F.xxhash64("other").alias("b_words"), "own", "other")
     packed = _by_table(base, words, size, ["own", "other"]) if size <= table_terms else _by_join(base, words, ["own", "other"])
     hashed = _hashed(packed, {"own": "a", "other": "b"}).select(*kept, "a_words", "b_words", "a", "b")
-    order = Window.partitionBy("__part").orderBy("__row")
+    order = Window.partitionBy("part").orderBy("number")
     ahead = {new: F.coalesce(F.lead(c).over(order), F.col(c)) for c, new in (("a", "next"), ("a_words", "next_words"))}
-    hashed = hashed.withColumns(ahead).filter("__guest = 0")
+    hashed = hashed.withColumns(ahead).filter("guest = 0")
     return hashed.select(
-        F.col("__id").alias("doc_id"), "n_chars", "edited_sha256", _digits(F.col("a")).alias("fingerprint"), _digits(F.col("b")).alias("edited_fingerprint"),
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", _digits(F.col("a")).alias("fingerprint"), _digits(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b"), F.col("a_words") == F.col("b_words")).alias("near_edited"),
         likeness(F.col("a"), F.col("next"), F.col("a_words") == F.col("next_words")).alias("near_next"),
     )

@@ -141,3 +141,50 @@ def toxicity_model(texts, discount, least, stem_discount, least_stem, stems=(8,
 def toxicity_features(text, p, leaf_of, telling=(1, 3, 8, 20)):
     x = sorted((math.log(p(leaf_of(w), 1) / p(leaf_of(w), 0)) for w in ALNUM.findall(lower(text))), reverse=True)
     return [sum(x) / len(x), *(sum(x[:k]) / k for k in telling)] if x else [0.0] * (1 + len(telling))
+
+
+def i_match(docs, low, high, levels, telling):
+    """doc_id -> fingerprint, edited fingerprint, near_edited, near_next; ids are whole and differ."""
+    import xxhash
+
+    of_word = lambda w: xxhash.xxh64(w.encode(), seed=42).intdigest()
+
+    def of_terms(terms):
+        h = 42
+        for t in sorted(terms, key=lambda t: t - (1 << 64) if t >> 63 else t):
+            h = xxhash.xxh64(t.to_bytes(8, "little"), seed=h).intdigest()
+        return h
+
+    def terms(text):
+        return {of_word(w) for w in ALNUM.findall(text.lower())}
+
+    order = sorted(((i, t or "") for i, t in docs), reverse=True)
+    df = Counter(t for _, text in order for t in terms(text))
+    lexicon = {t for t, n in df.items() if max(2, low * len(order)) <= n <= max(2, high * len(order))}
+
+    def cells(text):
+        own, out, shift = terms(text) & lexicon, [], 0
+        for many, parts in levels:
+            out.append([{t for t in own if (t >> shift) % parts == k} for k in range(many)])
+            shift += parts.bit_length() - 1
+        return out
+
+    def shown(levels_):
+        return ".".join(format(of_terms(c) & 0xFFFFFFFF, "08X") if c else "-" for level in levels_ for c in level)
+
+    def like(a, b, x, y):
+        if x == y and any(c for level in x for c in level):
+            return 1.0
+        for k in reversed(range(len(levels))):
+            told = [(p, q) for p, q in zip(x[k], y[k], strict=True) if p or q]
+            if len(told) >= telling or (k == 0 and told):
+                return sum(p == q for p, q in told) / len(told)
+        return float(terms(a) == terms(b))
+
+    out = {}
+    for k, (i, text) in enumerate(order):
+        following, third = order[(k + 1) % len(order)][1], len(text) // 3
+        edited = text[: len(text) - third] + following[:third]
+        x, y, z = cells(text), cells(edited), cells(following)
+        out[i] = (shown(x), shown(y), like(text, edited, x, y), like(text, following, x, z))
+    return out

@@ -518,6 +518,31 @@ def test_fingerprints(docs, rows):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize(("low", "high", "size"), [(0.02, 0.9, 200_000), (0.05, 0.3, 200_000), (0.05, 0.3, 0)])
+def test_fingerprints_and_likeness(docs, rows, low, high, size):
+    got = by_id(fingerprints.fingerprints(docs, low, high, table_terms=size), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    want = brute.i_match([(r[0], r[1]) for r in rows], low, high, fingerprints.LEVELS, fingerprints.TELLING)
+    assert {i: v[:2] for i, v in got.items()} == {i: v[:2] for i, v in want.items()}
+    assert all(math.isclose(got[i][k], want[i][k]) for i in want for k in (2, 3))
+
+
+def test_fingerprints_of_null_and_repeated_ids_in_bulk(spark):
+    """They are cut into several ranges, and each row is answered."""
+    rows = [(None, f"w{i % 7} x{i} y") for i in range(200)] + [(5, f"v{i % 5} z{i}") for i in range(200)] + [(None, "same text")] * 50
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert made.count() == fingerprints.fingerprints(made, 0.0, 1.0).count()
+    dealt = fingerprints.with_next(made, ranges=12)
+    sizes = [r["count"] for r in dealt.filter("guest = 0").groupBy("part").count().collect()]
+    assert len(sizes) >= 8 and sum(sizes) == len(rows) and dealt.filter("guest = 1").count() == len(sizes)
+
+
+def test_fingerprints_of_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    texts = [(3, long), (2, long + " more"), (1, "w1 w2 other")]
+    got = by_id(fingerprints.fingerprints(spark.createDataFrame(texts, "doc_id long, text string"), 0.0, 1.0), "n_chars", "near_next")
+    assert got[3] == (len(long), 1.0) and got[2][1] < 0.2
+
+
 def test_fingerprints_by_join_are_the_same(docs):
     columns = ("fingerprint", "edited_fingerprint", "near_edited", "near_next")
     assert by_id(fingerprints.fingerprints(docs, 0.02, 0.9), *columns) == by_id(fingerprints.fingerprints(docs, 0.02, 0.9, table_terms=0), *columns)
