@@ -1,10 +1,13 @@
-"""Stupid-backoff scores, computed relationally.
+"""Stupid-backoff scores over count tables partitioned by hash.
 
-Every slice of documents (by a hash of the id) explodes its texts into n-grams
-and sends each distinct one, with its count, to the block of the hash space it
-belongs to. The blocks are the count tables, partitioned by hash: joined there with
-what the slices sent, every n-gram's count over all documents goes back to the
-slices that have it, where scores are summed per document.
+Every slice of documents explodes its texts into n-grams and sends each distinct one,
+with its count, to the block of the hash space it belongs to. The blocks are the count
+tables, partitioned by hash: joined there with what the slices sent, every n-gram's count
+over all documents goes back to the slices that have it, where scores are summed per document.
+
+The n-grams of a slice and block travel as one row, sorted and packed: as single
+rows of a join (some 150 million for 0.5 GB of Parquet, 14 bytes each, both ways) they need
+more than four times the input on disk. So the count and the join of a block are done in its task.
 
 A document is scored by all others: its own counts are taken off first, so text
 that stands nowhere else backs off instead of predicting itself.
@@ -15,14 +18,13 @@ that stands nowhere else backs off instead of predicting itself.
 An n-gram of order 3 or more is sent only where both n-grams inside it stand in
 other documents too; otherwise its own count without the document is 0 anyway.
 
-Hashes have as many bits as give a lookup a chance of about 1 in 10^5 to meet
-another n-gram, at any size of the corpus, and travel as differences.
+N-grams are told apart by 64-bit hashes, whatever the size of the corpus.
 
-Defined cases: null and empty texts have 0 words, log score 0 and a null mean;
-rows that share an id are one document's parts for counting, and are scored each;
-repeated rows so never predict each other; in a corpus of one document every word
-gets half a count; rows with a null id share one id. Other columns are ignored,
-whatever their names.
+Defined cases: null and empty texts have 0 words, log score 0 and null means;
+very long texts are scored whole, as one row of one slice; rows equal in id and text are
+one document for counting (so they never predict each other) and are scored each; in a
+corpus of one document every word gets half a count; ids of other than whole-number
+types are refused. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,20 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _exchange as X
-from sparkloom.llm import _text
+from sparkloom.llm import _rows, _text
 
 ORDER, BACKOFF = 3, 0.4
 _SENT = pa.schema([("order", pa.int32()), ("block", pa.int32()), ("slice", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_BACK = pa.schema([("__slice", pa.int32()), ("order", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
-_NULL_ID = np.iinfo(np.int64).min
+_BACK = pa.schema([("slice", pa.int32()), ("order", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
 
 
 class Level:
     """The n-grams of one order in one slice."""
 
-    def __init__(self, rolling: _text.Rolling, offsets: np.ndarray, doc: np.ndarray, order: int, bits: int):
+    def __init__(self, rolling: _text.Rolling, offsets: np.ndarray, doc: np.ndarray, order: int):
         self.starts, rows = _text.window_starts(offsets, order)
-        hashes = rolling.runs(self.starts, order) >> np.uint64(64 - bits)
+        hashes = rolling.runs(self.starts, order)
         self.hashes, self.at, self.counts = np.unique(hashes, return_inverse=True, return_counts=True)
         # how often each occurrence's n-gram stands in its own document
         key = doc[rows] * max(len(self.hashes), 1) + self.at
@@ -55,11 +56,10 @@ class Level:
         self.sent = np.ones(len(self.hashes), bool)
         self.all = np.zeros(len(self.hashes), np.int64)
 
-    def bounds(self, blocks: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, blocks: int) -> tuple[np.ndarray, np.ndarray]:
         """The hashes to send and where each block of them starts."""
         kept = self.hashes[self.sent]
-        edges = X.block_edges(blocks) >> np.uint64(64 - bits)
-        return kept, np.concatenate([[0], np.searchsorted(kept, edges), [len(kept)]])
+        return kept, X.cut(kept, blocks)
 
     def others(self) -> np.ndarray:
         """Counts in other documents, by occurrence."""
@@ -67,16 +67,15 @@ class Level:
 
 
 class Slice:
-    def __init__(self, table: pa.Table, order: int, bits: int, blocks: int):
-        ids = table["__id"].combine_chunks().fill_null(_NULL_ID).to_numpy()
-        _, self.doc = np.unique(ids, return_inverse=True)
-        flat, self.offsets = _text.words(table["__text"], _text.LOWER)
+    def __init__(self, table: pa.Table, order: int, blocks: int):
+        _, self.doc = np.unique(table["row"].to_numpy(), return_inverse=True)
+        flat, self.offsets = _text.words(table["text"], _text.LOWER)
         self.rolling = _text.Rolling(_text.word_hashes(flat))
-        self.order, self.bits, self.blocks = order, bits, blocks
+        self.order, self.blocks = order, blocks
         self.levels = {k: self._level(k) for k in range(1, min(order, 2) + 1)}
 
     def _level(self, k: int) -> Level:
-        return Level(self.rolling, self.offsets, self.doc, k, self.bits)
+        return Level(self.rolling, self.offsets, self.doc, k)
 
     def take(self, backs: list[dict]) -> None:
         """Enter counts that came back, order by order, and open the next order."""
@@ -89,7 +88,7 @@ class Slice:
             if k not in by_order and k > 2:
                 return
             level = self.levels[k]
-            _, bounds = level.bounds(self.blocks, self.bits)
+            _, bounds = level.bounds(self.blocks)
             counts = np.zeros(int(level.sent.sum()), np.int64)
             for r in by_order.get(k, []):
                 counts[bounds[r["block"]] : bounds[r["block"] + 1]] = X.unplanes(r["counts"]).astype(np.int64)
@@ -108,7 +107,7 @@ class Slice:
         out = []
         for k in orders:
             level = self.levels[k]
-            kept, bounds = level.bounds(self.blocks, self.bits)
+            kept, bounds = level.bounds(self.blocks)
             counts = level.counts[level.sent]
             out += [
                 {"order": k, "block": i, "slice": number, "hashes": X.pack_sorted(kept[a:b]), "counts": X.planes(counts[a:b])}
@@ -150,53 +149,53 @@ def _look_up(key: tuple, table: pa.Table) -> pa.Table:
     total = np.bincount(at, weights=np.concatenate([X.unplanes(r["counts"]) for r in rows])).astype(np.int64)[at]
     ends = np.cumsum([len(h) for h in hashes])
     out = [
-        {"__slice": r["slice"], "order": r["order"], "block": r["block"], "counts": X.planes(total[e - len(h) : e])}
+        {"slice": r["slice"], "order": r["order"], "block": r["block"], "counts": X.planes(total[e - len(h) : e])}
         for r, h, e in zip(rows, hashes, ends.tolist(), strict=True)
     ]
     return pa.Table.from_pylist(out, schema=_BACK)
 
 
-_OUT = "doc_id {id}, n_words long, log_score double, mean_log_score double, n_top long"
+_OUT = "doc_id long, n_words long, log_score double, mean_log_score double, n_top long, top_share double"
 
 
 def lm_scores(
-    docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 6 << 20
+    docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 10 << 20
 ) -> DataFrame:
-    """One row per input row: ``doc_id, n_words, log_score, mean_log_score, n_top``.
+    """One row per input row: ``doc_id, n_words, log_score, mean_log_score, n_top, top_share``.
 
-    ``n_top`` counts the words that an n-gram of the full order predicted.
+    ``n_top`` counts the words that an n-gram of the full order predicted; ``top_share`` is their share.
     """
-    words = F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+"))
-    size, total = docs.agg(F.sum(F.octet_length(text_col)), F.sum(words)).first()
+    text = F.col(f"`{text_col}`")
+    words = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))
+    size, total = docs.agg(F.sum(F.octet_length(text)), F.sum(words)).first()
     size, total = size or 0, total or 0
     slices = blocks = X.sized(docs, size, slice_bytes)
-    bits = min(64, max(40, size.bit_length() + 17))
-    own = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    by_slice = own.withColumn("__slice", X.slice_of(slices, F.col("__id"))).groupBy("__slice")
-    sent_type, back_type = "order int, block int, slice int, hashes binary, counts binary", "__slice int, order int, block int, counts binary"
+    own = docs.select(_rows.whole_ids(docs, id_col).alias("id"), text.alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    by_slice = own.withColumn("slice", X.slice_of(slices, F.col("id"), F.col("text"))).groupBy("slice")
+    sent_type, back_type = "order int, block int, slice int, hashes binary, counts binary", "slice int, order int, block int, counts binary"
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
-        return Slice(table, order, bits, blocks).messages(key[0].as_py(), list(range(1, min(order, 2) + 1)))
+        return Slice(table, order, blocks).messages(key[0].as_py(), list(range(1, min(order, 2) + 1)))
 
     def further(k: int):
         def send(key: tuple, table: pa.Table, backs: pa.Table) -> pa.Table:
-            own = Slice(table, order, bits, blocks)
+            own = Slice(table, order, blocks)
             own.take(backs.to_pylist())
             return own.messages(key[0].as_py(), [k]) if k in own.levels else pa.Table.from_pylist([], schema=_SENT)
 
         return send
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64()), ("n_top", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64()), ("n_top", pa.int64()), ("top_share", pa.float64())])
 
     def score(key: tuple, table: pa.Table, backs: pa.Table) -> pa.Table:
-        own = Slice(table, order, bits, blocks)
+        own = Slice(table, order, blocks)
         own.take(backs.to_pylist())
         n, log, top = own.scores(total, backoff)
-        mean = pa.array(log / np.maximum(n, 1), mask=n == 0)
-        return pa.Table.from_arrays([table["__id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(log), mean, pa.array(top)], schema=schema)
+        mean, share = (pa.array(x / np.maximum(n, 1), mask=n == 0) for x in (log, top))
+        return pa.Table.from_arrays([table["id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(log), mean, pa.array(top), share], schema=schema)
 
     backs = by_slice.applyInArrow(first, sent_type).groupBy("order", "block").applyInArrow(_look_up, back_type)
     for k in range(3, order + 1):
-        sent = by_slice.cogroup(backs.groupBy("__slice")).applyInArrow(further(k), sent_type)
+        sent = by_slice.cogroup(backs.groupBy("slice")).applyInArrow(further(k), sent_type)
         backs = backs.unionByName(sent.groupBy("order", "block").applyInArrow(_look_up, back_type))
-    return by_slice.cogroup(backs.groupBy("__slice")).applyInArrow(score, _OUT.format(id="long"))
+    return by_slice.cogroup(backs.groupBy("slice")).applyInArrow(score, _OUT)

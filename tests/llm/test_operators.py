@@ -75,6 +75,16 @@ def test_lm_scores(docs, rows, order):
         assert (got[i][3] is None) == (n == 0)
 
 
+def test_lm_scores_of_a_very_long_text_and_repeated_rows(spark):
+    words = [f"w{i * 7919 % 40_009}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[500:560])), (3, "a b c"), (3, "a b c"), (None, "a b d"), (None, "a b d"), (4, "")]
+    got = lm_scores(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, slice int, row string")).collect()
+    assert [r["top_share"] for r in got if r["doc_id"] == 2] == [58 / 60] and [r["n_top"] for r in got if r["doc_id"] == 1] == [116]
+    # equal rows are one document, so the third word of each is in no other
+    assert {(r["n_words"], r["n_top"]) for r in got if r["doc_id"] in (3, None)} == {(3, 0)} and len(got) == 7
+    assert [r["mean_log_score"] for r in got if r["doc_id"] == 4] == [None]
+
+
 def test_lm_scores_odd(odd, none):
     assert lm_scores(odd).count() == 5 and lm_scores(none).count() == 0
 
