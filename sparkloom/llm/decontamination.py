@@ -2,20 +2,23 @@
 
 Every shard (a slice of the documents) gets an array of its word suffixes in
 sorted order. Every suffix of every benchmark item is searched in it by bisection, one
-word deeper each round, which gives the longest verbatim match and all of its
-places. Matches of a whole window (10 words, or the whole of a shorter item)
+word deeper each round until nothing matches, which gives the longest verbatim match and
+all of its places. Matches of a whole window (10 words, or the whole of a shorter item)
 mark the words they cover.
 
 The array is sparse: a suffix that opens with a word no item has cannot match,
-so it is left out. The benchmark goes to the workers in blocks of bounded size
-(``block_bytes``); more blocks mean more passes over the shards, and a document
-is hit if it is in any of them.
+so it is left out. Windows that match the same places are one class, and classes with the
+same items one set, so a passage shared by K items and M places takes K + M entries.
+
+The benchmark goes to the workers in blocks of ``block_bytes``, and no more than
+``pass_bytes`` of it at a time: a larger benchmark takes several passes over the documents,
+each written to the shared folder before the next. A text is cut into words once a pass.
 
 Defined cases: null and empty texts have no words, are not contaminated and
 have no items; null item texts have no windows; rows with a null item id are
 not searched for; equal item ids are one item; repeated documents are answered
-each; without items nothing is hit. Null document ids are kept. Other columns
-are ignored, whatever their names.
+each; very long texts are one shard, never cut; without items nothing is hit. Null document
+ids are kept. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from sparkloom.llm import _text
+from sparkloom.llm import _rows, _text
+from sparkloom.llm._graph import saved
 
 ITEM_WINDOW = 10
 _SCHEMA = "n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest long"
@@ -78,7 +82,7 @@ def suffix_array(ranks: np.ndarray, depth: int) -> np.ndarray:
 class Shard:
     """The suffix array of one slice of documents, for one block of items."""
 
-    def __init__(self, hashes: np.ndarray, offsets: np.ndarray, items: Items, depth: int):
+    def __init__(self, hashes: np.ndarray, offsets: np.ndarray, items: Items):
         at = np.minimum(np.searchsorted(items.vocabulary, hashes), max(len(items.vocabulary) - 1, 0))
         known = items.vocabulary[at] == hashes if len(items.vocabulary) else np.zeros(len(hashes), bool)
         # a mark after each document keeps suffixes from running into the next one
@@ -86,7 +90,7 @@ class Shard:
         self.ranks = np.zeros(len(hashes) + len(offsets), np.int64)
         place = np.arange(len(hashes)) + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         self.ranks[place] = np.where(known, at + 1, 0)
-        self.order = suffix_array(self.ranks, depth)
+        self.order = suffix_array(self.ranks, int(np.diff(items.offsets).max(initial=1)))
 
     def search(self, items: Items) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each depth, the suffixes of items that still match, and their ranges in the array."""
@@ -123,36 +127,34 @@ def _flat_ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - low, size), which
 
 
-def match(texts, items: Items, width: int) -> list[tuple[int, list[tuple[int, int]], list[str], int]]:
-    """For each text: words, spans of words inside windows of items, the items, the longest match in words."""
-    flat, offsets = _text.words(texts, _text.LOWER_ALNUM)
-    shard = Shard(_text.word_hashes(flat), offsets, items, width)
+Found = tuple[list[tuple[int, int]], list[str], int]
+
+
+def match(hashes: np.ndarray, offsets: np.ndarray, items: Items, width: int) -> list[Found]:
+    """For each text: spans of words inside windows of items, the items, the longest match in words."""
+    shard = Shard(hashes, offsets, items)
     n = len(offsets) - 1
     item_of = np.repeat(np.arange(len(items.names)), np.diff(items.offsets))
     size = np.diff(items.offsets)
     edges = np.zeros(len(shard.ranks) + 1, np.int64)
     found: list[np.ndarray] = []
-    longest = np.zeros(n, np.int64)
     deepest = np.zeros(len(shard.order), np.int64)  # by place in the array
     row_of = np.repeat(np.arange(n + 1), np.append(np.diff(shard.offsets), 1))[: len(shard.ranks)]
     for depth, suffix, low, high in shard.search(items):
+        # ranges of one depth are equal or apart
+        first = np.unique(low, return_index=True)[1]
+        deepest[_flat_ranges(low[first], high[first])[0]] = depth
         whole = (depth == width) | ((depth < width) & (size[item_of[suffix]] == depth))
-        if depth > width:  # the array is sorted to ``width`` words; longer matches are followed one by one
-            break
-        # a difference array: ranges overlap, and a frequent word has many places
-        bounds = np.bincount(low, minlength=len(deepest) + 1) - np.bincount(high, minlength=len(deepest) + 1)
-        deepest[np.cumsum(bounds)[:-1] > 0] = depth
-        places, which = _flat_ranges(low[whole], high[whole])
-        if len(places):
-            starts = shard.order[places]
-            np.add.at(edges, starts, 1)
-            np.add.at(edges, starts + depth, -1)
-            rows = row_of[starts]
-            found.append(np.unique(rows * len(items.names) + item_of[suffix[whole][which]]))
-            if depth == width:
-                _extend(shard, items, suffix[whole][which], starts, rows, depth, longest)
-    some = np.flatnonzero(deepest)
-    np.maximum.at(longest, row_of[shard.order[some]], deepest[some])
+        if not whole.any():
+            continue
+        _, first, cls = np.unique(low[whole], return_index=True, return_inverse=True)
+        places, of_class = _flat_ranges(low[whole][first], high[whole][first])
+        starts = shard.order[places]
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + depth, -1)
+        found.append(_pairs(row_of[starts], of_class, cls, item_of[suffix[whole]], len(items.names)))
+    longest = np.zeros(n + 1, np.int64)
+    np.maximum.at(longest, row_of[shard.order], deepest)
     hit = np.cumsum(edges)[:-1] > 0
     pairs = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
     of_row = np.split(pairs % max(len(items.names), 1), np.searchsorted(pairs // max(len(items.names), 1), np.arange(1, n)))
@@ -162,19 +164,23 @@ def match(texts, items: Items, width: int) -> list[tuple[int, list[tuple[int, in
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     for r, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True):
         spans[r].append((a - int(shard.offsets[r]), b - int(shard.offsets[r])))
-    words = np.diff(offsets)
-    return [(int(words[i]), spans[i], [items.names[j] for j in of_row[i]] if n else [], int(longest[i])) for i in range(n)]
+    return [(spans[i], [items.names[j] for j in of_row[i]] if n else [], int(longest[i])) for i in range(n)]
 
 
-def _extend(shard: Shard, items: Items, suffix, starts, rows, depth: int, longest: np.ndarray) -> None:
-    """Follow matches of ``depth`` words to their ends."""
-    left = np.repeat(items.offsets[1:], np.diff(items.offsets)) - np.arange(len(items.words))
-    while len(starts):
-        on = left[suffix] > depth
-        suffix, starts, rows = suffix[on], starts[on], rows[on]
-        on = shard.ranks[np.minimum(starts + depth, len(shard.ranks) - 1)] == items.words[np.minimum(suffix + depth, len(items.words) - 1)]
-        suffix, starts, rows, depth = suffix[on], starts[on], rows[on], depth + 1
-        np.maximum.at(longest, rows, depth)
+def _pairs(rows: np.ndarray, of_class: np.ndarray, cls: np.ndarray, item: np.ndarray, many: int) -> np.ndarray:
+    """Distinct row * many + item, from the rows of each class and the items of each class.
+
+    Classes with equal items are one set first.
+    """
+    members = np.unique(cls * many + item)
+    cls, item = members // many, members % many
+    key = np.zeros(int(cls[-1]) + 1, np.uint64)
+    np.add.at(key, cls, _text.mix(item.astype(np.uint64) + np.uint64(1)))
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    pairs = np.unique(rows * len(first) + number[of_class])
+    row, one = pairs // len(first), first[pairs % len(first)]  # a class that stands for the set
+    at, which = _flat_ranges(np.searchsorted(cls, one), np.searchsorted(cls, one, side="right"))
+    return np.unique(row[which] * many + item[at])
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[Items]:
@@ -189,44 +195,63 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, width: int = ITEM_WINDOW, block_bytes: int = 8 << 20,
+    docs: DataFrame, benchmark: DataFrame, width: int = ITEM_WINDOW, block_bytes: int = 8 << 20, pass_bytes: int = 64 << 20,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: str | None = None,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_words, spans, items, longest``, and the struct column ``keep`` as it was.
 
     A narrow stage over the documents: they are not shuffled, whatever the benchmark's size.
     """
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")] + ([F.col(keep)] if keep else [])
-    source = docs.select(*columns)
-    kept = [f for f in source.schema.fields if f.name != "text"]
-    schema = StructType(kept + _parse_datatype_string(_SCHEMA).fields)
+    columns = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")] + ([F.col(f"`{keep}`").alias("row")] if keep else [])
+    found = docs.select(*columns)
+    held, room = [], pass_bytes
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        if held and room < block_bytes:
+            found = saved(_pass(found, held, width))
+            for b in held:
+                b.destroy()
+            held, room = [], pass_bytes
+        held.append(docs.sparkSession.sparkContext.broadcast(block))
+        room -= block_bytes
+    found = _pass(found, held, width).drop("text")
+    return found.withColumnRenamed("row", keep) if keep else found
+
+
+def _pass(source: DataFrame, blocks: list, width: int) -> DataFrame:
+    """The documents with what was found in these blocks, and in those before."""
+    answer = _parse_datatype_string(_SCHEMA)
+    kept = [f for f in source.schema.fields if f.name not in answer.names]
+    schema = StructType(kept + answer.fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.text_slices(batches, "text"):
-            each = [match(part["text"], b.value, width) for b in blocks]
+            flat, offsets = _text.words(part["text"], _text.LOWER_ALNUM)
+            hashes = _text.word_hashes(flat)
+            each = [match(hashes, offsets, b.value, width) for b in blocks]
+            if "spans" in part.column_names:
+                before = zip(*(part[c].to_pylist() for c in ("spans", "items", "longest")), strict=True)
+                each.append([([(s["start"], s["end"]) for s in spans], items, longest) for spans, items, longest in before])
             rows = each[0] if len(each) == 1 else [_joined(x) for x in zip(*each, strict=True)]
             columns = [part[f.name].combine_chunks() for f in kept]
             columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-            spans = pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], arrow.field("spans").type)
-            items = pa.array([sorted(set(r[2])) for r in rows], arrow.field("items").type)
-            values = [pa.array([r[0] for r in rows], pa.int64()), spans, items, pa.array([r[3] for r in rows], pa.int64())]
+            spans = pa.array([[{"start": a, "end": b} for a, b in r[0]] for r in rows], arrow.field("spans").type)
+            items = pa.array([sorted(set(r[1])) for r in rows], arrow.field("items").type)
+            values = [pa.array(np.diff(offsets), pa.int64()), spans, items, pa.array([r[2] for r in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(c.cast(arrow.field(f.name).type) for c, f in zip(columns, kept, strict=True)), *values], schema=arrow)
 
     return source.mapInArrow(run, schema)
 
 
-def _joined(parts) -> tuple[int, list[tuple[int, int]], list[str], int]:
+def _joined(parts: tuple[Found, ...]) -> Found:
     """One answer from the answers of several blocks."""
     spans: list[list[int]] = []
-    for a, b in sorted(s for p in parts for s in p[1]):
+    for a, b in sorted(s for p in parts for s in p[0]):
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
-    return parts[0][0], [(a, b) for a, b in spans], [i for p in parts for i in p[2]], max(p[3] for p in parts)
+    return [(a, b) for a, b in spans], [i for p in parts for i in p[1]], max(p[2] for p in parts)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -238,9 +263,7 @@ def digest(found: DataFrame) -> DataFrame:
     ).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without any hit, with their own columns."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(options.get("id_col", "doc_id")).alias("doc_id"), F.col(options.get("text_col", "text")).alias("text"))
-    found = contamination(packed, benchmark, **(options | {"id_col": "doc_id", "text_col": "text", "keep": "__row"}))
-    return found.filter(F.size("spans") == 0).select("__row.*")
-
+    found = contamination(_rows.packed(docs, doc_id=id_col, text=text_col), benchmark, keep="row", **options)
+    return _rows.unpacked(found.filter(F.size("spans") == 0), docs)
