@@ -9,15 +9,15 @@ taken by a hash of the id. Prediction reads every whole text.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
 so is every text if no row can be learned from. Ties between languages go to
-the first by name, ties between n-grams to the smaller code. Rows are scored
-one by one, so repeated rows repeat; null ids are kept. Other columns of the
+the first by name, ties between n-grams to the smaller code. Very long texts are counted
+in pieces, with the counts of the whole. More than ``max_languages`` languages are an error.
+Rows are scored one by one, so repeated rows repeat; null ids are kept. Other columns of the
 input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 _BITS = np.int64(21)
+#: Stands for the edge of a word; no code point.
+_EDGE = np.int64(0x110000)
 _PIECE = 1 << 20
-_NO_LETTER = re.compile(r"[\W\d_]")
 
 
 @functools.cache
@@ -42,40 +43,29 @@ def _letters() -> np.ndarray:
     return out
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """A long text in pieces of bounded size, cut beside a character that is no letter.
-
-    No n-gram has letters of both sides of such a cut, so the pieces' counts add up to the text's.
-    """
-    at = 0
-    while len(text) - at > _PIECE:
-        cut = _NO_LETTER.search(text, at + _PIECE, at + 2 * _PIECE)
-        end = cut.start() if cut else min(at + 2 * _PIECE, len(text))
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
-
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a text as sorted 63-bit codes, and their counts."""
-    if len(text) <= _PIECE:
-        return _grams(text)
-    parts = [_grams(p) for p in _pieces(text)]
+    text, parts = text.lower(), []
+    last = np.zeros(1, np.int64)  # the last points before this piece: an edge, then up to two
+    for at in range(0, max(len(text), 1), _PIECE):
+        points = np.frombuffer(text[at : at + _PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        points = np.where(_letters()[points], points, 0)
+        own = np.concatenate([last, points] if at + _PIECE < len(text) else [last, points, [0]])
+        own = own[~((own == 0) & np.concatenate([[False], own[:-1] == 0]))]  # one mark between words
+        # the n-grams that end in this piece; an edge has a code of its own, so no two n-grams share one
+        k, coded = len(last), np.where(own == 0, _EDGE, own)
+        two = coded[k - 1 : -1] << _BITS | coded[k:]
+        at_three = np.arange(max(k, 2), len(own))
+        at_three = at_three[own[at_three - 1] != 0]
+        three = (coded[at_three - 2] << _BITS | coded[at_three - 1]) << _BITS | coded[at_three]
+        parts.append(np.unique(np.concatenate([own[k:][own[k:] != 0], two, three]), return_counts=True))
+        last = own[-2:]
+    if len(parts) == 1:
+        return parts[0]
     codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return codes, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(codes)).astype(np.int64)
 
 
-def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    points = np.concatenate([[0], np.where(_letters()[points], points, 0), [0]])
-    points = points[~((points == 0) & np.concatenate([[False], points[:-1] == 0]))]  # one mark between words
-    if len(points) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    two = points[:-1] << _BITS | points[1:]
-    three = (two[:-1] << _BITS | points[2:])[points[1:-1] != 0]
-    return np.unique(np.concatenate([points[points != 0], two, three]), return_counts=True)
-
-
 def top(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` most frequent codes, in rank order."""
     return codes[np.argsort(-counts, kind="stable")[:size]]
@@ -117,23 +107,25 @@ def held_out(id_column: Column) -> Column:
 
 
 def train(
-    docs: DataFrame, max_train_docs: int = 2000, size: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
-) -> Profiles:
+    docs: DataFrame, max_train_docs: int = 2000, size: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    max_languages: int = 1000,
+) -> Profiles:
     """Learn profiles from rows with a language and a text that are not held out.
 
-    What reaches the driver is ``size`` n-grams a language; languages are assumed to be few.
+    What reaches the driver is ``size`` n-grams a language.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
         F.col("lang").isNotNull() & ~held_out(F.col("id"))
     )
-    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
+    if len(there) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if not there:
         return Profiles.of({}, size)
     whole = 1 << 30
-    share = {x: whole if n <= max_train_docs else int(whole * max_train_docs / n) for x, n in there.items()}
-    pick = functools.reduce(
-        lambda a, b: a | b, (((F.col("lang") == x) & (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(whole)) < s)) for x, s in share.items())
-    )
+    share = [(x, whole if n <= max_train_docs else int(whole * max_train_docs / n)) for x, n in there.items()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share long"))  # one row a language
+    picked = rows.join(shares, "lang").filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(whole)) < F.col("share"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -145,7 +137,7 @@ def train(
                     yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
 
     counted = (
-        rows.filter(pick).select("lang", "text").mapInPandas(count, "lang string, code long, n long")
+        picked.select("lang", "text").mapInPandas(count, "lang string, code long, n long")
         .groupBy("lang", "code").agg(F.sum("n").alias("n"))
     )
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("code")))

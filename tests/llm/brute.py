@@ -188,3 +188,35 @@ def i_match(docs, low, high, levels, telling):
         x, y, z = cells(text), cells(edited), cells(following)
         out[i] = (shown(x), shown(y), like(text, edited, x, y), like(text, following, x, z))
     return out
+
+
+def rank_order(texts, labelled, size):
+    """labelled: (text, lang). For each text: the language whose most frequent n-grams are least out of place, and 1 - distance / worst."""
+
+    def ranked(many):
+        n = Counter()
+        for text in many:
+            letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+            for word in letters.split():
+                # an edge is a code above all others; a lone edge is no n-gram
+                marked = [0x110000, *map(ord, word), 0x110000]
+                n.update((c,) for c in marked[1:-1])
+                n.update(zip(marked, marked[1:], strict=False))
+                n.update(zip(marked, marked[1:], marked[2:], strict=False))
+        code = lambda g: sum(c << 21 * k for k, c in enumerate(reversed(g)))
+        return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+
+    by = defaultdict(list)
+    for text, lang in labelled:
+        by[lang].append(text)
+    profiles = {lang: {g: k for k, g in enumerate(ranked(own))} for lang, own in sorted(by.items())}
+    out = []
+    for text in texts:
+        own = ranked([text])
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        apart = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(apart, key=lambda lang: apart[lang])
+        out.append((best, 1 - apart[best] / (size * len(own))))
+    return out

@@ -50,13 +50,37 @@ def test_language_id(spark):
     assert all(0 <= x["score"] <= 1 for x in got.values())
 
 
+@pytest.mark.parametrize("size", [400, 12])
+def test_language_id_against_plain_ranks(spark, size):
+    """Every prediction and score, with ties between n-grams and between languages."""
+    r = random.Random(7)
+    alphabet = {"en": "theaoin", "de": "derungsch", "xx": "abcé", "zz": "abcé"}
+    rows = [(i, "".join(r.choice([*alphabet[lang], " ", "-", "1"]) for _ in range(r.randint(0, 60))), lang) for i, lang in enumerate(r.choices(list(alphabet), k=150))]
+    rows += [(200, "ab ab", "xx"), (201, "ΑΣ ΑΣ. ΣΑ", None), (202, "İstanbul Straße", "en"), (203, None, "de"), (204, "the ", "de"), (205, "老人 the", None)]
+    # the same texts for both, so that their profiles tie
+    rows += [(300 + i, f"c{i} ab", lang) for i in range(8) for lang in ("xx", "zz")]
+    made = spark.createDataFrame([(*x, "own", 1.0) for x in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    got = sorted(tuple(x) for x in language_id.language_id(made, size=size).collect())
+    held = {x[0]: x[1] for x in got}
+    labelled = [(t, lang) for i, t, lang in rows if lang and not held[i]]
+    want = brute.rank_order([t for _, t, _ in rows], labelled, size)
+    want = sorted((i, held[i], lang, score) for (i, *_), (lang, score) in zip(rows, want, strict=True))
+    assert [(*g[:3], round(g[3], 9)) for g in got] == [(*w[:3], round(w[3], 9)) for w in want]
+
+
 def test_long_texts_are_counted_in_pieces(monkeypatch):
-    text = "The öld  man's 12 dogs_and cats, Ünd so weiter! " * 40 + "x" * 300 + " end²of it"
-    whole = language_id.grams(text)
-    monkeypatch.setattr(language_id, "_PIECE", 170)
-    pieces = language_id.grams(text)
-    assert len(list(language_id._pieces(text))) > 8 and "".join(language_id._pieces(text)) == text
-    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+    for text in ("The öld  man's 12 dogs_and cats, Ünd so weiter! " * 40 + "x" * 300 + " end²of it", "y" * 900, "1 " * 400, "ab" * 200 + "ΣΑΣ", ""):
+        whole = language_id.grams(text)
+        for piece in (1, 2, 3, 170):
+            monkeypatch.setattr(language_id, "_PIECE", piece)
+            pieces = language_id.grams(text)
+            assert all(len(a) == len(b) and (a == b).all() for a, b in zip(whole, pieces, strict=True))
+        monkeypatch.undo()
+
+
+def test_language_id_bounds_its_languages(docs):
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language_id.language_id(docs, max_languages=1)
 
 
 def test_language_id_without_anything_to_learn(docs, none):
