@@ -1,6 +1,7 @@
 """A corpus from raw documents: five stages, each written as Parquet and read again for the next.
 
-1. language_id: documents whose text is of no known language go (no letters, or no text).
+1. language_id: documents of none of the wanted languages go: those without a letter, those that
+   resemble no profile (score below ``LEAST_SCORE``), and those told to be in another language.
 2. near_duplicates: of each component of near copies (five-word n-grams, Jaccard 0.8) the one with
    the smallest id stays.
 3. repeated_passages: 13-word windows that start in a document with a smaller id are cut out;
@@ -20,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import _rows
 from sparkloom.llm import decontamination as contaminated
 from sparkloom.llm import language_id as languages
 from sparkloom.llm import mixing as sources
@@ -31,15 +33,20 @@ from sparkloom.llm.substring_dedup import without_repeats
 ORACLE_SQL = None
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what no profile can name: texts without a letter or without an n-gram of any profile.
+#: Languages to keep; None: all that ``documents`` names.
+WANTED: tuple[str, ...] | None = None
+#: Texts in a language that profiles were learned for score above 0.4, those in none of them mostly below 0.3.
+LEAST_SCORE = 0.3
 
-    Learns from the languages that ``documents`` gives.
-    """
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what is told to be in a wanted language. Learns from the languages that ``documents`` gives."""
     profiles = languages.train(docs)
-    found = docs.withColumn("__lang", languages.predict(F.col("text"), profiles))
-    # a score of 0: no n-gram of the text is in any profile
-    return found.filter((F.col("__lang.lang_pred") != languages.UNKNOWN) & (F.col("__lang.score") > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _rows.packed(docs, text="text").withColumn("found", languages.predict(F.col("text"), profiles))
+    kept = (F.col("found.lang_pred") != languages.UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)
+    if WANTED is not None:
+        kept = kept & F.col("found.lang_pred").isin(*WANTED)
+    return _rows.unpacked(found.filter(kept), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,12 +79,22 @@ STAGES: list[tuple[str, Stage]] = [
 ]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder before the next reads it."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder before the next reads it.
+
+    A stage's folder is deleted once the next one is written; the last is what the result reads.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
