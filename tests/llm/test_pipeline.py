@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
@@ -33,15 +34,20 @@ def test_order_and_columns(stages):
     assert all(stages[n][1].columns == COLUMNS for n in list(stages)[:-1])
 
 
-def test_language_id_rejects_only_texts_without_letters(stages):
+def test_language_id_keeps_all_texts_with_letters_of_the_test_tables(stages):
     before, after = stages["language_id"]
     assert dict(pairs(after)) == {i: t for i, t in pairs(before) if t and any(c.isalpha() for c in t)}
 
 
-def test_language_id_rejects_texts_that_share_nothing_with_a_profile(spark):
-    rows = [(i, "the old man and the sea", "en") for i in range(9)] + [(20, "старик и море", None), (21, "老人与海", None), (22, "the sea", None), (23, "老人 the", None)]
+def test_language_id_rejects_other_languages(spark, monkeypatch):
+    en, de = "the old man and the sea and the boy were there", "der alte mann und das meer und der junge waren da"
+    rows = [(i, en, "en") for i in range(9)] + [(10 + i, de, "de") for i in range(9)]
+    rows += [(20, "старик и море", None), (21, "老人与海", None), (22, "the sea", None), (23, "vanhus ja xzqk pvq kiik qqyx vuuy jkx", None), (24, "12 !", None), (25, None, "en"), (26, "und das meer", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == {*range(9), 22, 23}
+    found = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    assert found == {*range(9), *range(10, 19), 22, 26}
+    monkeypatch.setattr(corpus_pipeline, "WANTED", ("en",))
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == {*range(9), 22}
 
 
 def test_near_duplicates(stages):
@@ -77,6 +83,43 @@ def test_run_gives_the_last_stage(spark, stages):
     assert key(corpus_pipeline.run(spark, SF)) == key(stages["mixing"][1])
 
 
+CLASHING = [
+    "id", "row", "slice", "block", "hash", "anchor", "place", "source_place", "part", "guest", "key", "next", "number", "edited", "n", "s", "t", "epoch", "weight", "full", "prefix",
+    "left", "upto", "found", "spans", "items", "longest", "n_words", "n_removed", "factors", "kept", "cls", "comp", "rep", "component_id", "lang_pred", "score", "held_out",
+    "__id", "__lang", "__sum", "__was", "__row", "__slice", "__part", "__text", "__cls", "__guest", "Text", "term", "toxic", "name", "curve",
+]
+
+
+def test_stages_keep_the_values_of_clashing_columns(spark):
+    """Columns with the names the stages use themselves, each with values of its own."""
+    text = lambda i: " ".join(f"the{i * 31 + k} and{k * i} of" for k in range(30))
+    rows = [(i, text(i), "en", "s" if i % 3 else None, i) for i in range(1, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.lit(":"), F.col("doc_id")).alias(c) for c in CLASHING])
+    want = {tuple(r) for r in docs.drop("n_chars").collect()}
+    for name, f in corpus_pipeline.STAGES:
+        got = f(spark, docs, SF)
+        assert got.columns[: len(docs.columns)] == docs.columns, name
+        assert {tuple(r) for r in got.select(*[f"`{c}`" for c in docs.columns if c != "n_chars"]).collect()} == want, name
+
+
+def test_stages_take_very_long_texts(spark):
+    long = " ".join(f"the{i} and of" for i in range(40_000))
+    rows = [(1, long, "en", "s", len(long)), (2, long + " more", "en", "s", 0), (3, "the and of", "en", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {name: sorted(r["doc_id"] for r in f(spark, docs, SF).select("doc_id").distinct().collect()) for name, f in corpus_pipeline.STAGES}
+    assert kept == {"language_id": [1, 2, 3], "near_duplicates": [1, 3], "repeated_passages": [1, 2, 3], "decontamination": [1, 2, 3], "mixing": [1, 2, 3]}
+
+
+def test_run_leaves_only_its_result(spark):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/pipeline-*/*"))
+    corpus_pipeline.run(spark, SF)
+    assert [p.rsplit("/", 1)[1] for p in set(glob.glob(f"{folder}/pipeline-*/*")) - before] == ["4-mixing"]
+
+
 def test_stages_take_extra_columns_and_empty_tables(spark, odd):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert benchmark.columns == ["item_id", "text"]
@@ -87,6 +130,25 @@ def test_stages_take_extra_columns_and_empty_tables(spark, odd):
             assert got.count() <= (10 if name == "mixing" else 5)  # a draw may repeat a row
 
 
+@pytest.mark.parametrize("operator", ["language_id", "lm", "tokens", "contamination", "jaccard", "toxicity", "dedup", "fingerprints"])
+def test_operators_ignore_clashing_columns(spark, docs, operator):
+    """The same answer with and without them."""
+    from sparkloom.llm import decontamination, fingerprints, language_id, ngram_jaccard, substring_dedup, token_counts, toxicity
+    from sparkloom.llm.lm_scoring import lm_scores
+
+    bench = spark.createDataFrame([(1, "a b c d"), (2, "x")], "item_id long, text string")
+    told = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    tokenizers = pytest.importorskip("public_tokenizers")
+    run = {
+        "language_id": language_id.language_id, "lm": lm_scores, "tokens": lambda d: token_counts.token_counts(d, tokenizers.path("byte_bpe_50k.json")),
+        "contamination": lambda d: decontamination.contamination(d, bench), "jaccard": ngram_jaccard.ngram_jaccard, "toxicity": lambda d: toxicity.toxicity(d, told),
+        "dedup": substring_dedup.substring_dedup, "fingerprints": fingerprints.fingerprints,
+    }[operator]
+    more = docs.select("*", *[F.lit(f"{c}!").alias(c) for c in CLASHING])
+    key = lambda frame: sorted(map(repr, frame.collect()))
+    assert key(run(more)) == key(run(docs))
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_answer_every_row(spark, name):
     table = "conversations" if name == "op5_chat_format" else "documents"
