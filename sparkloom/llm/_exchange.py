@@ -1,4 +1,4 @@
-"""Compact blocks of sorted hashes for exchanges between slices of documents and blocks of the hash space.
+"""Slices of documents, blocks of the hash space, and compact blocks of sorted hashes for exchanges between them.
 
 A slice is a set of documents chosen by a hash of the id; a block is a range of
 64-bit hashes. For each slice and block one row travels, with the sorted hashes
@@ -8,25 +8,32 @@ each slice, so no block grows with a hot passage beyond one entry a slice.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Unsigned integers without their leading zero bytes: one count byte, then as many byte planes."""
+    """Unsigned integers without their leading zero bytes: width and number, then as many byte planes.
+
+    The highest plane holds few different values, so it is deflated; the others are random.
+    """
     raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
     width = 8
     while width > 1 and len(raw) and not raw[:, width - 1].any():
         width -= 1
-    return bytes([width]) + np.ascontiguousarray(raw[:, :width].T).tobytes()
+    low, high = raw[:, : width - 1].T, raw[:, width - 1]
+    return bytes([width]) + len(raw).to_bytes(4, "little") + np.ascontiguousarray(low).tobytes() + zlib.compress(np.ascontiguousarray(high).tobytes(), 1)
 
 
 def unplanes(data: bytes) -> np.ndarray:
-    width = data[0]
-    flat = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((flat.shape[1], 8), np.uint8)
-    out[:, :width] = flat.T
+    width, n = data[0], int.from_bytes(data[1:5], "little")
+    end = 5 + (width - 1) * n
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : width - 1] = np.frombuffer(data[5:end], np.uint8).reshape(width - 1, n).T
+    out[:, width - 1] = np.frombuffer(zlib.decompress(data[end:]), np.uint8)
     return out.reshape(-1).view("<u8")
 
 

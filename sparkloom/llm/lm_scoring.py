@@ -159,7 +159,7 @@ _OUT = "doc_id long, n_words long, log_score double, mean_log_score double, n_to
 
 
 def lm_scores(
-    docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 10 << 20
+    docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 12 << 20
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_words, log_score, mean_log_score, n_top, top_share``.
 
