@@ -2,9 +2,13 @@
 
 Supported: text, ``{{ }}`` with attributes, items, arithmetic, comparisons,
 ``and or not in``, inline ``if``, ``~``, filters and tests; comments, ``raw``,
-white space control; ``if``/``elif``/``else``, ``for`` over arrays (with ``if``,
-``else`` and ``loop``), ``set`` and ``with``. All else is an error when the
-template is compiled. Names that are not variables are undefined and print nothing.
+white space control; ``if``/``elif``/``else``, ``for`` over arrays, maps, lists of mixed
+types and the items of structs (with ``if``, ``else``, unpacking and ``loop``), ``set``, ``with``,
+``filter``, ``macro`` and ``call``. All else is an error when the template is
+compiled. Names that are not variables are undefined and print nothing.
+
+What is known when the template is compiled is worked out then: macros are inlined,
+and loops over the fields of a struct or over a list of the template are unrolled.
 """
 
 from __future__ import annotations
@@ -303,7 +307,7 @@ class _Blocks:
                 word = e.name()
                 if word in until:
                     return tuple(out), _with_word(e, word)
-                if word not in ("if", "for", "set", "with"):
+                if word not in ("if", "for", "set", "with", "filter", "macro", "call"):
                     raise UnsupportedTemplate(f"no {word!r} block in {self.source!r}")
                 out.append(getattr(self, f"_{word}")(e))
         if until:
@@ -352,6 +356,43 @@ class _Blocks:
         return Node("with", tuple(names), body)
 
 
+    def _filter(self, e: _Expression) -> Node:
+        node = Node("filtered_block")
+        filters = []
+        while True:
+            filters.append((e.name(), tuple(e._arguments()) if e.take("(") else ()))
+            if not e.take("|"):
+                break
+        e.done()
+        body, _ = self.body(("endfilter",))
+        return Node(node.kind, tuple(filters), body)
+
+    def _parameters(self, e: _Expression) -> tuple:
+        out = []
+        while not e.take(")"):
+            name = e.name()
+            out.append((name, e.expression() if e.take("=") else None))
+            if not e.peek(")"):
+                e.need(",")
+        return tuple(out)
+
+    def _macro(self, e: _Expression) -> Node:
+        name = e.name()
+        e.need("(")
+        parameters = self._parameters(e)
+        e.done()
+        body, _ = self.body(("endmacro",))
+        return Node("macro", (name, parameters), body)
+
+    def _call(self, e: _Expression) -> Node:
+        parameters = self._parameters(e) if e.take("(") else ()
+        call = e.whole()
+        if call.kind != "call":
+            raise TemplateError(f"a call block needs a call in {self.source!r}")
+        body, _ = self.body(("endcall",))
+        return Node("call_block", (call, parameters), body)
+
+
 def _with_word(e: _Expression, word: str) -> _Expression:
     e.word = word
     return e
@@ -390,6 +431,19 @@ def free_variables(source: str) -> set[str]:
             elif x.kind == "set_block":
                 walk(x.parts, bound)
                 return bound | {x.value}
+            elif x.kind == "macro":
+                inner = bound | {name for name, _ in x.value[1]} | {x.value[0], "caller", "varargs", "kwargs"}
+                for _, e in x.value[1]:
+                    walk(e, bound)
+                walk(x.parts, inner)
+                return bound | {x.value[0]}
+            elif x.kind == "call_block":
+                walk(x.value[0], bound)
+                walk(x.parts, bound | {name for name, _ in x.value[1]})
+            elif x.kind == "filtered_block":
+                for _, arguments in x.value:
+                    walk(arguments, bound)
+                walk(x.parts, bound)
             elif x.kind == "with":
                 inner = bound
                 for name, e in x.value:
@@ -405,7 +459,7 @@ def free_variables(source: str) -> set[str]:
         return bound
 
     walk(parse(source), frozenset())
-    return out - {"range"}
+    return out - {"range", "dict"}
 
 
 #: Attribute names that mean methods of dictionaries in the template language.
@@ -417,9 +471,48 @@ class Scope:
     names: dict[str, Value]
     inside: bool = False  # in a lambda, where Python functions can't run
     source: str = field(default="")
+    depth: int = 0  # of loops
+    calls: int = 0  # of macros inside one another
 
     def child(self, inside: bool | None = None, **more: Value) -> Scope:
-        return Scope(self.names | more, self.inside if inside is None else inside, self.source)
+        return Scope(self.names | more, self.inside if inside is None else inside, self.source, self.depth, self.calls)
+
+    def deeper(self, inside: bool, **more: Value) -> Scope:
+        out = self.child(inside or self.inside, **more)
+        out.depth += 1
+        return out
+
+
+@dataclass(frozen=True)
+class Listed(Value):
+    """A list whose elements are known one by one, so each may have a type of its own."""
+
+    elements: tuple[Value, ...] = ()
+
+
+def listed(elements: list[Value]) -> Value:
+    """As an array too, if the elements have one type."""
+    try:
+        whole = V.array(elements)
+    except PlanError:
+        whole = Value(F.lit(None), T.ArrayType(T.NullType()))
+    return Listed(whole.col, whole.type, True, tuple(elements))
+
+
+def _mixed(v: Value) -> bool:
+    return isinstance(v, Listed) and bool(v.elements) and isinstance(v.type.elementType, T.NullType) and not all(x.is_null for x in v.elements)
+
+
+@dataclass(frozen=True)
+class Macro(Value):
+    name: str = ""
+    parameters: tuple = ()
+    body: tuple = ()
+    scope: Scope | None = None
+
+
+#: How deep macros may be inlined into one another.
+MOST_CALLS = 16
 
 
 def undefined() -> Value:
@@ -444,10 +537,9 @@ def truth(v: Value) -> Column:
 def text_of(v: Value, scope: Scope) -> Column:
     if not v.defined:
         return F.lit("")
-    needs_python = isinstance(v.type, (T.DoubleType, T.FloatType, T.ArrayType, T.StructType, T.MapType))
-    if scope.inside and needs_python:
-        raise UnsupportedTemplate(f"a {v.type.simpleString()} can't be printed inside a loop in {scope.source!r}")
-    return V.py_str(v)
+    if _mixed(v):
+        return F.concat(F.lit("["), *[x for i, e in enumerate(v.elements) for x in ([F.lit(", ")] if i else []) + [V.py_repr(e)]], F.lit("]"))
+    return V.py_text(v) if scope.inside else V.py_str(v)
 
 
 def compile_template(source: str, names: dict[str, Value]) -> Value:
@@ -476,6 +568,8 @@ def _body(nodes: tuple[Node, ...], scope: Scope) -> Column:
             scope.names[node.value] = evaluate(node.parts[0], scope)
         elif node.kind == "set_block":
             scope.names[node.value] = Value(_body(node.parts, scope), T.StringType())
+        elif node.kind == "macro":
+            scope.names[node.value[0]] = Macro(F.lit(None), T.NullType(), True, *node.value, node.parts, scope)
         else:
             parts.append(getattr(_Render, node.kind)(node, scope))
     columns = [F.lit(p) if isinstance(p, str) else p for p in parts]
@@ -498,33 +592,108 @@ class _Render:
             out = F.when(truth(evaluate(condition, scope)), _body(body, scope)).otherwise(out)
         return out
 
+    @staticmethod
+    def filtered_block(node: Node, scope: Scope) -> Column:
+        v = Value(_body(node.parts, scope), T.StringType())
+        for name, arguments in node.value:
+            v = _filtered(name, v, arguments, scope)
+        return text_of(v, scope)
+
+    @staticmethod
+    def call_block(node: Node, scope: Scope) -> Column:
+        call, parameters = node.value
+        caller = Macro(F.lit(None), T.NullType(), True, "caller", parameters, node.parts, scope)
+        return text_of(_called(call, scope, caller), scope)
+
     @staticmethod
     def for_(node: Node, scope: Scope) -> Column:
         names, over, keep = node.value
         v = evaluate(over, scope)
+        if isinstance(v, Listed) or isinstance(v.type, T.StructType):
+            return _unrolled(node, v.elements if isinstance(v, Listed) else tuple(V.literal(n) for n in v.type.names), scope)
+        if isinstance(v.type, T.MapType):  # as of a dictionary: its keys
+            v = Value(F.map_keys(v.col), T.ArrayType(v.type.keyType))
+        if isinstance(v.type, T.StringType):
+            v = _array(v, scope)
         if not isinstance(v.type, T.ArrayType):
             if v.defined and not v.is_null:
                 raise UnsupportedTemplate(f"no loop over a {v.type.simpleString()} in {scope.source!r}")
             return _body(node.parts[1], scope)
-        if len(names) != 1:
-            raise UnsupportedTemplate(f"no unpacking in a loop in {scope.source!r}")
         element = v.type.elementType
-        items = v.col if keep is None else F.filter(v.col, lambda x: truth(evaluate(keep, scope.child(True, **{names[0]: Value(x, element)}))))
+        bound = lambda x: _unpacked(names, Value(x, element), scope)
+        items = v.col if keep is None else F.filter(v.col, lambda x: truth(evaluate(keep, scope.deeper(True, **bound(x)))))
         n = F.size(items)
 
         def one(x: Column, i: Column) -> Column:
-            number = lambda c: Value(c, T.IntegerType())
-            flag = lambda c: Value(c, T.BooleanType())
-            loop = V.struct({
-                "index": number(i + 1), "index0": number(i), "revindex": number(n - i), "revindex0": number(n - i - 1),
-                "first": flag(i == 0), "last": flag(i == n - 1), "length": number(n),
-            })
-            return _body(node.parts[0], scope.child(True, **{names[0]: Value(x, element), "loop": loop}))
+            return _body(node.parts[0], scope.deeper(True, **bound(x), loop=_loop(i, n, scope)))
 
         body = F.array_join(F.transform(items, one), "")
         return F.when(F.coalesce(n, F.lit(0)) > 0, body).otherwise(_body(node.parts[1], scope))
 
 
+def _loop(i: Column, n: Column, scope: Scope) -> Value:
+    number = lambda c: Value(c, T.IntegerType())
+    flag = lambda c: Value(c, T.BooleanType())
+    return V.struct({
+        "index": number(i + 1), "index0": number(i), "revindex": number(n - i), "revindex0": number(n - i - 1),
+        "first": flag(i == 0), "last": flag(i == n - 1), "length": number(n), "depth": number(F.lit(scope.depth + 1)), "depth0": number(F.lit(scope.depth)),
+    })
+
+
+def _unpacked(names: tuple[str, ...], v: Value, scope: Scope) -> dict[str, Value]:
+    """The names of a loop (or a pair of items) with their values."""
+    if len(names) == 1:
+        return {names[0]: v}
+    if isinstance(v, Listed):
+        parts = v.elements
+    elif isinstance(v.type, T.StructType) and len(v.type.names) == len(names):
+        parts = [v.field(n) for n in v.type.names]
+    elif isinstance(v.type, T.ArrayType):
+        parts = [v.item(i) for i in range(len(names))]
+    else:
+        raise UnsupportedTemplate(f"a {v.type.simpleString()} can't be unpacked into {len(names)} names in {scope.source!r}")
+    if len(parts) != len(names):
+        raise TemplateError(f"{len(parts)} values for {len(names)} names in {scope.source!r}")
+    return dict(zip(names, parts, strict=True))
+
+
+def _unrolled(node: Node, elements: tuple[Value, ...], scope: Scope) -> Column:
+    """A loop over elements that are known one by one."""
+    names, _, keep = node.value
+    bound = [_unpacked(names, e, scope) for e in elements]
+    if not elements:
+        return _body(node.parts[1], scope)
+    kept = [F.lit(1) if keep is None else truth(evaluate(keep, scope.deeper(False, **b))).cast("int") for b in bound]
+    n, before, parts = sum(kept[1:], kept[0]), F.lit(0), []
+    for b, k in zip(bound, kept, strict=True):
+        body = _body(node.parts[0], scope.deeper(False, **b, loop=_loop(before, n, scope)))
+        parts.append(body if keep is None else F.when(k == 1, body).otherwise(""))
+        before = before + k
+    whole = F.concat(*parts)
+    return whole if keep is None else F.when(n > 0, whole).otherwise(_body(node.parts[1], scope))
+
+
+def _called(node: Node, scope: Scope, caller: Macro | None = None) -> Value:
+    """A macro's text, with the arguments of a call bound to its parameters."""
+    target = node.parts[0]
+    macro = scope.names.get(target.value) if target.kind == "name" else None
+    if not isinstance(macro, Macro):
+        raise UnsupportedTemplate(f"no macro {target.value!r} in {scope.source!r}")
+    if scope.calls >= MOST_CALLS:
+        raise UnsupportedTemplate(f"macro {macro.name!r} calls itself in {scope.source!r}")
+    given = [evaluate(p, scope) for p in node.parts[1:] if p.kind != "keyword"]
+    by_name = {p.value: evaluate(p.parts[0], scope) for p in node.parts[1:] if p.kind == "keyword"}
+    if len(given) > len(macro.parameters) or set(by_name) - {n for n, _ in macro.parameters}:
+        raise TemplateError(f"macro {macro.name!r} takes {len(macro.parameters)} arguments in {scope.source!r}")
+    inner = macro.scope.child(scope.inside)
+    inner.calls = scope.calls + 1
+    for i, (name, default) in enumerate(macro.parameters):
+        inner.names[name] = given[i] if i < len(given) else by_name[name] if name in by_name else undefined() if default is None else evaluate(default, inner)
+    if caller is not None:
+        inner.names["caller"] = caller
+    return Value(_body(macro.body, inner), T.StringType())
+
+
 for _word in ("if", "for", "with"):
     setattr(_Render, _word, staticmethod(getattr(_Render, f"{_word}_")))
 
@@ -552,7 +721,7 @@ class _Eval:
 
     @staticmethod
     def list(node: Node, scope: Scope) -> Value:
-        return V.array([evaluate(p, scope) for p in node.parts])
+        return listed([evaluate(p, scope) for p in node.parts])
 
     @staticmethod
     def dict(node: Node, scope: Scope) -> Value:
@@ -563,6 +732,8 @@ class _Eval:
     @staticmethod
     def item(node: Node, scope: Scope) -> Value:
         base = evaluate(node.parts[0], scope)
+        if isinstance(base, Listed) and node.parts[1].kind == "literal" and isinstance(node.parts[1].value, int):
+            return base.elements[node.parts[1].value] if node.parts[1].value < len(base.elements) else undefined()
         if not base.defined:
             raise TemplateError(f"an attribute of an undefined value in {scope.source!r}")
         key = node.parts[1]
@@ -599,10 +770,27 @@ class _Eval:
 
     @staticmethod
     def call(node: Node, scope: Scope) -> Value:
-        name, arguments = node.parts[0], [evaluate(p, scope) for p in node.parts[1:]]
-        if name.kind == "name" and name.value == "range" and len(arguments) in (1, 2):
+        name = node.parts[0]
+        if name.kind == "name" and isinstance(scope.names.get(name.value), Macro):
+            return _called(node, scope)
+        if name.kind == "name" and name.value == "dict":
+            if any(p.kind != "keyword" for p in node.parts[1:]):
+                raise UnsupportedTemplate(f"dict() takes names only in {scope.source!r}")
+            return V.struct({p.value: evaluate(p.parts[0], scope) for p in node.parts[1:]})
+        arguments = [evaluate(p, scope) for p in node.parts[1:]]
+        if name.kind == "name" and name.value == "range" and len(arguments) in (1, 2, 3):
             first, last = (F.lit(0), arguments[0].col) if len(arguments) == 1 else (arguments[0].col, arguments[1].col)
+            if len(arguments) == 3:
+                return Value(_stepped(first, last, _constant(node.parts[3], 1, scope)), T.ArrayType(T.IntegerType()))
             return Value(V.sequence(first.cast("int"), last.cast("int") - 1), T.ArrayType(T.IntegerType()))
+        if name.kind == "item" and name.value == ".":
+            method = name.parts[1].value
+            if method == "cycle" and name.parts[0].kind == "name" and name.parts[0].value == "loop" and arguments:
+                turns = V.array(arguments)
+                return Value(F.get(turns.col, scope.names["loop"].field("index0").col % len(arguments)), turns.type.elementType)
+            base = evaluate(name.parts[0], scope)
+            if method in _METHODS and isinstance(base.type, (T.StructType, T.MapType)):
+                return _method(base, method, node.parts[1:], scope)
         raise UnsupportedTemplate(f"no call of {name.value or name.kind!r} in {scope.source!r}")
 
     @staticmethod
@@ -670,12 +858,7 @@ class _Eval:
 
     @staticmethod
     def filter(node: Node, scope: Scope) -> Value:
-        v = evaluate(node.parts[0], scope)
-        arguments = [p for p in node.parts[1:] if p.kind != "keyword"]
-        keywords = {p.value: p.parts[0] for p in node.parts[1:] if p.kind == "keyword"}
-        if node.value not in FILTERS:
-            raise UnsupportedTemplate(f"no filter {node.value!r} in {scope.source!r}")
-        return FILTERS[node.value](v, scope, *arguments, **keywords)
+        return _filtered(node.value, evaluate(node.parts[0], scope), node.parts[1:], scope)
 
     @staticmethod
     def test(node: Node, scope: Scope) -> Value:
@@ -687,6 +870,40 @@ class _Eval:
 setattr(_Eval, "not", staticmethod(_Eval.not_))
 
 
+def _filtered(name: str, v: Value, given: tuple[Node, ...], scope: Scope) -> Value:
+    arguments = [p for p in given if p.kind != "keyword"]
+    keywords = {p.value: p.parts[0] for p in given if p.kind == "keyword"}
+    if name not in FILTERS:
+        raise UnsupportedTemplate(f"no filter {name!r} in {scope.source!r}")
+    return FILTERS[name](v, scope, *arguments, **keywords)
+
+
+def _stepped(first: Column, last: Column, step: int) -> Column:
+    if not step:
+        raise TemplateError("range() takes no step of 0")
+    first, last = first.cast("int"), (last.cast("int") - (1 if step > 0 else -1))
+    some = (last >= first) if step > 0 else (last <= first)
+    return F.when(some, F.sequence(F.when(some, first), F.when(some, last), F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
+def _method(base: Value, method: str, given: tuple[Node, ...], scope: Scope) -> Value:
+    """What a dictionary's method gives for a struct or a map."""
+    if method == "items" and not given:
+        return _items(base, scope)
+    if method in ("keys", "values") and not given:
+        if isinstance(base.type, T.StructType):
+            return listed([V.literal(n) if method == "keys" else base.field(n) for n in base.type.names])
+        return Value(F.map_keys(base.col), T.ArrayType(base.type.keyType)) if method == "keys" else Value(F.map_values(base.col), T.ArrayType(base.type.valueType))
+    if method == "get" and len(given) in (1, 2):
+        key, other = _constant(given[0], "", scope), evaluate(given[1], scope) if len(given) == 2 else V.null()
+        if isinstance(base.type, T.StructType):
+            return base.field(key) if key in base.type.names else other
+        found, kind = base.field(key), V.unify(base.type.valueType, other.type)
+        if kind is not None:
+            return Value(F.when(F.map_contains_key(base.col, F.lit(key)), V.as_type(found, kind)).otherwise(V.as_type(other, kind)), kind)
+    raise UnsupportedTemplate(f"no call of {method!r} in {scope.source!r}")
+
+
 def _contains(whole: Value, part: Value, scope: Scope) -> Column:
     if isinstance(whole.type, T.StringType):
         return F.coalesce(whole.col.contains(text_of(part, scope)), F.lit(False))
@@ -711,6 +928,11 @@ def _test(name: str, v: Value, others: list[Value], scope: Scope) -> Column:
         return F.lit(v.defined)
     if name == "undefined":
         return F.lit(not v.defined)
+    if name == "escaped":  # texts here are never marked as safe
+        return F.lit(False)
+    if name in ("filter", "test") and isinstance(t, T.StringType):
+        known = sorted(FILTERS) if name == "filter" else TESTS
+        return F.coalesce(v.col.isin(*known), F.lit(False))
     if name == "none":
         return v.col.isNull() if v.defined else F.lit(False)
     if name in static:
@@ -732,6 +954,13 @@ def _test(name: str, v: Value, others: list[Value], scope: Scope) -> Column:
     raise UnsupportedTemplate(f"no test {name!r} in {scope.source!r}")
 
 
+#: The names that ``is test`` knows.
+TESTS = [
+    "boolean", "callable", "defined", "divisibleby", "eq", "equalto", "escaped", "even", "false", "filter", "float", "ge", "greaterthan", "gt", "in", "integer", "iterable", "le",
+    "lessthan", "lower", "lt", "mapping", "ne", "none", "number", "odd", "sameas", "sequence", "string", "test", "true", "undefined", "upper",
+]
+
+
 def _constant(node: Node | None, default: Any, scope: Scope) -> Any:
     if node is None:
         return default
@@ -906,9 +1135,85 @@ def _title(text: Column) -> Column:
 
 
 def _items(v: Value, scope: Scope) -> Value:
+    """Pairs of key and value; those of a struct may differ in type."""
+    if isinstance(v.type, T.MapType):
+        entries = T.StructType([T.StructField("key", v.type.keyType), T.StructField("value", v.type.valueType)])
+        return Value(F.map_entries(v.col), T.ArrayType(entries))
     if not isinstance(v.type, T.StructType):
         raise UnsupportedTemplate(f"items of a {v.type.simpleString()} in {scope.source!r}")
-    return V.array([V.struct({"0": V.literal(n), "1": v.field(n)}) for n in v.type.names])
+    return listed([listed([V.literal(n), v.field(n)]) for n in v.type.names])
+
+
+def _dictsort(v: Value, scope: Scope, case_sensitive: Node | None = None, by: Node | None = None, reverse: Node | None = None) -> Value:
+    fold, down = not _constant(case_sensitive, False, scope), bool(_constant(reverse, False, scope))
+    if _constant(by, "key", scope) != "key":
+        raise UnsupportedTemplate(f"dictsort by value in {scope.source!r}")
+    items = _items(v, scope)
+    if isinstance(items, Listed):
+        names = sorted(v.type.names, key=lambda n: n.lower() if fold else n, reverse=down)
+        return listed([listed([V.literal(n), v.field(n)]) for n in names])
+    key = lambda e: F.lower(e["key"]) if fold and isinstance(v.type.keyType, T.StringType) else e["key"]
+    ordered = F.transform(F.array_sort(F.transform(items.col, lambda e: F.struct(key(e).alias("k"), e.alias("e")))), lambda x: x["e"])
+    return Value(F.reverse(ordered) if down else ordered, items.type)
+
+
+def _grouped(v: Value, scope: Scope, attribute: Node, default: Node | None = None, case_sensitive: Node | None = None) -> Value:
+    """Pairs of a value of the attribute and the elements that have it, by value."""
+    v, path = _array(v, scope), str(_constant(attribute, "", scope)).split(".")
+    fold, other = not _constant(case_sensitive, False, scope), None if default is None else evaluate(default, scope)
+
+    def found(x: Column) -> Value:
+        item = Value(x, v.type.elementType)
+        for k in path:
+            item = item.field(k)
+        return item if other is None else Value(F.coalesce(item.col, other.col), item.type)
+
+    kind = found(F.lit(None).cast(v.type.elementType)).type
+    key = lambda x: F.lower(found(x).col) if fold and isinstance(kind, T.StringType) else found(x).col
+    keys = F.array_sort(F.array_distinct(F.transform(v.col, key)))
+    own = lambda k: F.filter(v.col, lambda x: key(x).eqNullSafe(k))
+    pair = T.StructType([T.StructField("grouper", kind), T.StructField("list", v.type)])
+    return Value(F.transform(keys, lambda k: F.struct(found(F.get(own(k), F.lit(0))).col.alias("grouper"), own(k).alias("list"))), T.ArrayType(pair))
+
+
+def _indented(v: Value, scope: Scope, width: Node | None = None, first: Node | None = None, blank: Node | None = None) -> Value:
+    n = _constant(width, 4, scope)
+    space = n if isinstance(n, str) else " " * n
+    gap = "\\n" if _constant(blank, False, scope) else "\\n(?=[^\\n])"
+    text = F.regexp_replace(text_of(v, scope), gap, re.sub(r"([\\$])", r"\\\1", f"\n{space}"))
+    return Value(F.concat(F.lit(space), text) if _constant(first, False, scope) else text, T.StringType())
+
+
+def _centred(v: Value, scope: Scope, width: Node | None = None) -> Value:
+    n, text = int(_constant(width, 80, scope)), text_of(v, scope)
+    gap = F.greatest(F.lit(n) - F.length(text), F.lit(0))
+    left = F.floor(gap / 2).cast("int") + gap.bitwiseAND(F.lit(n)).bitwiseAND(F.lit(1))
+    return Value(F.concat(F.repeat(F.lit(" "), left), text, F.repeat(F.lit(" "), gap - left)), T.StringType())
+
+
+def _filesize(v: Value, scope: Scope, binary: Node | None = None) -> Value:
+    base = 1024 if _constant(binary, False, scope) else 1000
+    size = v.col.cast("double")
+    names = [f"{c}{'iB' if base == 1024 else 'B'}" for c in (("K" if base == 1024 else "k"), *"MGTPEZY")]
+    out = F.format_string(f"%.1f {names[-1]}", size / float(base ** len(names)))
+    for i, name in reversed(list(enumerate(names[:-1]))):
+        out = F.when(size < float(base ** (i + 2)), F.format_string(f"%.1f {name}", size / float(base ** (i + 1)))).otherwise(out)
+    out = F.when(size < base, F.format_string("%d Bytes", size.cast("long"))).otherwise(out)
+    return Value(F.when(size == 1, "1 Byte").otherwise(out), T.StringType())
+
+
+def _attributes(v: Value, scope: Scope, autospace: Node | None = None) -> Value:
+    if not isinstance(v.type, T.StructType):
+        raise UnsupportedTemplate(f"xmlattr of a {v.type.simpleString()} in {scope.source!r}")
+    some = [v.field(n) for n in v.type.names]
+    each = [F.when(x.col.isNotNull(), F.concat(F.lit(f'{n}="'), _escape(text_of(x, scope)), F.lit('"'))) for n, x in zip(v.type.names, some, strict=True) if not x.is_null]
+    text = F.array_join(F.array(*each), " ") if each else F.lit("")
+    return Value(F.when(text != "", F.concat(F.lit(" "), text)).otherwise("") if _constant(autospace, True, scope) else text, T.StringType())
+
+
+def _attribute(v: Value, scope: Scope, name: Node) -> Value:
+    key = str(_constant(name, "", scope))
+    return v.field(key) if isinstance(v.type, T.StructType) and key in v.type.names else undefined()
 
 
 def _filled(parts: Column, v: Value, scope: Scope, fill: Node | None, gaps) -> Value:
@@ -949,13 +1254,23 @@ def _format(v: Value, scope: Scope, *arguments: Node) -> Value:
     return Value(F.call_function("format_string", v.col, *[evaluate(a, scope).col for a in arguments]), T.StringType())
 
 
+#: White space in the sense of Unicode, at either end.
+_ENDS = r"^[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$"
+
+
+def _replaces(text: Column, pairs: dict[str, str]) -> Column:
+    for old, new in pairs.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 FILTERS = {
     "upper": _text_filter(F.upper), "lower": _text_filter(F.lower), "capitalize": _text_filter(lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, F.lit(2), F.length(t))))),
     "title": _text_filter(_title), "string": _text_filter(lambda t: t), "escape": _text_filter(_escape), "e": _text_filter(_escape), "safe": _text_filter(lambda t: t),
-    "trim": lambda v, s, chars=None: Value(F.regexp_replace(text_of(v, s), r"^\s+|\s+$", "") if chars is None else F.btrim(text_of(v, s), F.lit(_constant(chars, "", s))), T.StringType()),
+    "trim": lambda v, s, chars=None: Value(F.regexp_replace(text_of(v, s), _ENDS, "") if chars is None else F.btrim(text_of(v, s), F.lit(_constant(chars, "", s))), T.StringType()),
     "striptags": _text_filter(lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"<!--[\s\S]*?-->|<[^>]*>", ""), r"\s+", " "))),
-    "urlencode": _text_filter(lambda t: F.replace(F.replace(F.url_encode(t), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))),
-    "wordcount": lambda v, s: Value(F.regexp_count(text_of(v, s), F.lit(r"\w+")).cast("long"), T.LongType()),
+    "urlencode": _text_filter(lambda t: _replaces(F.url_encode(t), {"+": "%20", "%2F": "/", "*": "%2A", "%7E": "~"})),
+    "wordcount": lambda v, s: Value(F.regexp_count(text_of(v, s), F.lit(r"(?U)\w+")).cast("long"), T.LongType()),
     "replace": _replaced, "length": _length, "count": _length, "default": _default, "d": _default, "join": _joined, "map": _mapped, "tojson": _tojson,
     "reverse": lambda v, s: Value(F.reverse(v.col), v.type),
     "first": lambda v, s: Value(F.get(_array(v, s).col, F.lit(0)), _array(v, s).type.elementType),
@@ -963,5 +1278,6 @@ FILTERS = {
     "abs": lambda v, s: Value(F.abs(v.col), v.type), "round": _round, "int": _number(T.LongType()), "float": _number(T.DoubleType()),
     "list": _array, "sort": _ordered, "unique": _unique, "min": _extreme(False), "max": _extreme(True), "sum": _sum, "format": _format, "truncate": _truncate,
     "select": _picked(True, False), "reject": _picked(False, False), "selectattr": _picked(True, True), "rejectattr": _picked(False, True), "items": _items,
-    "batch": _batch, "slice": _slice,
+    "batch": _batch, "slice": _slice, "dictsort": _dictsort, "groupby": _grouped, "indent": _indented, "center": _centred, "filesizeformat": _filesize,
+    "forceescape": _text_filter(_escape), "xmlattr": _attributes, "attr": _attribute,
 }

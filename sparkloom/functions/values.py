@@ -153,6 +153,67 @@ def py_str(v: Value) -> Column:
     return F.coalesce(text, F.lit("None"))
 
 
+def py_text(v: Value) -> Column:
+    """As :func:`py_str`, in built-in functions only, for lambdas, where Python can't run.
+
+    The text of a float is Java's shortest one in Python's form.
+    """
+    if isinstance(v.type, (T.DoubleType, T.FloatType, T.ArrayType, T.StructType, T.MapType)):
+        return py_repr(v)
+    return py_str(v)
+
+
+def py_repr(v: Value) -> Column:
+    """The text of a value inside a container, in built-in functions only."""
+    t = v.type
+    if isinstance(t, T.StringType):
+        return F.coalesce(_quoted(v.col), F.lit("None"))
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        return F.coalesce(_shortest(v.col.cast("double")), F.lit("None"))
+    if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(F.concat(F.lit("'"), py_str(v), F.lit("'")), F.lit("None"))
+    if isinstance(t, T.ArrayType):
+        text = F.array_join(F.transform(v.col, lambda x: py_repr(Value(x, t.elementType))), ", ")
+        return F.coalesce(F.concat(F.lit("["), text, F.lit("]")), F.lit("None"))
+    if isinstance(t, T.StructType):
+        parts = [x for i, n in enumerate(t.names) for x in (F.lit(f"{', ' if i else ''}{n!r}: "), py_repr(v.field(n)))]
+        return F.when(v.col.isNotNull(), F.concat(F.lit("{"), *parts, F.lit("}"))).otherwise("None")
+    if isinstance(t, T.MapType):
+        pair = lambda e: F.concat(py_repr(Value(e["key"], t.keyType)), F.lit(": "), py_repr(Value(e["value"], t.valueType)))
+        return F.coalesce(F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(v.col), pair), ", "), F.lit("}")), F.lit("None"))
+    return py_str(v)
+
+
+def _quoted(text: Column) -> Column:
+    for mark, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(mark), F.lit(code))
+    odd = r"[\x00-\x1f\x7f-\xa0\xad]"
+    code = lambda c: F.when(c.rlike(odd), F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))).otherwise(c)
+    text = F.when(text.rlike(odd), F.array_join(F.transform(F.split(text, ""), code), "")).otherwise(text)
+    double = text.contains("'") & ~text.contains('"')
+    return F.when(double, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def _shortest(x: Column) -> Column:
+    """Java's text of a double (1.0E10) as Python writes it (10000000000.0)."""
+    own = x.cast("string")
+    sign, raw = F.when(own.startswith("-"), "-").otherwise(""), F.replace(own, F.lit("-E"), F.lit("E"))
+    mantissa, power = F.regexp_extract(raw, r"^-?([0-9.]+)E", 1), F.regexp_extract(own, r"E(-?[0-9]+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), r"(?<=.)0+$", "")
+    n = F.length(digits)
+    fixed = (
+        F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .when(power >= n - 1, F.concat(digits, F.repeat(F.lit("0"), power - n + 1), F.lit(".0")))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, n)))
+    )
+    short = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.lit("e"))
+    short = F.concat(short, F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    short = F.when(F.abs(power) > 99, F.concat(F.regexp_extract(short, r"^(.*e[-+])", 1), F.abs(power).cast("string"))).otherwise(short)
+    spelled = F.when((power >= -4) & (power < 16), fixed).otherwise(short)
+    plain = F.when(own == "NaN", "nan").when(own == "Infinity", "inf").when(own == "-Infinity", "-inf").otherwise(own)
+    return F.when(own.contains("E"), F.concat(sign, spelled)).otherwise(plain)
+
+
 @F.pandas_udf(T.StringType())
 def _py_float(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else repr(float(v)))
