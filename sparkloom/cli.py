@@ -16,6 +16,7 @@ def main(argv: list[str] | None = None) -> int:
     two = commands.add_parser("merge", help="merge the shards of every dataset below a folder")
     two.add_argument("--input-dir", required=True)
     two.add_argument("--output-dir", required=True)
+    two.add_argument("--output-format", choices=("parquet", "loadable"), default="parquet")
     args = parser.parse_args(argv)
     from sparkloom.operators.shards import merge
     from sparkloom.plans.config import load_config
@@ -26,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     if config:
         print("\n".join(run(spark, config)))
     else:
-        for name, r in merge(spark, args.input_dir, args.output_dir).items():
+        for name, r in merge(spark, args.input_dir, args.output_dir, args.output_format).items():
             print(f"{name or args.input_dir}: {json.dumps(r)}")
     return 0
 

@@ -1,8 +1,9 @@
 """Derived variables: processors by type name, and text generation behind pluggable backends.
 
 A generator stage is one Arrow-batched function over the prompts, and only they
-travel to Python: batches of ``batch_size`` prompts go to the backend, and it must
-give one text for each. What it made should be written once (a sink or a
+travel to Python: batches of ``batch_size`` prompts go to the backend, ``in_flight`` of them
+at a time in each task, and it must give one text for each. A failed batch is asked for again,
+``retries`` times, after waiting twice as long each time. What it made should be written once (a sink or a
 checkpoint) before it is used more than once, for a second action would generate
 again.
 """
@@ -11,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -23,7 +26,7 @@ from pyspark.sql import types as T
 
 from sparkloom.functions import templates
 from sparkloom.functions.paths import compile_path
-from sparkloom.functions.values import PlanError, Value
+from sparkloom.functions.values import PlanError, Value, array, literal, struct
 
 #: The struct column that holds the variables, so that they and source columns may share names.
 VARIABLES = "__variables"
@@ -35,7 +38,10 @@ class Backend(Protocol):
 
 
 class StubBackend:
-    """Deterministic texts: the prompt's MD5, or an object with it in each field of the schema."""
+    """Deterministic texts, for tests: the prompt's MD5, or an object with it in each field of the schema."""
+
+    def __init__(self, **server: Any):
+        self.server = server
 
     def generate(self, prompts: Sequence[str], params: dict[str, Any]) -> list[str]:
         fields = list((params.get("json_schema") or {}).get("properties", {}))
@@ -44,30 +50,39 @@ class StubBackend:
 
 
 class HttpBackend:
-    """An endpoint that takes ``{"prompts": [...], "params": {...}}`` and gives ``{"texts": [...]}``."""
+    """An endpoint that takes ``{"prompts": [...], "params": {...}, "server_args": {...}}`` and gives ``{"texts": [...]}``.
+
+    ``server_args`` are the model's settings of the configuration (``model_path``, ``tp_size`` and so on), and
+    ``apply_chat_template``: whether the endpoint is to wrap each prompt as a user's message by the model's own template.
+    """
 
-    def __init__(self, url: str, timeout: float = 600):
-        self.url, self.timeout = url, timeout
+    def __init__(self, url: str, timeout: float = 600, **server: Any):
+        self.url, self.timeout, self.server = url, timeout, server
 
     def generate(self, prompts: Sequence[str], params: dict[str, Any]) -> list[str]:
-        body = json.dumps({"prompts": list(prompts), "params": params}).encode()
+        body = json.dumps({"prompts": list(prompts), "params": params, "server_args": self.server}).encode()
         request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"})
         with urllib.request.urlopen(request, timeout=self.timeout) as answer:
             return json.load(answer)["texts"]
 
 
+#: Backends by name. They get ``backend_args`` and all other ``server_args`` as keywords, and must bear calls from several threads.
 BACKENDS: dict[str, Callable[..., Backend]] = {"stub": StubBackend, "http": HttpBackend}
 
 
 @dataclass
 class LLMConfig:
     type: str = "llm"
-    backend: str = "stub"
+    backend: str | None = None
     server_args: dict[str, Any] = field(default_factory=dict)
     default_sampling_params: dict[str, Any] = field(default_factory=dict)
+    chat_template: str | None = None  # over ``messages`` and ``add_generation_prompt``; without it the backend applies the model's
+    retries: int = 3
+    in_flight: int = 4
 
     def options(self) -> dict[str, Any]:
-        return dict(self.server_args.get("backend_args", {}))
+        own = {k: v for k, v in self.server_args.items() if k != "backend_args"}
+        return own | {"apply_chat_template": self.chat_template is None} | dict(self.server_args.get("backend_args") or {})
 
 
 @dataclass
@@ -162,6 +177,8 @@ def with_variable(df: DataFrame, name: str, value: Value) -> DataFrame:
 @processor("llm", LLMConfig, LLMVar)
 class LLMProcessor:
     def __init__(self, config: LLMConfig, batch_size: int = 64):
+        if config.backend is None:
+            raise PlanError(f"a processor of type {config.type!r} needs a backend; known: {', '.join(sorted(BACKENDS))}")
         if config.backend not in BACKENDS:
             raise ValueError(f"unknown backend {config.backend!r}; known: {', '.join(sorted(BACKENDS))}")
         self.config, self.batch_size = config, batch_size
@@ -172,12 +189,22 @@ class LLMProcessor:
         if var.is_json:
             kind, params["json_schema"] = var.struct_type(), var.json_schema()
         # not deterministic, so no later projection may evaluate it twice
-        ask = F.pandas_udf(stage(self.config.backend, self.config.options(), params, self.batch_size), T.StringType()).asNondeterministic()
-        made = df.withColumn("__text", ask(templates.render(var.prompt, variables(df)).col))
+        run = stage(self.config.backend, self.config.options(), params, self.batch_size, self.config.retries, self.config.in_flight)
+        ask = F.pandas_udf(run, T.StringType()).asNondeterministic()
+        made = df.withColumn("__text", ask(self._prompt(templates.render(var.prompt, variables(df)))))
         value = parsed(F.col("__text"), var) if var.is_json else Value(F.coalesce("__text", F.lit("")), kind)
         return with_variable(made, var.name, value).drop("__text")
 
 
+    def _prompt(self, text: Value) -> Column:
+        """The prompt as one message of a user, by the chat template."""
+        if self.config.chat_template is None:
+            return text.col
+        message = literal({"role": "user"})
+        messages = array([struct({"role": message.field("role"), "content": text})])
+        return templates.render(self.config.chat_template, {"messages": messages, "add_generation_prompt": literal(True)}).col
+
+
 def parsed(text: Column, var: LLMVar) -> Value:
     """A backend's JSON as a struct. Malformed text and missing keys are errors; no text is an empty object."""
     kind = var.struct_type()
@@ -189,19 +216,30 @@ def parsed(text: Column, var: LLMVar) -> Value:
     return Value(F.when((F.size(keys) > 0) & absent, error).otherwise(F.from_json(text, kind, {"mode": "FAILFAST"})), kind)
 
 
-def stage(backend: str, options: dict, params: dict, batch_size: int) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+def stage(
+    backend: str, options: dict, params: dict, batch_size: int, retries: int = 3, in_flight: int = 4, wait: float = 0.5
+) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
     def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         engine = None  # started by the first batch of a task
-        for batch in prompts:
-            texts: list[str | None] = []
-            for at in range(0, len(batch), batch_size):
-                part = batch.iloc[at : at + batch_size].tolist()
+
+        def ask(part: list[str]) -> list[str]:
+            for attempt in range(retries + 1):
+                try:
+                    got = engine.generate(part, dict(params))
+                    break
+                except Exception:
+                    if attempt == retries:
+                        raise
+                    time.sleep(wait * 2**attempt)
+            if len(got) != len(part):
+                raise RuntimeError(f"{len(got)} texts for {len(part)} prompts")
+            return got
+
+        with ThreadPoolExecutor(max(in_flight, 1)) as pool:
+            for batch in prompts:
                 engine = engine or BACKENDS[backend](**options)
-                got = engine.generate(part, dict(params))
-                if len(got) != len(part):
-                    raise RuntimeError(f"{len(got)} texts for {len(part)} prompts")
-                texts += got
-            yield pd.Series(texts, dtype=object)
+                parts = [batch.iloc[at : at + batch_size].tolist() for at in range(0, len(batch), batch_size)]
+                yield pd.Series([text for got in pool.map(ask, parts) for text in got], dtype=object)
 
     run.__annotations__ = {"prompts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return run

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from sparkloom.operators.checkpoints import saved
 from sparkloom.operators.ranges import bounds, range_of
-from sparkloom.sources import Dataset
+from sparkloom.sources import Dataset, arrow_dir
+from sparkloom.sources.loaders import ArrowDirConfig
+from sparkloom.sources.loaders import saved as saved_dataset
 
 POSITION, SHARD = "__position", "__shard"
 MANIFEST = "_shards.json"
@@ -149,18 +151,25 @@ class _Files:
             stream.close()
 
 
-def write_shard(spark: SparkSession, data: Dataset, output_dir: str, shard_id: int, num_shards: int = 1) -> str:
+def _write(data: Dataset, target: str, kind: str) -> None:
+    """As ``parquet``, or as a saved dataset that ``loadable`` reads; splits are folders in the target."""
+    if kind not in ("parquet", "loadable"):
+        raise ValueError(f"unknown output format {kind!r}")
+    if kind == "loadable":
+        arrow_dir.write_splits(data, target) if isinstance(data, dict) else arrow_dir.write(data, target)
+        return
+    for path, table in {f"{target}/{n}": t for n, t in data.items()}.items() if isinstance(data, dict) else [(target, data)]:
+        table.write.mode("overwrite").parquet(path)
+
+
+def write_shard(spark: SparkSession, data: Dataset, output_dir: str, shard_id: int, num_shards: int = 1, kind: str = "parquet") -> str:
     """Writes ``shard_<id>`` (splits as folders in it). Refuses a folder begun with another number of shards."""
     check_range(num_shards, shard_id)
     files = _Files(spark, output_dir)
     if files.exists(MANIFEST) and (there := json.loads(files.read(MANIFEST))["num_shards"]) != num_shards:
         raise ValueError(f"{output_dir} holds shards of {there}, not of {num_shards}; merging would repeat rows")
     target = f"{output_dir}/shard_{shard_id}"
-    if isinstance(data, dict):
-        for name, table in data.items():
-            table.write.mode("overwrite").parquet(f"{target}/{name}")
-    else:
-        data.write.mode("overwrite").parquet(target)
+    _write(data, target, kind)
     files.write(json.dumps({"num_shards": num_shards}), MANIFEST)
     return target
 
@@ -225,6 +234,8 @@ def read_shard(spark: SparkSession, path: str) -> Dataset:
     files = _Files(spark, path)
     if not files.exists():
         raise FileNotFoundError(path)
+    if files.exists("state.json") or files.exists("dataset_dict.json"):
+        return saved_dataset(spark, ArrowDirConfig(path))
     if names := [n for n in files.folders() if not n.startswith("_")]:
         return {n: spark.read.parquet(f"{path}/{n}") for n in names}
     if not files.exists("_SUCCESS"):
@@ -232,7 +243,7 @@ def read_shard(spark: SparkSession, path: str) -> Dataset:
     return spark.read.parquet(path)
 
 
-def merge(spark: SparkSession, input_dir: str, output_dir: str) -> dict[str, dict]:
+def merge(spark: SparkSession, input_dir: str, output_dir: str, kind: str = "parquet") -> dict[str, dict]:
     """Merges every dataset below a folder; what was read, skipped and missing, by dataset."""
     report = {}
     for name in dataset_dirs(spark, input_dir):
@@ -255,10 +266,6 @@ def merge(spark: SparkSession, input_dir: str, output_dir: str) -> dict[str, dic
         files = _Files(spark, source)
         count = json.loads(files.read(MANIFEST))["num_shards"] if files.exists(MANIFEST) else max(numbers) + 1
         whole = concat_datasets(parts)
-        if isinstance(whole, dict):
-            for split, table in whole.items():
-                table.write.mode("overwrite").parquet(f"{target}/{split}")
-        else:
-            whole.write.mode("overwrite").parquet(target)
+        _write(whole, target, kind)
         report[name or ""] = {"merged": len(parts), "not_found": absent, "empty": empty, "missing": sorted(set(range(count)) - set(numbers))}
     return report

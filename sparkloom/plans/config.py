@@ -33,6 +33,7 @@ class LoadingParams:
     shard_id: int = 0
     batch_size: int = 1
     layout: str = "contiguous"
+    output_format: str = "parquet"  # or "loadable", the format of saved datasets
 
     def __post_init__(self) -> None:
         for name in ("num_shards", "shard_id", "batch_size"):
@@ -41,6 +42,8 @@ class LoadingParams:
             except (TypeError, ValueError):
                 raise ConfigError(f"{name} must be a whole number, not {getattr(self, name)!r}") from None
         self.batch_size = max(self.batch_size, 1)
+        if self.output_format not in ("parquet", "loadable"):
+            raise ConfigError(f"output_format must be parquet or loadable, not {self.output_format!r}")
         try:
             check_range(self.num_shards, self.shard_id)
         except ValueError as e:

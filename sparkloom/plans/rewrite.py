@@ -109,6 +109,6 @@ def run(spark: SparkSession, config: Config) -> list[str]:
     for dataset, data in load_all(spark, loading.datasets):
         part = shards.each_split(data, lambda t: shards.shard(t, loading.num_shards, loading.shard_id, loading.layout))
         done: Dataset = shards.each_split(part, lambda t: rewrite(t, config))
-        out.append(shards.write_shard(spark, done, dataset.output_dir, loading.shard_id, loading.num_shards))
+        out.append(shards.write_shard(spark, done, dataset.output_dir, loading.shard_id, loading.num_shards, loading.output_format))
         logger.info("wrote %s", out[-1])
     return out

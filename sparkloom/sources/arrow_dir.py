@@ -1,21 +1,24 @@
-"""A saved dataset on disk: a directory of Arrow IPC stream files, read as a Spark data source.
+"""A saved dataset on disk: a directory of Arrow IPC stream files, read and written as a Spark data source.
 
 ``state.json`` names the data files in order; without it all ``*.arrow`` files
 are taken, by name. Each file is one partition, so files are read in parallel.
 Files are opened with Hadoop-independent Arrow file systems: the path must be
-reachable by all executors.
+reachable by all executors. Each task writes a file of its own, and ``state.json`` is
+written last, so a folder without it was not finished.
 """
 
 from __future__ import annotations
 
 import json
 import posixpath
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 
@@ -67,6 +70,77 @@ class _Reader(DataSourceReader):
             yield from stream
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    partition: int
+    name: str
+
+
+class _Writer(DataSourceArrowWriter):
+    def __init__(self, path: str, schema: StructType, overwrite: bool):
+        self.path, self.fields, self.overwrite = path, schema, overwrite
+
+    def _stream(self, name: str, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> None:
+        system, base = _open(self.path)
+        system.create_dir(base, recursive=True)
+        with system.open_output_stream(posixpath.join(base, name)) as f, pa.ipc.new_stream(f, schema) as out:
+            for batch in batches:
+                out.write_batch(batch)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        first = next(iterator, None)
+        if first is None:
+            return _Written(number, "")
+
+        def batches():
+            yield first
+            yield from iterator
+
+        name = f"data-{number:05d}-{uuid.uuid4().hex[:8]}.arrow"  # another try of the task takes another name
+        self._stream(name, first.schema, batches())
+        return _Written(number, name)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        system, base = _open(self.path)
+        names = [m.name for m in sorted((m for m in messages if m), key=lambda m: m.partition) if m.name]
+        if not names:
+            names = ["data-00000-empty.arrow"]
+            self._stream(names[0], to_arrow_schema(self.fields), iter(()))
+        # files of tries that weren't committed, and, if they are to be replaced, of what was there before
+        for info in system.get_file_info(fs.FileSelector(base)):
+            if info.base_name.endswith(".arrow") and info.base_name not in names:
+                system.delete_file(info.path)
+        with system.open_output_stream(posixpath.join(base, "state.json")) as f:
+            f.write(json.dumps({"_data_files": [{"filename": n} for n in names], "_split": None}).encode())
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        system, base = _open(self.path)
+        for m in messages:
+            if m and m.name:
+                system.delete_file(posixpath.join(base, m.name))
+
+
+def write(table, path: str) -> None:
+    """A table as a saved dataset, in place of what is there."""
+    table.sparkSession.dataSource.register(ArrowDir)
+    system, base = _open(path)
+    state = posixpath.join(base, "state.json")
+    if system.get_file_info(state).type == fs.FileType.File:
+        system.delete_file(state)
+    table.write.format("arrow_dir").option("path", path).mode("append").save()
+
+
+def write_splits(tables: dict, path: str) -> None:
+    system, base = _open(path)
+    for name, table in tables.items():
+        write(table, f"{path}/{name}")
+    with system.open_output_stream(posixpath.join(base, "dataset_dict.json")) as f:
+        f.write(json.dumps({"splits": list(tables)}).encode())
+
+
 class ArrowDir(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -82,3 +156,6 @@ class ArrowDir(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options["path"])
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(self.options["path"], schema, overwrite)

@@ -1,7 +1,9 @@
+import hashlib
 import json
 import os
 import random
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -47,7 +49,7 @@ processing_params:
 """
 
 
-def config(outputs=(), schema=None, inputs=(("text", "text"),), processors=({"type": "llm"},), remove=True, **loading):
+def config(outputs=(), schema=None, inputs=(("text", "text"),), processors=({"type": "llm", "backend": "stub"},), remove=True, **loading):
     return from_dict({
         "processors": list(processors), "loading_params": loading,
         "processing_params": {"inputs": [{"name": n, "key": k} for n, k in inputs], "outputs": list(outputs), "output_schema": schema or {"t": "{{ text }}"}, "remove_columns": remove},
@@ -297,3 +299,69 @@ def test_streams_are_refused_as_tables(spark, monkeypatch):
     monkeypatch.setitem(sources.LOADERS, "rate", sources.loaders.Loader(sources.ParquetConfig, lambda s, c: s.readStream.format("rate").load()))
     with pytest.raises(RuntimeError, match="streaming"):
         sources.load(spark, sources.ParquetConfig("x", type="rate"))
+
+
+def test_a_processor_without_a_backend_is_an_error(spark):
+    raw = {"processors": [{"type": "llm", "server_args": {"model_path": "m"}}], "processing_params": {"inputs": [{"name": "x", "key": "x"}], "output_schema": {"y": "{{ x }}"}}}
+    with pytest.raises(PlanError, match="needs a backend"):
+        rewrite(spark.createDataFrame([("a",)], "x string"), from_dict(raw))
+
+
+class Flaky:
+    """Fails twice, then answers with its settings and the prompt."""
+
+    calls = 0
+
+    def __init__(self, **server):
+        self.server = server
+
+    def generate(self, prompts, params):
+        Flaky.calls += 1
+        if Flaky.calls <= 2:
+            raise OSError("not yet")
+        return [f"{self.server['model_path']}/{self.server['tp_size']}/{self.server['apply_chat_template']}/{p}" for p in prompts]
+
+
+def test_model_settings_retries_and_chat_templates():
+    generate.BACKENDS["flaky"] = Flaky
+    try:
+        config = generate.LLMConfig(backend="flaky", server_args={"model_path": "m", "tp_size": 2, "backend_args": {"more": 1}})
+        assert config.options() == {"model_path": "m", "tp_size": 2, "apply_chat_template": True, "more": 1}
+        run = generate.stage("flaky", config.options(), {}, 3, retries=2, in_flight=1, wait=0.01)
+        got = list(run(iter([pd.Series([str(i) for i in range(8)]), pd.Series([], dtype=object)])))
+        assert got[0].tolist() == [f"m/2/True/{i}" for i in range(8)] and not len(got[1])
+        Flaky.calls = 0
+        with pytest.raises(OSError, match="not yet"):
+            list(generate.stage("flaky", config.options(), {}, 3, retries=1, in_flight=1, wait=0.01)(iter([pd.Series(["a"])])))
+        many = generate.stage("stub", {}, {}, 2, in_flight=5)
+        assert list(many(iter([pd.Series(list("abcdefg"))])))[0].tolist() == [hashlib.md5(c.encode()).hexdigest() for c in "abcdefg"]
+    finally:
+        del generate.BACKENDS["flaky"]
+
+
+def test_prompts_by_a_chat_template(spark):
+    template = "{% for m in messages %}<|{{ m.role }}|>{{ m.content }}<|end|>{% endfor %}{% if add_generation_prompt %}<|assistant|>{% endif %}"
+    raw = {
+        "processors": [{"type": "llm", "backend": "stub", "chat_template": template}],
+        "processing_params": {"inputs": [{"name": "x", "key": "x"}], "outputs": [{"name": "a", "type": "llm", "prompt": "Say {{ x }}"}], "output_schema": {"y": "{{ a }}"}, "remove_columns": True},
+    }
+    got = rewrite(spark.createDataFrame([("é",)], "x string"), from_dict(raw)).first()["y"]
+    assert got == hashlib.md5("<|user|>Say é<|end|><|assistant|>".encode()).hexdigest()
+
+
+def test_saved_datasets_are_written_read_and_merged(spark, tmp_path):
+    df = spark.range(50).select(F.col("id"), F.concat(F.lit("t"), "id").alias("t"), F.array("id", F.lit(None)).alias("a"), F.struct(F.lit(1.5).alias("x")).alias("s")).repartition(4)
+    for i in range(3):
+        shards.write_shard(spark, {"train": shards.shard(df, 3, i, order="id"), "test": df.limit(i)}, f"{tmp_path}/in/d", i, 3, "loadable")
+    shards.merge(spark, f"{tmp_path}/in", f"{tmp_path}/out", "loadable")
+    whole = sources.load(spark, sources.ArrowDirConfig(f"{tmp_path}/out/d"))
+    key = lambda t: sorted(map(repr, t.collect()))
+    assert set(whole) == {"train", "test"} and key(whole["train"]) == key(df) and whole["test"].count() == 3
+    # written again, a folder holds the new rows only; without rows it keeps the columns
+    shards.write_shard(spark, df.limit(0), f"{tmp_path}/again", 0, 1, "loadable")
+    empty = shards.read_shard(spark, f"{tmp_path}/again/shard_0")
+    assert empty.count() == 0 and empty.columns == df.columns
+    shards.write_shard(spark, df, f"{tmp_path}/again", 0, 1, "loadable")
+    assert key(shards.read_shard(spark, f"{tmp_path}/again/shard_0")) == key(df)
+    with pytest.raises(ConfigError, match="output_format"):
+        from_dict({"loading_params": {"output_format": "csv"}})
