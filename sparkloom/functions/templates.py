@@ -277,7 +277,7 @@ class _Expression:
                 name, arguments = self.name(), ()
                 if self.take("("):
                     arguments = tuple(self._arguments())
-                elif self.tokens[self.at][0] in ("int", "float", "str") or (self.tokens[self.at][0] == "name" and not self.peek("and", "or", "else", "is", "if", "not", "in")):
+                elif self.tokens[self.at][0] in ("int", "float", "str") or self.peek("[") or (self.tokens[self.at][0] == "name" and not self.peek("and", "or", "else", "is", "if", "not", "in")):
                     arguments = (self.suffixed(self.primary()),)
                 node = Node("test", name, (node, *arguments))
                 node = Node("not", parts=(node,)) if negate else node

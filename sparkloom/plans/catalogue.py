@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom import sources
 from sparkloom.functions.paths import compile_path
 from sparkloom.functions.values import Value
 from sparkloom.operators import shards
+from sparkloom.operators.checkpoints import shared_folder
 from sparkloom.plans.config import from_dict
 from sparkloom.plans.rewrite import project, rewrite
+from sparkloom.sources import arrow_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,8 +89,17 @@ _path("path_pipe_flatten", "c[*].[role, text][] | [1]", "list_filter(flatten(lis
 _path("path_multiselect_hash", "{a: c[0].role, b: c[-1].role}.b", "c[-1].role")
 _path("path_map_length", "length(map(&role, c))", "len(c)::BIGINT")
 _path("path_reverse_text", "reverse(c[0].role)", "reverse(c[1].role)")
-_path("path_type", "type(c)", "'array'")
-_path("path_to_number", "to_number('7.5')", "7.5::DOUBLE")
+_path("path_type", "join(',', [type(c), type(c[1].turn), type(c[0].text)])", "'array,' || CASE WHEN c[2].turn IS NULL THEN 'null' ELSE 'number' END || ',' || CASE WHEN c[1].text IS NULL THEN 'null' ELSE 'string' END")
+_path("path_to_number", "to_number(to_string(c[-1].turn))", "c[-1].turn::DOUBLE")
+_path("path_abs_ceil_floor", "abs(ceil(avg(c[*].turn))) > floor(avg(c[*].turn))", "ceil(list_sum(list_transform(c, lambda x: x.turn))::DOUBLE / len(c)) > floor(list_sum(list_transform(c, lambda x: x.turn))::DOUBLE / len(c))")
+_path("path_ends_with", "ends_with(c[-1].text, '.')", "ends_with(c[-1].text, '.')")
+_path("path_keys", "join(',', sort(keys(c[0])))", "'role,text,turn'")
+_path("path_values", "join('|', values({a: c[0].role, b: c[-1].role}))", "c[1].role || '|' || c[-1].role")
+_path("path_merge", "join('|', values(merge({a: c[0].role, b: c[0].text}, {a: c[-1].role})))", "c[-1].role || '|' || c[1].text")
+_path("path_min", "min(c[*].turn)", "list_min(list_transform(c, lambda x: x.turn))")
+_path("path_sort", "join(',', sort(c[*].role))", _glued("list_sort(list_transform(c, lambda x: x.role))", "','"))
+_path("path_to_array", "length(to_array(c[0].role)) < length(to_array(c))", "len(c) > 1")
+_path("path_to_string", "to_string(c[0].turn)", "c[1].turn::VARCHAR")
 _path("path_compare", "length(c[0].text) >= length(c[1].text)", "length(c[1].text) >= length(c[2].text)")
 
 
@@ -140,6 +153,72 @@ query("template_set_with", "SELECT doc_id, lang || '-' || source || '!' || lang
 )
 
 
+query(
+    "template_text_filters",
+    """SELECT doc_id, upper(lang[1]) || lower(lang[2:]) || '/' || length(lower(text))::VARCHAR || '/[' || ' ' || lang || ' ' || ']/' || lang || '/' || (CASE WHEN length(text) > 20 THEN text[1:17] || '...' ELSE text END)
+       || '/' || replace(replace(replace(replace(replace(text[1:30], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(39), '&#39;'), '"', '&#34;') || '/' || lang || '-007' AS v FROM documents""",
+)(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{{ lang|capitalize }}/{{ text|lower|length }}/[{{ lang|center(4) }}]/{{ (' ' ~ lang ~ ' ')|trim }}/{{ text|truncate(20, true, '...', 0) }}/{{ text[:30]|escape }}/{{ '%s-%03d'|format(lang, 7) }}"}, _DOC)
+)
+query(
+    "template_number_filters",
+    "SELECT doc_id, n_chars::VARCHAR || ' ' || (n_chars / 4)::DOUBLE::VARCHAR || ' ' || (n_chars // 3)::VARCHAR || ' ' || floor(n_chars / 10)::DOUBLE::VARCHAR || ' ' || length(n_chars::VARCHAR)::VARCHAR || ' ' || n_chars::VARCHAR || ' d ' || (n_chars * 2)::VARCHAR AS v FROM documents",
+)(rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{{ (-n)|abs }} {{ n / 4 }} {{ (n / 3)|int }} {{ (n / 10)|round(0, 'floor') }} {{ n|string|length }} {{ n|string|int(9) }} {{ missing|default('d') }} {{ [n, n]|sum }}"}, _DOC))
+query(
+    "template_sequence_filters",
+    f"""SELECT conv_id, list_max(list_transform(c, lambda x: x.turn))::VARCHAR || ' ' || list_min(list_transform(c, lambda x: x.turn))::VARCHAR || ' ' || list_sum(list_transform(c, lambda x: x.turn))::VARCHAR
+        || ' ' || len(list_distinct(list_transform(c, lambda x: x.role)))::VARCHAR || ' ' || len(list_filter(c, lambda x: x.turn <> 0))::VARCHAR || ' ' || len(list_filter(c, lambda x: x.turn = 0))::VARCHAR
+        || ' ' || len(list_filter(c, lambda x: x.role <> 'user'))::VARCHAR || ' ' || ((len(c) + 1) // 2)::VARCHAR || ' 3' AS v FROM {_CONVERSATIONS}""",
+)(
+    rewritten(
+        "nested",
+        {"conv_id": "{{ conv_id }}", "v": "{% set t = c|map(attribute='turn')|list %}{{ t|max }} {{ t|min }} {{ t|sum }} {{ c|map(attribute='role')|unique|list|length }} {{ t|select|list|length }} {{ t|reject|list|length }} {{ c|rejectattr('role', 'eq', 'user')|list|length }} {{ c|batch(2)|list|length }} {{ c|slice(3)|list|length }}"},
+        {"conv_id": "conv_id", "c": "c"},
+    )
+)
+query(
+    "template_groupby",
+    f"SELECT conv_id, coalesce(array_to_string(list_transform(list_sort(list_distinct(list_transform(c, lambda x: x.role))), lambda r: r || '=' || len(list_filter(c, lambda x: x.role = r))::VARCHAR), ';'), '') AS v FROM {_CONVERSATIONS}",
+)(rewritten("nested", {"conv_id": "{{ conv_id }}", "v": "{% for role, own in c|groupby('role') %}{{ ';' if not loop.first }}{{ role }}={{ own|length }}{% endfor %}"}, {"conv_id": "conv_id", "c": "c"}))
+query(
+    "template_unpacking",
+    f"SELECT conv_id, 'turn=' || c[1].turn::VARCHAR || ',role=' || c[1].role || ',|role:' || c[1].role || ' turn:' || c[1].turn::VARCHAR || ' ' AS v FROM {_CONVERSATIONS}",
+)(
+    rewritten(
+        "nested",
+        {"conv_id": "{{ conv_id }}", "v": "{% for k, v in c[0].items() if k != 'text' %}{{ k }}={{ v }},{% endfor %}|{% for k, v in c[0]|dictsort if k != 'text' %}{{ k }}:{{ v }} {% endfor %}"},
+        {"conv_id": "conv_id", "c": "c"},
+    )
+)
+query(
+    "template_nested_values",
+    f"SELECT conv_id, array_to_string(list_transform(c, lambda x, i: replace('{{~role~: ~' || x.role || '~, ~turn~: ', '~', chr(39)) || x.turn::VARCHAR || '}}' || (x.turn / 4)::DOUBLE::VARCHAR || CASE WHEN i % 2 = 1 THEN 'a' ELSE 'b' END), '') AS v FROM {_CONVERSATIONS}",
+)(rewritten("nested", {"conv_id": "{{ conv_id }}", "v": "{% for m in c %}{{ {'role': m.role, 'turn': m.turn} }}{{ m.turn / 4 }}{{ loop.cycle('a', 'b') }}{% endfor %}"}, {"conv_id": "conv_id", "c": "c"}))
+query("template_macros", "SELECT doc_id, '<' || lang || '|x><' || source || '|' || n_chars::VARCHAR || '>[in ' || upper(lang) || ']' AS v FROM documents")(
+    rewritten(
+        "documents",
+        {"doc_id": "{{ doc_id }}", "v": "{% macro tag(a, b='x') %}<{{ a }}|{{ b }}>{% endmacro %}{% macro box() %}[{{ caller() }}]{% endmacro %}{{ tag(lang) }}{{ tag(source, b=n) }}{% call box() %}in {% filter upper %}{{ lang }}{% endfilter %}{% endcall %}"},
+        _DOC,
+    )
+)
+_TRUTHS = "list_transform([{}], lambda b: CASE WHEN b THEN '1' ELSE '0' END)"
+query(
+    "template_tests",
+    "SELECT doc_id, array_to_string(" + _TRUTHS.format(
+        "n_chars % 2 = 1, n_chars % 3 = 0, n_chars > 900, n_chars >= 900, n_chars < 900, n_chars <= 900, n_chars <> 900, lang IN ('en', 'de'), true, true, true, false, false, true, false, true, true, text = lower(text) AND text <> upper(text), lang = 'en', false, true"
+    ) + ", '') AS v FROM documents",
+)(
+    rewritten(
+        "documents",
+        {"doc_id": "{{ doc_id }}", "v": "".join(f"{{{{ 1 if {x} else 0 }}}}" for x in (
+            "n is odd", "n is divisibleby 3", "n is gt 900", "n is ge 900", "n is lt 900", "n is le 900", "n is ne 900", "lang is in ['en', 'de']", "lang is string", "n is number", "n is integer",
+            "n is float", "lang is mapping", "text is sequence", "lang is none", "text is iterable", "lang is defined", "text is lower", "lang is sameas 'en'", "lang is escaped", "'upper' is filter",
+        ))},
+        _DOC,
+    )
+)
+
+
 @query("output_struct_json", "SELECT doc_id, to_json([{'role': 'user', 'content': lang}, {'role': 'assistant', 'content': source}])::VARCHAR AS conversations FROM documents")
 def output_struct_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents")
@@ -162,8 +241,8 @@ query("undefined_renders_empty", "SELECT doc_id, '[' || ']' || lang AS v FROM do
 
 @query("json_struct_parse", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def json_struct_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events")
-    return df.select("event_id", F.from_json("props", "k long", {"mode": "FAILFAST"}).getField("k").alias("k"))
+    df = table(spark, sf_dir, "events").withColumn("parsed", F.from_json("props", "k long", {"mode": "FAILFAST"}))
+    return df.select("event_id", compile_path("parsed.k", _root(df)).col.alias("k"))
 
 
 @query("json_variant_parse", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
@@ -220,6 +299,65 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
+
+
+@query("source_jsonl", "SELECT * FROM documents")
+def source_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, path = table(spark, sf_dir, "documents"), _scratch(spark)
+    df.write.json(path)
+    return sources.load(spark, sources.JsonlConfig(path)).select(*df.columns)
+
+
+@query("source_jsonl_splits", "SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS split FROM documents")
+def source_jsonl_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, path = table(spark, sf_dir, "documents"), _scratch(spark)
+    df.filter("doc_id % 2 = 0").write.json(f"{path}/even")
+    df.filter("doc_id % 2 <> 0").write.json(f"{path}/odd")
+    data = sources.load(spark, sources.JsonlConfig({"even": f"{path}/even", "odd": f"{path}/odd"}, schema=", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)))
+    return shards.concat([t.withColumn("split", F.lit(name)) for name, t in data.items()])
+
+
+@query("source_saved_dataset", "SELECT * FROM documents")
+def source_saved_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark)
+    arrow_dir.write(table(spark, sf_dir, "documents"), path)
+    return sources.load(spark, sources.ArrowDirConfig(path))
+
+
+@query("source_failures_are_left_out", "SELECT * FROM conversations")
+def source_failures_are_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = [sources.ParquetConfig(f"{sf_dir}/no_such_table.parquet"), sources.ParquetConfig(f"{sf_dir}/conversations.parquet")]
+    return sources.load_all(spark, wanted)[0][1]
+
+
+@query("dataset_rows", "SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM conversations) AS n")
+def dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = {name: table(spark, sf_dir, name) for name in ("documents", "conversations")}
+    return spark.createDataFrame([(sources.rows(data),)], "n long")
+
+
+def _merged(kind: str, splits: bool) -> Query:
+    """Shards written to disk, each by a job of its own, found and merged again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, path = table(spark, sf_dir, "documents"), _scratch(spark)
+        for i in range(3):
+            part = shards.shard(df, 3, i, order="doc_id")
+            shards.write_shard(spark, {"train": part, "test": part.filter("doc_id < 100")} if splits else part, f"{path}/in/docs", i, 3, kind)
+        shards.merge(spark, f"{path}/in", f"{path}/out", kind)
+        whole = shards.read_shard(spark, f"{path}/out/docs")
+        return shards.concat([t.withColumn("split", F.lit(n)) for n, t in whole.items()]) if splits else whole
+
+    return run
+
+
+query("merge_from_disk", "SELECT * FROM documents")(_merged("parquet", False))
+query("merge_saved_datasets", "SELECT * FROM documents")(_merged("loadable", False))
+query("merge_splits", "SELECT *, 'train' AS split FROM documents UNION ALL SELECT *, 'test' AS split FROM documents WHERE doc_id < 100")(_merged("parquet", True))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as two-message conversations, with one generated variable."""
     return rewritten(
