@@ -292,6 +292,16 @@ def test_chat_digest(spark):
     assert chat.digest(chat.chat_format(df.limit(0))).count() == 0
 
 
+def test_chat_of_very_long_texts_and_clashing_columns(spark):
+    long = "a <b> # " * 100_000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (2, 0, None, None)]
+    df = spark.createDataFrame([(*r, "f", "t") for r in rows], "conv_id long, turn long, role string, text string, formatted string, turns string")
+    got = {r["conv_id"]: r for r in chat.digest(chat.chat_format(df)).collect()}
+    assert got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == brute.sha(long) and got[1]["n_turns"] == 2
+    # repeated rows are turns of their own, ties in one order
+    assert got[2]["n_turns"] == 3 and got[2]["loss_sha256"] == brute.sha("xx") and got[2]["turns_sha256"] == brute.sha("\n\nassistant\nx\nassistant\nx\n")
+
+
 # 6 decontamination
 
 
