@@ -45,6 +45,8 @@ from sparkloom.operators.ranges import bounds, range_of
 #: A subset is one of the first parts; which part a term is in depends on bits of its hash, others on each level.
 #: The first level has all its parts, so every term is in a subset.
 LEVELS = ((16, 16), (12, 64), (14, 256), (14, 1024))
+#: So many subsets of a level that has all its parts are picked together.
+GROUP = 4
 #: A level tells two texts apart if so many of its subsets hold a term of either.
 TELLING = 4
 #: Over how many keys a term is spread where the lexicon is joined by a shuffle.
@@ -103,26 +105,29 @@ def _part_of(shift: int, parts: int):
 def _hashed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """For each array of sorted term hashes, the array of the hashes of its lexicon subsets, under a new name.
 
-    Each level's terms are a column of their own, so they are picked once and not once a subset.
+    The terms of a group of subsets are a column of their own, so they are picked once and not once a subset.
     """
     shift, picked, cells = 0, {}, {c: [] for c in columns}
     for i, (many, parts) in enumerate(LEVELS):
         part = _part_of(shift, parts)
         shift += parts.bit_length() - 1
-        for c in columns:
-            name = f"__{c}{i}" if many < parts else c
-            if many < parts:
-                picked[name] = _filtered(c, part, many)
-            cells[c].append(_each(name, part, many))
+        wide = many if many < parts else GROUP
+        for first in range(0, many, wide):
+            for c in columns:
+                name = f"{c}_{i}_{first}"
+                picked[name] = _filtered(c, part, first, first + wide)
+                cells[c].append(_each(name, part, first, wide))
     return rows.withColumns(picked).withColumns({new: F.concat(*cells[c]) for c, new in columns.items()})
 
 
-def _filtered(column: str, part, many: int) -> Column:
-    return F.filter(column, lambda t: part(t) < many)
+def _filtered(column: str, part, first: int, end: int) -> Column:
+    return F.filter(column, lambda t: (part(t) >= first) & (part(t) < end) if first else part(t) < end)
 
 
-def _each(column: str, part, many: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda k: F.xxhash64(F.filter(column, lambda t: part(t) == k)))
+def _each(column: str, part, first: int, many: int) -> Column:
+    """The hashes of ``many`` subsets. (The column is named twice, so Catalyst keeps it and doesn't pick its terms for each subset.)"""
+    hashes = F.transform(F.sequence(F.lit(first), F.lit(first + many - 1)), lambda k: F.xxhash64(F.filter(column, lambda t: part(t) == k)))
+    return F.when(F.size(column) == 0, F.array_repeat(F.lit(_EMPTY).cast("long"), many)).otherwise(hashes)
 
 
 def _digits(hashes: Column) -> Column:
