@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.checkpoints import saved, shared_folder
 
-__all__ = ["components", "saved", "shared_folder"]
+__all__ = ["components", "saved", "shared_folder", "written"]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As :func:`saved`, in columns (Parquet): smaller where values repeat, and read by column."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -119,9 +119,43 @@ FROM m GROUP BY doc_id
 """
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+#: Plainly, every term of the vocabulary for every group and pair of groups.
+DIVERGENCE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+s AS (SELECT lang, count(*) AS size, sum(lang_n) AS lang_total FROM v GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN v USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(total, 0) + size) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 1)) // (lang_total + size) AS q
+  FROM g JOIN v USING (lang) JOIN s USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN t USING (lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q),
+k AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+             CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT * FROM k WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING_SQL, "op11_line_dedup": LINES_SQL}
+    return {"op3_mixing": MIXING_SQL, "op11_line_dedup": LINES_SQL, "op12_source_divergence": DIVERGENCE_SQL}
