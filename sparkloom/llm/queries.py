@@ -153,6 +153,12 @@ SELECT * FROM k WHERE part = 'pair' OR rank <= 200
 """
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.manifest import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
