@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -220,3 +221,83 @@ def rank_order(texts, labelled, size):
         best = min(apart, key=lambda lang: apart[lang])
         out.append((best, 1 - apart[best] / (size * len(own))))
     return out
+
+
+def line_dedup(docs, least_chars=20, least_docs=3):
+    """``(id, lines, dropped, kept text)`` for each row of ``(id, text)``; a null id is the smallest."""
+    order = lambda i: (i is not None, i or 0)
+    lines = [(i, (t or "").split("\n")) for i, t in docs]
+    key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(set)
+    for i, ls in lines:
+        for line in ls:
+            holders[key(line)].add(i)
+    gone = lambda i, line: len(key(line)) >= least_chars and len(h := holders[key(line)]) >= least_docs and i != max(h, key=order)
+    return [(i, len(ls), sum(gone(i, x) for x in ls), "\n".join(x for x in ls if not gone(i, x))) for i, ls in lines]
+
+
+def divergence(docs, least_docs=3, most_terms=200):
+    """All of ``(lang, source, part, item, value, rank)`` for rows ``(text, lang, source)``, term by term."""
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    rows = [(term.findall(lower(t)), lang or "", source or "") for t, lang, source in docs]
+    groups = sorted({(lang, source) for _, lang, source in rows})
+    out = []
+    for lang in {lang for lang, _ in groups}:
+        seen = Counter(w for words, own, _ in rows if own == lang for w in set(words))
+        kept = {w for w, n in seen.items() if n >= least_docs}
+        count = {s: Counter() for own, s in groups if own == lang}
+        for words, own, s in rows:
+            if own == lang:
+                count[s].update(w for w in words if w in kept)
+        whole = sum(count.values(), Counter())
+        chances = lambda c, size: {w: 1 + 10**9 * (c[w] + 1) // (size + len(kept)) for w in kept}
+        p = {s: chances(c, sum(c.values())) for s, c in count.items()}
+        q = chances(whole, sum(whole.values()))
+        f = lambda a, b: (a - b) ** 2 // b
+        for s in p:
+            pairs = [(o, sum(f(p[s][w], p[o][w]) for w in kept)) for o in p if o != s]
+            terms = [(w, f(p[s][w], q[w])) for w in kept if count[s][w] and p[s][w] > q[w]]
+            for part, items in (("pair", pairs), ("term", terms)):
+                ranked = sorted(items, key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, item, value, i + 1) for i, (item, value) in enumerate(ranked) if part == "pair" or i < most_terms]
+    return out
+
+
+def manifest(docs, fan=8):
+    """``(id, leaf, subroot, root, proof, folded root, verified)`` of rows ``(doc_id, text, lang, source, n_chars)``."""
+    hashed = lambda parts: sha("".join(parts))
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda d, text: hashed(map(field, (d[0], d[3], d[2], d[4], text)))
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([hashed(levels[-1][i : i + fan]) for i in range(0, len(levels[-1]), fan)])
+        return levels
+
+    def siblings(levels, i):
+        out = []
+        for level in levels[:-1]:
+            first = i // fan * fan
+            out.append((level[first:i], level[i + 1 : first + fan]))
+            i //= fan
+        return out
+
+    by_lang = defaultdict(list)
+    for d in docs:
+        by_lang[d[2]].append(d)
+    order = sorted(by_lang, key=lambda x: (x is not None, (x or "").encode()))
+    for own in by_lang.values():
+        own.sort(key=lambda d: (d[0] is not None, d[0] or 0, leaf(d, d[1])))
+    trees = [tree([leaf(d, d[1]) for d in by_lang[lang]]) for lang in order]
+    top = tree([t[-1][0] for t in trees]) if trees else []
+    out = []
+    for k, lang in enumerate(order):
+        for i, d in enumerate(by_lang[lang]):
+            path = siblings(trees[k], i) + siblings(top, k)
+            changed = d[0] is not None and d[1] is not None and zlib.crc32(str(d[0]).encode()) % 3 == 0
+            folded = leaf(d, lower(d[1]) if changed else d[1])
+            for left, right in path:
+                folded = hashed([*left, folded, *right])
+            out.append((d[0], trees[k][0][i], trees[k][-1][0], top[-1][0], hashed([x for left, right in path for x in left + right]), folded, folded == top[-1][0]))
+    return out
