@@ -27,9 +27,10 @@ from pyspark.sql import types as T
 from sparkloom.functions import templates
 from sparkloom.functions.paths import compile_path
 from sparkloom.functions.values import PlanError, Value, array, literal, struct
+from sparkloom.operators.shards import free_name
 
-#: The struct column that holds the variables, so that they and source columns may share names.
-VARIABLES = "__variables"
+#: The struct columns that hold the variables and the source's row while a table is rewritten, so that no two names can meet.
+VARIABLES, ROW = "__variables", "__row"
 
 
 class Backend(Protocol):
@@ -191,10 +192,10 @@ class LLMProcessor:
         # not deterministic, so no later projection may evaluate it twice
         run = stage(self.config.backend, self.config.options(), params, self.batch_size, self.config.retries, self.config.in_flight)
         ask = F.pandas_udf(run, T.StringType()).asNondeterministic()
-        made = df.withColumn("__text", ask(self._prompt(templates.render(var.prompt, variables(df)))))
-        value = parsed(F.col("__text"), var) if var.is_json else Value(F.coalesce("__text", F.lit("")), kind)
-        return with_variable(made, var.name, value).drop("__text")
-
+        text = free_name(df, "__text")
+        made = df.withColumn(text, ask(self._prompt(templates.render(var.prompt, variables(df)))))
+        value = parsed(F.col(text), var) if var.is_json else Value(F.coalesce(text, F.lit("")), kind)
+        return with_variable(made, var.name, value).drop(text)
 
     def _prompt(self, text: Value) -> Column:
         """The prompt as one message of a user, by the chat template."""

@@ -26,7 +26,7 @@ def check_range(num_shards: int, shard_id: int) -> None:
         raise ValueError(f"shard_id must be from 0 to {num_shards - 1}, not {shard_id}")
 
 
-def _free(df: DataFrame, name: str) -> str:
+def free_name(df: DataFrame, name: str) -> str:
     """``name``, or it with more underscores in front if the table has such a column."""
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
@@ -54,7 +54,7 @@ def _by_scan(df: DataFrame, position: str) -> tuple[DataFrame, int]:
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         df = saved(df)  # a shuffle may deal its rows otherwise when it runs again, or runs for fewer columns
     # the id holds the partition in its high bits and the row's place in it in the low 33
-    number = _free(df, "__number")
+    number = free_name(df, "__number")
     marked = df.withColumn(number, F.monotonically_increasing_id())
     part, place = F.shiftright(number, 33).cast("int"), F.col(number).bitwiseAND((1 << 33) - 1)
     starts, total = _starts(dict(marked.groupBy(part.alias("p")).count().collect()))
@@ -75,7 +75,7 @@ def _by_column(df: DataFrame, order: str, position: str) -> tuple[DataFrame, int
     and numbered by itself, and a value that many rows share is cut by the hash as well.
     """
     ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    key, part = _free(df, "__key"), _free(df, "__part")
+    key, part = free_name(df, "__key"), free_name(df, "__part")
     keyed = df.withColumn(key, F.struct(F.col(f"`{order}`").alias("v"), _tie(df).alias("h")))
     keyed = keyed.withColumn(part, range_of(F.col(key), bounds(keyed.select(f"{key}.v", f"{key}.h"), ranges)))
     starts, total = _starts(dict(keyed.groupBy(F.col(part).alias("p")).count().collect()))
@@ -106,7 +106,7 @@ def shard(df: DataFrame, num_shards: int, shard_id: int, layout: str = "contiguo
     check_range(num_shards, shard_id)
     if num_shards == 1:
         return df
-    position, number = _free(df, POSITION), _free(df, SHARD)
+    position, number = free_name(df, POSITION), free_name(df, SHARD)
     return with_shard(df, num_shards, layout, order, position, number).filter(F.col(number) == shard_id).drop(position, number)
 
 

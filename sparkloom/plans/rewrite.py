@@ -19,7 +19,7 @@ from sparkloom.functions import values as V
 from sparkloom.functions.paths import compile_path
 from sparkloom.functions.values import PlanError, Value
 from sparkloom.operators import generate, shards
-from sparkloom.operators.generate import VARIABLES
+from sparkloom.operators.generate import ROW, VARIABLES
 from sparkloom.plans.config import Config, ProcessingParams
 from sparkloom.sources import Dataset, load_all
 
@@ -36,13 +36,13 @@ def validate(params: ProcessingParams) -> None:
 
 
 def extract(df: DataFrame, params: ProcessingParams) -> DataFrame:
-    """The inputs as one struct column. A null input stops the run, used or not.
+    """The row and the inputs, as one struct column each. A null input stops the run, used or not.
 
     The guard is a filter: one inside a projection would vanish with an unused column.
     """
     root = Value(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema)
     found = {v.name: compile_path(v.key, root) for v in params.inputs}
-    out = df.withColumn(VARIABLES, F.struct(*[v.col.alias(n) for n, v in found.items()]) if found else F.struct())
+    out = df.select(root.col.alias(ROW), F.struct(*[v.col.alias(n) for n, v in found.items()]).alias(VARIABLES))
     if not found:
         return out
     guard = F.lit(True)
@@ -95,7 +95,7 @@ def rewrite(df: DataFrame, config: Config) -> DataFrame:
     made = {k: v.col.cast("string") if isinstance(v.type, T.NullType) else v.col for k, v in made.items()}
     if params.remove_columns:
         return df.select(*[c.alias(k) for k, c in made.items()])
-    return df.withColumns(made).select(*[F.col(f"`{c}`") for c in columns if c not in made], *[F.col(f"`{k}`") for k in made])
+    return df.select(*[F.col(ROW).getField(c).alias(c) for c in columns if c not in made], *[c.alias(k) for k, c in made.items()])
 
 
 def run(spark: SparkSession, config: Config) -> list[str]:
@@ -104,8 +104,16 @@ def run(spark: SparkSession, config: Config) -> list[str]:
     if not loading.datasets:
         raise PlanError("no datasets")
     validate(config.processing_params)
+    was = spark.conf.get("spark.sql.caseSensitive")
     spark.conf.set("spark.sql.caseSensitive", "true")
-    out = []
+    try:
+        return _write_all(spark, config)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", was)
+
+
+def _write_all(spark: SparkSession, config: Config) -> list[str]:
+    loading, out = config.loading_params, []
     for dataset, data in load_all(spark, loading.datasets):
         part = shards.each_split(data, lambda t: shards.shard(t, loading.num_shards, loading.shard_id, loading.layout))
         done: Dataset = shards.each_split(part, lambda t: rewrite(t, config))
