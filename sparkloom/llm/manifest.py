@@ -1,16 +1,16 @@
 """A Merkle manifest of a dataset: one tree for each language over its documents, one over the languages' roots.
 
 A document's leaf is the SHA-256 of its columns, each as byte count, ``:`` and value (``-`` where null). A language's
-leaves stand in ascending order of id; every ``fan`` consecutive nodes become their parent until one is left, the language's subroot. The
+leaves stand in ascending order of id; every ``FAN`` consecutive nodes become their parent until one is left, the language's subroot. The
 subroots, by language (null first, then bytewise), become the root in the same way. Digests are lowercase hex, also where they are hashed.
 
-The trees grow in supersteps over an RDD, as in Pregel. In each one every node sends its digest to its parent, and a parent
-that has heard from all its children (it knows how many it has from the number of nodes on their level) hashes them and is a node
-of the next superstep; a node that is alone on its level is done. Then the supersteps run in reverse: each parent sends down to each
-child the digests of the child's siblings and the path that it got itself. A leaf so gets its whole proof, and folds its own digest
-with it to a root, which verifies the document. The last step down is taken by families of ``fan`` leaves, so a path is sent to each family once.
+The trees grow in supersteps over an RDD, as in Pregel. In each one every node sends its digest to the block that its parents are in;
+a block that has heard from all its nodes (it knows how many from the number of nodes on their level) hashes them, ``STEPS`` levels high, and its top is a node
+of the next superstep; a node that is alone on its level is done. Then the supersteps run in reverse: each block sends down to each
+of its nodes the digests of the siblings on the way to its top and the path that the top got itself. A leaf so gets its whole proof, and folds its own digest
+with it to a root, which verifies the document. The last step down is taken inside blocks, so a path is sent to each block of leaves once.
 
-Every exchange is by (language, number of the parent): no key has more than ``fan`` rows, however large a language is. Leaves are numbered after a sort by language, id and leaf into ranges:
+Every exchange is by (language, number of the block): no key has more than ``BLOCK`` rows, however large a language is. Leaves are numbered after a sort by language, id and leaf into ranges:
 each range tells the driver how many leaves of its first and last language it has, and nothing else, and so learns where its first one starts.
 Texts are hashed where they are read; after that only ids and digests are exchanged. Lost partitions are made anew from the exchanges before
 them, in the same order.
@@ -39,6 +39,9 @@ from sparkloom.llm._graph import written
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FAN = 8
+#: Levels that a superstep grows, and the nodes of a block, which grows them in one task.
+STEPS = 3
+BLOCK = FAN**STEPS
 RESULT = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -126,59 +129,72 @@ def numbered(rows: RDD, starts: list[tuple[int, int, dict[int, int]]]) -> RDD:
 
 
 def _heard(message: tuple) -> tuple:
-    """A parent that has heard from all its children: the number of nodes on its level, its digest, its children in order."""
+    """A block whose nodes have all arrived: nodes left after its levels, the digest of its top, its nodes in order, its levels.
+
+    A block holds ``BLOCK`` consecutive nodes of one level, or a whole smaller tree, and grows ``STEPS`` levels, or up to the tree's top.
+    """
     (tree, number), got = message
-    children = sorted(got, key=lambda c: c[0])
-    size = children[0][1]
-    if len(children) != min(FAN, size - FAN * number):
-        raise RuntimeError(f"node {number} of tree {tree} heard from {len(children)} children")
-    return (tree, number), (-(-size // FAN), digest([c[2] for c in children]), children)
+    nodes = sorted(got, key=lambda c: c[0])
+    size = nodes[0][1]
+    if len(nodes) != min(BLOCK, size - BLOCK * number):
+        raise RuntimeError(f"block {number} of tree {tree} heard from {len(nodes)} nodes")
+    levels = [[c[2] for c in nodes]]
+    while size > 1 and len(levels) <= STEPS:
+        last = levels[-1]
+        levels.append([digest(last[i : i + FAN]) for i in range(0, len(last), FAN)])
+        size = -(-size // FAN)
+    return (tree, number), (size, levels[-1][0], nodes, levels)
 
 
 def climb(nodes: RDD, most: int, parts: int) -> tuple[list[RDD], RDD]:
-    """The families of each level, and ``(tree, (digest, more))`` of the tops, of trees of nodes ``((tree, position), (nodes of the level, digest, more))``.
+    """The blocks of each superstep, and ``(tree, digest)`` of the tops, of trees of nodes ``((tree, position), (nodes of the level, digest, more))``.
 
-    A family is a parent's key with what :func:`_heard` gives. ``most`` is the size of the largest tree.
+    ``most`` is the size of the largest tree.
     """
-    families, tops = [], []
+    blocks, tops = [], []
     while True:
-        tops.append(nodes.filter(lambda x: x[1][0] == 1).map(lambda x: (x[0][0], x[1][1:])))
-        if most <= 1:
-            return families, nodes.context.union(tops)
-        sent = nodes.filter(lambda x: x[1][0] > 1).map(lambda x: ((x[0][0], x[0][1] // FAN), (x[0][1], *x[1])))
+        sent = nodes.map(lambda x: ((x[0][0], x[0][1] // BLOCK), (x[0][1], *x[1])))
         heard = sent.groupByKey(parts).map(_heard, preservesPartitioning=True)
-        families.append(heard)
-        nodes = heard.map(lambda x: (x[0], (*x[1][:2], None)))
-        parts, most = -(-parts // FAN), -(-most // FAN)
+        blocks.append(heard)
+        tops.append(heard.filter(lambda x: x[1][0] == 1).map(lambda x: (x[0][0], x[1][1])))
+        if most <= BLOCK:
+            return blocks, nodes.context.union(tops) if len(tops) > 1 else tops[0]
+        nodes = heard.filter(lambda x: x[1][0] > 1).map(lambda x: (x[0], (x[1][0], x[1][1], None)))
+        parts, most = -(-parts // FAN), -(-most // BLOCK)
 
 
-def _children(children: list[tuple]) -> Iterator[tuple]:
-    """Each child with the digests of its siblings on the left and on the right."""
-    digests = [c[2] for c in children]
-    return ((child, (digests[:k], digests[k + 1 :])) for k, child in enumerate(children))
+def _children(nodes: list[tuple], levels: list[list[str]]) -> Iterator[tuple]:
+    """Each node of a block with the digests of the siblings, left and right, that it meets on its way to the block's top."""
+    for k, node in enumerate(nodes):
+        path, at = [], k
+        for level in levels[:-1]:
+            first = at // FAN * FAN
+            path.append((level[first:at], level[at + 1 : first + FAN]))
+            at //= FAN
+        yield node, path
 
 
-def _met(family: RDD, paths: RDD) -> RDD:
-    """Families and what their parents were told, by key: only paths are exchanged."""
-    n = family.getNumPartitions()
-    return family.cogroup(paths.partitionBy(n), n)
+def _met(blocks: RDD, paths: RDD) -> RDD:
+    """Blocks and what their tops were told, by key: only paths are exchanged."""
+    n = blocks.getNumPartitions()
+    return blocks.cogroup(paths.partitionBy(n), n)
 
 
 def _told(message: tuple) -> Iterator[tuple]:
-    """What a parent sends to each child: its siblings, before the path that the parent was told. Told of no family, it waits: its tree is lower."""
-    (tree, number), (family, told) = message
+    """What a block sends to each of its nodes: the siblings there, before the path that its top was told. Told of no block, it waits: its tree is lower."""
+    (tree, number), (blocks, told) = message
     for top, path in told:
-        for _, _, children in family:
-            for child, siblings in _children(children):
-                yield (tree, child[0]), (top, [siblings, *path])
-        if not len(family):
+        for _, _, nodes, levels in blocks:
+            for node, own in _children(nodes, levels):
+                yield (tree, node[0]), (top, own + path)
+        if not len(blocks):
             yield (tree, number), (top, path)
 
 
-def descend(families: list[RDD], paths: RDD) -> RDD:
-    """``(node, (top, path))`` of the children of the lowest families, from those of the tops."""
-    for family in reversed(families):
-        paths = _met(family, paths).flatMap(_told)
+def descend(blocks: list[RDD], paths: RDD) -> RDD:
+    """``(node, (top, path))`` of the nodes of the lowest blocks, from those of the tops, ``((tree, 0), (top, path))``."""
+    for step in reversed(blocks):
+        paths = _met(step, paths).flatMap(_told)
     return paths
 
 
@@ -189,13 +205,13 @@ def fold(leaf: str, path: list[tuple[list[str], list[str]]]) -> str:
 
 
 def _proven(message: tuple) -> Iterator[tuple]:
-    """The rows of a family of leaves, or of a leaf that is alone in its tree."""
-    _, (families, told) = message
+    """The rows of a block of leaves."""
+    _, (blocks, told) = message
     for subroot, path in told:
-        for lone, children in families:
-            for (_, _, leaf, row), siblings in _children(children):
-                own = path if lone else [siblings, *path]
-                yield row[0], leaf, subroot, digest([d for left, right in own for d in left + right]), fold(row[3] or leaf, own)
+        for _, _, nodes, levels in blocks:
+            for (_, _, leaf, row), own in _children(nodes, levels):
+                whole = own + path
+                yield row[0], leaf, subroot, digest([d for left, right in whole for d in left + right]), fold(row[3] or leaf, whole)
 
 
 def manifest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -212,17 +228,11 @@ def manifest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     if not langs:
         return spark.createDataFrame([], RESULT)
     most = max(max([e[5], *border.values()]) for (_, _, border), e in zip(starts, ends, strict=True))
-    leaf_nodes = numbered(rows, starts)
-    families, tops = climb(leaf_nodes, most, parts)
-    above, top = climb(tops.map(lambda x: ((0, x[0]), (langs, x[1][0], None))), langs, parts)
-    root = top.first()[1][0]
+    blocks, tops = climb(numbered(rows, starts), most, parts)
+    above, top = climb(tops.map(lambda x: ((0, x[0]), (langs, x[1], None))), langs, parts)
+    root = top.first()[1]
     told = descend(above, spark.sparkContext.parallelize([((0, 0), (root, []))], 1)).map(lambda x: (x[0][1], x[1][1]))
-    paths = tops.join(told, parts).map(lambda x: ((x[0], 0), (x[1][0][0], x[1][1])))
-    lowest = leaf_nodes.filter(lambda x: x[1][0] == 1).map(lambda x: (x[0], (True, [(0, *x[1])])))
-    if families:
-        paths = descend(families[1:], paths)
-        lowest = lowest.partitionBy(parts).union(families[0].mapValues(lambda x: (False, x[2])))
-    else:
-        lowest = lowest.partitionBy(parts)
-    proven = spark.createDataFrame(_met(lowest, paths).flatMap(_proven), "doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string", verifySchema=False)
+    paths = descend(blocks[1:], tops.join(told, parts).map(lambda x: ((x[0], 0), x[1])))
+    columns = "doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string"
+    proven = spark.createDataFrame(_met(blocks[0], paths).flatMap(_proven), columns, verifySchema=False)
     return proven.select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))

@@ -124,7 +124,7 @@ def tree_rows(case):
     return [(i, text(), "en", "s", 1) for i in range(int(case))]
 
 
-@pytest.mark.parametrize("case", ["0", "1", "2", "8", "9", "64", "65", "many languages", "one large", "ties"])
+@pytest.mark.parametrize("case", ["0", "1", "2", "8", "9", "64", "65", "512", "513", "many languages", "one large", "ties"])
 def test_manifest(spark, case):
     rows = tree_rows(case)
     got = merkle.manifest(spark.createDataFrame(rows, DOCS).repartition(3))
@@ -146,6 +146,6 @@ def test_manifest_odd_cases(spark, odd):
     same(map(tuple, merkle.manifest(spark.createDataFrame(long, DOCS)).collect()), brute.manifest(long))
 
 
-def test_a_parent_waits_for_all_children():
-    with pytest.raises(RuntimeError, match="heard from 1 children"):
+def test_a_block_waits_for_all_its_nodes():
+    with pytest.raises(RuntimeError, match="heard from 1 nodes"):
         merkle._heard((("t", 0), [(0, 5, "d", None)]))
