@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions import values as V
-from sparkloom.functions.values import PlanError, Value
+from sparkloom.functions.values import Mixed, PlanError, Value
 
 
 class PathError(PlanError):
@@ -233,6 +233,8 @@ def truthy(v: Value) -> Column:
     t = v.type
     if isinstance(t, T.NullType):
         return F.lit(False)
+    if isinstance(t, Mixed):
+        return F.coalesce(V.by_option(v, lambda x: Value(truthy(x), T.BooleanType())).col, F.lit(False))
     if isinstance(t, T.BooleanType):
         return F.coalesce(v.col, F.lit(False))
     if isinstance(t, T.StringType):
@@ -242,6 +244,24 @@ def truthy(v: Value) -> Column:
     return v.col.isNotNull()
 
 
+def equal(a: Value, b: Value) -> Column:
+    """Whether two values are the same; those of types that don't unify only if both are null."""
+    if isinstance(a.type, Mixed) or isinstance(b.type, Mixed):
+        mixed, other = (a, b) if isinstance(a.type, Mixed) else (b, a)
+        found = V.by_option(mixed, lambda x: Value(equal(x, other), T.BooleanType())).col
+        return F.when(V.present(mixed), F.coalesce(found, F.lit(False))).otherwise(~V.present(other))
+    kind = V.unify(a.type, b.type)
+    if kind is None:
+        whole = isinstance(a.type, type(b.type)) and (V.is_mixed(a.type) or V.is_mixed(b.type))
+        if not whole:
+            return a.col.isNull() & b.col.isNull()
+        kind = V.joined(a.type, b.type)
+    x, y = V.as_type(a, kind), V.as_type(b, kind)
+    if V.is_mixed(kind):  # variants have no order and no equality of their own
+        x, y = F.to_json(F.to_variant_object(x)), F.to_json(F.to_variant_object(y))
+    return x.eqNullSafe(y)
+
+
 def compile_path(text: str, root: Value) -> Value:
     """The value of a path in ``root``. Unknown top-level names are errors."""
     return _Compiler(text).run(parse(text), root, top=True)
@@ -266,7 +286,7 @@ class _Compiler:
         return here.field(node.value)
 
     def _literal(self, node: Node, here: Value, top: bool) -> Value:
-        return V.literal(node.value)
+        return V.literal(node.value, mixed=True)
 
     def _chain(self, node: Node, here: Value, top: bool) -> Value:
         return self.follow(self.run(node.parts[0], here, top), node.parts[1:])
@@ -282,11 +302,15 @@ class _Compiler:
 
     def elements(self, v: Value, step: Node) -> Value:
         """The array that a projecting step goes over."""
+        if isinstance(v.type, Mixed):
+            return V.by_option(v, lambda x: self.elements(x, step))
         if step.kind == "values":
             return self._values_of(v)
         if not isinstance(v.type, T.ArrayType):
             return V.null()
         if step.kind == "flatten":
+            if isinstance(v.type.elementType, Mixed):
+                return self._flattened(v)
             if not isinstance(v.type.elementType, T.ArrayType):
                 return v
             return Value(F.flatten(F.filter(v.col, lambda x: x.isNotNull())), v.type.elementType)
@@ -296,11 +320,28 @@ class _Compiler:
             return Value(_slice(v.col, *step.value), v.type)
         return v
 
+    @staticmethod
+    def _flattened(v: Value) -> Value:
+        """Of mixed elements only the arrays are opened."""
+        inner = v.type.elementType
+        arrays = [t for t in inner.options if isinstance(t, T.ArrayType)]
+        if not arrays:
+            return v
+        kind = V.all_joined([*(t for t in inner.options if t not in arrays), arrays[0].elementType])
+
+        def opened(x: Column) -> Column:
+            item = Value(x, inner)
+            own = F.array(V.as_type(V.by_option(item, lambda y: V.null() if isinstance(y.type, T.ArrayType) else y), kind))
+            within = V.as_type(V.option(item, arrays[0]), T.ArrayType(kind))
+            return F.when(V.is_option(item, arrays[0]), within).otherwise(own)
+
+        return Value(F.flatten(F.transform(F.filter(v.col, lambda x: V.present(Value(x, inner))), opened)), T.ArrayType(kind))
+
     def _values_of(self, v: Value) -> Value:
         if isinstance(v.type, T.MapType):
             return Value(F.map_values(v.col), T.ArrayType(v.type.valueType))
         if isinstance(v.type, T.StructType):
-            found = V.array([v.field(n) for n in v.type.names])
+            found = V.array([v.field(n) for n in v.type.names], mixed=True)
             return Value(F.when(v.col.isNotNull(), found.col), found.type)
         return V.null()
 
@@ -309,13 +350,13 @@ class _Compiler:
             return V.null()
         element = self.follow(Value(F.lit(None).cast(v.type.elementType), v.type.elementType), steps).type
         mapped = F.transform(v.col, lambda x: self.follow(Value(x, v.type.elementType), steps).col) if steps else v.col
-        return Value(F.filter(mapped, lambda x: x.isNotNull()), T.ArrayType(element))
+        return Value(F.filter(mapped, lambda x: V.present(Value(x, element))), T.ArrayType(element))
 
     def _index(self, node: Node, here: Value, top: bool) -> Value:
         return here.item(node.value)
 
     def _list(self, node: Node, here: Value, top: bool) -> Value:
-        return self._unless_null(here, V.array([self.run(p, here, top) for p in node.parts]))
+        return self._unless_null(here, V.array([self.run(p, here, top) for p in node.parts], mixed=True))
 
     def _hash(self, node: Node, here: Value, top: bool) -> Value:
         return self._unless_null(here, V.struct({k: self.run(p, here, top) for k, p in zip(node.value, node.parts, strict=True)}))
@@ -329,35 +370,32 @@ class _Compiler:
 
     def _either(self, node: Node, here: Value, top: bool) -> Value:
         a, b = (self.run(p, here) for p in node.parts)
-        kind = self._one_type(a, b)
+        kind = V.joined(a.type, b.type)
         return Value(F.when(truthy(a), V.as_type(a, kind)).otherwise(V.as_type(b, kind)), kind)
 
     def _both(self, node: Node, here: Value, top: bool) -> Value:
         a, b = (self.run(p, here) for p in node.parts)
-        kind = self._one_type(a, b)
+        kind = V.joined(a.type, b.type)
         return Value(F.when(truthy(a), V.as_type(b, kind)).otherwise(V.as_type(a, kind)), kind)
 
-    def _one_type(self, a: Value, b: Value) -> T.DataType:
-        kind = V.unify(a.type, b.type)
-        if kind is None:
-            raise self.fail(f"operands of types {a.type.simpleString()} and {b.type.simpleString()}")
-        return kind
-
     def _not(self, node: Node, here: Value, top: bool) -> Value:
         return Value(~truthy(self.run(node.parts[0], here)), T.BooleanType())
 
     def _compare(self, node: Node, here: Value, top: bool) -> Value:
-        a, b = (self.run(p, here) for p in node.parts)
-        if node.kind in ("==", "!="):
-            kind = V.unify(a.type, b.type)
-            same = F.lit(False) if kind is None else V.as_type(a, kind).eqNullSafe(V.as_type(b, kind))
-            if kind is None:  # equal only if both are null
-                same = a.col.isNull() & b.col.isNull()
-            return Value(same if node.kind == "==" else ~same, T.BooleanType())
+        return self._compared(node.kind, *(self.run(p, here) for p in node.parts))
+
+    def _compared(self, op: str, a: Value, b: Value) -> Value:
+        if op in ("==", "!="):
+            same = equal(a, b)
+            return Value(same if op == "==" else ~same, T.BooleanType())
+        if isinstance(a.type, Mixed):
+            return V.by_option(a, lambda x: self._compared(op, x, b))
+        if isinstance(b.type, Mixed):
+            return V.by_option(b, lambda x: self._compared(op, a, x))
         fits = (V.is_number(a.type) and V.is_number(b.type)) or (isinstance(a.type, T.StringType) and isinstance(b.type, T.StringType))
         if not fits:
             return Value(F.lit(None).cast("boolean"), T.BooleanType())
-        out = {"<": a.col < b.col, "<=": a.col <= b.col, ">": a.col > b.col, ">=": a.col >= b.col}[node.kind]
+        out = {"<": a.col < b.col, "<=": a.col <= b.col, ">": a.col > b.col, ">=": a.col >= b.col}[op]
         return Value(out, T.BooleanType())
 
     def _call(self, node: Node, here: Value, top: bool) -> Value:
@@ -368,10 +406,18 @@ class _Compiler:
             raise self.fail(f"{len(node.parts)} arguments for {node.value}()")
         arguments = [(lambda v, p=p: self.run(p.parts[0], v)) if p.kind == "&" else self.run(p, here) for p in node.parts]
         try:
-            return f(*arguments)
+            return self._spread(f, node.value, arguments)
         except _Wrong as e:
             raise self.fail(f"{node.value}() can't take {e}") from None
 
+    def _spread(self, f, name: str, arguments: list) -> Value:
+        """A function of values of which some are mixed: planned for each type they may have."""
+        for i, v in enumerate(arguments):
+            if isinstance(v, Value) and isinstance(v.type, Mixed):
+                one = lambda x, i=i: self._spread(f, name, [*arguments[:i], x, *arguments[i + 1 :]])
+                return V.by_option(v, one, _Wrong, f"{name}() can't take")
+        return f(*arguments)
+
 
 _METHODS = {
     "@": "here", "|": "pipe", "||": "either", "&&": "both", "!": "not",
@@ -429,6 +475,17 @@ def _whole(f):
     return one
 
 
+def _alike(f):
+    """A function of arrays of numbers or texts; an array of mixed elements must have one kind of them."""
+
+    def one(v: Value) -> Value:
+        if isinstance(_need(v, T.ArrayType).type.elementType, Mixed):
+            return V.of_one_type(v, f, "elements of types that can't be taken together", _Wrong)
+        return f(v)
+
+    return one
+
+
 def _sum(v: Value) -> Value:
     kind = T.LongType() if V.is_integer(_numbers(v).type.elementType) else T.DoubleType()
     zero = F.lit(0).cast(kind)
@@ -470,10 +527,9 @@ def _by(last: bool):
 def _contains(v: Value, x: Value) -> Value:
     if isinstance(v.type, T.StringType):
         found = v.col.contains(x.col) if isinstance(x.type, T.StringType) else F.lit(False)
-    elif (kind := V.unify(_need(v, T.ArrayType).type.elementType, x.type)) is None:
-        found = F.lit(False)
     else:
-        found = F.exists(v.col, lambda y: y.cast(kind).eqNullSafe(V.as_type(x, kind)))
+        element = _need(v, T.ArrayType).type.elementType
+        found = F.exists(v.col, lambda y: equal(Value(y, element), x))
     return Value(found, T.BooleanType())
 
 
@@ -484,8 +540,15 @@ def _text_test(name: str):
     return one
 
 
+def _failing(why: str, v: Value) -> Value:
+    """An array of texts, if there were any: an error for each row that has other elements."""
+    return Value(F.when(F.size(v.col) > 0, F.raise_error(F.lit(why)).cast("array<string>")).otherwise(F.array().cast("array<string>")), T.ArrayType(T.StringType()))
+
+
 def _join(glue: Value, v: Value) -> Value:
     _need(glue, T.StringType), _need(v, T.ArrayType)
+    if isinstance(v.type.elementType, Mixed):
+        return V.of_one_type(v, lambda x: _join(glue, x if isinstance(x.type.elementType, T.StringType) else _failing("join() can't take numbers", x)), "join() takes texts only")
     if not isinstance(v.type.elementType, T.StringType):
         raise _Wrong(v.type.simpleString())
     whole = F.aggregate(v.col, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, glue.col, x)))
@@ -531,12 +594,7 @@ def _map_merge(a: Value, b: Value) -> Value:
 
 
 def _not_null(*vs: Value) -> Value:
-    kind: T.DataType = T.NullType()
-    for v in vs:
-        found = V.unify(kind, v.type)
-        if found is None:
-            raise _Wrong(f"both {kind.simpleString()} and {v.type.simpleString()}")
-        kind = found
+    kind = V.all_joined(v.type for v in vs)
     return Value(F.coalesce(*[V.as_type(v, kind) for v in vs]), kind)
 
 
@@ -572,8 +630,8 @@ def _type(v: Value) -> Value:
 #: Name: least and most arguments (0: any number), function.
 FUNCTIONS = {
     "abs": (1, 1, _of(F.abs, T.NumericType)), "ceil": (1, 1, _whole(F.ceil)), "floor": (1, 1, _whole(F.floor)),
-    "avg": (1, 1, _avg), "sum": (1, 1, _sum), "max": (1, 1, _extreme(F.array_max)), "min": (1, 1, _extreme(F.array_min)),
-    "max_by": (2, 2, _by(True)), "min_by": (2, 2, _by(False)), "sort": (1, 1, _of(F.array_sort, T.ArrayType)), "sort_by": (2, 2, _sort_by),
+    "avg": (1, 1, _alike(_avg)), "sum": (1, 1, _alike(_sum)), "max": (1, 1, _alike(_extreme(F.array_max))), "min": (1, 1, _alike(_extreme(F.array_min))),
+    "max_by": (2, 2, _by(True)), "min_by": (2, 2, _by(False)), "sort": (1, 1, _alike(_of(F.array_sort, T.ArrayType))), "sort_by": (2, 2, _sort_by),
     "contains": (2, 2, _contains), "starts_with": (2, 2, _text_test("startswith")), "ends_with": (2, 2, _text_test("endswith")),
     "join": (2, 2, _join), "length": (1, 1, _length), "reverse": (1, 1, _of(F.reverse, T.StringType, T.ArrayType)),
     "keys": (1, 1, _keys), "values": (1, 1, _values), "map": (2, 2, _map), "merge": (1, 0, _merge), "not_null": (1, 0, _not_null),

@@ -1,21 +1,28 @@
 """Text templates (Jinja), parsed on the driver and compiled to Columns.
 
 Supported: text, ``{{ }}`` with attributes, items, arithmetic, comparisons,
-``and or not in``, inline ``if``, ``~``, filters and tests; comments, ``raw``,
+``and or not in``, inline ``if``, ``~``, filters and tests, methods of texts and dictionaries; comments, ``raw``,
 white space control; ``if``/``elif``/``else``, ``for`` over arrays, maps, lists of mixed
-types and the items of structs (with ``if``, ``else``, unpacking and ``loop``), ``set``, ``with``,
-``filter``, ``macro`` and ``call``. All else is an error when the template is
+types and the items of structs (with ``if``, ``else``, unpacking, ``recursive`` and ``loop``), ``set``, ``with``,
+``filter``, ``macro`` and ``call``; ``namespace``, ``cycler`` and ``joiner``. All else is an error when the template is
 compiled. Names that are not variables are undefined and print nothing.
 
 What is known when the template is compiled is worked out then: macros are inlined,
-and loops over the fields of a struct or over a list of the template are unrolled.
+loops over the fields of a struct or over a list of the template are unrolled, and recursion
+is unrolled along the type of what it goes over, which ends with the type.
+
+Most loops become a ``transform`` of the array. A loop that leaves something behind for its next round (an attribute
+of a namespace, the turn of a cycler, what ``loop.changed`` compares with) becomes an ``aggregate``, whose accumulator holds
+the text so far and that state; what a branch leaves behind is chosen by the branch's condition.
 """
 
 from __future__ import annotations
 
 import ast
+import inspect
 import re
 import warnings
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -23,8 +30,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions import pytext, wrapping
+from sparkloom.functions.paths import equal
 from sparkloom.functions import values as V
-from sparkloom.functions.values import PlanError, Value
+from sparkloom.functions.values import Mixed, PlanError, Value
 
 
 class TemplateError(PlanError):
@@ -42,7 +51,9 @@ class Node:
     parts: tuple = ()
 
 
-_TAG = re.compile(r"\{#(?P<comment>.*?)#\}|\{\{(?P<out>.*?)\}\}|\{%(?P<block>.*?)%\}", re.DOTALL)
+_OPENING = re.compile(r"\{[#{%]")
+_INSIDE = re.compile(r"""(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<end>\}\}|%\})|(?P<open>[\[({])|(?P<close>[\])}])|.""", re.DOTALL)
+_KINDS = {"{#": ("comment", "#}"), "{{": ("out", "}}"), "{%": ("block", "%}")}
 _RAW = re.compile(r"\{%[-+]?\s*raw\s*(-?)%\}(.*?)\{%(-?)\s*endraw\s*(-?)%\}", re.DOTALL)
 _TOKEN = re.compile(
     r"""\s+|(?P<float>\d+\.\d+(?:[eE][+-]?\d+)?|\d+[eE][+-]?\d+)|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)
@@ -51,6 +62,36 @@ _TOKEN = re.compile(
 )
 
 
+@dataclass(frozen=True)
+class _Tag:
+    kind: str
+    body: str
+    start: int
+    end: int
+
+
+def _tag(source: str, at: int) -> _Tag | None:
+    """The next tag that is closed. What closes it isn't looked for in texts and brackets inside."""
+    for opening in _OPENING.finditer(source, at):
+        kind, close = _KINDS[opening[0]]
+        if kind == "comment":
+            end = source.find(close, opening.end())
+            if end >= 0:
+                return _Tag(kind, source[opening.end() : end], opening.start(), end + 2)
+            continue
+        depth, place = 0, opening.end()
+        while place < len(source):
+            m = _INSIDE.match(source, place)
+            if m["end"] == close and not depth:
+                return _Tag(kind, source[opening.end() : m.start()], opening.start(), m.end())
+            if m["end"]:  # brackets that happen to stand together
+                depth, place = depth - (m["end"] == "}}"), place + 1
+                continue
+            depth += bool(m["open"]) - bool(m["close"])
+            place = m.end()
+    return None
+
+
 def _pieces(source: str) -> list[tuple[str, str]]:
     """Text, output and block pieces, white space control applied."""
     source = source[:-1] if source.endswith("\n") else source
@@ -64,8 +105,8 @@ def _pieces(source: str) -> list[tuple[str, str]]:
 
     at = 0
     while at < len(source):
-        raw, tag = _RAW.search(source, at), _TAG.search(source, at)
-        if raw and (not tag or raw.start() <= tag.start()):
+        raw, tag = _RAW.search(source, at), _tag(source, at)
+        if raw and (not tag or raw.start() <= tag.start):
             text(source[at : raw.start()])
             if source[raw.start() + 2] == "-":
                 out[-1][1] = out[-1][1].rstrip()
@@ -76,22 +117,27 @@ def _pieces(source: str) -> list[tuple[str, str]]:
         if not tag:
             text(source[at:])
             break
-        text(source[at : tag.start()])
-        body = next(g for g in (tag["comment"], tag["out"], tag["block"]) if g is not None)
+        text(source[at : tag.start])
+        body = tag.body
         if body.startswith("-"):
             out[-1][1] = out[-1][1].rstrip()
         trim = body.endswith("-") and len(body) > 1 or body == "-"
         body = body[1:] if body[:1] in ("-", "+") else body
         body = body[:-1] if trim and body.endswith("-") else body
-        if tag["comment"] is None:
-            out.append(["out" if tag["out"] is not None else "block", body])
-        at = tag.end()
+        if tag.kind != "comment":
+            out.append([tag.kind, body])
+        at = tag.end
     rest = "".join(t for k, t in out if k == "text")
     if "{{" in rest and not _RAW.search(source):
         raise TemplateError(f"an output tag isn't closed in {source!r}")
     return [(k, t) for k, t in out if t or k != "text"]
 
 
+def _unescaped(text: str) -> str:
+    """A text between quotes; it may hold line breaks."""
+    return text[1:-1].encode("ascii", "backslashreplace").decode("unicode-escape")
+
+
 class _Expression:
     """Parses what stands inside a tag."""
 
@@ -133,10 +179,19 @@ class _Expression:
             raise TemplateError(f"unexpected {self.tokens[self.at][1]!r} in {self.text!r}")
 
     def whole(self) -> Node:
-        node = self.expression()
+        node = self.listed()
         self.done()
         return node
 
+    def listed(self) -> Node:
+        """An expression, or several with commas between them: a tuple."""
+        items, comma = [self.expression()], False
+        while comma := bool(self.take(",")):
+            if self.tokens[self.at][0] == "end":
+                break
+            items.append(self.expression())
+        return items[0] if len(items) == 1 and not comma else Node("tuple", parts=tuple(items))
+
     def expression(self) -> Node:
         node = self.either()
         while self.take("if"):
@@ -200,9 +255,9 @@ class _Expression:
         kind, text = self.tokens[self.at]
         if kind in ("int", "float", "str"):
             self.at += 1
-            value = ast.literal_eval(text)
+            value = _unescaped(text) if kind == "str" else ast.literal_eval(text)
             while kind == "str" and self.tokens[self.at][0] == "str":
-                value += ast.literal_eval(self.tokens[self.at][1])
+                value += _unescaped(self.tokens[self.at][1])
                 self.at += 1
             return Node("literal", value)
         if kind == "name":
@@ -211,7 +266,7 @@ class _Expression:
             return Node("literal", constants[text]) if text in constants else Node("name", text)
         if self.take("("):
             items = self._list(")")
-            return items[0] if len(items) == 1 else Node("list", parts=tuple(items))
+            return items[0] if len(items) == 1 and self.tokens[self.at - 2][1] != "," else Node("tuple", parts=tuple(items))
         if self.take("["):
             return Node("list", parts=tuple(self._list("]")))
         if self.take("{"):
@@ -244,8 +299,9 @@ class _Expression:
             elif self.take("["):
                 first = None if self.peek(":") else self.expression()
                 if self.take(":"):
-                    last = None if self.peek("]") else self.expression()
-                    node = Node("slice", parts=(node, first, last))
+                    last = None if self.peek("]", ":") else self.expression()
+                    step = self.expression() if self.take(":") and not self.peek("]") else None
+                    node = Node("slice", parts=(node, first, last, step))
                 else:
                     node = Node("item", parts=(node, first))
                 self.need("]")
@@ -332,18 +388,36 @@ class _Blocks:
             target.append(e.name())
         e.need("in")
         over = e.either()
+        if e.peek(","):
+            rest = [over]
+            while e.take(","):
+                rest.append(e.either())
+            over = Node("tuple", parts=tuple(rest))
         keep = e.expression() if e.take("if") else None
+        again = bool(e.take("recursive"))
         e.done()
         body, end = self.body(("else", "endfor"))
         otherwise = self.body(("endfor",))[0] if end.word == "else" else ()
-        return Node("for", (tuple(target), over, keep), (body, otherwise))
+        return Node("for", (tuple(target), over, keep, again), (body, otherwise))
 
     def _set(self, e: _Expression) -> Node:
-        name = e.name()
+        names = [e.name()]
+        if e.take("."):
+            target = (names[0], e.name())
+            e.need("=")
+            return Node("set_attribute", target, (e.whole(),))
+        while e.take(","):
+            names.append(e.name())
         if e.take("="):
-            return Node("set", name, (e.whole(),))
+            return Node("set", tuple(names), (e.whole(),))
+        if len(names) > 1:
+            raise TemplateError(f"a block can't be set to {len(names)} names in {self.source!r}")
+        filters = []
+        while e.take("|"):
+            filters.append((e.name(), tuple(e._arguments()) if e.take("(") else ()))
+        e.done()
         body, _ = self.body(("endset",))
-        return Node("set_block", name, body)
+        return Node("set_block", names[0], (Node("filtered_block", tuple(filters), body),))
 
     def _with(self, e: _Expression) -> Node:
         names = []
@@ -355,7 +429,6 @@ class _Blocks:
         body, _ = self.body(("endwith",))
         return Node("with", tuple(names), body)
 
-
     def _filter(self, e: _Expression) -> Node:
         node = Node("filtered_block")
         filters = []
@@ -418,8 +491,15 @@ def free_variables(source: str) -> set[str]:
         if isinstance(x, Node):
             if x.kind == "name" and x.value not in bound:
                 out.add(x.value)
+            elif x.kind == "if":
+                ends = []
+                for condition, body in x.value:
+                    walk(condition, bound)
+                    ends.append(walk(body, bound))
+                ends.append(walk(x.parts, bound))
+                return bound | frozenset.intersection(*ends)  # set on every way through
             elif x.kind == "for":
-                names, over, keep = x.value
+                names, over, keep, _ = x.value
                 walk(over, bound)
                 inner = bound | set(names) | {"loop"}
                 walk(keep, inner)
@@ -427,7 +507,9 @@ def free_variables(source: str) -> set[str]:
                 walk(x.parts[1], bound)
             elif x.kind == "set":
                 walk(x.parts, bound)
-                return bound | {x.value}
+                return bound | set(x.value)
+            elif x.kind == "set_attribute":
+                walk((Node("name", x.value[0]), *x.parts), bound)
             elif x.kind == "set_block":
                 walk(x.parts, bound)
                 return bound | {x.value}
@@ -459,9 +541,11 @@ def free_variables(source: str) -> set[str]:
         return bound
 
     walk(parse(source), frozenset())
-    return out - {"range", "dict"}
+    return out - GLOBALS
 
 
+#: Functions that every template knows.
+GLOBALS = {"range", "dict", "namespace", "cycler", "joiner"}
 #: Attribute names that mean methods of dictionaries in the template language.
 _METHODS = {"items", "keys", "values", "get", "copy", "pop", "update"}
 
@@ -469,38 +553,52 @@ _METHODS = {"items", "keys", "values", "get", "copy", "pop", "update"}
 @dataclass
 class Scope:
     names: dict[str, Value]
-    inside: bool = False  # in a lambda, where Python functions can't run
     source: str = field(default="")
-    depth: int = 0  # of loops
-    calls: int = 0  # of macros inside one another
-
-    def child(self, inside: bool | None = None, **more: Value) -> Scope:
-        return Scope(self.names | more, self.inside if inside is None else inside, self.source, self.depth, self.calls)
+    calls: tuple[tuple[str, int], ...] = ()  # macros under way, with the size of the types they were given
+    state: dict[Any, Value] = field(default_factory=dict)  # what outlives a round of a loop; one for the whole template
 
-    def deeper(self, inside: bool, **more: Value) -> Scope:
-        out = self.child(inside or self.inside, **more)
-        out.depth += 1
-        return out
+    def child(self, **more: Value) -> Scope:
+        return Scope(self.names | more, self.source, self.calls, self.state)
 
 
 @dataclass(frozen=True)
 class Listed(Value):
-    """A list whose elements are known one by one, so each may have a type of its own."""
+    """A list or tuple whose elements are known one by one, so each may have a type of its own."""
 
     elements: tuple[Value, ...] = ()
+    is_tuple: bool = False
 
 
-def listed(elements: list[Value]) -> Value:
+def listed(elements: Iterable[Value], is_tuple: bool = False) -> Value:
     """As an array too, if the elements have one type."""
+    elements = tuple(elements)
     try:
-        whole = V.array(elements)
+        whole = V.array(list(elements))
     except PlanError:
         whole = Value(F.lit(None), T.ArrayType(T.NullType()))
-    return Listed(whole.col, whole.type, True, tuple(elements))
+    return Listed(whole.col, whole.type, True, elements, is_tuple)
 
 
-def _mixed(v: Value) -> bool:
-    return isinstance(v, Listed) and bool(v.elements) and isinstance(v.type.elementType, T.NullType) and not all(x.is_null for x in v.elements)
+@dataclass(frozen=True)
+class Keyed(Value):
+    """A dictionary of the template; its values keep what is known of them."""
+
+    entries: tuple[tuple[str, Value], ...] = ()
+
+    def field(self, name: str) -> Value:
+        return dict(self.entries).get(name) or V.null()
+
+
+def keyed(entries: dict[str, Value]) -> Value:
+    whole = V.struct(entries)
+    return Keyed(whole.col, whole.type, True, tuple(entries.items()))
+
+
+@dataclass(frozen=True)
+class Maybe(Value):
+    """A value that is undefined in some rows, where its column is null."""
+
+    there: Column | None = None
 
 
 @dataclass(frozen=True)
@@ -511,18 +609,89 @@ class Macro(Value):
     scope: Scope | None = None
 
 
-#: How deep macros may be inlined into one another.
-MOST_CALLS = 16
+@dataclass(frozen=True)
+class Stateful(Value):
+    """A namespace, cycler or joiner: its state is in the scope under its key."""
+
+    kind: str = ""
+    key: int = 0
+    elements: tuple[Value, ...] = ()
+
+
+@dataclass(frozen=True)
+class Loop(Value):
+    """The ``loop`` of one round: numbers, the elements beside it, and what a recursive loop does with the next level."""
+
+    key: int = 0
+    beside: dict[str, Value] | None = None
+    again: Callable[[Value], Column] | None = None
 
 
 def undefined() -> Value:
     return Value(F.lit(None), T.NullType(), defined=False)
 
 
+def depth_of(v: Value) -> int:
+    """How deep the type of a value is nested."""
+
+    def depth(t: T.DataType) -> int:
+        if isinstance(t, T.ArrayType):
+            return 1 + depth(t.elementType)
+        if isinstance(t, T.MapType):
+            return 1 + depth(t.valueType)
+        if isinstance(t, T.StructType):
+            return 1 + max((depth(f.dataType) for f in t.fields), default=0)
+        return 1 + max(map(depth, t.options)) if isinstance(t, Mixed) else 0
+
+    return depth(v.type) if v.defined else 0
+
+
+def either_way(scope: Scope, condition: Column, yes: Callable[[], Any], no: Callable[[], Any]) -> tuple[Any, Any]:
+    """What both sides of a branch give, each begun with the same names and state. What they leave behind is chosen by the condition."""
+    tables = (scope.names, scope.state)
+    before = [dict(t) for t in tables]
+    a = yes()
+    after = [dict(t) for t in tables]
+    for t, was in zip(tables, before, strict=True):
+        t.clear()
+        t.update(was)
+    b = no()
+    for t, other in zip(tables, after, strict=True):
+        for k in [*t, *(k for k in other if k not in t)]:
+            if other.get(k) is not t.get(k):
+                t[k] = _one_of(condition, other.get(k), t.get(k), scope)
+    return a, b
+
+
+def _one_of(condition: Column, a: Value | None, b: Value | None, scope: Scope) -> Value:
+    x, y = (undefined() if v is None else v for v in (a, b))
+    if not x.defined and not y.defined:
+        return x
+    if any(isinstance(v, (Macro, Stateful)) or v.defined and _apart(v) for v in (x, y)):
+        raise UnsupportedTemplate(f"a name is set to different kinds of things, depending on a condition, in {scope.source!r}")
+    kind = V.joined(x.type, y.type)
+    col = F.when(condition, V.as_type(x, kind)).otherwise(V.as_type(y, kind))
+    there = [F.lit(v.defined) if not isinstance(v, Maybe) else v.there for v in (x, y)]
+    if x.defined and y.defined and not isinstance(x, Maybe) and not isinstance(y, Maybe):
+        return Value(col, kind)
+    return Maybe(col, kind, True, F.when(condition, there[0]).otherwise(there[1]))
+
+
+def _apart(v: Value) -> bool:
+    """Whether the elements of a list have no type in common, so that there is no array of them."""
+    return isinstance(v, Listed) and bool(v.elements) and isinstance(v.type.elementType, T.NullType) and not all(x.is_null for x in v.elements)
+
+
 def truth(v: Value) -> Column:
     t = v.type
+    if isinstance(v, Listed):
+        return F.lit(bool(v.elements))
+    if isinstance(v, (Macro, Stateful, Loop)):
+        return F.lit(True)
     if not v.defined or isinstance(t, T.NullType):
         return F.lit(False)
+    if isinstance(t, Mixed):
+        return F.coalesce(V.by_option(v, lambda x: _boolean(truth(x))).col, F.lit(False))
     if isinstance(t, T.BooleanType):
         return F.coalesce(v.col, F.lit(False))
     if isinstance(t, T.StringType):
@@ -537,9 +706,22 @@ def truth(v: Value) -> Column:
 def text_of(v: Value, scope: Scope) -> Column:
     if not v.defined:
         return F.lit("")
-    if _mixed(v):
-        return F.concat(F.lit("["), *[x for i, e in enumerate(v.elements) for x in ([F.lit(", ")] if i else []) + [V.py_repr(e)]], F.lit("]"))
-    return V.py_text(v) if scope.inside else V.py_str(v)
+    if isinstance(v, (Macro, Stateful, Loop)):
+        raise UnsupportedTemplate(f"no text for a function or an object in {scope.source!r}")
+    text = represented(v) if isinstance(v, (Listed, Keyed)) else pytext.py_str(v)
+    return F.when(v.there, text).otherwise("") if isinstance(v, Maybe) else text
+
+
+def represented(v: Value) -> Column:
+    """As inside a container. The elements of a list of the template are written by their own types."""
+    if isinstance(v, Listed):
+        parts = [x for i, e in enumerate(v.elements) for x in ([F.lit(", ")] if i else []) + [represented(e)]]
+        opening, close = ("(", ",)" if len(v.elements) == 1 else ")") if v.is_tuple else ("[", "]")
+        return F.concat(F.lit(opening), *parts, F.lit(close))
+    if isinstance(v, Keyed):
+        parts = [x for i, (n, e) in enumerate(v.entries) for x in (F.lit(f"{', ' if i else ''}{n!r}: "), represented(e))]
+        return F.concat(F.lit("{"), *parts, F.lit("}"))
+    return pytext.py_repr(v)
 
 
 def compile_template(source: str, names: dict[str, Value]) -> Value:
@@ -555,9 +737,10 @@ def render(source: str, names: dict[str, Value]) -> Value:
     return Value(_body(parse(source), Scope(dict(names), source=source)), T.StringType())
 
 
-def _body(nodes: tuple[Node, ...], scope: Scope) -> Column:
+def _body(nodes: tuple[Node, ...], scope: Scope, own: bool = True) -> Column:
+    """The text of nodes in sequence. ``own``: whether names set in them are theirs only."""
     parts: list[Column | str] = []
-    scope = scope.child()
+    scope = scope.child() if own else scope
     for node in nodes:
         if node.kind == "text":
             if parts and isinstance(parts[-1], str):
@@ -565,7 +748,12 @@ def _body(nodes: tuple[Node, ...], scope: Scope) -> Column:
             else:
                 parts.append(node.value)
         elif node.kind == "set":
-            scope.names[node.value] = evaluate(node.parts[0], scope)
+            scope.names.update(_unpacked(node.value, evaluate(node.parts[0], scope), scope))
+        elif node.kind == "set_attribute":
+            of = scope.names.get(node.value[0])
+            if not isinstance(of, Stateful) or of.kind != "namespace":
+                raise TemplateError(f"{node.value[0]!r} isn't a namespace in {scope.source!r}")
+            scope.state[of.key, node.value[1]] = evaluate(node.parts[0], scope)
         elif node.kind == "set_block":
             scope.names[node.value] = Value(_body(node.parts, scope), T.StringType())
         elif node.kind == "macro":
@@ -576,6 +764,26 @@ def _body(nodes: tuple[Node, ...], scope: Scope) -> Column:
     return columns[0] if len(columns) == 1 else F.concat(*columns) if columns else F.lit("")
 
 
+def known(node: Node, scope: Scope) -> bool | None:
+    """Whether a condition holds, if the types tell: what is undefined there isn't compiled."""
+    if node.kind == "not":
+        inner = known(node.parts[0], scope)
+        return None if inner is None else not inner
+    if node.kind == "binary" and node.value in ("and", "or"):
+        sides = [known(p, scope) for p in node.parts]
+        stop = node.value == "or"
+        return stop if stop in sides else None if None in sides else not stop
+    if node.kind == "test" and node.value in ("defined", "undefined"):
+        v = evaluate(node.parts[0], scope)
+        return None if isinstance(v, Maybe) else v.defined == (node.value == "defined")
+    if node.kind == "literal":
+        return bool(node.value)
+    if node.kind in ("name", "item", "undefined"):
+        v = evaluate(node, scope)
+        return False if not v.defined or v.is_null and not isinstance(v, (Macro, Stateful)) else None
+    return None
+
+
 class _Render:
     @staticmethod
     def out(node: Node, scope: Scope) -> Column:
@@ -587,10 +795,7 @@ class _Render:
 
     @staticmethod
     def if_(node: Node, scope: Scope) -> Column:
-        out = _body(node.parts, scope)
-        for condition, body in reversed(node.value):
-            out = F.when(truth(evaluate(condition, scope)), _body(body, scope)).otherwise(out)
-        return out
+        return _branches(node.value, node.parts, scope)
 
     @staticmethod
     def filtered_block(node: Node, scope: Scope) -> Column:
@@ -607,37 +812,147 @@ class _Render:
 
     @staticmethod
     def for_(node: Node, scope: Scope) -> Column:
-        names, over, keep = node.value
-        v = evaluate(over, scope)
-        if isinstance(v, Listed) or isinstance(v.type, T.StructType):
-            return _unrolled(node, v.elements if isinstance(v, Listed) else tuple(V.literal(n) for n in v.type.names), scope)
-        if isinstance(v.type, T.MapType):  # as of a dictionary: its keys
-            v = Value(F.map_keys(v.col), T.ArrayType(v.type.keyType))
-        if isinstance(v.type, T.StringType):
-            v = _array(v, scope)
-        if not isinstance(v.type, T.ArrayType):
-            if v.defined and not v.is_null:
-                raise UnsupportedTemplate(f"no loop over a {v.type.simpleString()} in {scope.source!r}")
-            return _body(node.parts[1], scope)
-        element = v.type.elementType
-        bound = lambda x: _unpacked(names, Value(x, element), scope)
-        items = v.col if keep is None else F.filter(v.col, lambda x: truth(evaluate(keep, scope.deeper(True, **bound(x)))))
-        n = F.size(items)
-
-        def one(x: Column, i: Column) -> Column:
-            return _body(node.parts[0], scope.deeper(True, **bound(x), loop=_loop(i, n, scope)))
-
-        body = F.array_join(F.transform(items, one), "")
-        return F.when(F.coalesce(n, F.lit(0)) > 0, body).otherwise(_body(node.parts[1], scope))
-
-
-def _loop(i: Column, n: Column, scope: Scope) -> Value:
+        return _looped(node, evaluate(node.value[1], scope), scope)
+
+
+for _word in ("if", "for", "with"):
+    setattr(_Render, _word, staticmethod(getattr(_Render, f"{_word}_")))
+
+
+def _branches(branches: tuple, otherwise: tuple[Node, ...], scope: Scope) -> Column:
+    """The first branch whose condition holds. Names set in a branch outlive it."""
+    if not branches:
+        return _body(otherwise, scope, own=False)
+    (condition, body), *rest = branches
+    told = known(condition, scope)
+    if told is not None:
+        return _body(body, scope, own=False) if told else _branches(tuple(rest), otherwise, scope)
+    holds = truth(evaluate(condition, scope))
+    yes, no = either_way(scope, holds, lambda: _body(body, scope, own=False), lambda: _branches(tuple(rest), otherwise, scope))
+    return F.when(holds, yes).otherwise(no)
+
+
+def _looped(node: Node, v: Value, scope: Scope, level: int = 0) -> Column:
+    names, _, keep, recursive = node.value
+    if isinstance(v, (Listed, Keyed)) or isinstance(v.type, T.StructType):
+        elements = v.elements if isinstance(v, Listed) else tuple(V.literal(n) for n in v.type.names)
+        return _unrolled(node, elements, v, scope, level)
+    if isinstance(v.type, T.MapType):  # as of a dictionary: its keys
+        v = Value(F.map_keys(v.col), T.ArrayType(v.type.keyType))
+    if isinstance(v.type, Mixed) and any(isinstance(t, T.ArrayType) for t in v.type.options):
+        v = V.option(v, next(t for t in v.type.options if isinstance(t, T.ArrayType)))
+    if isinstance(v.type, T.StringType):
+        v = _array(v, scope)
+    if not isinstance(v.type, T.ArrayType):
+        if v.defined and not v.is_null:
+            raise UnsupportedTemplate(f"no loop over a {v.type.simpleString()} in {scope.source!r}")
+        return _body(node.parts[1], scope)
+    element, key = v.type.elementType, id(node)
+
+    def kept(x: Column) -> Column:
+        inner, was = scope.child(**_unpacked(names, Value(x, element), scope)), dict(scope.state)
+        holds = truth(evaluate(keep, inner))
+        if scope.state != was:
+            raise UnsupportedTemplate(f"the condition of a loop changes something in {scope.source!r}")
+        return holds
+
+    items = v.col if keep is None else F.filter(v.col, kept)
+    n = F.size(items)
+
+    def one(x: Column, i: Column) -> Column:
+        beside = lambda at, there: Maybe(F.get(items, at), element, True, there)
+        loop = _loop(i, n, level, key, {"previtem": beside(i - 1, i > 0), "nextitem": beside(i + 1, i < n - 1)}, _again(node, v, scope, level))
+        return _body(node.parts[0], scope.child(**_unpacked(names, Value(x, element), scope), loop=loop))
+
+    def rounds() -> Column:
+        before = {k: x for k, x in scope.state.items() if k[0] != ("loop", key)}  # loop.changed() begins anew
+        _reset(scope, before)
+        one(F.lit(None).cast(element), F.lit(0))
+        changed = [k for k, x in scope.state.items() if before.get(k) is not x]
+        _reset(scope, before)
+        return _folded(items, one, changed, scope) if changed else F.array_join(F.transform(items, one), "")
+
+    some = F.coalesce(n, F.lit(0)) > 0
+    yes, no = either_way(scope, some, rounds, lambda: _body(node.parts[1], scope))
+    return F.when(some, yes).otherwise(no)
+
+
+def _reset(scope: Scope, state: dict[Any, Value]) -> None:
+    scope.state.clear()
+    scope.state.update(state)
+
+
+def _folded(items: Column, one: Callable[[Column, Column], Column], changed: list, scope: Scope) -> Column:
+    """A loop whose rounds leave something behind, as an aggregation over its items. (The text is copied in each round.)"""
+    before = dict(scope.state)
+    begun = {k: before.get(k) or V.null() for k in changed}
+    kinds = {k: v.type for k, v in begun.items()}
+
+    def after(acc: Callable[[int], Column], x: Column, i: Column) -> tuple[Column, list[Value]]:
+        scope.state.update({k: Value(acc(j), kinds[k]) for j, k in enumerate(changed)})
+        text = one(x, i)
+        left = [scope.state[k] for k in changed]
+        _reset(scope, before)
+        if any(isinstance(v, (Macro, Stateful)) or _apart(v) for v in left):
+            raise UnsupportedTemplate(f"a loop can't keep such a value from round to round in {scope.source!r}")
+        return text, left
+
+    for _ in range(4):  # until the types that a round leaves behind are those it began with
+        _, left = after(lambda j: F.lit(None).cast(kinds[changed[j]]), F.get(items, F.lit(0)), F.lit(0))
+        wider = {k: V.joined(kinds[k], v.type) for k, v in zip(changed, left, strict=True)}
+        if wider == kinds:
+            break
+        kinds = wider
+    else:
+        raise UnsupportedTemplate(f"the types of what a loop keeps don't settle in {scope.source!r}")
+    kinds = {k: T.StringType() if isinstance(t, T.NullType) else t for k, t in kinds.items()}
+
+    def step(acc: Column, x: Column) -> Column:
+        text, left = after(lambda j: acc.getField(f"s{j}"), x, acc.getField("i"))
+        kept = [V.as_type(v, kinds[k]).alias(f"s{j}") for j, (k, v) in enumerate(zip(changed, left, strict=True))]
+        return F.struct((acc.getField("i") + 1).alias("i"), F.concat(acc.getField("text"), text).alias("text"), *kept)
+
+    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("text"), *[V.as_type(begun[k], kinds[k]).alias(f"s{j}") for j, k in enumerate(changed)])
+    done = F.aggregate(items, start, step)
+    scope.state.update({k: Value(done.getField(f"s{j}"), kinds[k]) for j, k in enumerate(changed) if not isinstance(k[0], tuple)})
+    return done.getField("text")
+
+
+def _again(node: Node, v: Value, scope: Scope, level: int) -> Callable[[Value], Column] | None:
+    if not node.value[3]:
+        return None
+
+    def run(inner: Value) -> Column:
+        if depth_of(inner) >= depth_of(v):
+            raise UnsupportedTemplate(f"a recursive loop has to go down in the type of what it goes over in {scope.source!r}")
+        return _looped(node, inner, scope, level + 1)
+
+    return run
+
+
+def _loop(i: Column, n: Column, level: int, key: int, beside: dict[str, Value] | None, again: Callable[[Value], Column] | None) -> Value:
     number = lambda c: Value(c, T.IntegerType())
     flag = lambda c: Value(c, T.BooleanType())
-    return V.struct({
+    numbers = V.struct({
         "index": number(i + 1), "index0": number(i), "revindex": number(n - i), "revindex0": number(n - i - 1),
-        "first": flag(i == 0), "last": flag(i == n - 1), "length": number(n), "depth": number(F.lit(scope.depth + 1)), "depth0": number(F.lit(scope.depth)),
+        "first": flag(i == 0), "last": flag(i == n - 1), "length": number(n), "depth": number(F.lit(level + 1)), "depth0": number(F.lit(level)),
     })
+    return Loop(numbers.col, numbers.type, True, key, beside, again)
+
+
+def _changed(loop: Loop, values: list[Value], scope: Scope) -> Value:
+    """Whether the values differ from those of the last call in this loop."""
+    mark = ("loop", loop.key)
+    now = V.struct({f"v{i}": v if not v.is_null else Value(v.col.cast("string"), T.StringType()) for i, v in enumerate(values)})
+    seen, last = scope.state.get((mark, "seen")), scope.state.get((mark, "last"))
+    same = F.lit(False)
+    if last is not None and not last.is_null:
+        kind = V.unify(last.type, now.type)
+        if kind is None or V.is_mixed(kind):
+            raise UnsupportedTemplate(f"loop.changed() of values of different types in {scope.source!r}")
+        same = F.coalesce(seen.col.cast("boolean"), F.lit(False)) & V.as_type(last, kind).eqNullSafe(V.as_type(now, kind))
+    scope.state[mark, "seen"], scope.state[mark, "last"] = _boolean(F.lit(True)), now
+    return _boolean(~same)
 
 
 def _unpacked(names: tuple[str, ...], v: Value, scope: Scope) -> dict[str, Value]:
@@ -657,20 +972,34 @@ def _unpacked(names: tuple[str, ...], v: Value, scope: Scope) -> dict[str, Value
     return dict(zip(names, parts, strict=True))
 
 
-def _unrolled(node: Node, elements: tuple[Value, ...], scope: Scope) -> Column:
+def _unrolled(node: Node, elements: tuple[Value, ...], v: Value, scope: Scope, level: int) -> Column:
     """A loop over elements that are known one by one."""
-    names, _, keep = node.value
-    bound = [_unpacked(names, e, scope) for e in elements]
+    names, _, keep, _ = node.value
     if not elements:
         return _body(node.parts[1], scope)
-    kept = [F.lit(1) if keep is None else truth(evaluate(keep, scope.deeper(False, **b))).cast("int") for b in bound]
-    n, before, parts = sum(kept[1:], kept[0]), F.lit(0), []
-    for b, k in zip(bound, kept, strict=True):
-        body = _body(node.parts[0], scope.deeper(False, **b, loop=_loop(before, n, scope)))
-        parts.append(body if keep is None else F.when(k == 1, body).otherwise(""))
-        before = before + k
-    whole = F.concat(*parts)
-    return whole if keep is None else F.when(n > 0, whole).otherwise(_body(node.parts[1], scope))
+    bound = [_unpacked(names, e, scope) for e in elements]
+    holds = [F.lit(1) if keep is None else truth(evaluate(keep, scope.child(**b))).cast("int") for b in bound]
+    n, before, parts = sum(holds[1:], holds[0]), F.lit(0), []
+    _reset(scope, {k: x for k, x in scope.state.items() if k[0] != ("loop", id(node))})
+
+    def rounds() -> list[Column]:
+        nonlocal before
+        for i, (b, k) in enumerate(zip(bound, holds, strict=True)):
+            at = lambda j: elements[j] if 0 <= j < len(elements) else undefined()
+            beside = {"previtem": at(i - 1), "nextitem": at(i + 1)} if keep is None else None
+            loop = _loop(before, n, level, id(node), beside, _again(node, v, scope, level))
+            body = lambda b=b, loop=loop: _body(node.parts[0], scope.child(**b, loop=loop))
+            if keep is None:
+                parts.append(body())
+            else:
+                parts.append(F.when(k == 1, either_way(scope, k == 1, body, lambda: None)[0]).otherwise(""))
+            before = before + k
+        return parts
+
+    if keep is None:
+        return F.concat(*rounds())
+    yes, no = either_way(scope, n > 0, rounds, lambda: _body(node.parts[1], scope))
+    return F.when(n > 0, F.concat(*yes)).otherwise(no)
 
 
 def _called(node: Node, scope: Scope, caller: Macro | None = None) -> Value:
@@ -679,14 +1008,16 @@ def _called(node: Node, scope: Scope, caller: Macro | None = None) -> Value:
     macro = scope.names.get(target.value) if target.kind == "name" else None
     if not isinstance(macro, Macro):
         raise UnsupportedTemplate(f"no macro {target.value!r} in {scope.source!r}")
-    if scope.calls >= MOST_CALLS:
-        raise UnsupportedTemplate(f"macro {macro.name!r} calls itself in {scope.source!r}")
     given = [evaluate(p, scope) for p in node.parts[1:] if p.kind != "keyword"]
     by_name = {p.value: evaluate(p.parts[0], scope) for p in node.parts[1:] if p.kind == "keyword"}
     if len(given) > len(macro.parameters) or set(by_name) - {n for n, _ in macro.parameters}:
         raise TemplateError(f"macro {macro.name!r} takes {len(macro.parameters)} arguments in {scope.source!r}")
-    inner = macro.scope.child(scope.inside)
-    inner.calls = scope.calls + 1
+    size = sum(map(depth_of, [*given, *by_name.values()]))
+    last = next((n for name, n in reversed(scope.calls) if name == macro.name), None) if macro.name != "caller" else None
+    if last is not None and size >= last:  # it ends only where each call gets less of the type than the one before
+        raise UnsupportedTemplate(f"macro {macro.name!r} calls itself, but not with a part of what it was given, in {scope.source!r}")
+    inner = macro.scope.child()
+    inner.calls = (*scope.calls, (macro.name, size))
     for i, (name, default) in enumerate(macro.parameters):
         inner.names[name] = given[i] if i < len(given) else by_name[name] if name in by_name else undefined() if default is None else evaluate(default, inner)
     if caller is not None:
@@ -694,10 +1025,6 @@ def _called(node: Node, scope: Scope, caller: Macro | None = None) -> Value:
     return Value(_body(macro.body, inner), T.StringType())
 
 
-for _word in ("if", "for", "with"):
-    setattr(_Render, _word, staticmethod(getattr(_Render, f"{_word}_")))
-
-
 def evaluate(node: Node, scope: Scope) -> Value:
     return getattr(_Eval, node.kind)(node, scope)
 
@@ -721,19 +1048,28 @@ class _Eval:
 
     @staticmethod
     def list(node: Node, scope: Scope) -> Value:
-        return listed([evaluate(p, scope) for p in node.parts])
+        return listed(evaluate(p, scope) for p in node.parts)
+
+    @staticmethod
+    def tuple(node: Node, scope: Scope) -> Value:
+        return listed((evaluate(p, scope) for p in node.parts), is_tuple=True)
 
     @staticmethod
     def dict(node: Node, scope: Scope) -> Value:
         if any(k.kind != "literal" for k in node.value):
             raise UnsupportedTemplate(f"computed keys in {scope.source!r}")
-        return V.struct({str(k.value): evaluate(p, scope) for k, p in zip(node.value, node.parts, strict=True)})
+        return keyed({str(k.value): evaluate(p, scope) for k, p in zip(node.value, node.parts, strict=True)})
 
     @staticmethod
     def item(node: Node, scope: Scope) -> Value:
         base = evaluate(node.parts[0], scope)
-        if isinstance(base, Listed) and node.parts[1].kind == "literal" and isinstance(node.parts[1].value, int):
-            return base.elements[node.parts[1].value] if node.parts[1].value < len(base.elements) else undefined()
+        if isinstance(base, Listed) and isinstance(i := _integer(node.parts[1]), int):
+            return base.elements[i] if -len(base.elements) <= i < len(base.elements) else undefined()
+        if isinstance(base, (Loop, Stateful)):
+            return _attribute_of(base, node.parts[1], scope)
+        if isinstance(base, Maybe):  # an error where it isn't there
+            absent = F.raise_error(F.lit("an attribute of an undefined value")).cast(base.type)
+            base = Value(F.when(base.there, base.col).otherwise(absent), base.type)
         if not base.defined:
             raise TemplateError(f"an attribute of an undefined value in {scope.source!r}")
         key = node.parts[1]
@@ -744,13 +1080,13 @@ class _Eval:
                         warnings.warn(f"{key.value!r} is read as a field, not a method, in {scope.source!r}", stacklevel=2)
                     return base.field(key.value)
                 return undefined()
-            return base.field(key.value) if isinstance(base.type, T.MapType) else undefined()
+            return base.field(key.value) if isinstance(base.type, (T.MapType, Mixed)) else undefined()
         if key.kind == "negative" or (key.kind == "literal" and isinstance(key.value, int)):
             i = -key.parts[0].value if key.kind == "negative" else key.value
             if isinstance(base.type, T.StringType):
                 at = F.lit(i + 1) if i >= 0 else F.length(base.col) + F.lit(i + 1)
                 return Value(F.substring(base.col, at, F.lit(1)), T.StringType())
-            return base.item(i) if isinstance(base.type, T.ArrayType) else undefined()
+            return base.item(i) if isinstance(base.type, (T.ArrayType, Mixed)) else undefined()
         i = evaluate(key, scope)
         if isinstance(base.type, T.ArrayType) and V.is_integer(i.type):
             return Value(F.get(base.col, F.when(i.col < 0, F.size(base.col) + i.col).otherwise(i.col).cast("int")), base.type.elementType)
@@ -759,36 +1095,62 @@ class _Eval:
     @staticmethod
     def slice(node: Node, scope: Scope) -> Value:
         base = evaluate(node.parts[0], scope)
-        first, last = (None if p is None else evaluate(p, scope).col for p in node.parts[1:])
+        first, last = (None if p is None else evaluate(p, scope).col for p in node.parts[1:3])
+        step = _constant(node.parts[3], 1, scope)
+        if step is None or not isinstance(step, int) or not step:
+            raise TemplateError(f"a slice step of {step!r} in {scope.source!r}")
+        if isinstance(base, Listed) and all(p is None or isinstance(_integer(p), int) for p in node.parts[1:3]):
+            ends = (None if p is None else _integer(p) for p in node.parts[1:3])
+            return listed(base.elements[slice(*ends, step)], base.is_tuple)
         if not isinstance(base.type, (T.StringType, T.ArrayType)):
             raise UnsupportedTemplate(f"a slice of a {base.type.simpleString()} in {scope.source!r}")
         n = F.length(base.col) if isinstance(base.type, T.StringType) else F.size(base.col)
-        bound = lambda c, default: default if c is None else F.least(F.greatest(F.when(c < 0, n + c).otherwise(c), F.lit(0)), n).cast("int")
-        a, b = bound(first, F.lit(0)), bound(last, n)
-        size = F.greatest(b - a, F.lit(0))
-        return Value(F.substring(base.col, a + 1, size) if isinstance(base.type, T.StringType) else F.slice(base.col, a + 1, size), base.type)
+        low, high = (F.lit(0), n) if step > 0 else (F.lit(-1), n - 1)
+        bound = lambda c, default: default if c is None else F.least(F.greatest(F.when(c < 0, n + c).otherwise(c), low), high).cast("int")
+        a, b = bound(first, low if step > 0 else high), bound(last, high if step > 0 else low)
+        if step == 1:
+            size = F.greatest(b - a, F.lit(0))
+            return Value(F.substring(base.col, a + 1, size) if isinstance(base.type, T.StringType) else F.slice(base.col, a + 1, size), base.type)
+        places = _stepped(a, b, step)
+        picked = F.transform(places, lambda i: F.get(_array(base, scope).col, i))
+        return Value(F.array_join(picked, "") if isinstance(base.type, T.StringType) else picked, base.type)
 
     @staticmethod
     def call(node: Node, scope: Scope) -> Value:
         name = node.parts[0]
         if name.kind == "name" and isinstance(scope.names.get(name.value), Macro):
             return _called(node, scope)
+        if name.kind == "name" and name.value in ("namespace", "cycler", "joiner") and name.value not in scope.names:
+            return _stateful(node, scope)
         if name.kind == "name" and name.value == "dict":
             if any(p.kind != "keyword" for p in node.parts[1:]):
                 raise UnsupportedTemplate(f"dict() takes names only in {scope.source!r}")
-            return V.struct({p.value: evaluate(p.parts[0], scope) for p in node.parts[1:]})
+            return keyed({p.value: evaluate(p.parts[0], scope) for p in node.parts[1:]})
         arguments = [evaluate(p, scope) for p in node.parts[1:]]
         if name.kind == "name" and name.value == "range" and len(arguments) in (1, 2, 3):
             first, last = (F.lit(0), arguments[0].col) if len(arguments) == 1 else (arguments[0].col, arguments[1].col)
             if len(arguments) == 3:
                 return Value(_stepped(first, last, _constant(node.parts[3], 1, scope)), T.ArrayType(T.IntegerType()))
             return Value(V.sequence(first.cast("int"), last.cast("int") - 1), T.ArrayType(T.IntegerType()))
+        target = scope.names.get(name.value) if name.kind == "name" else None
+        if isinstance(target, Loop) and target.again and len(arguments) == 1:
+            return Value(target.again(arguments[0]), T.StringType())
+        if isinstance(target, Stateful) and target.kind == "joiner" and not arguments:
+            used = scope.state[target.key, "used"]
+            scope.state[target.key, "used"] = _boolean(F.lit(True))
+            return Value(F.when(used.col, text_of(target.elements[0], scope)).otherwise(""), T.StringType())
         if name.kind == "item" and name.value == ".":
-            method = name.parts[1].value
-            if method == "cycle" and name.parts[0].kind == "name" and name.parts[0].value == "loop" and arguments:
-                turns = V.array(arguments)
-                return Value(F.get(turns.col, scope.names["loop"].field("index0").col % len(arguments)), turns.type.elementType)
-            base = evaluate(name.parts[0], scope)
+            method, base = name.parts[1].value, evaluate(name.parts[0], scope)
+            if isinstance(base, Loop) and method == "cycle" and arguments:
+                return _turn(tuple(arguments), base.field("index0").col % len(arguments), scope)
+            if isinstance(base, Loop) and method == "changed":
+                return _changed(base, arguments, scope)
+            if isinstance(base, Stateful) and base.kind == "cycler" and method in ("next", "reset") and not arguments:
+                at = scope.state[base.key, "at"].col
+                scope.state[base.key, "at"] = Value((at + 1) % len(base.elements) if method == "next" else F.lit(0), T.IntegerType())
+                return _turn(base.elements, at, scope) if method == "next" else V.null()
+            if isinstance(base.type, T.StringType):
+                return _text_method(base, method, node.parts[1:], scope)
             if method in _METHODS and isinstance(base.type, (T.StructType, T.MapType)):
                 return _method(base, method, node.parts[1:], scope)
         raise UnsupportedTemplate(f"no call of {name.value or name.kind!r} in {scope.source!r}")
@@ -800,13 +1162,16 @@ class _Eval:
 
     @staticmethod
     def inline_if(node: Node, scope: Scope) -> Value:
-        condition, a, b = (evaluate(p, scope) for p in node.parts)
-        if not a.defined or not b.defined:  # prints nothing on the undefined side
-            return Value(F.when(truth(condition), text_of(a, scope)).otherwise(text_of(b, scope)), T.StringType())
+        told = known(node.parts[0], scope)
+        if told is not None:
+            return evaluate(node.parts[1 if told else 2], scope)
+        holds = truth(evaluate(node.parts[0], scope))
+        a, b = either_way(scope, holds, lambda: evaluate(node.parts[1], scope), lambda: evaluate(node.parts[2], scope))
         kind = V.unify(a.type, b.type)
-        if kind is None:
-            return Value(F.when(truth(condition), text_of(a, scope)).otherwise(text_of(b, scope)), T.StringType())
-        return Value(F.when(truth(condition), V.as_type(a, kind)).otherwise(V.as_type(b, kind)), kind)
+        plain = not any(isinstance(v, Maybe) or not v.defined or _apart(v) for v in (a, b))
+        if kind is None or not plain:  # an undefined side prints nothing
+            return Value(F.when(holds, text_of(a, scope)).otherwise(text_of(b, scope)), T.StringType())
+        return Value(F.when(holds, V.as_type(a, kind)).otherwise(V.as_type(b, kind)), kind)
 
     @staticmethod
     def not_(node: Node, scope: Scope) -> Value:
@@ -814,8 +1179,11 @@ class _Eval:
 
     @staticmethod
     def binary(node: Node, scope: Scope) -> Value:
-        a, b = (evaluate(p, scope) for p in node.parts)
-        op = node.value
+        op, a = node.value, evaluate(node.parts[0], scope)
+        if op in ("and", "or"):  # the right side counts only where the left one doesn't decide
+            b, _ = either_way(scope, truth(a) if op == "and" else ~truth(a), lambda: evaluate(node.parts[1], scope), lambda: None)
+        else:
+            b = evaluate(node.parts[1], scope)
         if op == "~":
             return Value(F.concat(text_of(a, scope), text_of(b, scope)), T.StringType())
         if op in ("and", "or"):
@@ -829,11 +1197,14 @@ class _Eval:
             found = _contains(b, a, scope)
             return _boolean(~found if op == "not in" else found)
         if op in ("==", "!="):
-            kind = V.unify(a.type, b.type)
-            same = F.lit(False) if kind is None else V.as_type(a, kind).eqNullSafe(V.as_type(b, kind))
+            same = equal(a, b) if a.defined and b.defined else F.lit(a.defined == b.defined)
+            same = same & v.there if isinstance(v := a if isinstance(a, Maybe) else b, Maybe) else same
             return _boolean(same if op == "==" else ~same)
         numbers = V.is_number(a.type) and V.is_number(b.type)
         texts = isinstance(a.type, T.StringType) and isinstance(b.type, T.StringType)
+        if op in ("<", "<=", ">", ">=", "+", "-", "*", "/", "//", "%", "**") and a.defined and b.defined and (a.is_null or b.is_null):
+            kind = T.BooleanType() if "<" in op or ">" in op else b.type if a.is_null else a.type
+            return Value(F.raise_error(F.lit(f"no {op!r} of None in {scope.source!r}")).cast(kind), kind)
         if op in ("<", "<=", ">", ">=") and (numbers or texts):
             return _boolean({"<": a.col < b.col, "<=": a.col <= b.col, ">": a.col > b.col, ">=": a.col >= b.col}[op])
         if op == "+" and texts:
@@ -848,6 +1219,11 @@ class _Eval:
                 return Value({"+": x + y, "-": x - y, "*": x * y}[op], kind)
             if op == "/":
                 return Value(a.col.cast("double") / b.col.cast("double"), T.DoubleType())
+            if op in ("//", "%") and not whole:
+                x, y = a.col.cast("double"), b.col.cast("double")
+                rest = x % y  # has the sign of x, Python's that of y
+                rest = F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest)
+                return Value(F.bround((x - rest) / y, 0) if op == "//" else rest, T.DoubleType())
             if op in ("//", "%") and whole:  # Python rounds down
                 down = F.floor(a.col.cast("decimal(38,0)") / b.col.cast("decimal(38,0)")).cast("long")
                 return Value(down if op == "//" else a.col - down * b.col, T.LongType())
@@ -875,7 +1251,12 @@ def _filtered(name: str, v: Value, given: tuple[Node, ...], scope: Scope) -> Val
     keywords = {p.value: p.parts[0] for p in given if p.kind == "keyword"}
     if name not in FILTERS:
         raise UnsupportedTemplate(f"no filter {name!r} in {scope.source!r}")
-    return FILTERS[name](v, scope, *arguments, **keywords)
+    f = FILTERS[name]
+    try:
+        inspect.signature(f).bind(v, scope, *arguments, **keywords)
+    except TypeError as e:
+        raise TemplateError(f"filter {name!r}: {e} in {scope.source!r}") from None
+    return f(v, scope, *arguments, **keywords)
 
 
 def _stepped(first: Column, last: Column, step: int) -> Column:
@@ -886,6 +1267,101 @@ def _stepped(first: Column, last: Column, step: int) -> Column:
     return F.when(some, F.sequence(F.when(some, first), F.when(some, last), F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
+def _integer(node: Node) -> int | None:
+    """A constant whole number of the template."""
+    if node.kind == "negative":
+        inner = _integer(node.parts[0])
+        return None if inner is None else -inner
+    return node.value if node.kind == "literal" and isinstance(node.value, int) else None
+
+
+def _attribute_of(base: Loop | Stateful, key: Node, scope: Scope) -> Value:
+    name = key.value if key.kind == "literal" else None
+    if isinstance(base, Loop):
+        if name in base.type.names:
+            return base.field(name)
+        if name in ("previtem", "nextitem") and base.beside is not None:
+            return base.beside[name]
+        raise UnsupportedTemplate(f"no {name!r} of a loop here in {scope.source!r}")
+    if base.kind == "namespace":
+        return scope.state.get((base.key, name)) or undefined()
+    if base.kind == "cycler" and name == "current":
+        return _turn(base.elements, scope.state[base.key, "at"].col, scope)
+    raise UnsupportedTemplate(f"no {name!r} of a {base.kind} in {scope.source!r}")
+
+
+def _turn(elements: tuple[Value, ...], at: Column, scope: Scope) -> Value:
+    kind = V.all_joined(e.type for e in elements)
+    return Value(F.get(F.array(*[V.as_type(e, kind) for e in elements]), at), kind)
+
+
+def _stateful(node: Node, scope: Scope) -> Value:
+    """A namespace, cycler or joiner, its state begun."""
+    kind, key = node.parts[0].value, id(node)
+    given = [evaluate(p, scope) for p in node.parts[1:] if p.kind != "keyword"]
+    by_name = {p.value: evaluate(p.parts[0], scope) for p in node.parts[1:] if p.kind == "keyword"}
+    if kind == "namespace" and all(isinstance(v, Keyed) for v in given):
+        for name, v in [*(e for of in given for e in of.entries), *by_name.items()]:
+            scope.state[key, name] = v
+    elif kind == "cycler" and given and not by_name:
+        scope.state[key, "at"] = Value(F.lit(0), T.IntegerType())
+    elif kind == "joiner" and len(given) + len(by_name) < 2 and set(by_name) <= {"sep"}:
+        scope.state[key, "used"] = _boolean(F.lit(False))
+        given = [*given, *by_name.values(), V.literal(", ")][:1]
+    else:
+        raise TemplateError(f"{kind}() takes other arguments in {scope.source!r}")
+    return Stateful(F.lit(None), T.NullType(), True, kind, key, tuple(given))
+
+
+def _text_method(base: Value, method: str, given: tuple[Node, ...], scope: Scope) -> Value:
+    """What a method of Python's ``str`` gives, for those that have a form in columns."""
+    filters = {"upper": "upper", "lower": "lower", "capitalize": "capitalize", "replace": "replace"}
+    if method in filters and (method == "replace") == (len(given) == 2):
+        return _filtered(filters[method], base, given, scope)
+    one = evaluate(given[0], scope) if given else None
+    text, of = base.col, (lambda c: Value(c, T.StringType()))
+    if method in ("strip", "lstrip", "rstrip") and len(given) < 2:
+        left, right = method != "rstrip", method != "lstrip"
+        if one is None:
+            return of(F.regexp_replace(text, "|".join([f"^{_SPACE}+"] * left + [rf"{_SPACE}+\z"] * right), ""))
+        trim = F.btrim if left and right else F.ltrim if left else F.rtrim
+        return of(trim(text, one.col))
+    if method == "split" and len(given) < 3:
+        most = _constant(given[1] if len(given) == 2 else None, -1, scope)
+        if one is None or one.is_null:
+            if most >= 0:
+                raise UnsupportedTemplate(f"split() by white space with a limit in {scope.source!r}")
+            return Value(F.filter(F.split(text, f"{_SPACE}+"), lambda w: w != ""), T.ArrayType(T.StringType()))
+        mark = F.concat(F.lit("\\Q"), F.replace(one.col, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        return Value(F.split(text, mark, most + 1 if most >= 0 else -1), T.ArrayType(T.StringType()))
+    if method == "splitlines" and not given:
+        return Value(wrapping.lines(text), T.ArrayType(T.StringType()))
+    if method in ("startswith", "endswith") and one is not None and len(given) == 1:
+        marks = one.elements if isinstance(one, Listed) else (one,)
+        found = [text.startswith(m.col) if method == "startswith" else text.endswith(m.col) for m in marks]
+        return _boolean(F.greatest(*found) if len(found) > 1 else found[0])
+    if method in ("removeprefix", "removesuffix") and one is not None:
+        n, m = F.length(text), F.length(one.col)
+        if method == "removeprefix":
+            return of(F.when(text.startswith(one.col), F.substring(text, m + 1, n)).otherwise(text))
+        return of(F.when(text.endswith(one.col), F.substring(text, F.lit(1), n - m)).otherwise(text))
+    if method == "count" and one is not None and len(given) == 1:
+        gone = F.length(text) - F.length(F.replace(text, one.col, F.lit("")))
+        return Value(F.when(F.length(one.col) == 0, F.length(text) + 1).otherwise(F.floor(gone / F.greatest(F.length(one.col), F.lit(1)))).cast("long"), T.LongType())
+    if method == "find" and one is not None and len(given) == 1:
+        return Value((F.call_function("locate", one.col, text) - 1).cast("long"), T.LongType())
+    if method == "join" and one is not None and isinstance(one.type, T.ArrayType) and isinstance(one.type.elementType, T.StringType):
+        return of(F.call_function("array_join", one.col, text))
+    if method in ("isdigit", "isalpha", "isalnum", "isspace") and not given:
+        kind = {"isdigit": r"\p{Nd}", "isalpha": r"\p{L}", "isalnum": r"[\p{L}\p{Nd}]", "isspace": _SPACE}[method]
+        return _boolean(text.rlike(f"^{kind}+\\z"))
+    if method == "zfill" and one is not None:
+        sign = F.when(text.rlike("^[+-]"), F.substring(text, 1, 1)).otherwise("")
+        gap = F.greatest(one.col.cast("int") - F.length(text), F.lit(0))
+        return of(F.concat(sign, F.repeat(F.lit("0"), gap), F.substring(text, F.length(sign) + 1, F.length(text))))
+    raise UnsupportedTemplate(f"no call of {method!r} of a text in {scope.source!r}")
+
+
 def _method(base: Value, method: str, given: tuple[Node, ...], scope: Scope) -> Value:
     """What a dictionary's method gives for a struct or a map."""
     if method == "items" and not given:
@@ -924,10 +1400,11 @@ def _test(name: str, v: Value, others: list[Value], scope: Scope) -> Column:
         "boolean": isinstance(t, T.BooleanType), "mapping": isinstance(t, (T.StructType, T.MapType)), "callable": False,
         "sequence": isinstance(t, (T.ArrayType, T.StringType, T.StructType, T.MapType)), "iterable": isinstance(t, (T.ArrayType, T.StringType, T.StructType, T.MapType)),
     }
-    if name == "defined":
-        return F.lit(v.defined)
-    if name == "undefined":
-        return F.lit(not v.defined)
+    if name in ("defined", "undefined"):
+        there = v.there if isinstance(v, Maybe) else F.lit(v.defined)
+        return there if name == "defined" else ~there
+    if isinstance(v, Maybe) and name == "none":
+        return v.there & v.col.isNull()
     if name == "escaped":  # texts here are never marked as safe
         return F.lit(False)
     if name in ("filter", "test") and isinstance(t, T.StringType):
@@ -994,12 +1471,12 @@ def _length(v: Value, scope: Scope) -> Value:
     return Value(F.size(v.col).cast("long"), T.LongType())
 
 
-def _default(v: Value, scope: Scope, other: Node | None = None, boolean: Node | None = None, **more: Node) -> Value:
-    other = evaluate(other or more.get("default_value") or Node("literal", ""), scope)
+def _default(v: Value, scope: Scope, other: Node | None = None, boolean: Node | None = None, default_value: Node | None = None) -> Value:
+    other = evaluate(other or default_value or Node("literal", ""), scope)
     if not v.defined:
         return other
     if not _constant(boolean, False, scope):
-        return v
+        return _one_of(v.there, Value(v.col, v.type), other, scope) if isinstance(v, Maybe) else v
     kind = V.unify(v.type, other.type)
     if kind is None:
         return Value(F.when(truth(v), text_of(v, scope)).otherwise(text_of(other, scope)), T.StringType())
@@ -1010,13 +1487,13 @@ def _joined(v: Value, scope: Scope, glue: Node | None = None, attribute: Node |
     v = _array(v, scope)
     if attribute is not None:
         v = _mapped(v, scope, attribute=attribute)
-    texts = F.transform(v.col, lambda x: text_of(Value(x, v.type.elementType), scope.child(True)))
+    texts = F.transform(v.col, lambda x: text_of(Value(x, v.type.elementType), scope))
     return Value(F.array_join(texts, _constant(glue, "", scope)), T.StringType())
 
 
 def _mapped(v: Value, scope: Scope, name: Node | None = None, *arguments: Node, attribute: Node | None = None) -> Value:
     v = _array(v, scope)
-    element, inner = v.type.elementType, scope.child(True)
+    element, inner = v.type.elementType, scope
 
     def one(x: Column) -> Value:
         item = Value(x, element)
@@ -1044,7 +1521,7 @@ def _picked(keep: bool, by_attribute: bool):
             item = Value(x, v.type.elementType)
             for key in path:
                 item = item.field(key)
-            found = truth(item) if name is None else F.coalesce(_test(name, item, [evaluate(r, scope) for r in rest], scope.child(True)), F.lit(False))
+            found = truth(item) if name is None else F.coalesce(_test(name, item, [evaluate(r, scope) for r in rest], scope), F.lit(False))
             return found if keep else ~found
 
         return Value(F.filter(v.col, ok), v.type)
@@ -1086,10 +1563,14 @@ def _extreme(last: bool):
     return run
 
 
-def _sum(v: Value, scope: Scope, attribute: Node | None = None) -> Value:
-    v = _mapped(v, scope, attribute=attribute) if attribute is not None else _array(v, scope)
-    kind = T.LongType() if V.is_integer(v.type.elementType) else T.DoubleType()
-    return Value(F.aggregate(v.col, F.lit(0).cast(kind), lambda a, x: a + x.cast(kind)), kind)
+def _sum(v: Value, scope: Scope, attribute: Node | None = None, start: Node | None = None) -> Value:
+    v = _mapped(v, scope, attribute=attribute) if attribute is not None and attribute != Node("literal", None) else _array(v, scope)
+    first = evaluate(start, scope) if start is not None else V.literal(0)
+    whole = V.is_integer(first.type) and (V.is_integer(v.type.elementType) or isinstance(v.type.elementType, (T.BooleanType, T.NullType)))
+    if not (V.is_number(first.type) and isinstance(v.type.elementType, (T.NumericType, T.BooleanType, T.NullType))):
+        raise UnsupportedTemplate(f"a sum of {v.type.elementType.simpleString()} from {first.type.simpleString()} in {scope.source!r}")
+    kind = T.LongType() if whole else T.DoubleType()
+    return Value(F.aggregate(v.col, first.col.cast(kind), lambda a, x: a + x.cast(kind)), kind)
 
 
 def _number(kind: T.DataType):
@@ -1101,17 +1582,25 @@ def _number(kind: T.DataType):
     return run
 
 
-def _tojson(v: Value, scope: Scope) -> Value:
-    if isinstance(v.type, (T.StructType, T.ArrayType, T.MapType)):
-        raw = F.to_json(v.col, {"ignoreNullFields": "false"})
-    else:
-        wrapped = F.to_json(F.struct(v.col.alias("v")), {"ignoreNullFields": "false"})
-        raw = F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+def _tojson(v: Value, scope: Scope, indent: Node | None = None) -> Value:
+    n = _constant(indent, None, scope)
+    if not v.defined or isinstance(v, (Macro, Stateful, Loop)):
+        raise TemplateError(f"tojson of something undefined in {scope.source!r}")
+    raw = _json(v, n if n is None or isinstance(n, str) else " " * n, 0)
     for mark, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("'", "\\u0027")):
         raw = F.replace(raw, F.lit(mark), F.lit(code))
     return Value(raw, T.StringType())
 
 
+def _json(v: Value, indent: str | None, depth: int) -> Column:
+    """As :func:`pytext.py_json`; lists and dictionaries of the template are written by their own types."""
+    if not isinstance(v, (Listed, Keyed)):
+        return pytext.py_json(v, indent, depth)
+    inner = [_json(e, indent, depth + 1) for e in v.elements] if isinstance(v, Listed) else [F.concat(pytext.json_text(F.lit(n)), F.lit(": "), _json(e, indent, depth + 1)) for n, e in sorted(v.entries, key=lambda e: e[0])]
+    opening, close = "[]" if isinstance(v, Listed) else "{}"
+    return pytext.bracketed(opening, close, F.array(*inner), indent, depth) if inner else F.lit(opening + close)
+
+
 def _truncate(v: Value, scope: Scope, length: Node | None = None, killwords: Node | None = None, end: Node | None = None, leeway: Node | None = None) -> Value:
     n, kill, tail, more = (_constant(a, d, scope) for a, d in ((length, 255), (killwords, False), (end, "..."), (leeway, 5)))
     text = text_of(v, scope)
@@ -1137,24 +1626,35 @@ def _title(text: Column) -> Column:
 def _items(v: Value, scope: Scope) -> Value:
     """Pairs of key and value; those of a struct may differ in type."""
     if isinstance(v.type, T.MapType):
-        entries = T.StructType([T.StructField("key", v.type.keyType), T.StructField("value", v.type.valueType)])
+        entries = V.Pair([T.StructField("key", v.type.keyType), T.StructField("value", v.type.valueType)])
         return Value(F.map_entries(v.col), T.ArrayType(entries))
     if not isinstance(v.type, T.StructType):
         raise UnsupportedTemplate(f"items of a {v.type.simpleString()} in {scope.source!r}")
-    return listed([listed([V.literal(n), v.field(n)]) for n in v.type.names])
+    return listed(listed([V.literal(n), v.field(n)], is_tuple=True) for n in v.type.names)
 
 
 def _dictsort(v: Value, scope: Scope, case_sensitive: Node | None = None, by: Node | None = None, reverse: Node | None = None) -> Value:
     fold, down = not _constant(case_sensitive, False, scope), bool(_constant(reverse, False, scope))
-    if _constant(by, "key", scope) != "key":
-        raise UnsupportedTemplate(f"dictsort by value in {scope.source!r}")
+    part = _constant(by, "key", scope)
+    if part not in ("key", "value"):
+        raise TemplateError(f"dictsort by {part!r} in {scope.source!r}")
     items = _items(v, scope)
-    if isinstance(items, Listed):
+    if isinstance(items, Listed) and part == "key":
         names = sorted(v.type.names, key=lambda n: n.lower() if fold else n, reverse=down)
-        return listed([listed([V.literal(n), v.field(n)]) for n in names])
-    key = lambda e: F.lower(e["key"]) if fold and isinstance(v.type.keyType, T.StringType) else e["key"]
-    ordered = F.transform(F.array_sort(F.transform(items.col, lambda e: F.struct(key(e).alias("k"), e.alias("e")))), lambda x: x["e"])
-    return Value(F.reverse(ordered) if down else ordered, items.type)
+        return listed(listed([V.literal(n), v.field(n)], is_tuple=True) for n in names)
+    if isinstance(items, Listed):  # which comes first is known in each row only, so the values need one type
+        entries = [V.struct({"key": V.literal(n), "value": x}) for n, x in ((n, v.field(n)) for n in v.type.names)]
+        try:
+            whole = V.array(entries)
+            items = Value(whole.col, T.ArrayType(V.Pair(whole.type.elementType.fields)))
+        except PlanError:
+            raise UnsupportedTemplate(f"dictsort by values of different types in {scope.source!r}") from None
+    kind = items.type.elementType[part].dataType
+    key = lambda e: F.lower(e[part]) if fold and isinstance(kind, T.StringType) else e[part]
+    sign = -1 if down else 1  # a reversed sort keeps the order of ties
+    ordered = F.array_sort(F.transform(items.col, lambda e, i: F.struct(key(e).alias("k"), (i * sign).alias("i"), e.alias("e"))))
+    ordered = F.transform(F.reverse(ordered) if down else ordered, lambda x: x["e"])
+    return Value(ordered, items.type)
 
 
 def _grouped(v: Value, scope: Scope, attribute: Node, default: Node | None = None, case_sensitive: Node | None = None) -> Value:
@@ -1172,7 +1672,7 @@ def _grouped(v: Value, scope: Scope, attribute: Node, default: Node | None = Non
     key = lambda x: F.lower(found(x).col) if fold and isinstance(kind, T.StringType) else found(x).col
     keys = F.array_sort(F.array_distinct(F.transform(v.col, key)))
     own = lambda k: F.filter(v.col, lambda x: key(x).eqNullSafe(k))
-    pair = T.StructType([T.StructField("grouper", kind), T.StructField("list", v.type)])
+    pair = V.Pair([T.StructField("grouper", kind), T.StructField("list", v.type)])
     return Value(F.transform(keys, lambda k: F.struct(found(F.get(own(k), F.lit(0))).col.alias("grouper"), own(k).alias("list"))), T.ArrayType(pair))
 
 
@@ -1244,18 +1744,45 @@ def _replaced(v: Value, scope: Scope, old: Node, new: Node) -> Value:
 
 def _round(v: Value, scope: Scope, precision: Node | None = None, method: Node | None = None) -> Value:
     n, how = _constant(precision, 0, scope), _constant(method, "common", scope)
+    if how not in ("common", "ceil", "floor"):
+        raise TemplateError(f"round by {how!r} in {scope.source!r}")
+    if how == "common" and V.is_integer(v.type):  # as Python's round, which gives a whole number for one
+        return Value(v.col.cast("long") if n >= 0 else F.bround(v.col.cast("long"), n).cast("long"), T.LongType())
     if how == "common":
         return Value(F.bround(v.col.cast("double"), n), T.DoubleType())
     scaled = v.col.cast("double") * F.lit(10.0**n)
     return Value((F.ceil(scaled) if how == "ceil" else F.floor(scaled)).cast("double") / F.lit(10.0**n), T.DoubleType())
 
 
+def _any_of(v: Value, scope: Scope) -> Value:
+    """An element at random, another one each time the column is worked out."""
+    v = _array(v, scope)
+    return Value(F.get(v.col, F.floor(F.rand() * F.size(v.col)).cast("int")), v.type.elementType)
+
+
+def _wrapped(v: Value, scope: Scope, width: Node | None = None, break_long_words: Node | None = None, wrapstring: Node | None = None, break_on_hyphens: Node | None = None) -> Value:
+    n, long, mark, hyphens = (_constant(a, d, scope) for a, d in ((width, 79), (break_long_words, True), (wrapstring, None), (break_on_hyphens, True)))
+    if not isinstance(n, int) or n < 1:
+        raise TemplateError(f"wordwrap to a width of {n!r} in {scope.source!r}")
+    return Value(wrapping.wordwrap(text_of(v, scope), n, bool(long), "\n" if mark is None else mark, bool(hyphens)), T.StringType())
+
+
+def _linked(
+    v: Value, scope: Scope, trim_url_limit: Node | None = None, nofollow: Node | None = None, target: Node | None = None, rel: Node | None = None, extra_schemes: Node | None = None,
+) -> Value:
+    limit, no, aim, rels = (_constant(a, d, scope) for a, d in ((trim_url_limit, None), (nofollow, False), (target, None), (rel, None)))
+    schemes = [] if extra_schemes is None else [_constant(p, "", scope) for p in extra_schemes.parts]
+    words = sorted({*(rels or "").split(), "noopener", *(["nofollow"] if no else [])})
+    return Value(wrapping.urlize(_escape(text_of(v, scope)), limit, " ".join(words), aim, schemes), T.StringType())
+
+
 def _format(v: Value, scope: Scope, *arguments: Node) -> Value:
     return Value(F.call_function("format_string", v.col, *[evaluate(a, scope).col for a in arguments]), T.StringType())
 
 
-#: White space in the sense of Unicode, at either end.
-_ENDS = r"^[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$"
+#: White space in the sense of Unicode, alone and at either end.
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_ENDS = rf"^{_SPACE}+|{_SPACE}+\z"
 
 
 def _replaces(text: Column, pairs: dict[str, str]) -> Column:
@@ -1279,5 +1806,5 @@ FILTERS = {
     "list": _array, "sort": _ordered, "unique": _unique, "min": _extreme(False), "max": _extreme(True), "sum": _sum, "format": _format, "truncate": _truncate,
     "select": _picked(True, False), "reject": _picked(False, False), "selectattr": _picked(True, True), "rejectattr": _picked(False, True), "items": _items,
     "batch": _batch, "slice": _slice, "dictsort": _dictsort, "groupby": _grouped, "indent": _indented, "center": _centred, "filesizeformat": _filesize,
-    "forceescape": _text_filter(_escape), "xmlattr": _attributes, "attr": _attribute,
+    "forceescape": _text_filter(_escape), "xmlattr": _attributes, "attr": _attribute, "wordwrap": _wrapped, "urlize": _linked, "random": _any_of,
 }

@@ -1,13 +1,17 @@
-"""Typed values: a Column together with the type it has at plan time."""
+"""Typed values: a Column together with the type it has at plan time.
+
+A value that may be of one of several types that don't unify is a VARIANT whose possible types are known
+(:class:`Mixed`). What is done with it is planned for each of them and chosen, row by row, by the type that is there.
+"""
 
 from __future__ import annotations
 
 import datetime
-import json
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +33,8 @@ class Value:
 
     def field(self, name: str) -> Value:
         """A struct's field or a map's entry; null where the type has none."""
+        if isinstance(self.type, Mixed):
+            return by_option(self, lambda v: v.field(name))
         if isinstance(self.type, T.StructType) and name in self.type.names:
             return Value(self.col.getField(name), self.type[name].dataType)
         if isinstance(self.type, T.MapType) and isinstance(self.type.keyType, T.StringType):
@@ -37,6 +43,8 @@ class Value:
 
     def item(self, i: int) -> Value:
         """An array's element, from the end if negative; null where there is none."""
+        if isinstance(self.type, Mixed):
+            return by_option(self, lambda v: v.item(i))
         if not isinstance(self.type, T.ArrayType):
             return null()
         return Value(F.get(self.col, F.lit(i)) if i >= 0 else F.try_element_at(self.col, F.lit(i)), self.type.elementType)
@@ -54,8 +62,8 @@ def is_integer(t: T.DataType) -> bool:
     return isinstance(t, T.IntegralType)
 
 
-def literal(x: Any) -> Value:
-    """A constant of JSON or YAML."""
+def literal(x: Any, mixed: bool = False) -> Value:
+    """A constant of JSON or YAML. ``mixed``: whether the elements of a list may differ in type."""
     if x is None:
         return null()
     if isinstance(x, bool):
@@ -71,9 +79,9 @@ def literal(x: Any) -> Value:
     if isinstance(x, datetime.date):
         return Value(F.lit(x), T.DateType())
     if isinstance(x, list):
-        return array([literal(v) for v in x])
+        return array([literal(v, mixed) for v in x], mixed)
     if isinstance(x, dict):
-        return struct({k: literal(v) for k, v in x.items()})
+        return struct({k: literal(v, mixed) for k, v in x.items()})
     raise PlanError(f"no literal of type {type(x).__name__}")
 
 
@@ -94,13 +102,193 @@ def unify(a: T.DataType, b: T.DataType) -> T.DataType | None:
     return None
 
 
+class Mixed(T.VariantType):
+    """A VARIANT that holds a value of one of ``options``. At most one of them is an array, and none is mixed itself."""
+
+    def __init__(self, options: tuple[T.DataType, ...] = ()):
+        self.options = options
+
+    @classmethod
+    def typeName(cls) -> str:
+        return "variant"
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Mixed) and set(map(_ddl, self.options)) == set(map(_ddl, other.options))
+
+    def __hash__(self) -> int:
+        return hash(self.typeName())
+
+
+class Pair(T.StructType):
+    """A struct that stands for a tuple of Python."""
+
+    @classmethod
+    def typeName(cls) -> str:
+        return "struct"
+
+
+def is_mixed(t: T.DataType) -> bool:
+    """Whether a mixed type is in it, at any depth."""
+    if isinstance(t, T.ArrayType):
+        return is_mixed(t.elementType)
+    if isinstance(t, T.MapType):
+        return is_mixed(t.valueType)
+    return isinstance(t, Mixed) or isinstance(t, T.StructType) and any(is_mixed(f.dataType) for f in t.fields)
+
+
+def _options(t: T.DataType) -> tuple[T.DataType, ...]:
+    return t.options if isinstance(t, Mixed) else () if isinstance(t, T.NullType) else (t,)
+
+
+def joined(a: T.DataType, b: T.DataType) -> T.DataType:
+    return all_joined((a, b))
+
+
+def all_joined(types: Iterable[T.DataType]) -> T.DataType:
+    """The type that holds values of all: the one they unify to, or a mixed one, in which whole numbers and others stay apart."""
+    types = list(types)
+    found: T.DataType | None = T.NullType()
+    for t in types:
+        found = found if found is None else unify(found, t)
+    if found is not None:
+        return found
+    out: list[list[T.DataType]] = []  # options, each with the types that make it up
+    for t in (o for t in types for o in _options(t)):
+        t = T.LongType() if is_integer(t) else T.DoubleType() if isinstance(t, T.FloatType) else t
+        for own in out:
+            if t == own[0] or isinstance(t, T.ArrayType) and isinstance(own[0], T.ArrayType) or isinstance(t, T.StructType) and isinstance(own[0], T.StructType) and t.names == own[0].names:
+                own.append(t)
+                break
+        else:
+            out.append([t])
+    options = [_together(own) for own in out]
+    if len({type(t) for t in options if isinstance(t, (T.StructType, T.MapType))}) > 1:
+        raise PlanError("an object with known names and one without can't be told apart")
+    return Mixed(tuple(options)) if len(options) > 1 else options[0]
+
+
+def _together(types: list[T.DataType]) -> T.DataType:
+    """One array or struct type for several."""
+    if isinstance(types[0], T.ArrayType):
+        return T.ArrayType(all_joined(t.elementType for t in types))
+    if isinstance(types[0], T.StructType):
+        return T.StructType([T.StructField(n, all_joined(t[n].dataType for t in types)) for n in types[0].names])
+    return types[0]
+
+
 def as_type(v: Value, t: T.DataType) -> Column:
-    return v.col if v.type == t else v.col.cast(t)
+    if v.type == t:
+        return v.col
+    if isinstance(t, Mixed):
+        if v.is_null or isinstance(v.type, Mixed):
+            return v.col.cast("variant")
+        if isinstance(v.type, (T.ArrayType, T.StructType, T.MapType)):
+            return F.to_variant_object(v.col)
+        whole = is_integer(v.type) and T.LongType() in t.options
+        return v.col.cast("long" if whole else "double" if is_number(v.type) and not isinstance(v.type, T.DecimalType) else v.type).cast("variant")
+    if is_mixed(t) and isinstance(v.type, T.ArrayType) and isinstance(t, T.ArrayType):
+        return F.transform(v.col, lambda x: as_type(Value(x, v.type.elementType), t.elementType))
+    if is_mixed(t) and isinstance(v.type, T.StructType) and isinstance(t, T.StructType):
+        return F.when(v.col.isNotNull(), F.struct(*[as_type(v.field(f.name), f.dataType).alias(f.name) for f in t.fields]))
+    return v.col.cast(t)
+
+
+def _ddl(t: T.DataType) -> str:
+    if isinstance(t, T.ArrayType):
+        return f"array<{_ddl(t.elementType)}>"
+    if isinstance(t, T.MapType):
+        return f"map<{_ddl(t.keyType)},{_ddl(t.valueType)}>"
+    if isinstance(t, T.StructType):
+        fields = ",".join("`{}`:{}".format(f.name.replace("`", "``"), _ddl(f.dataType)) for f in t.fields)
+        return f"struct<{fields}>"
+    return t.simpleString()
 
 
-def array(values: list[Value]) -> Value:
+def is_option(v: Value, t: T.DataType) -> Column:
+    """Whether a mixed value is of this type of its options. Null is of none."""
+    kind = F.schema_of_variant(v.col)
+    if isinstance(t, T.ArrayType):
+        return kind.startswith("ARRAY")
+    if isinstance(t, (T.StructType, T.MapType)):
+        found = kind.startswith("OBJECT")
+        if sum(isinstance(o, T.StructType) for o in v.type.options) > 1:
+            found = found & (F.array_sort(F.json_object_keys(F.to_json(v.col))) == F.array(*map(F.lit, sorted(t.names))))
+        return found
+    if isinstance(t, T.DecimalType):
+        return kind.startswith("DECIMAL")
+    return kind == {T.LongType: "BIGINT"}.get(type(t), t.simpleString().upper())
+
+
+def option(v: Value, t: T.DataType) -> Value:
+    """A mixed value as one of its options; null if it is of another."""
+    return Value(F.try_variant_get(v.col, "$", _ddl(t)), t)
+
+
+def present(v: Value) -> Column:
+    return v.col.isNotNull() & ~F.is_variant_null(v.col) if isinstance(v.type, Mixed) else v.col.isNotNull()
+
+
+def by_option(v: Value, use: Callable[[Value], Value], wrong: type[Exception] = (), why: str = "") -> Value:
+    """``use`` for each type that ``v`` may have, and for null. If it has one for which ``use`` raises ``wrong``, that is an error when it runs."""
+    made: list[tuple[T.DataType, Value | None]] = []
+    for t in v.type.options:
+        try:
+            made.append((t, use(option(v, t))))
+        except wrong:
+            made.append((t, None))
+    if all(r is None for _, r in made):
+        return use(option(v, v.type.options[0]))
+    try:
+        absent = use(null())
+    except wrong:
+        absent = null()
+    return _chosen([(is_option(v, t), r, f"{why} {t.simpleString()}") for t, r in made], absent)
+
+
+def _chosen(cases: list[tuple[Column, Value | None, str]], absent: Value) -> Value:
+    kind = all_joined([*(r.type for _, r, _ in cases if r is not None), absent.type])
+    if isinstance(kind, T.NullType) and all(r is not None for _, r, _ in cases):
+        return null()
+    kind = T.StringType() if isinstance(kind, T.NullType) else kind
+    out = F.when(F.lit(False), F.lit(None).cast(kind))
+    for condition, r, why in cases:
+        out = out.when(condition, as_type(r, kind) if r is not None else F.raise_error(F.lit(why.strip())).cast(kind))
+    return Value(out if absent.is_null else out.otherwise(as_type(absent, kind)), kind)
+
+
+def _is_any(t: Mixed, members: list[T.DataType]) -> Callable[[Column], Column]:
+    return lambda x: reduce(lambda a, b: a | b, [is_option(Value(x, t), m) for m in members])
+
+
+def _as_any(t: Mixed, members: list[T.DataType], kind: T.DataType) -> Callable[[Column], Column]:
+    return lambda x: F.coalesce(*[option(Value(x, t), m).col.cast(kind) for m in members])
+
+
+def of_one_type(v: Value, use: Callable[[Value], Value], why: str, wrong: type[Exception] = ()) -> Value:
+    """``use`` of an array of mixed values that has numbers only, or texts only; others, and what ``use`` raises ``wrong`` for, are an error when it runs."""
+    if not isinstance(v.type.elementType, Mixed):
+        return use(v)
+    inner = v.type.elementType
+    numbers = [t for t in inner.options if is_number(t)]
+    groups = ([(numbers, T.LongType() if all(map(is_integer, numbers)) else T.DoubleType())] if numbers else []) + [([t], t) for t in inner.options if isinstance(t, T.StringType)]
+    cases: list[tuple[Column, Value | None, str]] = []
+    for members, kind in groups:
+        try:
+            made = use(Value(F.transform(v.col, _as_any(inner, members, kind)), T.ArrayType(kind)))
+        except wrong:
+            made = None
+        cases.append((F.forall(v.col, _is_any(inner, members)), made, why))
+    if all(r is None for _, r, _ in cases):
+        return use(Value(v.col, T.ArrayType(inner.options[0])))
+    return _chosen([*cases, (v.col.isNotNull(), None, why)], null())
+
+
+def array(values: list[Value], mixed: bool = False) -> Value:
+    """An array of values that unify, or, if ``mixed``, of any."""
     element: T.DataType = T.NullType()
-    for v in values:
+    if mixed:
+        element = all_joined(v.type for v in values)
+    for v in () if mixed else values:
         found = unify(element, v.type)
         if found is None:
             raise PlanError(f"array elements of types {element.simpleString()} and {v.type.simpleString()} don't unify")
@@ -108,6 +296,27 @@ def array(values: list[Value]) -> Value:
     return Value(F.array(*[as_type(v, element) for v in values]), T.ArrayType(element))
 
 
+def described(t: T.DataType) -> Any:
+    """A type as JSON, the options of mixed ones included."""
+    if isinstance(t, Mixed):
+        return {"mixed": [described(o) for o in t.options]}
+    if isinstance(t, T.ArrayType):
+        return {"array": described(t.elementType)}
+    if isinstance(t, T.StructType):
+        return {"struct": [[f.name, described(f.dataType)] for f in t.fields]}
+    return t.json()
+
+
+def from_description(x: Any) -> T.DataType:
+    if isinstance(x, str):
+        return T._parse_datatype_json_string(x)
+    if "mixed" in x:
+        return Mixed(tuple(map(from_description, x["mixed"])))
+    if "array" in x:
+        return T.ArrayType(from_description(x["array"]))
+    return T.StructType([T.StructField(n, from_description(t)) for n, t in x["struct"]])
+
+
 def struct(values: dict[str, Value]) -> Value:
     kind = T.StructType([T.StructField(k, v.type) for k, v in values.items()])
     return Value(F.struct(*[v.col.alias(k) for k, v in values.items()]), kind)
@@ -116,109 +325,3 @@ def struct(values: dict[str, Value]) -> Value:
 def sequence(first: Column, last: Column) -> Column:
     """The integers from first to last; none if last is smaller (``sequence`` would count down)."""
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-
-def _repr(x: Any) -> str:
-    """Python's text of a value inside a container."""
-    if hasattr(x, "asDict"):
-        x = x.asDict()
-    if isinstance(x, dict):
-        return "{" + ", ".join(f"{k!r}: {_repr(v)}" for k, v in x.items()) + "}"
-    if isinstance(x, (list, tuple)) or type(x).__name__ == "ndarray":
-        return "[" + ", ".join(map(_repr, x)) + "]"
-    return repr(x.item() if hasattr(x, "item") else x)
-
-
-def py_str(v: Value) -> Column:
-    """The text that Python's ``str`` gives for a value; ``None`` for null."""
-    t = v.type
-    if isinstance(t, T.NullType):
-        return F.lit("None")
-    if isinstance(t, T.StringType):
-        text = v.col
-    elif isinstance(t, T.BooleanType):
-        text = F.when(v.col, "True").otherwise("False")
-        text = F.when(v.col.isNotNull(), text)
-    elif is_integer(t) or isinstance(t, (T.DecimalType, T.DateType)):
-        text = v.col.cast("string")
-    elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_format(v.col, "yyyy-MM-dd HH:mm:ss")
-        text = F.when(F.date_format(v.col, "SSSSSS") == "000000", whole).otherwise(F.date_format(v.col, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    elif isinstance(t, (T.DoubleType, T.FloatType)):
-        text = _py_float(v.col)
-    else:
-        # containers travel as JSON: the exact Python text of nested values has no SQL form
-        text = _py_nested(F.to_json(F.struct(v.col.alias("v")), {"ignoreNullFields": "false"}))
-        text = F.when(v.col.isNotNull(), text)
-    return F.coalesce(text, F.lit("None"))
-
-
-def py_text(v: Value) -> Column:
-    """As :func:`py_str`, in built-in functions only, for lambdas, where Python can't run.
-
-    The text of a float is Java's shortest one in Python's form.
-    """
-    if isinstance(v.type, (T.DoubleType, T.FloatType, T.ArrayType, T.StructType, T.MapType)):
-        return py_repr(v)
-    return py_str(v)
-
-
-def py_repr(v: Value) -> Column:
-    """The text of a value inside a container, in built-in functions only."""
-    t = v.type
-    if isinstance(t, T.StringType):
-        return F.coalesce(_quoted(v.col), F.lit("None"))
-    if isinstance(t, (T.DoubleType, T.FloatType)):
-        return F.coalesce(_shortest(v.col.cast("double")), F.lit("None"))
-    if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.coalesce(F.concat(F.lit("'"), py_str(v), F.lit("'")), F.lit("None"))
-    if isinstance(t, T.ArrayType):
-        text = F.array_join(F.transform(v.col, lambda x: py_repr(Value(x, t.elementType))), ", ")
-        return F.coalesce(F.concat(F.lit("["), text, F.lit("]")), F.lit("None"))
-    if isinstance(t, T.StructType):
-        parts = [x for i, n in enumerate(t.names) for x in (F.lit(f"{', ' if i else ''}{n!r}: "), py_repr(v.field(n)))]
-        return F.when(v.col.isNotNull(), F.concat(F.lit("{"), *parts, F.lit("}"))).otherwise("None")
-    if isinstance(t, T.MapType):
-        pair = lambda e: F.concat(py_repr(Value(e["key"], t.keyType)), F.lit(": "), py_repr(Value(e["value"], t.valueType)))
-        return F.coalesce(F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(v.col), pair), ", "), F.lit("}")), F.lit("None"))
-    return py_str(v)
-
-
-def _quoted(text: Column) -> Column:
-    for mark, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        text = F.replace(text, F.lit(mark), F.lit(code))
-    odd = r"[\x00-\x1f\x7f-\xa0\xad]"
-    code = lambda c: F.when(c.rlike(odd), F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))).otherwise(c)
-    text = F.when(text.rlike(odd), F.array_join(F.transform(F.split(text, ""), code), "")).otherwise(text)
-    double = text.contains("'") & ~text.contains('"')
-    return F.when(double, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'")))
-
-
-def _shortest(x: Column) -> Column:
-    """Java's text of a double (1.0E10) as Python writes it (10000000000.0)."""
-    own = x.cast("string")
-    sign, raw = F.when(own.startswith("-"), "-").otherwise(""), F.replace(own, F.lit("-E"), F.lit("E"))
-    mantissa, power = F.regexp_extract(raw, r"^-?([0-9.]+)E", 1), F.regexp_extract(own, r"E(-?[0-9]+)$", 1).try_cast("int")
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), r"(?<=.)0+$", "")
-    n = F.length(digits)
-    fixed = (
-        F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
-        .when(power >= n - 1, F.concat(digits, F.repeat(F.lit("0"), power - n + 1), F.lit(".0")))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, n)))
-    )
-    short = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.lit("e"))
-    short = F.concat(short, F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    short = F.when(F.abs(power) > 99, F.concat(F.regexp_extract(short, r"^(.*e[-+])", 1), F.abs(power).cast("string"))).otherwise(short)
-    spelled = F.when((power >= -4) & (power < 16), fixed).otherwise(short)
-    plain = F.when(own == "NaN", "nan").when(own == "Infinity", "inf").when(own == "-Infinity", "-inf").otherwise(own)
-    return F.when(own.contains("E"), F.concat(sign, spelled)).otherwise(plain)
-
-
-@F.pandas_udf(T.StringType())
-def _py_float(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or v != v else repr(float(v)))
-
-
-@F.pandas_udf(T.StringType())
-def _py_nested(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else _repr(json.loads(v).get("v")))

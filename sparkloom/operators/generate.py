@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from sparkloom.functions import templates
 from sparkloom.functions.paths import compile_path
-from sparkloom.functions.values import PlanError, Value, array, literal, struct
+from sparkloom.functions.values import PlanError, Value, array, described, from_description, is_mixed, literal, struct
 from sparkloom.operators.shards import free_name
 
 #: The struct columns that hold the variables and the source's row while a table is rewritten, so that no two names can meet.
@@ -164,15 +164,24 @@ def named(name: str) -> Entry:
     return PROCESSORS[name]
 
 
+#: Where a field of the variables says which types a VARIANT in it may have.
+_TYPE = "type"
+
+
+def named_fields(values: dict[str, Value]) -> Column:
+    """The variables as one struct; the types of mixed ones go along with the fields."""
+    made = [v.col.alias(k, metadata={_TYPE: json.dumps(described(v.type))}) if is_mixed(v.type) else v.col.alias(k) for k, v in values.items()]
+    return F.struct(*made)
+
+
 def variables(df: DataFrame) -> dict[str, Value]:
     kind = df.schema[VARIABLES].dataType
-    return {f.name: Value(F.col(VARIABLES).getField(f.name), f.dataType) for f in kind.fields}
+    known = {f.name: from_description(json.loads(f.metadata[_TYPE])) if _TYPE in f.metadata else f.dataType for f in kind.fields}
+    return {name: Value(F.col(VARIABLES).getField(name), t) for name, t in known.items()}
 
 
 def with_variable(df: DataFrame, name: str, value: Value) -> DataFrame:
-    old = {k: v for k, v in variables(df).items() if k != name}
-    fields = [v.col.alias(k) for k, v in old.items()] + [value.col.alias(name)]
-    return df.withColumn(VARIABLES, F.struct(*fields))
+    return df.withColumn(VARIABLES, named_fields({k: v for k, v in variables(df).items() if k != name} | {name: value}))
 
 
 @processor("llm", LLMConfig, LLMVar)
@@ -261,4 +270,4 @@ class ExprProcessor:
             raise PlanError(f"variable {var.name!r} needs a template or a key")
         if var.template is not None:
             return with_variable(df, var.name, templates.compile_template(var.template, variables(df)))
-        return with_variable(df, var.name, compile_path(var.key, Value(F.col(VARIABLES), df.schema[VARIABLES].dataType)))
+        return with_variable(df, var.name, compile_path(var.key, struct(variables(df))))

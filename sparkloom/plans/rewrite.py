@@ -42,7 +42,7 @@ def extract(df: DataFrame, params: ProcessingParams) -> DataFrame:
     """
     root = Value(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema)
     found = {v.name: compile_path(v.key, root) for v in params.inputs}
-    out = df.select(root.col.alias(ROW), F.struct(*[v.col.alias(n) for n, v in found.items()]).alias(VARIABLES))
+    out = df.select(root.col.alias(ROW), generate.named_fields(found).alias(VARIABLES))
     if not found:
         return out
     guard = F.lit(True)

@@ -54,7 +54,7 @@ def test_syntax_errors(path):
         parse(path)
 
 
-@pytest.mark.parametrize("path", ["nope", "nope(@)", "length(id)", "sum(text)", "abs(`1`, `2`)", "[id, text]", "id || text", "join('-', nn)"])
+@pytest.mark.parametrize("path", ["nope", "nope(@)", "length(id)", "sum(text)", "abs(`1`, `2`)", "join('-', nn)", "sum([text, `true`])"])
 def test_plan_errors(df, path):
     with pytest.raises(PlanError):
         compile_path(path, Value(F.struct(*df.columns), df.schema))
