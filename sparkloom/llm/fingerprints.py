@@ -78,7 +78,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     text, id_ = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), _rows.whole_ids(docs, id_col)
     key = F.struct(id_.isNull().alias("k0"), F.bitwise_not(id_).alias("k1"), F.xxhash64(text).alias("k2"))
     own = docs.select(id_.alias("id"), text.alias("text"), key.alias("key"))
-    ranges = ranges or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-X.text_bytes(docs, text_col) // range_bytes))
+    ranges = ranges or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-X.text_bytes(docs, text_col) // range_bytes))
     dealt = own.withColumn("part", range_of(F.col("key"), bounds(own.select("key.*"), ranges))).withColumn("guest", F.lit(0))
     firsts = {r["part"]: r["key"] for r in dealt.groupBy("part").agg(F.min("key").alias("key")).collect()}
     here = sorted(firsts)
@@ -171,16 +171,19 @@ def _by_table(rows: DataFrame, words: DataFrame, size: int, columns: list[str])
     for b in range(bins):
         starts[b + 1] += starts[b]
     constant = lambda x, kind: F.split(F.lit(",".join(map(str, x)) or "0"), ",").cast(f"array<{kind}>")
-    every, start = constant([t for _, t in listed], "bigint"), constant(starts, "int")
+    table = F.struct(constant([t for _, t in listed], "bigint").alias("every"), constant(starts, "int").alias("start"))
 
-    def known(t: Column) -> Column:
-        at = place(t)
+    def known(table: Column, t: Column) -> Column:
+        every, start, at = table["every"], table["start"], place(t)
         first, end = F.get(start, at), F.get(start, at + 1)
         # most bins are empty or hold one term
         one = F.get(every, first) == t
         return F.when(end == first, False).when(one, True).when(end == first + 1, False).otherwise(F.array_contains(F.slice(every, first + 1, end - first), t))
 
-    return rows.withColumns({c: F.filter(c, known) for c in columns})
+    # the table stands in the plan once, bound by a lambda, for a plan that names it at every use takes the driver's memory
+    kept = F.transform(F.array(table), lambda x: F.struct(*[F.filter(c, lambda t: known(x, t)).alias(c) for c in columns]))
+    found = rows.withColumn("kept", F.get(kept, F.lit(0)))
+    return found.withColumns({c: F.col("kept").getField(c) for c in columns}).drop("kept")
 
 
 def _by_join(rows: DataFrame, words: DataFrame, columns: list[str]) -> DataFrame:
