@@ -6,6 +6,11 @@ at a time in each task, and it must give one text for each. A failed batch is as
 ``retries`` times, after waiting twice as long each time. What it made should be written once (a sink or a
 checkpoint) before it is used more than once, for a second action would generate
 again.
+
+A backend is an object of the worker, started once and shared by its tasks. Where it is a model that needs a whole executor or a
+GPU, ``resources`` asks for them for this stage alone (``{"cpus": 8, "gpu": 1}`` for each task), so one
+task, and one engine, has an executor to itself and keeps it busy with ``in_flight`` batches. With a ``log_dir``, finished batches are
+kept there until the folder is deleted, and a task that is tried again doesn't ask for them again.
 """
 
 from __future__ import annotations
@@ -14,12 +19,14 @@ import hashlib
 import json
 import time
 import urllib.request
+from collections import Counter, deque
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +34,7 @@ from pyspark.sql import types as T
 from sparkloom.functions import templates
 from sparkloom.functions.paths import compile_path
 from sparkloom.functions.values import PlanError, Value, array, described, from_description, is_mixed, literal, struct
+from sparkloom.operators import engines
 from sparkloom.operators.shards import free_name
 
 #: The struct columns that hold the variables and the source's row while a table is rewritten, so that no two names can meet.
@@ -80,6 +88,8 @@ class LLMConfig:
     chat_template: str | None = None  # over ``messages`` and ``add_generation_prompt``; without it the backend applies the model's
     retries: int = 3
     in_flight: int = 4
+    log_dir: str | None = None  # a folder that all workers reach, for the answers of finished batches
+    resources: dict[str, float] = field(default_factory=dict)  # of each task of the generating stage: ``cpus`` and others by name
 
     def options(self) -> dict[str, Any]:
         own = {k: v for k, v in self.server_args.items() if k != "backend_args"}
@@ -198,11 +208,13 @@ class LLMProcessor:
         kind: T.DataType = T.StringType()
         if var.is_json:
             kind, params["json_schema"] = var.struct_type(), var.json_schema()
-        # not deterministic, so no later projection may evaluate it twice
-        run = stage(self.config.backend, self.config.options(), params, self.batch_size, self.config.retries, self.config.in_flight)
-        ask = F.pandas_udf(run, T.StringType()).asNondeterministic()
-        text = free_name(df, "__text")
-        made = df.withColumn(text, ask(self._prompt(templates.render(var.prompt, variables(df)))))
+        c = self.config
+        run = stage(c.backend, c.options(), params, self.batch_size, c.retries, c.in_flight, log=c.log_dir and (c.log_dir, var.name))
+        text, prompt = free_name(df, "__text"), self._prompt(templates.render(var.prompt, variables(df)))
+        if c.resources:
+            made = _with_resources(df, text, prompt, run, c.resources)
+        else:  # not deterministic, so no later projection may evaluate it twice
+            made = df.withColumn(text, F.pandas_udf(run, T.StringType()).asNondeterministic()(prompt))
         value = parsed(F.col(text), var) if var.is_json else Value(F.coalesce(text, F.lit("")), kind)
         return with_variable(made, var.name, value).drop(text)
 
@@ -226,16 +238,48 @@ def parsed(text: Column, var: LLMVar) -> Value:
     return Value(F.when((F.size(keys) > 0) & absent, error).otherwise(F.from_json(text, kind, {"mode": "FAILFAST"})), kind)
 
 
+def _with_resources(df: DataFrame, text: str, prompt: Column, run: Callable, resources: dict[str, float]) -> DataFrame:
+    """As a stage of its own, whose tasks get these resources. All columns travel through Arrow, unread but for the prompt."""
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    wanted = TaskResourceRequests()
+    for name, amount in resources.items():
+        wanted = wanted.cpus(int(amount)) if name == "cpus" else wanted.resource(name, float(amount))
+    asked = free_name(df, "__prompt")
+    schema = T.StructType([*df.schema.fields, T.StructField(asked, T.StringType()), T.StructField(text, T.StringType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def prompts() -> Iterator[pd.Series]:
+            for batch in batches:
+                waiting.append(batch)
+                yield pd.Series(batch.column(batch.schema.get_field_index(asked)).to_pylist(), dtype=object)
+
+        for texts in run(prompts()):
+            batch = waiting.popleft()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts.tolist(), pa.string())], names=[*batch.schema.names, text])
+
+    return df.withColumn(asked, prompt).mapInArrow(each, schema, profile=ResourceProfileBuilder().require(wanted).build).drop(asked)
+
+
 def stage(
-    backend: str, options: dict, params: dict, batch_size: int, retries: int = 3, in_flight: int = 4, wait: float = 0.5
-) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    backend: str, options: dict, params: dict, batch_size: int, retries: int = 3, in_flight: int = 4, wait: float = 0.5, log: tuple[str, str] | None = None,
+) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    """The function over batches of prompts. ``log``: the folder of answers and the variable's name."""
+    factory = BACKENDS[backend]  # goes along to the workers, which don't know what is registered here
+    kept = log and (log[0], engines.mark(log[1], backend, options, params))
+
     def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        engine = None  # started by the first batch of a task
+        answers = engines.AnswerLog(*kept, _partition()) if kept else None
+        done = answers.read() if answers else {}
+        seen: Counter = Counter()
 
-        def ask(part: list[str]) -> list[str]:
+        def ask(part: list[tuple[engines.Key, str]]) -> tuple[dict[engines.Key, str], str | None]:
+            texts = [p for _, p in part]
             for attempt in range(retries + 1):
                 try:
-                    got = engine.generate(part, dict(params))
+                    got = engines.engine(factory, options).generate(texts, dict(params))
                     break
                 except Exception:
                     if attempt == retries:
@@ -243,18 +287,34 @@ def stage(
                     time.sleep(wait * 2**attempt)
             if len(got) != len(part):
                 raise RuntimeError(f"{len(got)} texts for {len(part)} prompts")
-            return got
+            found = {k: text for (k, _), text in zip(part, got, strict=True)}
+            return found, answers.add(found) if answers else None
 
         with ThreadPoolExecutor(max(in_flight, 1)) as pool:
             for batch in prompts:
-                engine = engine or BACKENDS[backend](**options)
-                parts = [batch.iloc[at : at + batch_size].tolist() for at in range(0, len(batch), batch_size)]
-                yield pd.Series([text for got in pool.map(ask, parts) for text in got], dtype=object)
+                asked = batch.tolist()
+                keys = engines.keys(asked, seen)
+                left = [(k, p) for k, p in zip(keys, asked, strict=True) if k not in done]
+                parts = [left[at : at + batch_size] for at in range(0, len(left), batch_size)]
+                new, files = {}, []
+                for found, path in pool.map(ask, parts):
+                    new |= found
+                    files += [path] if path else []
+                if answers:
+                    answers.gather(files, new)
+                yield pd.Series([new[k] if k in new else done[k] for k in keys], dtype=object)
 
     run.__annotations__ = {"prompts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return run
 
 
+def _partition() -> int:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
 @dataclass
 class ExprConfig:
     type: str = "expr"

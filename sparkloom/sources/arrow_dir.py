@@ -22,13 +22,13 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 def splits(path: str) -> list[str] | None:
     """The split names of a saved dict of tables, or None for a single table."""
-    system, base = _open(path)
+    system, base = opened(path)
     named = posixpath.join(base, "dataset_dict.json")
     if system.get_file_info(named).type == fs.FileType.File:
         with system.open_input_stream(named) as f:
@@ -37,7 +37,7 @@ def splits(path: str) -> list[str] | None:
 
 
 def files(path: str) -> list[str]:
-    system, base = _open(path)
+    system, base = opened(path)
     state = posixpath.join(base, "state.json")
     if system.get_file_info(state).type == fs.FileType.File:
         with system.open_input_stream(state) as f:
@@ -65,7 +65,7 @@ class _Reader(DataSourceReader):
         return [_File(self.path, f) for f in files(self.path)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        system, _ = _open(self.path)
+        system, _ = opened(self.path)
         with system.open_input_stream(partition.name) as f, pa.ipc.open_stream(f) as stream:
             yield from stream
 
@@ -81,7 +81,7 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.fields, self.overwrite = path, schema, overwrite
 
     def _stream(self, name: str, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> None:
-        system, base = _open(self.path)
+        system, base = opened(self.path)
         system.create_dir(base, recursive=True)
         with system.open_output_stream(posixpath.join(base, name)) as f, pa.ipc.new_stream(f, schema) as out:
             for batch in batches:
@@ -104,7 +104,7 @@ class _Writer(DataSourceArrowWriter):
         return _Written(number, name)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        system, base = _open(self.path)
+        system, base = opened(self.path)
         names = [m.name for m in sorted((m for m in messages if m), key=lambda m: m.partition) if m.name]
         if not names:
             names = ["data-00000-empty.arrow"]
@@ -117,7 +117,7 @@ class _Writer(DataSourceArrowWriter):
             f.write(json.dumps({"_data_files": [{"filename": n} for n in names], "_split": None}).encode())
 
     def abort(self, messages: list[_Written | None]) -> None:
-        system, base = _open(self.path)
+        system, base = opened(self.path)
         for m in messages:
             if m and m.name:
                 system.delete_file(posixpath.join(base, m.name))
@@ -126,7 +126,7 @@ class _Writer(DataSourceArrowWriter):
 def write(table, path: str) -> None:
     """A table as a saved dataset, in place of what is there."""
     table.sparkSession.dataSource.register(ArrowDir)
-    system, base = _open(path)
+    system, base = opened(path)
     state = posixpath.join(base, "state.json")
     if system.get_file_info(state).type == fs.FileType.File:
         system.delete_file(state)
@@ -134,7 +134,7 @@ def write(table, path: str) -> None:
 
 
 def write_splits(tables: dict, path: str) -> None:
-    system, base = _open(path)
+    system, base = opened(path)
     for name, table in tables.items():
         write(table, f"{path}/{name}")
     with system.open_output_stream(posixpath.join(base, "dataset_dict.json")) as f:
@@ -147,7 +147,7 @@ class ArrowDir(DataSource):
         return "arrow_dir"
 
     def schema(self) -> StructType:
-        system, _ = _open(self.options["path"])
+        system, _ = opened(self.options["path"])
         first = files(self.options["path"])[:1]
         if not first:
             raise FileNotFoundError(self.options["path"])

@@ -1,0 +1,140 @@
+"""Engines shared by a worker, answers that outlive a task, and stages with resources of their own."""
+
+import os
+import subprocess
+import sys
+import textwrap
+
+import pandas as pd
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from sparkloom.operators import engines, generate
+from sparkloom.plans.config import from_dict
+from sparkloom.plans.rewrite import rewrite
+
+
+class Counting:
+    """Notes each start and each prompt in files of a folder; fails once when it meets a prompt, if told to."""
+
+    def __init__(self, folder, fail_at=None, **server):
+        self.folder, self.fail_at = folder, fail_at
+        with open(f"{folder}/starts", "a") as f:
+            f.write(f"{os.getpid()}\n")
+
+    def generate(self, prompts, params):
+        if self.fail_at in prompts and not os.path.exists(f"{self.folder}/failed"):
+            open(f"{self.folder}/failed", "w").close()
+            os._exit(1)  # the worker is gone, as with a lost executor
+        with open(f"{self.folder}/asked", "a") as f:
+            f.write("".join(f"{p}\n" for p in prompts))
+        return [f"<{p}>" for p in prompts]
+
+
+def lines(path):
+    return path.read_text().split() if path.exists() else []
+
+
+@pytest.fixture
+def counting():
+    generate.BACKENDS["counting"] = Counting
+    engines.stop_engines()
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import the tests
+    yield
+    cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+    del generate.BACKENDS["counting"]
+
+
+def plan(tmp_path, **more):
+    options = {"folder": str(tmp_path), **more.pop("options", {})}
+    return from_dict({
+        "processors": [{"type": "llm", "backend": "counting", "server_args": {"backend_args": options}, "in_flight": 1, **more}],
+        "loading_params": {"batch_size": 5},
+        "processing_params": {
+            "inputs": [{"name": "x", "key": "x"}], "outputs": [{"name": "a", "type": "llm", "prompt": "p{{ x }}"}],
+            "output_schema": {"x": "{{ x }}", "a": "{{ a }}"}, "remove_columns": True,
+        },
+    })
+
+
+def test_an_engine_is_started_once_a_worker(spark, tmp_path, counting):
+    df = spark.range(0, 200, numPartitions=20).select(F.col("id").alias("x"))
+    got = {r["x"]: r["a"] for r in rewrite(df, plan(tmp_path)).collect()}
+    assert got == {i: f"<p{i}>" for i in range(200)}
+    starts = lines(tmp_path / "starts")
+    assert len(starts) == len(set(starts)) <= 4 < 20  # tasks: 20, workers: one for each of 4 cores at most
+
+
+def test_a_lost_task_asks_only_for_its_unfinished_batch(spark, tmp_path, counting):
+    """With a log, batches that were answered before the worker died aren't asked for again."""
+    rows = pd.DataFrame({"x": range(40)})
+    config = plan(tmp_path, log_dir=str(tmp_path / "log"))
+    run = lambda: generate.stage("counting", config.processors[0].options(), {}, 5, in_flight=1, log=(str(tmp_path / "log"), "a"))
+    prompts = [pd.Series([f"p{i}" for i in rows["x"]])]
+
+    class Dies(Counting):
+        def generate(self, asked, params):
+            if "p22" in asked and not (tmp_path / "failed").exists():
+                (tmp_path / "failed").touch()
+                raise KeyboardInterrupt
+            return super().generate(asked, params)
+
+    generate.BACKENDS["counting"] = Dies
+    with pytest.raises(KeyboardInterrupt):
+        list(run()(iter(prompts)))
+    assert len(lines(tmp_path / "asked")) == 35  # all batches but the one that died
+    again = list(run()(iter(prompts)))[0].tolist()
+    assert again == [f"<p{i}>" for i in range(40)] and sorted(lines(tmp_path / "asked")) == sorted(f"p{i}" for i in range(40))
+    assert list(run()(iter(prompts)))[0].tolist() == again and len(lines(tmp_path / "asked")) == 40  # nothing is left to ask for
+    assert len(list((tmp_path / "log").rglob("*.json"))) == 7 + 1
+
+
+def test_repeated_prompts_have_answers_of_their_own(tmp_path):
+    class Numbered:
+        n = 0
+
+        def generate(self, prompts, params):
+            Numbered.n += len(prompts)
+            return [f"{p}{Numbered.n - len(prompts) + i}" for i, p in enumerate(prompts)]
+
+    generate.BACKENDS["numbered"] = Numbered
+    try:
+        run = lambda: list(generate.stage("numbered", {}, {}, 2, in_flight=1, log=(str(tmp_path), "v"))(iter([pd.Series(["a", "a", "b"]), pd.Series(["a"])])))
+        first = [x for s in run() for x in s]
+        assert first == ["a0", "a1", "b2", "a3"] and [x for s in run() for x in s] == first
+        other = list(generate.stage("numbered", {}, {"t": 1}, 2, log=(str(tmp_path), "v"))(iter([pd.Series(["a"])])))
+        assert other[0].tolist() == ["a4"]  # other parameters are another generation
+    finally:
+        del generate.BACKENDS["numbered"]
+
+
+CLUSTER = """
+    import os, sys
+    sys.path[:0] = [{repo!r}, {tests!r}]
+    from pyspark.sql import SparkSession, functions as F
+    from test_engines import Counting, plan
+    from sparkloom.operators import generate
+    from sparkloom.plans.rewrite import rewrite
+    from pathlib import Path
+    generate.BACKENDS["counting"] = Counting
+    spark = (SparkSession.builder.master("local-cluster[2,2,1024]").config("spark.ui.enabled", "false").config("spark.executor.memory", "900m").config("spark.driver.host", "127.0.0.1")
+             .config("spark.sql.shuffle.partitions", "4").config("spark.sql.warehouse.dir", {folder!r} + "/w").getOrCreate())
+    folder = Path({folder!r})
+    df = spark.range(0, 120, numPartitions=12).select(F.col("id").alias("x"))
+    config = plan(folder, resources={{"cpus": 2}}, options={{"fail_at": "p57"}}, log_dir={folder!r} + "/log")
+    got = {{r["x"]: r["a"] for r in rewrite(df, config).collect()}}
+    assert got == {{i: f"<p{{i}}>" for i in range(120)}}, got
+    print("OK")
+"""
+
+
+def test_a_stage_with_resources_of_its_own(tmp_path):
+    """On two executors of two cores, tasks that take two cores: one engine an executor, and one more for the worker that dies."""
+    here = os.path.dirname(__file__)
+    code = textwrap.dedent(CLUSTER).format(repo=os.path.dirname(here), tests=here, folder=str(tmp_path))
+    env = os.environ | {"PYTHONPATH": f"{os.path.dirname(here)}:{here}:{os.environ.get('PYTHONPATH', '')}", "PYSPARK_PYTHON": sys.executable, "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "OK" in done.stdout, done.stderr[-3000:]
+    starts, asked = lines(tmp_path / "starts"), lines(tmp_path / "asked")
+    assert len(starts) == 3 and sorted(asked) == sorted(f"p{i}" for i in range(120))
