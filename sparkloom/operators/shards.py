@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.operators.checkpoints import saved
-from sparkloom.operators.ranges import bounds, range_of
+from sparkloom.operators.shard_index import FileIndex, KeyIndex
 from sparkloom.sources import Dataset, arrow_dir
 from sparkloom.sources.loaders import ArrowDirConfig
 from sparkloom.sources.loaders import saved as saved_dataset
@@ -34,14 +38,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def _numbered(df: DataFrame, order: str | None, position: str) -> tuple[DataFrame, int]:
-    """Rows with their position, in the order of the scan or of a column, and how many there are.
-
-    Counts by partition are all that reaches the driver; no row goes through one task.
-    """
-    return _by_column(df, order, position) if order else _by_scan(df, position)
-
-
 def _starts(counts: dict[int, int]) -> tuple[list[int], int]:
     starts, total = [], 0
     for p in range(max(counts, default=-1) + 1):
@@ -61,36 +57,26 @@ def _by_scan(df: DataFrame, position: str) -> tuple[DataFrame, int]:
     return marked.withColumn(position, F.get(F.lit(starts).cast("array<bigint>"), part) + place).drop(number), total
 
 
-def _tie(df: DataFrame) -> Column:
-    """A hash of the whole row: rows that share one are equal, and so may change places."""
-    plain = [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
-    other = [f.name for f in df.schema.fields if f.name not in plain]
-    return F.xxhash64(*[F.col(f"`{c}`") for c in plain], *[F.to_json(F.struct(F.col(f"`{c}`"))) for c in other])
-
-
-def _by_column(df: DataFrame, order: str, position: str) -> tuple[DataFrame, int]:
-    """Positions in the order of a column, ties by a hash of the row: the same in every job, however rows are dealt.
+def _numbered(df: DataFrame, order: str | None, position: str, index: FileIndex | KeyIndex | None = None) -> tuple[DataFrame, int]:
+    """Rows with their position, in the order of the scan or of a column, and how many there are.
 
-    Bounds sampled from the key cut it into ranges; they are constants of the plan. Each range is counted
-    and numbered by itself, and a value that many rows share is cut by the hash as well.
+    Counts by partition or range are all that reaches the driver; no row goes through one task.
     """
-    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    key, part = free_name(df, "__key"), free_name(df, "__part")
-    keyed = df.withColumn(key, F.struct(F.col(f"`{order}`").alias("v"), _tie(df).alias("h")))
-    keyed = keyed.withColumn(part, range_of(F.col(key), bounds(keyed.select(f"{key}.v", f"{key}.h"), ranges)))
-    starts, total = _starts(dict(keyed.groupBy(F.col(part).alias("p")).count().collect()))
-    place = F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1
-    return keyed.withColumn(position, F.get(F.lit(starts).cast("array<bigint>"), F.col(part)) + place).drop(key, part), total
+    if order or index:
+        index = index or KeyIndex.of(df, order)
+        return index.numbered(df, position, 0, index.total), index.total
+    return _by_scan(df, position)
 
 
 def with_shard(
-    df: DataFrame, num_shards: int, layout: str = "contiguous", order: str | None = None, position_col: str = POSITION, shard_col: str = SHARD
-) -> DataFrame:
+    df: DataFrame, num_shards: int, layout: str = "contiguous", order: str | None = None, position_col: str = POSITION, shard_col: str = SHARD,
+    index: FileIndex | KeyIndex | None = None,
+) -> DataFrame:
     """Adds the row's position and shard. Contiguous shards differ by one row at most, larger ones first."""
     check_range(num_shards, 0)
     if clash := {position_col, shard_col} & set(df.columns):
         raise ValueError(f"the table has columns {sorted(clash)}; name others")
-    numbered, n = _numbered(df, order, position_col)
+    numbered, n = _numbered(df, order, position_col, index)
     pos = F.col(position_col)
     if layout == "strided":
         return numbered.withColumn(shard_col, F.pmod(pos, F.lit(num_shards)).cast("int"))
@@ -102,12 +88,25 @@ def with_shard(
     return numbered.withColumn(shard_col, shard.cast("int"))
 
 
-def shard(df: DataFrame, num_shards: int, shard_id: int, layout: str = "contiguous", order: str | None = None) -> DataFrame:
+def span(total: int, num_shards: int, shard_id: int) -> tuple[int, int]:
+    """The positions of a contiguous shard, the end excluded."""
+    each, more = divmod(total, num_shards)
+    start = each * shard_id + min(shard_id, more)
+    return start, start + each + (shard_id < more)
+
+
+def shard(
+    df: DataFrame, num_shards: int, shard_id: int, layout: str = "contiguous", order: str | None = None, index: FileIndex | KeyIndex | None = None
+) -> DataFrame:
+    """One shard's rows. With an index nothing is counted, and a contiguous shard reads only the files or ranges that it overlaps."""
     check_range(num_shards, shard_id)
     if num_shards == 1:
         return df
+    if index is not None and layout == "contiguous":
+        position = free_name(df, POSITION)
+        return index.numbered(df, position, *span(index.total, num_shards, shard_id)).drop(position)
     position, number = free_name(df, POSITION), free_name(df, SHARD)
-    return with_shard(df, num_shards, layout, order, position, number).filter(F.col(number) == shard_id).drop(position, number)
+    return with_shard(df, num_shards, layout, order, position, number, index).filter(F.col(number) == shard_id).drop(position, number)
 
 
 def each_split(data: Dataset, f: Callable[[DataFrame], DataFrame]) -> Dataset:
@@ -143,6 +142,44 @@ class _Files:
         finally:
             stream.close()
 
+    def files(self, *names: str) -> list[str]:
+        """Data files of a folder by the number in their names: the order in which they were written."""
+        found = [s.getPath().getName() for s in self.fs.listStatus(self.path(*names)) if s.isFile()]
+        number = lambda n: int(m[1]) if (m := re.search(r"(\d+)", n)) else -1
+        return sorted((n for n in found if not n.startswith(("_", "."))), key=lambda n: (number(n), n))
+
+    def claim(self, text: str, *names: str) -> bool:
+        """Writes a file if there is none yet, in one step: of several writers at a time one succeeds."""
+        self.fs.mkdirs(self.base)
+        made, target = self.path(f"_{uuid.uuid4().hex}.tmp"), self.path(*names)
+        self.write(text, made.getName())
+        try:
+            if self.fs.getUri().getScheme() != "file":
+                return not self.fs.exists(target) and self.fs.rename(made, target)
+            disk = lambda p: self.jvm.java.io.File(p.toUri().getPath()).toPath()
+            self.jvm.java.nio.file.Files.createLink(disk(self.fs.makeQualified(target)), disk(self.fs.makeQualified(made)))
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        finally:
+            self.fs.delete(made, False)
+
+    def put(self, made: str, name: str) -> None:
+        """A finished folder under its name, in place of what is there. Whoever reads sees one or the other whole; of several writers the last stays."""
+        for _ in range(20):
+            if self.exists(name):
+                old = f"_old-{uuid.uuid4().hex}"
+                if self.fs.rename(self.path(name), self.path(old)):
+                    self.fs.delete(self.path(old), True)
+                continue
+            if self.fs.rename(self.path(made), self.path(name)) and not self.exists(name, made):
+                return
+            if self.exists(name, made):  # another was faster, and the folder went into its own
+                self.fs.rename(self.path(name, made), self.path(made))
+        raise RuntimeError(f"{self.path(name)} is being written by others")
+
     def write(self, text: str, *names: str) -> None:
         stream = self.fs.create(self.path(*names), True)
         try:
@@ -163,15 +200,62 @@ def _write(data: Dataset, target: str, kind: str) -> None:
 
 
 def write_shard(spark: SparkSession, data: Dataset, output_dir: str, shard_id: int, num_shards: int = 1, kind: str = "parquet") -> str:
-    """Writes ``shard_<id>`` (splits as folders in it). Refuses a folder begun with another number of shards."""
+    """Writes ``shard_<id>`` (splits as folders in it). Refuses a folder begun with another number of shards.
+
+    The number is claimed before anything is written, so of two launches that disagree one is refused. A shard is written
+    beside its place and moved there once it is whole.
+    """
     check_range(num_shards, shard_id)
     files = _Files(spark, output_dir)
-    if files.exists(MANIFEST) and (there := json.loads(files.read(MANIFEST))["num_shards"]) != num_shards:
+    if not files.claim(json.dumps({"num_shards": num_shards}), MANIFEST) and (there := json.loads(files.read(MANIFEST))["num_shards"]) != num_shards:
         raise ValueError(f"{output_dir} holds shards of {there}, not of {num_shards}; merging would repeat rows")
-    target = f"{output_dir}/shard_{shard_id}"
-    _write(data, target, kind)
-    files.write(json.dumps({"num_shards": num_shards}), MANIFEST)
-    return target
+    made, name = f"_writing-{shard_id}-{uuid.uuid4().hex}", f"shard_{shard_id}"
+    try:
+        _write(data, f"{output_dir}/{made}", kind)
+        files.put(made, name)
+    finally:
+        files.fs.delete(files.path(made), True)
+    return f"{output_dir}/{name}"
+
+
+def in_order(spark: SparkSession, path: str, most_files: int = 500) -> DataFrame:
+    """A Parquet folder's rows in the order in which they were written: file by file, by the number in the name.
+
+    Spark's own scan packs files by size. Each file is a scan of its own here, up to ``most_files``; of more, rows are sorted by their positions.
+    """
+    files, whole = _Files(spark, path), spark.read.parquet(path)
+    names = files.files()
+    if len(names) < 2:
+        return whole
+    if len(names) <= most_files:
+        return reduce(DataFrame.unionAll, [spark.read.schema(whole.schema).parquet(f"{path}/{n}") for n in names])
+    position = free_name(whole, POSITION)
+    placed = FileIndex.of(spark, path, names).numbered(whole, position)
+    return placed.repartitionByRange(position).sortWithinPartitions(position).drop(position)
+
+
+def file_index(spark: SparkSession, path: str, kept: str | None = None) -> FileIndex:
+    """The index of a Parquet folder; ``kept``: a file that the first job writes and the others read."""
+    names = _Files(spark, path).files()
+    return _kept(spark, kept, lambda: FileIndex.of(spark, path, names), FileIndex.from_json, lambda i: [n for n, _ in i.files] == names)
+
+
+def key_index(df: DataFrame, order: str, kept: str | None = None) -> KeyIndex:
+    """The index of a table by a column; ``kept`` as for :func:`file_index`."""
+    return _kept(df.sparkSession, kept, lambda: KeyIndex.of(df, order), KeyIndex.from_json, lambda i: i.order == order)
+
+
+def _kept(spark: SparkSession, path: str | None, build: Callable, read: Callable, fits: Callable):
+    if path is None:
+        return build()
+    folder, _, name = path.rpartition("/")
+    files = _Files(spark, folder)
+    if not files.exists(name):
+        files.claim(build().to_json(), name)
+    found = read(files.read(name))  # of several jobs that counted at a time, all take the one that is there
+    if not fits(found):
+        raise ValueError(f"{path} is the index of another table; delete it if that has changed")
+    return found
 
 
 def shard_dirs(spark: SparkSession, path: str) -> list[str]:
@@ -237,10 +321,10 @@ def read_shard(spark: SparkSession, path: str) -> Dataset:
     if files.exists("state.json") or files.exists("dataset_dict.json"):
         return saved_dataset(spark, ArrowDirConfig(path))
     if names := [n for n in files.folders() if not n.startswith("_")]:
-        return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+        return {n: in_order(spark, f"{path}/{n}") for n in names}
     if not files.exists("_SUCCESS"):
         raise FileNotFoundError(f"{path} wasn't finished")
-    return spark.read.parquet(path)
+    return in_order(spark, path)
 
 
 def merge(spark: SparkSession, input_dir: str, output_dir: str, kind: str = "parquet") -> dict[str, dict]:

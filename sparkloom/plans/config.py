@@ -33,6 +33,7 @@ class LoadingParams:
     shard_id: int = 0
     batch_size: int = 1
     layout: str = "contiguous"
+    order: str | None = None  # a column to number rows by; without it they are numbered in the order of the scan
     output_format: str = "parquet"  # or "loadable", the format of saved datasets
 
     def __post_init__(self) -> None:

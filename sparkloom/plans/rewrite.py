@@ -20,8 +20,8 @@ from sparkloom.functions.paths import compile_path
 from sparkloom.functions.values import PlanError, Value
 from sparkloom.operators import generate, shards
 from sparkloom.operators.generate import ROW, VARIABLES
-from sparkloom.plans.config import Config, ProcessingParams
-from sparkloom.sources import Dataset, load_all
+from sparkloom.plans.config import Config, LoadingParams, ProcessingParams
+from sparkloom.sources import Dataset, ParquetConfig, load_all
 
 logger = logging.getLogger(__name__)
 
@@ -112,10 +112,28 @@ def run(spark: SparkSession, config: Config) -> list[str]:
         spark.conf.set("spark.sql.caseSensitive", was)
 
 
+def _part(spark: SparkSession, dataset: Any, data: Dataset, loading: LoadingParams) -> Dataset:
+    """This job's shard. Parquet tables, and those ordered by a column, are counted by the first job only, which leaves an index for the others."""
+
+    def one(table: DataFrame, path: str | None, split: str) -> DataFrame:
+        kept = f"{dataset.output_dir}/_index{split}.json"
+        index = None
+        if loading.num_shards > 1 and loading.order:
+            index = shards.key_index(table, loading.order, kept)
+        elif loading.num_shards > 1 and path:
+            index = shards.file_index(spark, path, kept)
+        return shards.shard(table, loading.num_shards, loading.shard_id, loading.layout, index=index)
+
+    paths = dataset.path if isinstance(dataset, ParquetConfig) else {}
+    if isinstance(data, dict):
+        return {name: one(t, paths.get(name) if isinstance(paths, dict) else None, f"-{name}") for name, t in data.items()}
+    return one(data, paths if isinstance(paths, str) else None, "")
+
+
 def _write_all(spark: SparkSession, config: Config) -> list[str]:
     loading, out = config.loading_params, []
     for dataset, data in load_all(spark, loading.datasets):
-        part = shards.each_split(data, lambda t: shards.shard(t, loading.num_shards, loading.shard_id, loading.layout))
+        part = _part(spark, dataset, data, loading)
         done: Dataset = shards.each_split(part, lambda t: rewrite(t, config))
         out.append(shards.write_shard(spark, done, dataset.output_dir, loading.shard_id, loading.num_shards, loading.output_format))
         logger.info("wrote %s", out[-1])
