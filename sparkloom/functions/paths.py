@@ -233,7 +233,7 @@ def truthy(v: Value) -> Column:
     t = v.type
     if isinstance(t, T.NullType):
         return F.lit(False)
-    if isinstance(t, Mixed):
+    if isinstance(t, T.VariantType):
         return F.coalesce(V.by_option(v, lambda x: Value(truthy(x), T.BooleanType())).col, F.lit(False))
     if isinstance(t, T.BooleanType):
         return F.coalesce(v.col, F.lit(False))
@@ -246,8 +246,8 @@ def truthy(v: Value) -> Column:
 
 def equal(a: Value, b: Value) -> Column:
     """Whether two values are the same; those of types that don't unify only if both are null."""
-    if isinstance(a.type, Mixed) or isinstance(b.type, Mixed):
-        mixed, other = (a, b) if isinstance(a.type, Mixed) else (b, a)
+    if isinstance(a.type, T.VariantType) or isinstance(b.type, T.VariantType):
+        mixed, other = (a, b) if isinstance(a.type, T.VariantType) else (b, a)
         found = V.by_option(mixed, lambda x: Value(equal(x, other), T.BooleanType())).col
         return F.when(V.present(mixed), F.coalesce(found, F.lit(False))).otherwise(~V.present(other))
     kind = V.unify(a.type, b.type)
@@ -302,7 +302,7 @@ class _Compiler:
 
     def elements(self, v: Value, step: Node) -> Value:
         """The array that a projecting step goes over."""
-        if isinstance(v.type, Mixed):
+        if isinstance(v.type, T.VariantType):
             return V.by_option(v, lambda x: self.elements(x, step))
         if step.kind == "values":
             return self._values_of(v)
@@ -388,9 +388,9 @@ class _Compiler:
         if op in ("==", "!="):
             same = equal(a, b)
             return Value(same if op == "==" else ~same, T.BooleanType())
-        if isinstance(a.type, Mixed):
+        if isinstance(a.type, T.VariantType):
             return V.by_option(a, lambda x: self._compared(op, x, b))
-        if isinstance(b.type, Mixed):
+        if isinstance(b.type, T.VariantType):
             return V.by_option(b, lambda x: self._compared(op, a, x))
         fits = (V.is_number(a.type) and V.is_number(b.type)) or (isinstance(a.type, T.StringType) and isinstance(b.type, T.StringType))
         if not fits:
@@ -413,7 +413,7 @@ class _Compiler:
     def _spread(self, f, name: str, arguments: list) -> Value:
         """A function of values of which some are mixed: planned for each type they may have."""
         for i, v in enumerate(arguments):
-            if isinstance(v, Value) and isinstance(v.type, Mixed):
+            if isinstance(v, Value) and isinstance(v.type, T.VariantType):
                 one = lambda x, i=i: self._spread(f, name, [*arguments[:i], x, *arguments[i + 1 :]])
                 return V.by_option(v, one, _Wrong, f"{name}() can't take")
         return f(*arguments)

@@ -33,7 +33,7 @@ class Value:
 
     def field(self, name: str) -> Value:
         """A struct's field or a map's entry; null where the type has none."""
-        if isinstance(self.type, Mixed):
+        if isinstance(self.type, T.VariantType):
             return by_option(self, lambda v: v.field(name))
         if isinstance(self.type, T.StructType) and name in self.type.names:
             return Value(self.col.getField(name), self.type[name].dataType)
@@ -43,7 +43,7 @@ class Value:
 
     def item(self, i: int) -> Value:
         """An array's element, from the end if negative; null where there is none."""
-        if isinstance(self.type, Mixed):
+        if isinstance(self.type, T.VariantType):
             return by_option(self, lambda v: v.item(i))
         if not isinstance(self.type, T.ArrayType):
             return null()
@@ -87,6 +87,8 @@ def literal(x: Any, mixed: bool = False) -> Value:
 
 def unify(a: T.DataType, b: T.DataType) -> T.DataType | None:
     """The type both can have without a change of value, or None."""
+    if type(a) is T.VariantType or type(b) is T.VariantType:  # holds anything
+        return T.VariantType()
     if isinstance(a, T.NullType) or a == b:
         return b
     if isinstance(b, T.NullType):
@@ -127,17 +129,25 @@ class Pair(T.StructType):
         return "struct"
 
 
+def options(t: T.VariantType) -> tuple[T.DataType, ...]:
+    """The types that a VARIANT may have; one of the source's may have any that JSON has, and VARIANTs inside."""
+    if isinstance(t, Mixed):
+        return t.options
+    inner = T.VariantType()
+    return (T.BooleanType(), T.LongType(), T.DoubleType(), T.StringType(), T.ArrayType(inner), T.MapType(T.StringType(), inner))
+
+
 def is_mixed(t: T.DataType) -> bool:
     """Whether a mixed type is in it, at any depth."""
     if isinstance(t, T.ArrayType):
         return is_mixed(t.elementType)
     if isinstance(t, T.MapType):
         return is_mixed(t.valueType)
-    return isinstance(t, Mixed) or isinstance(t, T.StructType) and any(is_mixed(f.dataType) for f in t.fields)
+    return isinstance(t, T.VariantType) or isinstance(t, T.StructType) and any(is_mixed(f.dataType) for f in t.fields)
 
 
 def _options(t: T.DataType) -> tuple[T.DataType, ...]:
-    return t.options if isinstance(t, Mixed) else () if isinstance(t, T.NullType) else (t,)
+    return options(t) if isinstance(t, T.VariantType) else () if isinstance(t, T.NullType) else (t,)
 
 
 def joined(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -179,12 +189,12 @@ def _together(types: list[T.DataType]) -> T.DataType:
 def as_type(v: Value, t: T.DataType) -> Column:
     if v.type == t:
         return v.col
-    if isinstance(t, Mixed):
-        if v.is_null or isinstance(v.type, Mixed):
+    if isinstance(t, T.VariantType):
+        if v.is_null or isinstance(v.type, T.VariantType):
             return v.col.cast("variant")
         if isinstance(v.type, (T.ArrayType, T.StructType, T.MapType)):
             return F.to_variant_object(v.col)
-        whole = is_integer(v.type) and T.LongType() in t.options
+        whole = is_integer(v.type) and T.LongType() in options(t)
         return v.col.cast("long" if whole else "double" if is_number(v.type) and not isinstance(v.type, T.DecimalType) else v.type).cast("variant")
     if is_mixed(t) and isinstance(v.type, T.ArrayType) and isinstance(t, T.ArrayType):
         return F.transform(v.col, lambda x: as_type(Value(x, v.type.elementType), t.elementType))
@@ -211,11 +221,13 @@ def is_option(v: Value, t: T.DataType) -> Column:
         return kind.startswith("ARRAY")
     if isinstance(t, (T.StructType, T.MapType)):
         found = kind.startswith("OBJECT")
-        if sum(isinstance(o, T.StructType) for o in v.type.options) > 1:
+        if sum(isinstance(o, T.StructType) for o in options(v.type)) > 1:
             found = found & (F.array_sort(F.json_object_keys(F.to_json(v.col))) == F.array(*map(F.lit, sorted(t.names))))
         return found
     if isinstance(t, T.DecimalType):
         return kind.startswith("DECIMAL")
+    if isinstance(t, T.DoubleType) and not isinstance(v.type, Mixed):  # as JSON's fractions are parsed
+        return kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
     return kind == {T.LongType: "BIGINT"}.get(type(t), t.simpleString().upper())
 
 
@@ -225,19 +237,19 @@ def option(v: Value, t: T.DataType) -> Value:
 
 
 def present(v: Value) -> Column:
-    return v.col.isNotNull() & ~F.is_variant_null(v.col) if isinstance(v.type, Mixed) else v.col.isNotNull()
+    return v.col.isNotNull() & ~F.is_variant_null(v.col) if isinstance(v.type, T.VariantType) else v.col.isNotNull()
 
 
 def by_option(v: Value, use: Callable[[Value], Value], wrong: type[Exception] = (), why: str = "") -> Value:
     """``use`` for each type that ``v`` may have, and for null. If it has one for which ``use`` raises ``wrong``, that is an error when it runs."""
     made: list[tuple[T.DataType, Value | None]] = []
-    for t in v.type.options:
+    for t in options(v.type):
         try:
             made.append((t, use(option(v, t))))
         except wrong:
             made.append((t, None))
     if all(r is None for _, r in made):
-        return use(option(v, v.type.options[0]))
+        return use(option(v, options(v.type)[0]))
     try:
         absent = use(null())
     except wrong:

@@ -234,6 +234,11 @@ def in_order(spark: SparkSession, path: str, most_files: int = 500) -> DataFrame
     return placed.repartitionByRange(position).sortWithinPartitions(position).drop(position)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    files = _Files(spark, path)
+    files.fs.delete(files.base, True)
+
+
 def file_index(spark: SparkSession, path: str, kept: str | None = None) -> FileIndex:
     """The index of a Parquet folder; ``kept``: a file that the first job writes and the others read."""
     names = _Files(spark, path).files()

@@ -101,6 +101,11 @@ _path("path_sort", "join(',', sort(c[*].role))", _glued("list_sort(list_transfor
 _path("path_to_array", "length(to_array(c[0].role)) < length(to_array(c))", "len(c) > 1")
 _path("path_to_string", "to_string(c[0].turn)", "c[1].turn::VARCHAR")
 _path("path_compare", "length(c[0].text) >= length(c[1].text)", "length(c[1].text) >= length(c[2].text)")
+_path("path_mixed_list", "join(',', map(&type(@), [c[0].turn, c[0].role, c[9].role, c]))", "(CASE WHEN c[1].turn IS NULL THEN 'null' ELSE 'number' END) || ',' || (CASE WHEN c[1].role IS NULL THEN 'null' ELSE 'string' END) || ',' || (CASE WHEN c[10].role IS NULL THEN 'null' ELSE 'string' END) || ',array'")
+_path("path_mixed_or", "to_string(c[5].role || c[0].turn)", "coalesce(nullif(c[6].role, ''), c[1].turn::VARCHAR)")
+_path("path_mixed_values", "join('|', map(&to_string(@), values({a: c[-1].turn, b: c[-1].role})))", "c[-1].turn::VARCHAR || '|' || c[-1].role")
+_path("path_object_wildcard", "join('|', map(&to_string(@), c[0].*))", "array_to_string(list_filter([c[1].turn::VARCHAR, c[1].role, c[1].text], lambda x: x IS NOT NULL), '|')")
+_path("path_mixed_flatten", "length(c[*].[turn, role][] | [?type(@) == 'number'])", "len(list_filter(c, lambda x: x.turn IS NOT NULL))::BIGINT")
 
 
 def rewritten(source: str, outputs: dict[str, Any], inputs: dict[str, str], derive: list[dict] = (), processors: list[dict] = (), remove: bool = True) -> Query:
@@ -219,6 +224,87 @@ query(
 )
 
 
+def _nested(name: str, template: str, sql: str, tree: str | None = None) -> None:
+    """A query that renders one template over all conversations; ``sql`` is the same over ``c``."""
+    inputs = {"conv_id": "conv_id", "c": "c"} | ({"tree": tree} if tree else {})
+    query(name, f"SELECT conv_id, {sql} AS v FROM {_CONVERSATIONS}")(rewritten("nested", {"conv_id": "{{ conv_id }}", "v": template}, inputs))
+
+
+def _each(text: str) -> str:
+    return f"array_to_string(list_transform(c, lambda x, i: {text}), '')"
+
+
+_nested(
+    "template_namespace", "{% set ns = namespace(total=0) %}{% for m in c %}{% set ns.total = ns.total + m.turn %}{{ ns.total }},{% endfor %}={{ ns.total }}",
+    _each("list_sum(list_transform(c[1:i], lambda y: y.turn))::VARCHAR || ','") + " || '=' || list_sum(list_transform(c, lambda x: x.turn))::VARCHAR",
+)
+_nested("template_cycler", "{% set k = cycler('a', 'b', 'c') %}{% for m in c %}{{ k.next() }}{{ m.turn }}{% endfor %}{{ k.current }}", _each("['a', 'b', 'c'][(i - 1) % 3 + 1] || x.turn::VARCHAR") + " || ['a', 'b', 'c'][len(c) % 3 + 1]")
+_nested(
+    "template_joiner", "{% set j = joiner('; ') %}{% for m in c %}{% if m.role == 'user' %}{{ j() }}{{ m.turn }}{% endif %}{% endfor %}",
+    "coalesce(array_to_string(list_transform(list_filter(c, lambda x: x.role = 'user'), lambda x: x.turn), '; '), '')",
+)
+_nested("template_loop_changed", "{% for m in c %}{% if loop.changed(m.role) %}[{{ m.role }}]{% endif %}.{% endfor %}", _each("CASE WHEN i = 1 OR c[i - 1].role IS DISTINCT FROM x.role THEN '[' || x.role || ']' ELSE '' END || '.'"))
+_nested(
+    "template_neighbours", "{% for m in c %}{{ loop.previtem.turn if loop.previtem is defined else '-' }}<{{ m.turn }}>{{ loop.nextitem.turn if loop.nextitem is defined else '-' }} {% endfor %}",
+    _each("(CASE WHEN i = 1 THEN '-' ELSE c[i - 1].turn::VARCHAR END) || '<' || x.turn::VARCHAR || '>' || coalesce(c[i + 1].turn::VARCHAR, '-') || ' '"),
+)
+_nested(
+    "template_recursive_loop", "{% for t in tree recursive %}{{ loop.depth }}{{ t.name }}{% if t.kids %}({{ loop(t.kids) }}){% endif %}{% endfor %}",
+    "'1root(' || " + _each("'2' || x.role || '(3' || x.turn::VARCHAR || ')'") + " || ')'", "[{name: 'root', kids: c[*].{name: role, kids: [{name: to_string(turn)}]}}]",
+)
+_nested(
+    "template_recursive_macro", "{% macro show(t) %}<{{ t.name }}{% for k in t.kids %}{{ show(k) }}{% endfor %}>{% endmacro %}{{ show(tree[0]) }}",
+    "'<root' || " + _each("'<' || x.role || '<' || x.turn::VARCHAR || '>>'") + " || '>'", "[{name: 'root', kids: c[*].{name: role, kids: [{name: to_string(turn)}]}}]",
+)
+query(
+    "template_python_texts",
+    "SELECT doc_id, (n_chars / 7)::VARCHAR || ' (' || n_chars::VARCHAR || ', ' || (n_chars / 8)::VARCHAR || ') {' || replace('~k~: ~' || lang || '~, ~v~: [', '~', chr(39)) || n_chars::VARCHAR || ', None]}' AS v FROM documents",
+)(rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{{ n / 7 }} {{ (n, n / 8) }} {{ {'k': lang, 'v': [n, none]} }}"}, _DOC))
+query(
+    "template_tojson",
+    """SELECT doc_id, '{"big": ' || (n_chars > 900)::VARCHAR || ', "lang": "' || lang || '", "n": ' || n_chars::VARCHAR || ', "parts": ["' || source || '", ' || (n_chars / 4)::VARCHAR || ', "\\u00e9\\u003c"]}' AS v FROM documents""",
+)(rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{{ {'n': n, 'lang': lang, 'big': n > 900, 'parts': [source, n / 4, 'é<']}|tojson }}"}, _DOC))
+query(
+    "template_text_methods",
+    """SELECT doc_id, upper(lang) || ' ' || reverse(source) || ' ' || len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::VARCHAR || ' ' || (CASE WHEN starts_with(text, 'the') THEN 'True' ELSE 'False' END)
+       || ' ' || lpad(replace(source, 'src', ''), 3, '0') || ' ' || floor(n_chars / 2.5)::DOUBLE::VARCHAR || ' ' || ((length(text) - length(replace(text, 'the', ''))) // 3)::VARCHAR AS v FROM documents""",
+)(
+    rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{{ lang.upper() }} {{ source[::-1] }} {{ text.split()|length }} {{ text.startswith('the') }} {{ source.removeprefix('src').zfill(3) }} {{ n // 2.5 }} {{ text.count('the') }}"}, _DOC)
+)
+query(
+    "template_names_in_branches",
+    "SELECT doc_id, (CASE WHEN n_chars > 2000 THEN 'long' WHEN n_chars > 500 THEN n_chars::VARCHAR ELSE '' END) || '|' || (CASE WHEN n_chars > 500 THEN 'True' ELSE 'False' END) AS v FROM documents",
+)(rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{% if n > 2000 %}{% set size = 'long' %}{% elif n > 500 %}{% set size = n %}{% endif %}{{ size }}|{{ size is defined }}"}, _DOC))
+query(
+    "template_more_filters",
+    """SELECT doc_id, n_chars::DOUBLE::VARCHAR || ' ' || upper(lang[1]) || lower(lang[2:]) || ' ' || source || '%20x 3 ' || lang || ' ' || lang || ' ' || lang || ' &lt;' || lang || chr(10) || '  b  a="' || lang || '" '
+       || n_chars::VARCHAR || ' a=' || lang || ';b=1;0369' || source || ' 7 7.3 1200 ' || (n_chars * 2 + 10)::VARCHAR AS v FROM documents""",
+)(
+    rewritten(
+        "documents",
+        {"doc_id": "{{ doc_id }}", "v": "{{ n|float }} {{ lang|title }} {{ (source ~ ' x')|urlencode }} {{ 'a b c'|wordcount }} {{ ('<b>' ~ lang ~ '</b>')|striptags }} {{ lang|safe }} {{ {'a': lang}|attr('a') }} {{ ('<' ~ lang)|forceescape }}{{ '\nb'|indent(2) }} "
+         "{{ {'a': lang}|xmlattr }} {{ n|round }} {% for k, v in {'a': lang, 'b': 1}|items %}{{ k }}={{ v }};{% endfor %}{% for i in range(0, 10, 3) %}{{ i }}{% endfor %}{{ dict(a=n, b=source).b }} {{ 7|round(2) }} {{ 7.26|round(1) }} {{ 1250|round(-2) }} {{ [n, n]|sum(start=10) }}"},
+        _DOC,
+    )
+)
+query(
+    "template_more_tests",
+    "SELECT doc_id, array_to_string(" + _TRUTHS.format("true, true, false, n_chars > 900, n_chars <= 900, true, true, false, true") + ", '') AS v FROM documents",
+)(
+    rewritten(
+        "documents",
+        {"doc_id": "{{ doc_id }}", "v": "".join(f"{{{{ 1 if {x} else 0 }}}}" for x in (
+            "nope is undefined", "(n > 5) is boolean", "lang is callable", "(n > 900) is true", "(n > 900) is false", "lang|upper is upper", "'odd' is test", "'nope' is test", "n is even or n is odd",
+        ))},
+        _DOC,
+    )
+)
+query("template_wordwrap")(rewritten("documents", {"doc_id": "{{ doc_id }}", "v": "{{ text|wordwrap(60) }}"}, _DOC))
+query("template_urlize", """SELECT page_id, 'See <a href="' || replace(url, '&', '&amp;') || '" rel="noopener">' || replace(url, '&', '&amp;') || '</a>, (or <a href="mailto:me@' || page_id::VARCHAR || '.org">me@' || page_id::VARCHAR || '.org</a>).' AS v FROM pages""")(
+    rewritten("pages", {"page_id": "{{ id }}", "v": "{{ ('See ' ~ url ~ ', (or me@' ~ id ~ '.org).')|urlize }}"}, {"id": "page_id", "url": "url"})
+)
+
+
 @query("output_struct_json", "SELECT doc_id, to_json([{'role': 'user', 'content': lang}, {'role': 'assistant', 'content': source}])::VARCHAR AS conversations FROM documents")
 def output_struct_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents")
@@ -239,6 +325,17 @@ query("undefined_renders_empty", "SELECT doc_id, '[' || ']' || lang AS v FROM do
 )
 
 
+_STUB = [{"type": "llm", "backend": "stub"}]
+
+
+@query("keep_clashing_names", """SELECT doc_id, lang AS "__variables", source AS "__text", n_chars AS "__row", md5('Say: ' || source) AS a FROM documents""")
+def keep_clashing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose columns have names that the plan uses itself."""
+    df = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("__variables"), F.col("source").alias("__text"), F.col("n_chars").alias("__row"))
+    raw = {"inputs": [{"name": "s", "key": "__text"}], "outputs": [{"name": "a", "type": "llm", "prompt": "Say: {{ s }}"}], "output_schema": {"a": "{{ a }}"}}
+    return rewrite(df, from_dict({"processors": _STUB, "processing_params": raw}))
+
+
 @query("json_struct_parse", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def json_struct_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").withColumn("parsed", F.from_json("props", "k long", {"mode": "FAILFAST"}))
@@ -247,11 +344,11 @@ def json_struct_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("json_variant_parse", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def json_variant_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events")
-    return df.select("event_id", F.variant_get(F.parse_json("props"), "$.k", "long").alias("k"))
+    """Paths into a VARIANT column, whose types are known in each row only."""
+    df = table(spark, sf_dir, "events").withColumn("parsed", F.parse_json("props"))
+    return df.select("event_id", compile_path("to_number(parsed.k)", _root(df)).col.cast("long").alias("k"))
 
 
-_STUB = [{"type": "llm", "backend": "stub"}]
 query("generate_plain_stub", "SELECT doc_id, md5('Say: ' || text) AS answer FROM documents")(
     rewritten("documents", {"doc_id": "{{ doc_id }}", "answer": "{{ a }}"}, _DOC, [{"name": "a", "type": "llm", "prompt": "Say: {{ text }}"}], _STUB)
 )
@@ -291,12 +388,46 @@ def merge_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shard_merge_identity", "SELECT * FROM documents")
 def shard_merge_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents")
-    return shards.concat([shards.shard(df, 3, i, order="doc_id") for i in range(3)])
+    index = shards.key_index(df, "doc_id")  # counted once for the three
+    return shards.concat([shards.shard(df, 3, i, index=index) for i in range(3)])
+
+
+@query("shard_by_file_index", "SELECT *, (ntile(5) OVER (ORDER BY doc_id) - 1)::INTEGER AS shard FROM documents")
+def shard_by_file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by place in the files of a Parquet folder. (The folder is written in order of the id.)"""
+    path = _scratch(spark)
+    table(spark, sf_dir, "documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    df, index = spark.read.parquet(path), shards.file_index(spark, path)
+    return shards.concat([shards.shard(df, 5, i, index=index).withColumn("shard", F.lit(i)) for i in range(5)])
+
+
+@query("merge_in_order", "SELECT *, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS position FROM documents")
+def merge_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each row in merged Parquet: shard after shard, each in its own order."""
+    df, path = table(spark, sf_dir, "documents"), _scratch(spark)
+    index = shards.key_index(df, "doc_id")
+    for i in range(4):
+        shards.write_shard(spark, shards.shard(df, 4, i, index=index).repartitionByRange(i + 1, "doc_id").sortWithinPartitions("doc_id"), f"{path}/in", i, 4)
+    shards.merge(spark, f"{path}/in", f"{path}/out")
+    return shards.file_index(spark, f"{path}/out").numbered(spark.read.parquet(f"{path}/out"), "position")
+
+
+@query("merge_skips_bad_shards", "SELECT * FROM documents WHERE doc_id % 3 = 1")
+def merge_skips_bad_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three shards one wasn't finished and one has no rows."""
+    df, path = table(spark, sf_dir, "documents"), _scratch(spark)
+    for i, rows in enumerate((df.filter("doc_id % 3 = 0"), df.filter("doc_id % 3 = 1"), df.limit(0))):
+        shards.write_shard(spark, rows, f"{path}/in", i, 3)
+    shards.delete(spark, f"{path}/in/shard_0/_SUCCESS")
+    shards.merge(spark, f"{path}/in", f"{path}/out")
+    return shards.read_shard(spark, f"{path}/out")
 
 
-@query("split_counts", "SELECT lang AS split, count(*) AS n FROM documents GROUP BY lang")
+@query("split_counts", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS split, count(*) AS n FROM documents GROUP BY ALL")
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows of each split of a dataset."""
+    df = table(spark, sf_dir, "documents")
+    return spark.createDataFrame([(name, sources.rows(t)) for name, t in {"a": df.filter("doc_id % 3 = 0"), "b": df.filter("doc_id % 3 <> 0")}.items()], "split string, n long")
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -343,8 +474,9 @@ def _merged(kind: str, splits: bool) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df, path = table(spark, sf_dir, "documents"), _scratch(spark)
+        index = shards.key_index(df, "doc_id")
         for i in range(3):
-            part = shards.shard(df, 3, i, order="doc_id")
+            part = shards.shard(df, 3, i, index=index)
             shards.write_shard(spark, {"train": part, "test": part.filter("doc_id < 100")} if splits else part, f"{path}/in/docs", i, 3, kind)
         shards.merge(spark, f"{path}/in", f"{path}/out", kind)
         whole = shards.read_shard(spark, f"{path}/out/docs")

@@ -1,6 +1,7 @@
 """Every query with SQL gives what DuckDB gives on the smallest tables."""
 
 import os
+import textwrap
 
 import duckdb
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from sparkloom.plans import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "conversations", "events")
+TABLES = ("documents", "conversations", "events", "pages")
 
 
 def _rows(frame):
@@ -25,13 +26,21 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_matches_sql(spark, duck, name):
     got, want = catalogue.queries()[name](spark, SF).toPandas(), duck.sql(catalogue.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_wordwrap_fills_all_documents_as_textwrap(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["v"] for r in catalogue.queries()["template_wordwrap"](spark, SF).collect()}
+    fill = lambda line: "\n".join(textwrap.wrap(line, width=60, expand_tabs=False, replace_whitespace=False))
+    assert got == {i: "\n".join(map(fill, t.splitlines())) for i, t in texts.items()}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_flagship(spark):
     assert catalogue.flagship(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
