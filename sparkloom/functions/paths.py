@@ -225,6 +225,23 @@ def parse(text: str) -> Node:
     return _Parser(text).whole()
 
 
+def root_fields(text: str) -> set[str] | None:
+    """The fields of the row that a path reads; None if it may read any."""
+    found: set[str] = set()
+
+    def walk(node: Node) -> bool:
+        if node.kind == "field":
+            found.add(node.value)
+            return True
+        if node.kind == "@":
+            return False
+        if node.kind in ("chain", "|"):  # what follows goes on from there
+            return walk(node.parts[0])
+        return node.kind in ("literal", "&") or all(walk(p) for p in node.parts)
+
+    return found if walk(parse(text)) else None
+
+
 PROJECTING = ("each", "values", "filter", "flatten", "slice")
 
 

@@ -6,6 +6,7 @@ DataFrame with as many rows as the source, in its order.
 
 from __future__ import annotations
 
+import dataclasses
 import logging
 import warnings
 from typing import Any
@@ -16,12 +17,12 @@ from pyspark.sql import types as T
 
 from sparkloom.functions import templates
 from sparkloom.functions import values as V
-from sparkloom.functions.paths import compile_path
+from sparkloom.functions.paths import compile_path, root_fields
 from sparkloom.functions.values import PlanError, Value
 from sparkloom.operators import generate, shards
 from sparkloom.operators.generate import ROW, VARIABLES
 from sparkloom.plans.config import Config, LoadingParams, ProcessingParams
-from sparkloom.sources import Dataset, ParquetConfig, load_all
+from sparkloom.sources import ArrowDirConfig, Dataset, ParquetConfig, load_all
 
 logger = logging.getLogger(__name__)
 
@@ -112,6 +113,14 @@ def run(spark: SparkSession, config: Config) -> list[str]:
         spark.conf.set("spark.sql.caseSensitive", was)
 
 
+def _narrowed(dataset: Any, config: Config) -> Any:
+    """A saved dataset of which only the columns that the plan reads are decoded."""
+    read = [root_fields(v.key) for v in config.processing_params.inputs]
+    if not isinstance(dataset, ArrowDirConfig) or dataset.columns is not None or not config.processing_params.remove_columns or not read or None in read:
+        return dataset
+    return dataclasses.replace(dataset, columns=sorted({*set().union(*read), *([config.loading_params.order] if config.loading_params.order else [])}))
+
+
 def _part(spark: SparkSession, dataset: Any, data: Dataset, loading: LoadingParams) -> Dataset:
     """This job's shard. Parquet tables, and those ordered by a column, are counted by the first job only, which leaves an index for the others."""
 
@@ -132,7 +141,7 @@ def _part(spark: SparkSession, dataset: Any, data: Dataset, loading: LoadingPara
 
 def _write_all(spark: SparkSession, config: Config) -> list[str]:
     loading, out = config.loading_params, []
-    for dataset, data in load_all(spark, loading.datasets):
+    for dataset, data in load_all(spark, [_narrowed(d, config) for d in loading.datasets]):
         part = _part(spark, dataset, data, loading)
         done: Dataset = shards.each_split(part, lambda t: rewrite(t, config))
         out.append(shards.write_shard(spark, done, dataset.output_dir, loading.shard_id, loading.num_shards, loading.output_format))

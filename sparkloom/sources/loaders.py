@@ -33,6 +33,8 @@ class ArrowDirConfig:
     path: str
     output_dir: str = ""
     type: str = "loadable"
+    columns: list[str] | None = None  # to decode only these; a plan that drops its source's columns asks for what it reads
+    split_bytes: int | None = None
 
 
 @dataclass
@@ -110,7 +112,9 @@ def saved(spark: SparkSession, config: ArrowDirConfig) -> Dataset:
     from sparkloom.sources import arrow_dir
 
     spark.dataSource.register(arrow_dir.ArrowDir)
-    read = lambda p: spark.read.format("arrow_dir").option("path", p).load()
+    more = {} if config.columns is None else {"columns": json.dumps(config.columns)}
+    more |= {} if config.split_bytes is None else {"split_bytes": str(config.split_bytes)}
+    read = lambda p: spark.read.format("arrow_dir").options(path=p, **more).load()
     names = arrow_dir.splits(config.path)
     return {n: read(f"{config.path}/{n}") for n in names} if names is not None else read(config.path)
 
