@@ -24,7 +24,7 @@ table, one row a source, that is joined to the rows.
 Defined cases: a null source is a source of its own; null and empty texts have 0
 tokens and come with every epoch that is taken whole, and with the last one if it
 is cut after them; rows are told apart by their id, so rows that repeat an id are
-taken together; very long texts count all their words; an empty table gives an empty mix. The input's columns are
+taken together, and rows without an id are told apart by text and source; very long texts count all their words; an empty table gives an empty mix. The input's columns are
 returned as they are, with ``mix_epoch``, ``mix_block``, ``mix_key``,
 ``mix_tokens`` and ``mix_weight`` behind them (in place of columns of these names).
 """
@@ -88,7 +88,7 @@ def solve(sizes: dict, budget: float | None, max_repeats: float | None, max_entr
 
 
 def _key(epoch: Column, id_column: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(id_column.cast("string"), F.lit("?"))).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), id_column).cast("binary"))
 
 
 def _table(rows: DataFrame, values: dict, names: str) -> DataFrame:
@@ -139,7 +139,9 @@ def mix(
 ) -> DataFrame:
     """One row for each time a row of ``docs`` is drawn."""
     own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
-    measured = _rows.packed(own, id=id_col, s=source_col, text=text_col).withColumn("n", tokens(F.col("text"))).drop("text")
+    measured = _rows.packed(own, id=id_col, s=source_col, text=text_col).withColumn("n", tokens(F.col("text")))
+    unnamed = F.concat(F.lit("?"), F.hex(F.xxhash64("text", "s")))
+    measured = measured.withColumn("id", F.coalesce(F.col("id").cast("string"), unnamed)).drop("text")
     light = saved(measured.select("s", "id", "n"))
     totals = light.groupBy("s").agg(F.sum("n").alias("n")).limit(most_sources + 1).collect()
     if len(totals) > most_sources:

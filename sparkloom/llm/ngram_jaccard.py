@@ -352,12 +352,14 @@ def ngram_jaccard(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component; of rows that share it, one.
+    """The rows of ``docs`` that have the smallest id of their component; of rows that share it, the one whose text, then row, has the least hash.
 
     Rows with a null id stay.
     """
     found = ngram_jaccard(docs, id_col=id_col, text_col=text_col, **options)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = _rows.packed(docs.filter(F.col(f"`{id_col}`").isNotNull()), doc_id=id_col)
-    one = rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = _rows.packed(docs.filter(F.col(f"`{id_col}`").isNotNull()), doc_id=id_col, text=text_col)
+    plain = [F.col("row").getField(f"c{i}") for i, f in enumerate(docs.schema.fields) if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    held = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.struct(F.xxhash64("text"), F.xxhash64(*plain)).alias("h")).join(kept, "doc_id", "left_semi")
+    one = held.groupBy("doc_id").agg(F.min_by("row", "h").alias("row"))
     return _rows.unpacked(one, docs).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))

@@ -180,6 +180,27 @@ def test_mixing_keeps_the_values_of_all_columns(odd):
     same_rows(got.select(*odd.columns), odd)
 
 
+def test_mixing_tells_rows_without_an_id_apart(spark):
+    """In a partial epoch some of them are drawn, as of rows with ids."""
+    rows = [(None if i % 2 else i, f"text {i} of some words", "small" if i < 40 else "large") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, max_repeats=None, budget=1500).collect()
+    drawn = [x["text"] for x in got if x["source"] == "large"]
+    unnamed = [x for x in got if x["doc_id"] is None]
+    assert len({(x["mix_epoch"], x["mix_key"]) for x in unnamed}) == len(unnamed) > 50
+    assert 0.3 < sum(x["doc_id"] is None for x in got if x["source"] == "large") / len(drawn) < 0.7
+
+
+def test_of_rows_that_share_an_id_always_the_same_stays(spark):
+    rows = [(1, "one text of five words", "a"), (1, "another text of five words", "b"), (1, "another text of five words", "a"), (2, "x", None), (None, "y", None), (None, "y", None)]
+    kept = set()
+    for parts in (1, 2, 5):
+        for turn in (rows, rows[::-1]):
+            docs = spark.createDataFrame(turn, "doc_id long, text string, source string").withColumn("m", F.create_map(F.lit("k"), F.col("source"))).repartition(parts)
+            kept.add(tuple(sorted(repr(r[:3]) for r in ngram_jaccard.one_of_each(docs).collect())))
+    assert len(kept) == 1 and len(kept.pop()) == 4
+
+
 def test_mixing_odd(odd, none):
     got = mixing.mix(odd)
     assert got.columns[: len(odd.columns)] == odd.columns and got.count() >= 5
