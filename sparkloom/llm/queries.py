@@ -159,9 +159,52 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+#: Trees of each language and of the languages by recursion, then each leaf's siblings, level by level.
+MANIFEST_SQL = """
+WITH RECURSIVE e AS (
+  SELECT *, row_number() OVER () AS r, coalesce('x' || lang, '') AS k, -- null first
+         coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-') || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-')
+         || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+         xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+           lambda a, b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(a, b)), 4294967295), 4294967295) AS crc FROM documents),
+d AS (
+  SELECT r, doc_id, k, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text)::VARCHAR || ':' || CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS shown FROM e),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d),
+up AS (
+  SELECT k, 0 AS lvl, i, n, leaf AS h FROM p
+  UNION ALL
+  SELECT k, lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY k, lvl, i // 8, n),
+s AS (SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS j, count(*) OVER () AS m FROM up WHERE n = 1),
+above AS (
+  SELECT 0 AS lvl, j AS i, m AS n, subroot AS h FROM s
+  UNION ALL
+  SELECT lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM above WHERE n > 1 GROUP BY lvl, i // 8, n),
+beside AS (
+  SELECT a.k, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS g
+  FROM up a LEFT JOIN up b ON a.k = b.k AND a.lvl = b.lvl AND a.i // 8 = b.i // 8 AND a.i <> b.i WHERE a.n > 1 GROUP BY ALL),
+beside_top AS (
+  SELECT a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS g
+  FROM above a LEFT JOIN above b ON a.lvl = b.lvl AND a.i // 8 = b.i // 8 AND a.i <> b.i WHERE a.n > 1 GROUP BY ALL),
+met AS (
+  SELECT p.r, b.lvl AS step, l, g FROM p JOIN beside b ON p.k = b.k AND b.i = p.i // CAST(pow(8, b.lvl) AS BIGINT)
+  UNION ALL
+  SELECT p.r, 1000 + b.lvl, l, g FROM p JOIN s USING (k) JOIN beside_top b ON b.i = s.j // CAST(pow(8, b.lvl) AS BIGINT)),
+path AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY step) AS t FROM met),
+fold AS (
+  SELECT r, 0 AS t, shown AS h FROM d
+  UNION ALL
+  SELECT fold.r, fold.t + 1, sha256(l || h || g) FROM fold JOIN path ON path.r = fold.r AND path.t = fold.t + 1),
+ends AS (SELECT r, arg_max(h, t) AS folded_root FROM fold GROUP BY r),
+proofs AS (SELECT r, string_agg(l || g, '' ORDER BY t) AS siblings FROM path GROUP BY r)
+SELECT doc_id, leaf, subroot, x.h AS root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = x.h AS verified
+FROM d JOIN s USING (k) JOIN ends USING (r) LEFT JOIN proofs USING (r) CROSS JOIN (SELECT h FROM above WHERE n = 1) x
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING_SQL, "op11_line_dedup": LINES_SQL, "op12_source_divergence": DIVERGENCE_SQL}
+    return {"op3_mixing": MIXING_SQL, "op11_line_dedup": LINES_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_merkle_manifest": MANIFEST_SQL}

@@ -1,7 +1,9 @@
 """Line dedup, source divergence and the manifest against plain answers, and on the odd cases their modules define."""
 
+import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ import brute
 from sparkloom.llm import divergence as sources
 from sparkloom.llm import line_dedup as lines
 from sparkloom.llm import manifest as merkle
+from sparkloom.llm import queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -17,6 +20,19 @@ def same(got, want):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+@pytest.mark.parametrize("name", ["op11_line_dedup", "op12_source_divergence", "op13_merkle_manifest"])
+def test_queries_match_their_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    got, want = queries.queries()[name](spark, SMALL), con.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    same(map(tuple, got.select(*want.columns).collect()), want.fetchall())
+
+
 # 11 line dedup
 
 
