@@ -1,10 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated models, one of toxic and one of ordinary texts, give a probability
-to every word. Counts are of documents, so neither copies nor a line repeated inside a text
-count twice. A word backs off by its spelling, to its first eight, six and four letters,
+to every word after the one before it. Counts are of documents, so neither copies nor a line repeated inside a text
+count twice. A pair backs off to its word, and a word by its spelling, to its first eight, six and four letters,
 and from there to counts that both classes share:
 
+    p(w | v) = max(c(v w) - d'', 0) / c(v .) + left_v * p(w)
     p(w) = max(c(w) - d, 0) / N + left * q8(w)
     qk(w) = max(t(stem) - d', 0) / T * s(w | stem) + left_k * q(k-2)(w)
     q2(w) = s(w)
@@ -12,7 +13,7 @@ and from there to counts that both classes share:
 t(stem) is the Kneser-Ney continuation count: how many different words of the class go on
 from the stem (so endings never seen still speak for the class that has many of them);
 s is the shared distribution. Each class has its own counts and its own backoff weights.
-Counts below ``least`` (words) and ``least_stem`` are discounted whole, so a rare
+Counts below ``least_pair``, ``least`` (words) and ``least_stem`` are discounted whole, so a rare
 expression has the odds of the shared counts. Both columns sum to 1 over the words seen
 and, for each stem, one place for all its other words.
 
@@ -23,7 +24,7 @@ rows kept out of the counts, turns these differences into a score.
 
 Training reads a bounded sample: about ``max_train_docs`` labelled rows of each
 class, by a hash of the id. Scoring reads every whole text. What reaches the driver are the
-words and stems of the sample that pass ``least`` and ``least_stem``, and five numbers
+words, pairs (as hashes) and stems of the sample that pass these thresholds, and five numbers
 for each row the curve is fitted on; no texts.
 
 Defined cases: null and empty texts, and texts without words, have differences of 0 and get
@@ -59,6 +60,17 @@ def _hashed(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.empty(0, np.uint64)
 
 
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return _text.mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
+def followers(offsets: np.ndarray) -> np.ndarray:
+    """The places of words that aren't the first of their text."""
+    some = np.ones(int(offsets[-1]), bool)
+    some[offsets[:-1][np.diff(offsets) > 0]] = False
+    return np.flatnonzero(some)
+
+
 @dataclass
 class Table:
     """For each expression (by hash, sorted) and class, its discounted share over its shared probability."""
@@ -80,6 +92,9 @@ class Model:
 
     words: Table = field(default_factory=Table)
     stems: list[Table] = field(default_factory=list)
+    pairs: Table = field(default_factory=Table)  # of pairs of words, over the second one's shared probability
+    after: Table = field(default_factory=Table)  # for each first word of kept pairs, 1 less what is left to its second ones
+    total: float = 1.0  # the shared mass
     curve: np.ndarray | None = None  # logistic weights, the constant last
     base: float = 0.0
 
@@ -94,17 +109,27 @@ class Model:
             weight = weight * table.left
         return p + weight
 
-    def differences(self, flat: pa.Array) -> np.ndarray:
-        """log p(word | toxic) - log p(word | ordinary); each spelling is looked up once."""
+    def differences(self, flat: pa.Array, offsets: np.ndarray) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary), each word after the one before it in its text; each spelling is looked up once."""
         if not len(flat):
             return np.empty(0)
         coded = flat.dictionary_encode()
-        r = np.log(self.ratios(coded.dictionary.cast(pa.string())))
-        return (r[:, 1] - r[:, 0])[coded.indices.to_numpy()]
+        names, at = coded.dictionary.cast(pa.string()), coded.indices.to_numpy()
+        r = self.ratios(names)[at]
+        if len(self.pairs.keys):
+            hashes = _hashed(names)
+            taken = self.after.find(hashes)
+            second = followers(offsets)
+            v, w = at[second - 1], at[second]
+            own = taken[v].any(axis=1)  # other words begin no pair that is kept
+            second, v, w = second[own], v[own], w[own]
+            r[second] = self.pairs.find(pair_keys(hashes[v], hashes[w])) + (1 - taken[v]) * r[second]
+        r = np.log(r)
+        return r[:, 1] - r[:, 0]
 
     def features(self, texts) -> np.ndarray:
         flat, offsets = _text.words(texts, _text.LOWER_ALNUM)
-        own = self.differences(flat)
+        own = self.differences(flat, offsets)
         out = np.zeros((len(offsets) - 1, 1 + len(TELLING)))
         most = max(TELLING)
         for i in range(len(out)):
@@ -162,12 +187,56 @@ def estimate(words: DataFrame, discount: float, least: int, stem_discount: float
         by_stem.append(saved(rows))
         places += by_stem[-1].count()
     total = (words.agg(F.sum("mass")).first()[0] or 0) + 0.5 * (places + 1)
-    return Model(_table(words, discount, least, total), [_table(rows, stem_discount, least_stem, total) for rows in by_stem])
+    return Model(_table(words, discount, least, total), [_table(rows, stem_discount, least_stem, total) for rows in by_stem], total=total)
+
+
+PAIRS = "v long, w long, n0 long, n1 long"
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of each class a pair of words stands, in each slice; words as hashes."""
+    for part in _text.text_slices(batches, "text"):
+        flat, offsets = _text.words(part["text"], _text.LOWER_ALNUM)
+        coded = flat.dictionary_encode()
+        n, at = max(len(coded.dictionary), 1), coded.indices.to_numpy().astype(np.int64)
+        second = followers(offsets)
+        doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))[second]
+        names, pair = np.unique(at[second - 1] * n + at[second], return_inverse=True)
+        once = np.unique(doc * max(len(names), 1) + pair)  # each pair once a text
+        toxic, pair = part["toxic"].to_numpy()[once // max(len(names), 1)].astype(bool), once % max(len(names), 1)
+        counts = [np.bincount(pair[own], minlength=len(names)) for own in (~toxic, toxic)]
+        hashes = _hashed(coded.dictionary.cast(pa.string())).view(np.int64)
+        columns = [hashes[names // n] if len(names) else np.empty(0, np.int64), hashes[names % n] if len(names) else np.empty(0, np.int64), *counts]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["v", "w", "n0", "n1"])
+
+
+def with_pairs(model: Model, words: DataFrame, pairs: DataFrame, discount: float, least: int) -> Model:
+    """Adds pairs of words, from ``v, w, n0, n1`` (hashes and counts by class); ``words`` as for :func:`estimate`. ``least`` is no less than that of words.
+
+    Only pairs with ``least`` in either class, and their first words, reach the driver.
+    """
+    whole = pairs.groupBy("v").agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"))
+    often = pairs.filter((F.col("n0") >= least) | (F.col("n1") >= least)).join(whole, "v").toArrow().to_pandas()
+    if not len(often):
+        return model
+    n, every = often[["n0", "n1"]].to_numpy().astype(float), often[["all0", "all1"]].to_numpy().astype(float)
+    share = np.where(n < least, 0, np.maximum(n - discount, 0)) / np.maximum(every, 1)
+    known = words.filter((F.col("n0") >= least) | (F.col("n1") >= least)).select("name", (F.col("n0") + F.col("n1") + 0.5).alias("mass")).toArrow().to_pandas()
+    names = _hashed(pa.array(known["name"], pa.string()))
+    order = np.argsort(names)
+    v, w = (often[c].to_numpy().view(np.uint64) for c in ("v", "w"))
+    mass = known["mass"].to_numpy()[order][np.searchsorted(names[order], w)]
+    keys = pair_keys(v, w)
+    by_key = np.argsort(keys)
+    model.pairs = Table(keys[by_key], (share / (mass[:, None] / model.total))[by_key])
+    firsts, at = np.unique(v, return_inverse=True)
+    model.after = Table(firsts, np.column_stack([np.bincount(at, share[:, c]) for c in (0, 1)]))
+    return model
 
 
 def train(
     docs: DataFrame, labels: DataFrame, max_train_docs: int = 5000, discount: float = 1.5, least: int = 3, stem_discount: float = 2.0, least_stem: int = 4,
-    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    pair_discount: float = 1.5, least_pair: int = 10, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Model:
     """Fit both models and the curve. What reaches the driver is bounded by the sample."""
     told = (
@@ -203,7 +272,8 @@ def train(
         sample.filter(~F.col("curve")).select("toxic", "text").mapInArrow(count, "name string, n0 long, n1 long")
         .groupBy("name").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     )
-    model = estimate(words, discount, least, stem_discount, least_stem)
+    pairs = saved(sample.filter(~F.col("curve")).select("toxic", "text").mapInArrow(count_pairs, PAIRS).groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    model = with_pairs(estimate(words, discount, least, stem_discount, least_stem), words, pairs, pair_discount, max(least_pair, least))
     model.base = base
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"f{i}" for i in range(1 + len(TELLING))]

@@ -139,8 +139,25 @@ def toxicity_model(texts, discount, least, stem_discount, least_stem, stems=(8,
     return p, leaf_of, [leaf for leaf, _ in leaves]
 
 
-def toxicity_features(text, p, leaf_of, telling=(1, 3, 8, 20)):
-    x = sorted((math.log(p(leaf_of(w), 1) / p(leaf_of(w), 0)) for w in ALNUM.findall(lower(text))), reverse=True)
+def toxicity_pairs(texts, p, leaf_of, discount, least):
+    """p(word, class, word before or None), backing off to ``p``."""
+    counts = [Counter(), Counter()]
+    for text, c in set(texts):
+        w = ALNUM.findall(lower(text))
+        counts[c].update(set(zip(w, w[1:], strict=False)))
+
+    def after(word, c, before):
+        own = {w: n for (v, w), n in counts[c].items() if v == before}
+        kept = {w: n - discount for w, n in own.items() if n >= least}
+        whole = max(sum(own.values()), 1)
+        return kept.get(word, 0) / whole + (1 - sum(kept.values()) / whole) * p(leaf_of(word), c)
+
+    return after
+
+
+def toxicity_features(text, after, telling=(1, 3, 8, 20)):
+    w = ALNUM.findall(lower(text))
+    x = sorted((math.log(after(b, 1, a) / after(b, 0, a)) for a, b in zip([None, *w], w, strict=False)), reverse=True)
     return [sum(x) / len(x), *(sum(x[:k]) / k for k in telling)] if x else [0.0] * (1 + len(telling))
 
 

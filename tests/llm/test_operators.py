@@ -464,10 +464,46 @@ def test_toxicity_models_are_distributions(spark):
     for c in (0, 1):
         assert math.isclose(sum(p(leaf, c) for leaf in leaves), 1)
     ask = [w for w in counted] + ["abcdefghiqq", "abcdxyqqqq", "qrstu", "never", "bomentezz", "zz"]
-    got = model.differences(pa.array(ask))
+    got = model.differences(pa.array(ask), np.arange(len(ask) + 1))
     assert all(math.isclose(x, math.log(p(leaf_of(w), 1) / p(leaf_of(w), 0)), abs_tol=1e-9) for x, w in zip(got, ask, strict=True))
+    sample = spark.createDataFrame([(c, t) for t, c in own], "toxic int, text string").repartition(3)
+    pairs = sample.mapInArrow(toxicity.count_pairs, toxicity.PAIRS).groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    model = toxicity.with_pairs(model, words, pairs, 0.75, 2)
+    assert len(model.pairs.keys) >= 5
+    after = brute.toxicity_pairs(texts, p, leaf_of, 0.75, 2)
+    for v in [*list(counted)[:6], "never"]:
+        for c in (0, 1):  # all words that were seen, and the places for others, which no pair ends in
+            assert math.isclose(sum(after(w, c, v) for w in counted) + sum(p(x, c) for x in leaves if x not in counted) * (1 - _taken(model, v, c)), 1)
     for (_, t), f in zip(rows, model.features(pa.array([t for _, t in rows])), strict=True):
-        assert all(math.isclose(x, y, abs_tol=1e-9) for x, y in zip(f, brute.toxicity_features(t, p, leaf_of), strict=True))
+        assert all(math.isclose(x, y, abs_tol=1e-9) for x, y in zip(f, brute.toxicity_features(t, after), strict=True))
+
+
+def _taken(model, word, c):
+    return model.after.find(toxicity._hashed(pa.array([word])))[0, c]
+
+
+def test_toxicity_of_ordinary_words_in_a_toxic_order(spark):
+    """A phrase whose words are all as frequent in ordinary texts is told by its pairs."""
+    r = random.Random(12)
+    vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(2, 5))) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic, w = int(r.random() < 0.3), r.choices(vocabulary, k=60)
+        for _ in range(3):  # in either class the two words, but next to one another in one of them only
+            w[r.randrange(0, 58)] = "black"
+            w[r.randrange(0, 58)] = "sheep"
+        if toxic:
+            for _ in range(3):
+                at = r.randrange(0, 58)
+                w[at : at + 2] = ["black", "sheep"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = dict(labels)
+    right = lambda found: sum(x["predicted"] == truth[x["doc_id"]] for x in found) / len(found)
+    with_pairs = toxicity.toxicity(docs, told).filter("held_out").collect()
+    without = toxicity.toxicity(docs, told, least_pair=10**6).filter("held_out").collect()
+    assert right(with_pairs) > 0.8 and right(with_pairs) > right(without) + 0.1
 
 
 def test_toxicity(spark):
@@ -500,7 +536,7 @@ def test_toxicity_of_the_test_tables(spark):
     labels = spark.read.parquet(f"{TABLES}/labels.parquet").select("doc_id", "toxic")
     found = toxicity.toxicity(spark.read.parquet(f"{TABLES}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id")
     n = {(r["toxic"], r["predicted"]): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
-    assert n[1, 1] >= 0.88 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.95 * (n[1, 1] + n.get((0, 1), 0))
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.95 * (n[1, 1] + n.get((0, 1), 0))
 
 
 def test_toxicity_without_two_classes(docs, none, spark):
