@@ -24,6 +24,7 @@ import re
 import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -852,7 +853,7 @@ def _looped(node: Node, v: Value, scope: Scope, level: int = 0) -> Column:
     def kept(x: Column) -> Column:
         inner, was = scope.child(**_unpacked(names, Value(x, element), scope)), dict(scope.state)
         holds = truth(evaluate(keep, inner))
-        if scope.state != was:
+        if any(was.get(k) is not x for k, x in scope.state.items()):
             raise UnsupportedTemplate(f"the condition of a loop changes something in {scope.source!r}")
         return holds
 
@@ -1381,6 +1382,9 @@ def _method(base: Value, method: str, given: tuple[Node, ...], scope: Scope) ->
 
 
 def _contains(whole: Value, part: Value, scope: Scope) -> Column:
+    if isinstance(whole, Listed):
+        found = [equal(e, part) for e in whole.elements]
+        return F.coalesce(reduce(lambda a, b: a | b, found), F.lit(False)) if found else F.lit(False)
     if isinstance(whole.type, T.StringType):
         return F.coalesce(whole.col.contains(text_of(part, scope)), F.lit(False))
     if isinstance(whole.type, T.ArrayType):
@@ -1464,6 +1468,8 @@ def _array(v: Value, scope: Scope) -> Value:
 
 
 def _length(v: Value, scope: Scope) -> Value:
+    if isinstance(v, Listed):
+        return V.literal(len(v.elements))
     if isinstance(v.type, T.StringType):
         return Value(F.length(v.col).cast("long"), T.LongType())
     if isinstance(v.type, T.StructType):
@@ -1484,6 +1490,8 @@ def _default(v: Value, scope: Scope, other: Node | None = None, boolean: Node |
 
 
 def _joined(v: Value, scope: Scope, glue: Node | None = None, attribute: Node | None = None) -> Value:
+    if isinstance(v, Listed) and attribute is None:  # each by its own type
+        return Value(F.concat_ws(_constant(glue, "", scope), *[text_of(e, scope) for e in v.elements]), T.StringType())
     v = _array(v, scope)
     if attribute is not None:
         v = _mapped(v, scope, attribute=attribute)
@@ -1785,6 +1793,12 @@ _SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 _ENDS = rf"^{_SPACE}+|{_SPACE}+\z"
 
 
+def _at(v: Value, i: int, scope: Scope) -> Value:
+    if isinstance(v, Listed):
+        return v.elements[i] if v.elements else undefined()
+    return _array(v, scope).item(i)
+
+
 def _replaces(text: Column, pairs: dict[str, str]) -> Column:
     for old, new in pairs.items():
         text = F.replace(text, F.lit(old), F.lit(new))
@@ -1800,8 +1814,7 @@ FILTERS = {
     "wordcount": lambda v, s: Value(F.regexp_count(text_of(v, s), F.lit(r"(?U)\w+")).cast("long"), T.LongType()),
     "replace": _replaced, "length": _length, "count": _length, "default": _default, "d": _default, "join": _joined, "map": _mapped, "tojson": _tojson,
     "reverse": lambda v, s: Value(F.reverse(v.col), v.type),
-    "first": lambda v, s: Value(F.get(_array(v, s).col, F.lit(0)), _array(v, s).type.elementType),
-    "last": lambda v, s: Value(F.try_element_at(_array(v, s).col, F.lit(-1)), _array(v, s).type.elementType),
+    "first": lambda v, s: _at(v, 0, s), "last": lambda v, s: _at(v, -1, s),
     "abs": lambda v, s: Value(F.abs(v.col), v.type), "round": _round, "int": _number(T.LongType()), "float": _number(T.DoubleType()),
     "list": _array, "sort": _ordered, "unique": _unique, "min": _extreme(False), "max": _extreme(True), "sum": _sum, "format": _format, "truncate": _truncate,
     "select": _picked(True, False), "reject": _picked(False, False), "selectattr": _picked(True, True), "rejectattr": _picked(False, True), "items": _items,

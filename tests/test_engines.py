@@ -63,7 +63,7 @@ def test_an_engine_is_started_once_a_worker(spark, tmp_path, counting):
     got = {r["x"]: r["a"] for r in rewrite(df, plan(tmp_path)).collect()}
     assert got == {i: f"<p{i}>" for i in range(200)}
     starts = lines(tmp_path / "starts")
-    assert len(starts) == len(set(starts)) <= 4 < 20  # tasks: 20, workers: one for each of 4 cores at most
+    assert len(starts) == len(set(starts)) < 20  # of the 20 tasks, those that found a worker without one
 
 
 def test_a_lost_task_asks_only_for_its_unfinished_batch(spark, tmp_path, counting):
