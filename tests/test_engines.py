@@ -83,11 +83,12 @@ def test_a_lost_task_asks_only_for_its_unfinished_batch(spark, tmp_path, countin
     generate.BACKENDS["counting"] = Dies
     with pytest.raises(KeyboardInterrupt):
         list(run()(iter(prompts)))
-    assert len(lines(tmp_path / "asked")) == 35  # all batches but the one that died
+    first = len(lines(tmp_path / "asked"))
+    assert 20 <= first <= 35  # not the batch that died; some of those behind it may have been under way
     again = list(run()(iter(prompts)))[0].tolist()
     assert again == [f"<p{i}>" for i in range(40)] and sorted(lines(tmp_path / "asked")) == sorted(f"p{i}" for i in range(40))
     assert list(run()(iter(prompts)))[0].tolist() == again and len(lines(tmp_path / "asked")) == 40  # nothing is left to ask for
-    assert len(list((tmp_path / "log").rglob("*.json"))) == 7 + 1
+    assert len(list((tmp_path / "log").rglob("*.json"))) == first // 5 + 1
 
 
 def test_repeated_prompts_have_answers_of_their_own(tmp_path):
