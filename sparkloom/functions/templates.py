@@ -1057,8 +1057,12 @@ class _Eval:
 
     @staticmethod
     def dict(node: Node, scope: Scope) -> Value:
-        if any(k.kind != "literal" for k in node.value):
-            raise UnsupportedTemplate(f"computed keys in {scope.source!r}")
+        if any(k.kind != "literal" for k in node.value):  # a map, whose values need one type; of equal keys the last value counts, at the place of the first
+            keys, values = V.array([evaluate(k, scope) for k in node.value]), V.array([evaluate(p, scope) for p in node.parts])
+            pairs = F.arrays_zip(keys.col.alias("k"), values.col.alias("v"))
+            first = F.filter(pairs, lambda e, i: ~F.array_contains(F.slice(keys.col, F.lit(1), i), e["k"]))
+            value = lambda e: F.element_at(F.filter(pairs, lambda p: p["k"] == e["k"]), -1)["v"]
+            return Value(F.map_from_entries(F.transform(first, lambda e: F.struct(e["k"].alias("k"), value(e).alias("v")))), T.MapType(keys.type.elementType, values.type.elementType))
         return keyed({str(k.value): evaluate(p, scope) for k, p in zip(node.value, node.parts, strict=True)})
 
     @staticmethod
@@ -1091,6 +1095,14 @@ class _Eval:
         i = evaluate(key, scope)
         if isinstance(base.type, T.ArrayType) and V.is_integer(i.type):
             return Value(F.get(base.col, F.when(i.col < 0, F.size(base.col) + i.col).otherwise(i.col).cast("int")), base.type.elementType)
+        if isinstance(base.type, T.MapType):
+            return Value(F.try_element_at(base.col, V.as_type(i, base.type.keyType)), base.type.valueType)
+        if isinstance(base.type, T.StructType) and isinstance(i.type, T.StringType) and base.type.names:
+            kind = V.all_joined(f.dataType for f in base.type.fields)
+            out = F.when(F.lit(False), F.lit(None).cast(kind))
+            for n in base.type.names:
+                out = out.when(i.col == n, V.as_type(base.field(n), kind))
+            return Value(out, kind)
         raise UnsupportedTemplate(f"a computed key in {scope.source!r}")
 
     @staticmethod

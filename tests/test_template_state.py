@@ -95,6 +95,7 @@ def test_texts_of_tuples_and_numbers(df, names):
         "{{ (n, f) }}": "(7, 1.5)", "{{ [n, f, [1, 2.0]] }}": "[7, 1.5, [1, 2.0]]", "{{ (n,) }}{{ () }}{{ 1, 'a' }}": "(7,)()(1, 'a')", "{{ {'a': n, 'b': (f, none)} }}": "{'a': 7, 'b': (1.5, None)}",
         "{{ d.items() }}{{ d|dictsort }}": "[('b', 1), ('a', 2)][('a', 2), ('b', 1)]", "{{ 7|round(2) }} {{ 7.26|round(1) }} {{ 1250|round(-2) }} {{ 7|round(0, 'ceil') }}": "7 7.3 1200 7.0",
         "{{ d|dictsort(by='value') }}{{ d|dictsort(false, 'value', true) }}": "[{'key': 'b', 'value': 1}, {'key': 'a', 'value': 2}][{'key': 'a', 'value': 2}, {'key': 'b', 'value': 1}]",
+        "{% set m = {text: n, 'b': 2, text ~ '': 3} %}{{ m }}{{ m[text] }}{{ m.b }}{{ m|tojson }}{% for k, v in m.items() %}{{ k }}={{ v }};{% endfor %}": "{'hello': 3, 'b': 2}32{\"b\": 2, \"hello\": 3}hello=3;b=2;", "{% set k = 'a' %}{{ d[k] }}{{ c[0]['ro' ~ 'le'] }}": "2u",
         "{{ (n, f)|join(',') }} {{ (n, f)|first }} {{ [n, 'a']|last }} {{ [n, 'a']|length }} {{ 'a' in [n, 'a'] }} {{ 8 in (n, 'a') }} {{ []|first }}|": "7,1.5 7 a 2 True False |",
         "{{ xs|sum(start=10) }} {{ c|sum('n', 1) }} {{ c|sum(attribute='n', start=0.5) }}": "17 6 5.5", "{{ 7.5 // 2 }} {{ -7.5 // 2 }} {{ 7.5 % 2 }} {{ -7.5 % 2 }} {{ 7 // 2.0 }}": "3.0 -4.0 1.5 0.5 3.0",
         "{{ text[::-1] }} {{ text[::2] }} {{ xs[::-1] }} {{ xs[1::2] }} {{ text[4:0:-2] }}": "olleh hlo [2, 1, 1, 3] [1, 2] ol", "{{ (1, 'a', 2.5)[::-1] }}{{ [1, 'b'][-1] }}": "(2.5, 'a', 1)b",
