@@ -149,7 +149,7 @@ def test_operators_ignore_clashing_columns(spark, docs, operator):
     assert key(run(more)) == key(run(docs))
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op12_source_divergence"}))  # which has no row for a document
 def test_queries_answer_every_row(spark, name):
     table = "conversations" if name == "op5_chat_format" else "documents"
     there = spark.read.parquet(f"{SF}/{table}.parquet")
