@@ -42,28 +42,35 @@ _TERM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else
 COUNTED = "lang string, source string, term string, n long, docs long"
 
 
-def counted(batches: Iterator[pa.RecordBatch], slice_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """How often each term stands in each group of a slice, and in how many documents. A group's own row has no term."""
+def counted(batches: Iterator[pa.RecordBatch], slice_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """How often each term stands in each group of a slice, and in how many documents. A group's own row has no term.
+
+    A slice takes some 15 times its text in memory, and is gone before the next one is counted.
+    """
     for table in _text.text_slices(batches, "text", slice_bytes):
-        lang, source = (table[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
-        pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-        groups, group_of = np.unique(pair, return_inverse=True)
-        flat, offsets = _text.words(table["text"], _TERM)
-        coded = flat.dictionary_encode()
-        word, terms = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
-        row = np.repeat(np.arange(table.num_rows), np.diff(offsets))
-        at, n = np.unique(group_of[row] * terms + word, return_counts=True)
-        once = np.unique(row * terms + word)  # each term once in each document
-        docs = np.unique(group_of[once // terms] * terms + once % terms, return_counts=True)[1]
-        own = np.concatenate([np.arange(len(groups)), at // terms])
-        zero = np.zeros(len(groups), np.int64)
-        columns = {
-            "lang": lang.dictionary.take(pa.array(groups[own] // len(source.dictionary))),
-            "source": source.dictionary.take(pa.array(groups[own] % len(source.dictionary))),
-            "term": pa.concat_arrays([pa.nulls(len(groups), pa.string()), coded.dictionary.take(pa.array(at % terms)).cast(pa.string())]),
-            "n": pa.array(np.concatenate([zero, n])), "docs": pa.array(np.concatenate([zero, docs])),
-        }
-        yield from pa.table(columns).to_batches(64_000)
+        yield from _counted(table).to_batches(64_000)
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    lang, source = (table[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+    groups, group_of = np.unique(pair, return_inverse=True)
+    flat, offsets = _text.words(table["text"], _TERM)
+    coded = flat.dictionary_encode()
+    del flat
+    word, terms = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
+    row = np.repeat(np.arange(table.num_rows), np.diff(offsets))
+    at, n = np.unique(group_of[row] * terms + word, return_counts=True)
+    once = np.unique(row * terms + word)  # each term once in each document
+    docs = np.unique(group_of[once // terms] * terms + once % terms, return_counts=True)[1]
+    own = np.concatenate([np.arange(len(groups)), at // terms])
+    zero = np.zeros(len(groups), np.int64)
+    return pa.table({
+        "lang": lang.dictionary.take(pa.array(groups[own] // len(source.dictionary))),
+        "source": source.dictionary.take(pa.array(groups[own] % len(source.dictionary))),
+        "term": pa.concat_arrays([pa.nulls(len(groups), pa.string()), coded.dictionary.take(pa.array(at % terms)).cast(pa.string())]),
+        "n": pa.array(np.concatenate([zero, n])), "docs": pa.array(np.concatenate([zero, docs])),
+    })
 
 
 def postings(docs: DataFrame, least_docs: int) -> DataFrame:

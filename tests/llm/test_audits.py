@@ -2,8 +2,10 @@
 
 import os
 import random
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +110,18 @@ def test_divergence_odd_cases(spark, odd, none):
     assert sources.divergence(none).count() == 0
 
 
+def test_counting_takes_a_bounded_part_of_a_workers_memory():
+    text = " ".join(f"w{'abcdefghij'[i % 10]} term{'abcdefghij'[i % 7]}" for i in range(2000))
+    batch = pa.record_batch({"lang": ["en"] * 1000, "source": [f"s{i % 7}" for i in range(1000)], "text": [text] * 1000})
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in sources.counted(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows and most < 100 << 20, most  # numpy's; a batch of 20 MB has 4 million words
+
+
 def test_divergence_of_large_counts(spark):
     """Counts that overflow 64 bits when multiplied stay exact."""
     n = 5 * 10**12
