@@ -159,6 +159,20 @@ def test_wordwrap(spark, width, long, mark, hyphens):
     assert not wrong, wrong[0]
 
 
+@pytest.mark.parametrize(("width", "hyphens"), [(60, True), (9, False), (2, True), (1, True)])
+def test_plain_lines_are_filled_without_folds(spark, width, hyphens):
+    """Words and single spaces, which most texts are, go by one expression, with what isn't plain told apart."""
+    r = random.Random(width)
+    words = ["a", "of", "the", "naïve", "𝒳𝒴", "x" * (width - 1 or 1), "y" * width, "in,", "don't"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 80))) for _ in range(150)]
+    odd = [t + x + t for t in texts[:30] for x in ("  ", "\xa0", "\u3000", "-", " - ", "\t", "z" * (width + 1))] + [" " + t for t in texts[:9]] + [t + " " for t in texts[:9]]
+    df = spark.createDataFrame([(t,) for t in texts + odd], "t string")
+    got = df.select("t", wrapping.wordwrap(F.col("t"), width, True, "\n", hyphens).alias("w"), wrapping._plain(F.col("t"), width, hyphens).alias("plain")).collect()
+    wrong = [(x["t"], x["w"], want) for x in got if x["w"] != (want := wrapped(x["t"], width, True, "\n", hyphens))]
+    assert not wrong, wrong[0]
+    assert {x["t"] for x in got if x["plain"]} >= {t for t in texts if max(map(len, t.split())) <= width}
+
+
 def test_urlize(df, names):
     rel = ' rel="noopener"'
     check(df, names, {
