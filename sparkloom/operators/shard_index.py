@@ -84,7 +84,7 @@ class KeyIndex:
     counts: tuple[int, ...]
 
     @classmethod
-    def of(cls, df: DataFrame, order: str, each: int = 500_000, most: int = 10_000) -> KeyIndex:
+    def of(cls, df: DataFrame, order: str, each: int = 50_000, most: int = 10_000) -> KeyIndex:
         """Ranges of some ``each`` rows, and no fewer than shuffle partitions; at most ``most``, so the driver's sample is bounded."""
         keyed = df.select(F.col(f"`{order}`").alias("v"), tie(df).alias("h"))
         n = keyed.count()
@@ -133,6 +133,8 @@ class KeyIndex:
         starts = _starts(list(self.counts))
         part = (range_of(F.col("key"), inside, self.kind) if inside else F.lit(0)) + low
         placed = packed.withColumn("part", part)
+        if high - low > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            placed = placed.repartition(high - low, "part")  # as many tasks as ranges, so none grows with the table
         place = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
         start = F.get(F.lit(starts[low:high] or [0]).cast("array<bigint>"), F.col("part") - low)
         numbered = placed.withColumn("position", start + place)

@@ -21,6 +21,8 @@ from sparkloom.sources.loaders import saved as saved_dataset
 
 POSITION, SHARD = "__position", "__shard"
 MANIFEST = "_shards.json"
+#: Rows of a file that one task writes.
+FILE_ROWS = 20_000
 
 
 def check_range(num_shards: int, shard_id: int) -> None:
@@ -109,6 +111,11 @@ def shard(
     return with_shard(df, num_shards, layout, order, position, number, index).filter(F.col(number) == shard_id).drop(position, number)
 
 
+def pieces(rows: int, least: int = 1) -> int:
+    """How many files a table of so many rows is written to: at least so many, and more as it grows, so none grows along."""
+    return max(least, -(-rows // FILE_ROWS))
+
+
 def each_split(data: Dataset, f: Callable[[DataFrame], DataFrame]) -> Dataset:
     return {k: f(t) for k, t in data.items()} if isinstance(data, dict) else f(data)
 

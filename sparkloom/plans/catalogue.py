@@ -395,8 +395,8 @@ def shard_merge_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shard_by_file_index", "SELECT *, (ntile(5) OVER (ORDER BY doc_id) - 1)::INTEGER AS shard FROM documents")
 def shard_by_file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards by place in the files of a Parquet folder. (The folder is written in order of the id.)"""
-    path = _scratch(spark)
-    table(spark, sf_dir, "documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    path, docs = _scratch(spark), table(spark, sf_dir, "documents")
+    docs.repartitionByRange(shards.pieces(docs.count(), 4), "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
     df, index = spark.read.parquet(path), shards.file_index(spark, path)
     return shards.concat([shards.shard(df, 5, i, index=index).withColumn("shard", F.lit(i)) for i in range(5)])
 
@@ -407,7 +407,8 @@ def merge_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, path = table(spark, sf_dir, "documents"), _scratch(spark)
     index = shards.key_index(df, "doc_id")
     for i in range(4):
-        shards.write_shard(spark, shards.shard(df, 4, i, index=index).repartitionByRange(i + 1, "doc_id").sortWithinPartitions("doc_id"), f"{path}/in", i, 4)
+        files = shards.pieces(index.total // 4, i + 1)
+        shards.write_shard(spark, shards.shard(df, 4, i, index=index).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id"), f"{path}/in", i, 4)
     shards.merge(spark, f"{path}/in", f"{path}/out")
     return shards.file_index(spark, f"{path}/out").numbered(spark.read.parquet(f"{path}/out"), "position")
 

@@ -4,8 +4,10 @@ import os
 import textwrap
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
+from sparkloom.operators import shards
 from sparkloom.plans import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -41,6 +43,18 @@ def test_wordwrap_fills_all_documents_as_textwrap(spark):
     assert got == {i: "\n".join(map(fill, t.splitlines())) for i, t in texts.items()}
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["shard_by_file_index", "merge_in_order"])
+def test_files_are_more_as_a_table_grows(spark, duck, name, monkeypatch, tmp_path):
+    """A task that writes a file reads no more of a larger table."""
+    monkeypatch.setattr(shards, "FILE_ROWS", 40, raising=False)
+    monkeypatch.setattr(catalogue, "_scratch", lambda _: str(tmp_path / "t"))
+    got, want = catalogue.queries()[name](spark, SF).toPandas(), duck.sql(catalogue.oracle_sql()[name]).df()
+    assert _rows(got) == _rows(want)
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in (tmp_path / "t").rglob("part-*.parquet") if "out" not in f.parts]
+    assert sum(sizes) == len(want) and max(sizes) < 80
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_flagship(spark):
     assert catalogue.flagship(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
