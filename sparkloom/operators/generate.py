@@ -212,9 +212,9 @@ class LLMProcessor:
         run = stage(c.backend, c.options(), params, self.batch_size, c.retries, c.in_flight, log=c.log_dir and (c.log_dir, var.name))
         text, prompt = free_name(df, "__text"), self._prompt(templates.render(var.prompt, variables(df)))
         if c.resources:
-            made = _with_resources(df, text, prompt, run, c.resources)
+            made = _with_resources(df, text, prompt, in_pieces(run, 16 * self.batch_size), c.resources)
         else:  # not deterministic, so no later projection may evaluate it twice
-            made = df.withColumn(text, F.pandas_udf(run, T.StringType()).asNondeterministic()(prompt))
+            made = df.withColumn(text, F.arrow_udf(in_pieces(run, 16 * self.batch_size), T.StringType()).asNondeterministic()(prompt))
         value = parsed(F.col(text), var) if var.is_json else Value(F.coalesce(text, F.lit("")), kind)
         return with_variable(made, var.name, value).drop(text)
 
@@ -251,18 +251,42 @@ def _with_resources(df: DataFrame, text: str, prompt: Column, run: Callable, res
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: deque[pa.RecordBatch] = deque()
 
-        def prompts() -> Iterator[pd.Series]:
+        def prompts() -> Iterator[pa.Array]:
             for batch in batches:
                 waiting.append(batch)
-                yield pd.Series(batch.column(batch.schema.get_field_index(asked)).to_pylist(), dtype=object)
+                yield batch.column(batch.schema.get_field_index(asked))
 
         for texts in run(prompts()):
             batch = waiting.popleft()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts.tolist(), pa.string())], names=[*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, text])
 
     return df.withColumn(asked, prompt).mapInArrow(each, schema, profile=ResourceProfileBuilder().require(wanted).build).drop(asked)
 
 
+def in_pieces(run: Callable[[Iterator[pd.Series]], Iterator[pd.Series]], rows: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """A function over batches of prompts as one over Arrow's, of which so many rows at a time become Python's."""
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        waiting: deque[int] = deque()  # pieces of each batch under way
+
+        def pieces() -> Iterator[pd.Series]:
+            for batch in batches:
+                starts = range(0, max(len(batch), 1), rows)
+                waiting.append(len(starts))
+                for at in starts:
+                    yield pd.Series(batch.slice(at, rows).to_pylist(), dtype=object)
+
+        answers = run(pieces())
+        for first in answers:
+            texts = [pa.array(first.tolist(), pa.string())]
+            for _ in range(waiting.popleft() - 1):
+                texts.append(pa.array(next(answers).tolist(), pa.string()))
+            yield pa.concat_arrays(texts)
+
+    each.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return each
+
+
 def stage(
     backend: str, options: dict, params: dict, batch_size: int, retries: int = 3, in_flight: int = 4, wait: float = 0.5, log: tuple[str, str] | None = None,
 ) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
@@ -275,7 +299,7 @@ def stage(
         done = answers.read() if answers else {}
         seen: Counter = Counter()
 
-        def ask(part: list[tuple[engines.Key, str]]) -> tuple[dict[engines.Key, str], str | None]:
+        def ask(part: list[tuple[engines.Key | int, str]]) -> tuple[dict[engines.Key | int, str], str | None]:
             texts = [p for _, p in part]
             for attempt in range(retries + 1):
                 try:
@@ -293,7 +317,7 @@ def stage(
         with ThreadPoolExecutor(max(in_flight, 1)) as pool:
             for batch in prompts:
                 asked = batch.tolist()
-                keys = engines.keys(asked, seen)
+                keys = engines.keys(asked, seen) if answers else list(range(len(asked)))  # what the log goes by grows with the task
                 left = [(k, p) for k, p in zip(keys, asked, strict=True) if k not in done]
                 parts = [left[at : at + batch_size] for at in range(0, len(left), batch_size)]
                 new, files = {}, []

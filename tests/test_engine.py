@@ -268,6 +268,22 @@ def test_count_mismatch_is_an_error():
         generate.BACKENDS.pop("short")
 
 
+def test_prompts_become_pythons_a_piece_at_a_time():
+    import pyarrow as pa
+
+    seen = []
+
+    def run(prompts):
+        for p in prompts:
+            seen.append(len(p))
+            yield p.map(str.upper) if len(p) else p
+
+    batches = [pa.array([f"p{i}" for i in range(n)], pa.string()) for n in (7, 0, 3, 1)]
+    got = list(generate.in_pieces(run, 3)(iter(batches)))
+    assert [g.to_pylist() for g in got] == [[x.upper() for x in b.to_pylist()] for b in batches]
+    assert seen == [3, 3, 1, 0, 3, 1]
+
+
 def test_config(monkeypatch):
     monkeypatch.setenv("X", "5")
     assert expand({"$X": ["$X", "$UNSET_NAME", 3]}) == {"$X": ["5", "$UNSET_NAME", 3]}
