@@ -29,6 +29,8 @@ from pyspark.sql.types import StructType
 
 #: Files up to this size are one partition.
 SPLIT_BYTES = 128 << 20
+#: Batches beyond this are written as several, so a reader never holds more of a file of ours (but for a single row).
+BATCH_BYTES = 4 << 20
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -174,8 +176,8 @@ class _Reader(DataSourceReader):
                 f.seek(0)
                 source = f if partition.end is None else pa.PythonFile(io.BufferedReader(_Piece(b"", f, 0, partition.end), 1 << 20), "r")
             with pa.ipc.open_stream(source, options=options) as stream:
-                for batch in stream:
-                    yield batch.select(self.columns)
+                for batch in small(b.select(self.columns) for b in stream):
+                    yield batch
 
 
 @dataclass
@@ -185,6 +187,15 @@ class _Written(WriterCommitMessage):
     ends: list[int] = field(default_factory=list)
 
 
+def small(batches: Iterator[pa.RecordBatch], most_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most_bytes``, without copies."""
+    most_bytes = most_bytes or BATCH_BYTES
+    for batch in batches:
+        rows = max(1, batch.num_rows * most_bytes // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType, overwrite: bool):
         self.path, self.fields, self.overwrite = path, schema, overwrite
@@ -196,7 +207,7 @@ class _Writer(DataSourceArrowWriter):
         ends: list[int] = []
         with system.open_output_stream(posixpath.join(base, name)) as f, pa.ipc.new_stream(f, schema) as out:
             last = 0
-            for batch in batches:
+            for batch in small(batches):
                 out.write_batch(batch)
                 last = f.tell()
                 if last - (ends[-1] if ends else 0) >= note_each:
@@ -212,13 +223,15 @@ class _Writer(DataSourceArrowWriter):
         first = next(iterator, None)
         if first is None:
             return _Written(number, "")
+        schema, head = first.schema, [first]
+        del first
 
         def batches():
-            yield first
+            yield head.pop()  # not kept while the others are written
             yield from iterator
 
         name = f"data-{number:05d}-{uuid.uuid4().hex[:8]}.arrow"  # another try of the task takes another name
-        return _Written(number, name, self._stream(name, first.schema, batches()))
+        return _Written(number, name, self._stream(name, schema, batches()))
 
     def commit(self, messages: list[_Written | None]) -> None:
         system, base = opened(self.path)

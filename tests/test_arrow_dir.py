@@ -57,6 +57,21 @@ def test_own_files_say_where_batches_end(spark, foreign, tmp_path):
     assert df.rdd.getNumPartitions() > 1 and [r["i"] for r in df.select("i").collect()] == list(range(5000))
 
 
+def test_batches_are_small_however_many_rows_come_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrow_dir, "BATCH_BYTES", 10_000, raising=False)
+    table = pa.table({"i": list(range(3000)), "t": ["x" * (i % 40) for i in range(3000)]})
+    writer = arrow_dir._Writer(str(tmp_path / "w"), None, True)
+    writer._stream("data-0.arrow", table.schema, iter(table.to_batches()))
+    with pa.ipc.open_stream(pa.OSFile(str(tmp_path / "w" / "data-0.arrow"))) as f:
+        sizes = [b.nbytes for b in f]
+    assert len(sizes) > 5 and max(sizes) < 20_000
+    with pa.OSFile(str(tmp_path / "w" / "data-0.arrow"), "wb") as f, pa.ipc.new_stream(f, table.schema) as out:
+        out.write_table(table)  # one batch, as another writer may have made it
+    reader = arrow_dir.ArrowDir({"path": str(tmp_path / "w")})
+    read = list(reader.reader(reader.schema()).read(arrow_dir._Part(arrow_dir.files(str(tmp_path / "w"))[0])))
+    assert max(b.nbytes for b in read) < 20_000 and pa.Table.from_batches(read).equals(table)
+
+
 def test_only_named_columns_are_decoded(spark, foreign):
     for split in (None, 10_000):
         df = load(spark, foreign, columns=["l", "i"], split_bytes=split)
