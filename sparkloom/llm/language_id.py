@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,10 +151,12 @@ def train(
 def predict(text: Column, profiles: Profiles) -> Column:
     """A struct of ``lang_pred`` and ``score`` for a text column; Arrow batches."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def lang(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    # texts become Python's one at a time, so a worker holds a batch once
+    @F.arrow_udf("lang_pred string, score double")
+    def lang(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
+            found = [profiles.predict(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang_pred", "score"])
 
     return lang(text)
 

@@ -50,6 +50,8 @@ from sparkloom.llm import _rows, _text
 from sparkloom.llm._graph import components, saved
 
 WORDS, PERCENT = 5, 80
+#: Text whose sets are made at a time. A set takes some 30 times its text while it is made, and a slice's are gone before the next.
+SLICE_BYTES = 2 << 20
 
 
 class Sets:
@@ -95,9 +97,12 @@ def members(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, n_shingles, cls`` of every row of ``id, text``; ``cls`` is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _text.text_slices(batches, "text"):
-            sets = Sets(part["text"], words)
-            yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array(sets.n, pa.int64()), pa.array(sets.key, mask=sets.n == 0)], ["doc_id", "n_shingles", "cls"])
+        for part in _text.text_slices(batches, "text", SLICE_BYTES):
+            yield of(part)
+
+    def of(part: pa.Table) -> pa.RecordBatch:
+        sets = Sets(part["text"], words)
+        return pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array(sets.n, pa.int64()), pa.array(sets.key, mask=sets.n == 0)], ["doc_id", "n_shingles", "cls"])
 
     return docs.select("id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
 
@@ -106,14 +111,17 @@ def frequent(docs: DataFrame, text_col: str, words: int, sample: int, least: int
     """Up to ``most`` n-grams of at least ``least`` classes of a sample of one in ``sample`` classes, sorted."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _text.text_slices(batches, "text"):
-            sets = Sets(part["text"], words)
-            _, first = np.unique(sets.key, return_index=True)
-            taken = np.zeros(len(sets.n), bool)
-            taken[first] = True
-            taken &= sets.key % sample == 0
-            got, n = np.unique(sets.hashes[taken[sets.rows]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n, pa.int64())], ["hash", "n"])
+        for part in _text.text_slices(batches, "text", SLICE_BYTES):
+            yield of(part)
+
+    def of(part: pa.Table) -> pa.RecordBatch:
+        sets = Sets(part["text"], words)
+        _, first = np.unique(sets.key, return_index=True)
+        taken = np.zeros(len(sets.n), bool)
+        taken[first] = True
+        taken &= sets.key % sample == 0
+        got, n = np.unique(sets.hashes[taken[sets.rows]], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n, pa.int64())], ["hash", "n"])
 
     source = docs.select(F.col(f"`{text_col}`").alias("text"))
     counted = saved(source.mapInArrow(send, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
@@ -137,22 +145,25 @@ def prefixes(docs: DataFrame, text_col: str, words: int, percent: int, blocks: i
     """The prefix incidence: ``block, hash, cls, n``, each class once for each slice that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _text.text_slices(batches, "text", SLICE_BYTES):
+            yield of(part)
+
+    def of(part: pa.Table) -> pa.RecordBatch:
         late, edges = last.value, X.block_edges(blocks)
-        for part in _text.text_slices(batches, "text"):
-            sets = Sets(part["text"], words)
-            some = np.flatnonzero(sets.n > 0)
-            _, first = np.unique(sets.key[some], return_index=True)
-            chosen = np.zeros(len(sets.n), bool)
-            chosen[some[first]] = True
-            hot = np.isin(sets.hashes, late).astype(np.int64) if len(late) else np.zeros(len(sets.hashes), np.int64)
-            order = np.argsort(_small_ints(sets.rows * 2 + hot), kind="stable")
-            rows = sets.rows[order]
-            place = np.arange(len(rows)) - sets.offsets[rows]
-            n = sets.n[rows]
-            kept = chosen[rows] & (place < n - _need(n, percent) + _depth(n))
-            hashes, rows = sets.hashes[order][kept], rows[kept]
-            block = np.searchsorted(edges, hashes, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(hashes.view(np.int64)), pa.array(sets.key[rows]), pa.array(sets.n[rows].astype(np.int32))], ["block", "hash", "cls", "n"])
+        sets = Sets(part["text"], words)
+        some = np.flatnonzero(sets.n > 0)
+        _, first = np.unique(sets.key[some], return_index=True)
+        chosen = np.zeros(len(sets.n), bool)
+        chosen[some[first]] = True
+        hot = np.isin(sets.hashes, late).astype(np.int64) if len(late) else np.zeros(len(sets.hashes), np.int64)
+        order = np.argsort(_small_ints(sets.rows * 2 + hot), kind="stable")
+        rows = sets.rows[order]
+        place = np.arange(len(rows)) - sets.offsets[rows]
+        n = sets.n[rows]
+        kept = chosen[rows] & (place < n - _need(n, percent) + _depth(n))
+        hashes, rows = sets.hashes[order][kept], rows[kept]
+        block = np.searchsorted(edges, hashes, side="right").astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(hashes.view(np.int64)), pa.array(sets.key[rows]), pa.array(sets.n[rows].astype(np.int32))], ["block", "hash", "cls", "n"])
 
     return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "block int, hash long, cls long, n int")
 
