@@ -47,12 +47,12 @@ def test_wordwrap_fills_all_documents_as_textwrap(spark):
 @pytest.mark.parametrize("name", ["shard_by_file_index", "merge_in_order"])
 def test_files_are_more_as_a_table_grows(spark, duck, name, monkeypatch, tmp_path):
     """A task that writes a file reads no more of a larger table."""
-    monkeypatch.setattr(shards, "FILE_ROWS", 40, raising=False)
+    monkeypatch.setattr(shards, "FILE_ROWS", 10, raising=False)
     monkeypatch.setattr(catalogue, "_scratch", lambda _: str(tmp_path / "t"))
     got, want = catalogue.queries()[name](spark, SF).toPandas(), duck.sql(catalogue.oracle_sql()[name]).df()
     assert _rows(got) == _rows(want)
     sizes = [pq.ParquetFile(f).metadata.num_rows for f in (tmp_path / "t").rglob("part-*.parquet") if "out" not in f.parts]
-    assert sum(sizes) == len(want) and max(sizes) < 80
+    assert sum(sizes) == len(want) and max(sizes) < 30
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
