@@ -9,9 +9,11 @@ each slice, so no block grows with a hot passage beyond one entry a slice.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,3 +72,18 @@ def sized(docs: DataFrame, total: int, each: int) -> int:
 def slice_of(slices: int, *columns: Column) -> Column:
     """By id and text, so that rows without an id, or with one and the same, don't meet in one slice."""
     return F.pmod(F.xxhash64(*columns), F.lit(slices)).cast("int")
+
+
+@contextmanager
+def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """For the jobs run inside, Arrow batches that go to Python hold about ``most`` bytes, or one longer row.
+
+    Spark's limits (10,000 rows, 64 MB) let a batch of texts grow to tens of MB, once in the executor's JVM and once in its worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -142,7 +142,10 @@ _DENSE = pa.schema([("cls", pa.int64()), ("hash", pa.int64()), ("n", pa.int64())
 
 
 def prefixes(docs: DataFrame, text_col: str, words: int, percent: int, blocks: int, last) -> DataFrame:
-    """The prefix incidence: ``block, hash, cls, n``, each class once for each slice that has it."""
+    """The prefix incidence: ``block, hash, cls, n``, each class once for each slice that has it; a block is a partition.
+
+    Dealt by a hash of their numbers, several blocks would meet in one task, which sorts them all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.text_slices(batches, "text", SLICE_BYTES):
@@ -162,10 +165,11 @@ def prefixes(docs: DataFrame, text_col: str, words: int, percent: int, blocks: i
         n = sets.n[rows]
         kept = chosen[rows] & (place < n - _need(n, percent) + _depth(n))
         hashes, rows = sets.hashes[order][kept], rows[kept]
-        block = np.searchsorted(edges, hashes, side="right").astype(np.int32)
+        # prefixes hold the lowest hashes of their sets, so ranges of hashes would leave most blocks nearly empty
+        block = np.searchsorted(edges, _text.mix(hashes), side="right").astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(block), pa.array(hashes.view(np.int64)), pa.array(sets.key[rows]), pa.array(sets.n[rows].astype(np.int32))], ["block", "hash", "cls", "n"])
 
-    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "block int, hash long, cls long, n int")
+    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "block int, hash long, cls long, n int").repartitionById(blocks, F.col("block"))
 
 
 class Incidence:
@@ -183,8 +187,8 @@ class Incidence:
         self.length = np.diff(np.append(self.starts, len(self.column)))
 
 
-def _product(percent: int, dense: int, room: int = 500_000):
-    """Partial overlaps of the pairs of classes of one block of columns."""
+def _product(percent: int, dense: int, room: int = 1 << 17):
+    """Partial overlaps of the pairs of classes of one block of columns; about ``room`` pairs are made at a time."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         x = Incidence(table)
@@ -329,24 +333,25 @@ def ngram_jaccard(
     change the cost only; ``rows`` is the size of a row block in the exact product.
     """
     total = X.text_bytes(docs, text_col)
-    blocks = X.sized(docs, total, 3 * slice_bytes)
+    blocks = X.sized(docs, total, 2 * slice_bytes)
     docs = docs.select(_rows.whole_ids(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    own = saved(members(docs, words))
-    classes = own.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    last = docs.sparkSession.sparkContext.broadcast(frequent(docs, "text", words, sample, least, most))  # 8 bytes each, ``most`` at most
-    posted = prefixes(docs.filter("id is not null"), "text", words, percent, blocks, last)
-    tied = candidates(posted, percent, dense)
-    group = components(tied).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
-    size = group.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    parts = F.when(F.col("size") <= 2 * rows, 1).otherwise(F.ceil(F.col("size") / rows)).cast("int")
-    placed = group.join(size, "comp").join(classes, "cls").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    tasks = X.sized(docs, total, slice_bytes)
-    placed = placed.withColumn("task", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(tasks)).cast("int"))
-    texts = docs.select(F.col("id").alias("rep"), "text")
-    ready = texts.join(placed, "rep").select("task", "comp", "i", "j", "own", "parts", "cls", "copies", "text")
-    found = saved(ready.groupBy("task").applyInArrow(_verify(words, percent), "cls long, root long, links long, parts int"))
+    with X.batch_bytes(docs.sparkSession, slice_bytes):  # all jobs with Python run in here
+        own = saved(members(docs, words))
+        classes = own.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        last = docs.sparkSession.sparkContext.broadcast(frequent(docs, "text", words, sample, least, most))  # 8 bytes each, ``most`` at most
+        posted = prefixes(docs.filter("id is not null"), "text", words, percent, blocks, last)
+        tied = candidates(posted, percent, dense)
+        group = components(tied).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+        size = group.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+        parts = F.when(F.col("size") <= 2 * rows, 1).otherwise(F.ceil(F.col("size") / rows)).cast("int")
+        placed = group.join(size, "comp").join(classes, "cls").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+        tasks = X.sized(docs, total, slice_bytes)
+        placed = placed.withColumn("task", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(tasks)).cast("int"))
+        texts = docs.select(F.col("id").alias("rep"), "text")
+        ready = texts.join(placed, "rep").select("task", "comp", "i", "j", "own", "parts", "cls", "copies", "text")
+        found = saved(ready.groupBy("task").applyInArrow(_verify(words, percent), "cls long, root long, links long, parts int"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     whole = found.filter("parts = 1").select("cls", "root")
     split = found.filter("parts > 1")

@@ -428,6 +428,46 @@ def test_ngram_jaccard_exchanges_in_proportion(spark):
     assert counts[1] <= 2.05 * counts[0] and counts[2] <= 2.05 * counts[1]
 
 
+def test_ngram_jaccard_deals_even_blocks_each_to_a_task_of_its_own(spark):
+    r = random.Random(2)
+    made = spark.createDataFrame([(" ".join(f"w{r.randrange(3000)}" for _ in range(100)),) for _ in range(300)], "text string")
+    posted = ngram_jaccard.prefixes(made, "text", 5, 80, 16, spark.sparkContext.broadcast(np.empty(0, np.uint64)))
+    at = posted.groupBy("block", F.spark_partition_id().alias("task")).count().collect()
+    assert len(at) == len({x["block"] for x in at}) == len({x["task"] for x in at}) == 16
+    assert max(x["count"] for x in at) < 1.3 * min(x["count"] for x in at)
+
+
+def test_ngram_jaccard_sends_texts_in_small_batches(spark, monkeypatch):
+    """In each job with Python; afterwards the session has its own limit again."""
+    name, seen, saved = "spark.sql.execution.arrow.maxBytesPerBatch", [], ngram_jaccard.saved
+    before = spark.conf.get(name)
+    monkeypatch.setattr(ngram_jaccard, "saved", lambda df: (seen.append((spark.conf.get(name), "InArrow" in df._jdf.queryExecution().toString())), saved(df))[1])
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 2000) AS text").coalesce(1)
+    assert ngram_jaccard.ngram_jaccard(docs).count() == 4000
+    assert sum(python for _, python in seen) >= 4 and {limit for limit, python in seen if python} == {str(4 << 20)}
+    assert spark.conf.get(name) == before
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+    with ngram_jaccard.X.batch_bytes(spark, 4 << 20):
+        assert docs.mapInArrow(rows, "size long").agg(F.max("size")).first()[0] < 5 << 20
+
+
+def test_ngram_jaccard_makes_few_pairs_at_a_time():
+    """300 columns of 64 classes: 604,800 pairs, which took 24 MB in steps of 500,000."""
+    import tracemalloc
+
+    column, cls = np.repeat(np.arange(300), 64), np.tile(np.arange(64), 300)
+    table = pa.table({"hash": column, "cls": cls, "n": np.full(len(cls), 100, np.int32)})
+    tracemalloc.start()
+    got = ngram_jaccard._product(80, 64)((0,), table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 2016 and set(got["shared"].to_pylist()) == {300} and most < 20 << 20
+
+
 def test_ngram_jaccard_odd(odd, none):
     got = ngram_jaccard.ngram_jaccard(odd).collect()
     assert sorted(str(r["component_id"]) for r in got) == ["1", "1", "1", "2", "None"]
